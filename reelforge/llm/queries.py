@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import quality, secrets, sharding, token_output, warc
+from reelforge.llm import minhash, quality, secrets, sharding, token_output, warc
 from reelforge.llm import sql as texts
 from reelforge.llm.shared import read_table
 from reelforge.llm.vocab import vocabulary
@@ -28,12 +28,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_warc, op5_secrets, op8_sharding, op10_quality)}
+    return {f.__name__: f for f in (op3_token_output, op4_warc, op5_secrets, op8_sharding, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
