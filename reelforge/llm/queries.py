@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import minhash, quality, secrets, sharding, token_output, warc
+from reelforge.llm import embedding_dedup, minhash, quality, secrets, sharding, token_output, warc
 from reelforge.llm import sql as texts
 from reelforge.llm.shared import read_table
 from reelforge.llm.vocab import vocabulary
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -37,7 +41,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op4_warc, op5_secrets, op8_sharding, op9_minhash, op10_quality)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_output, op4_warc, op5_secrets, op8_sharding, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
