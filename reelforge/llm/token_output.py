@@ -12,7 +12,9 @@ are kept, ordered by text; an empty table gives no rows and a manifest without s
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -52,25 +54,54 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The published split pattern of byte-level BPE: a fixed value.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        # The same pattern in the classes of re, for texts without a character that the two sort differently.
+        self.quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+        self.odd = re.compile(f"[{_differing()}]").search
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])  # a byte-level token has a character per byte
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes pieces that are a blank and letters as one text, which the pre-tokenizer cuts into them again; others one by one."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        self.known.update(zip(others, self._library(others), strict=True))
+        if words:
+            ids = np.frombuffer(self._library(["".join(words)])[0], "<u4")
+            ends = np.cumsum([len(p.encode()) for p in words])
+            cuts = [0, *np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right").tolist()]
+            for i, p in enumerate(words):
+                self.known[p] = ids[cuts[i] : cuts[i + 1]].tobytes()
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._library([text])[0]
-        pieces, known = self.pieces(text), self.known
+        pieces, known = (self.pieces if self.odd(text) else self.quick)(text), self.known
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             if len(known) > CACHED_PIECES:
                 known.clear()
-            new = [p for p in set(pieces) if p not in known]
-            known.update(zip(new, self._library(new), strict=True))
+            self._learn({p for p in pieces if p not in known})
             return b"".join(map(known.__getitem__, pieces))
 
 
+@cache
+def _differing() -> str:
+    """The characters, for a class of re, that re and Unicode's properties sort differently into letters, numbers and blanks."""
+    blank = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}  # White_Space: fixed values
+    kinds = {"L": 1, "N": 2}
+    out = []
+    for c in range(0x110000):
+        ch = chr(c)
+        own = 3 if ch.isspace() else 2 if ch.isdecimal() else 1 if ch.isalnum() else 0
+        if own != (3 if c in blank else kinds.get(unicodedata.category(ch)[0], 0)):
+            out.append(f"\\U{c:08x}")
+    return "".join(out)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
