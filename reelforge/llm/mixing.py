@@ -30,7 +30,7 @@ LEAN = 50  # counts per bucket by which a domain's words lean to those of all la
 SEED = 61
 #: (quality, toxic) of each domain, and the default share of tokens it should have.
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "junk": (0, 0), "junk_toxic": (0, 1)}
-TARGETS = {"clean": 0.93, "toxic": 0.05, "junk": 0.015, "junk_toxic": 0.005}
+TARGETS = {"clean": 0.94, "toxic": 0.05, "junk": 0.01, "junk_toxic": 0.0}
 STEPS, CLOSE = 12, 1e-9
 
 
@@ -119,8 +119,8 @@ def fitted_steps(table: DataFrame, targets: dict[str, float]) -> list[list[float
             if not want.any():
                 return []
             want /= want.sum()
-            # As many tokens as the domains give without repeating any.
-            goal = want * min(have[d] / want[d] for d in range(n) if want[d] > 0)
+            # As many tokens as leave the domain of the largest share whole.
+            goal = want * (have[want.argmax()] / want.max())
         off = have - goal
         size = float(np.abs(off).sum() / goal.sum())
         if best is not None and size > best[0]:  # too far: half the step that led here

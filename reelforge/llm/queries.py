@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import embedding_dedup, minhash, quality, secrets, sharding, simhash, token_output, warc
+from reelforge.llm import embedding_dedup, minhash, mixing, quality, secrets, sharding, simhash, token_output, warc
 from reelforge.llm import sql as texts
 from reelforge.llm.shared import read_table
 from reelforge.llm.vocab import vocabulary
@@ -28,6 +28,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(read_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compared(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_output, op4_warc, op5_secrets, op7_simhash, op8_sharding, op9_minhash, op10_quality)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_output, op4_warc, op5_secrets, op6_mixing, op7_simhash, op8_sharding, op9_minhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

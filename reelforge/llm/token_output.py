@@ -84,7 +84,7 @@ class Encoder:
         except KeyError:
             if len(known) > CACHED_PIECES:
                 known.clear()
-            self._learn({p for p in pieces if p not in known})
+            self._learn(set(pieces).difference(known))
             return b"".join(map(known.__getitem__, pieces))
 
 
@@ -94,12 +94,12 @@ def _differing() -> str:
     blank = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}  # White_Space: fixed values
     kinds = {"L": 1, "N": 2}
     out = []
-    for c in range(0x110000):
+    for c in range(0x10000):
         ch = chr(c)
         own = 3 if ch.isspace() else 2 if ch.isdecimal() else 1 if ch.isalnum() else 0
         if own != (3 if c in blank else kinds.get(unicodedata.category(ch)[0], 0)):
-            out.append(f"\\U{c:08x}")
-    return "".join(out)
+            out.append(f"\\u{c:04x}")
+    return "".join(out) + "\U00010000-\U0010ffff"  # all beyond the first plane, which keeps the class a bitmap
 
 
 @cache
@@ -109,7 +109,7 @@ def encoder(path: str) -> Encoder:
 
 def write_shard(url: str, documents: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes a shard; returns its documents and tokens."""
-    pack, ids, table, tokens = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True), [], [], 0
+    pack, ids, table, tokens = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True), [], [], 0
     with committed(url) as out:
         for doc_id, content in documents:
             frame = pack.compress(content)
