@@ -1,15 +1,50 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages over documents.
+
+Junk goes, one document of each group of near-duplicates stays, secrets are replaced by their kind, documents are drawn
+by rates that bring clean and toxic text to target shares, and what is left becomes tokens. Each stage takes what the
+one before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelforge.llm import minhash, mixing, quality, secrets, sentencepiece_scan
+from reelforge.llm.shared import read_table
+from reelforge.llm.vocab import vocabulary
 
-STAGES: list = []
+#: Shares of tokens after mixing: clean documents keep a rate of about 1, so this draws toxic ones down and drops junk.
+TARGETS = {"clean": 0.97, "toxic": 0.03, "junk": 0.0, "junk_toxic": 0.0}
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.selected(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, read_table(spark, sf_dir, "labels"), TARGETS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality_classifier), ("near-duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mix), ("sentencepiece", tokens)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import embedding_dedup, minhash, mixing, quality, secrets, sharding, simhash, token_output, warc
+from reelforge.llm import embedding_dedup, minhash, mixing, quality, secrets, sentencepiece_scan, sharding, simhash, token_output, warc
 from reelforge.llm import sql as texts
 from reelforge.llm.shared import read_table
 from reelforge.llm.vocab import vocabulary
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.tokenized(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -48,8 +52,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+QUERIES = (
+    op1_sentencepiece,
+    op2_embedding_dedup,
+    op3_token_output,
+    op4_warc,
+    op5_secrets,
+    op6_mixing,
+    op7_simhash,
+    op8_sharding,
+    op9_minhash,
+    op10_quality,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_output, op4_warc, op5_secrets, op6_mixing, op7_simhash, op8_sharding, op9_minhash, op10_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
