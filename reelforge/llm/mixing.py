@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership, with DataFrame functions alone.
 
-A naive Bayes classifier over hashed words, fitted on at most SAMPLE labelled rows, gives every document a probability
-of each domain; a domain is a pair of labels. Rates x >= 0 are then fitted so that the expected tokens of each domain,
+A naive Bayes classifier over the presence of words, fitted on at most SAMPLE labelled rows and on the words whose
+presence differs most surely between domains, gives every document a probability of each domain; a domain is a pair of
+labels. Rates x >= 0 are then fitted so that the expected tokens of each domain,
 sum(x * tokens * probability), come as near to the targets as least squares can: projected gradient steps, each scaled
 by the Gram matrix of the domains over the documents whose rate is not 0, from rates of 1. A step is one pass over a
 table of tokens and probabilities; a document's rate is a fold over the steps so far, so rates are never moved about,
@@ -22,11 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import durable
+from reelforge.llm.shared import drop_durable, durable
 
 SAMPLE = 20_000
-BUCKETS = 16_384
-LEAN = 50  # counts per bucket by which a domain's words lean to those of all labelled rows
+TERMS = 4096
+LEAST_Z, LEAST_DOCS = 7.0, 5  # how surely, and in how many labelled documents, a term must differ
+FILTER_BITS = 20
+AGAIN = 1  # the term that stands for a word four times in a row
 SEED = 61
 #: (quality, toxic) of each domain, and the default share of tokens it should have.
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "junk": (0, 0), "junk_toxic": (0, 1)}
@@ -34,10 +37,14 @@ TARGETS = {"clean": 0.94, "toxic": 0.05, "junk": 0.01, "junk_toxic": 0.0}
 STEPS, CLOSE = 12, 1e-9
 
 
-def buckets(text: Column) -> Column:
-    """The bucket of each word of a text, with repeats."""
-    words = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def terms_of(text: Column, split: Column) -> Column:
+    """Hashes of a text's words, with repeats, and AGAIN."""
+    again = F.when(text.rlike(r"(?:^|\s)(\S+)(?:\s+\1){3}(?:\s|$)"), F.array(F.lit(AGAIN).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.concat(F.transform(split, lambda w: F.xxhash64(w)), F.coalesce(again, F.array().cast("array<long>")))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -48,21 +55,48 @@ def labelled(labels: DataFrame) -> DataFrame:
     return agreed.select("doc_id", domain.alias("domain")).filter("domain is not null").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of each domain's words less that of all words (domains x BUCKETS), and the domains' priors."""
+class Model:
+    """Terms, what the presence of each adds to each domain's score, what the absence of all does, and where scores start.
+
+    Scores are log odds against the first domain that has labels.
+    """
+
+    def __init__(self, n: np.ndarray, terms: list[int], counts: np.ndarray):
+        total = n.sum()
+        self.present = [d for d in range(len(n)) if n[d]] or [0]
+        self.zero = zero = self.present[0]
+        self.start = {d: float(np.log(n[d] / n[zero])) if total else 0.0 for d in self.present}
+        self.without = dict.fromkeys(self.present, 0.0)
+        self.terms, self.gains = terms, {}
+        for d in self.present[1:]:
+            share, base = counts[d] / n[d], counts[zero] / n[zero]
+            mean = np.clip((counts[d] + counts[zero]) / (n[d] + n[zero]), 1e-9, 1 - 1e-9)
+            sure = (share - base) / np.sqrt(mean * (1 - mean) * (1 / n[d] + 1 / n[zero])) >= LEAST_Z
+            self.gains[d] = np.where(sure, np.log((counts[d] + 0.5) / (n[d] + 1)) - np.log((counts[zero] + 0.5) / (n[zero] + 1)), 0.0)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled(labels)), "doc_id")
-    counts, docs_of = np.zeros((len(DOMAINS), BUCKETS)), np.zeros(len(DOMAINS))
-    words = own.select("domain", F.explode(buckets(F.col("text"))).alias("b"))
-    for r in words.groupBy("domain", "b").count().collect():  # at most domains x BUCKETS rows
-        counts[r.domain, r.b] = r["count"]
+    own = durable(own.select("domain", F.array_distinct(terms_of(F.col("text"), words(F.col("text")))).alias("terms")), "labelled-terms")
+    n = np.zeros(len(DOMAINS))
     for r in own.groupBy("domain").count().collect():
-        docs_of[r.domain] = r["count"]
-    if not docs_of.any():
-        docs_of[0] = 1
-    p = (counts.sum(axis=0) + 1) / (counts.sum() + BUCKETS)
-    lean = LEAN * BUCKETS
-    table = np.log((counts + lean * p) / (counts.sum(axis=1, keepdims=True) + lean)) - np.log(p)
-    return table, docs_of / docs_of.sum()
+        n[r.domain] = r["count"]
+    found = own.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), *(F.count_if(F.col("domain") == d).alias(f"d{d}") for d in range(len(n)))).filter(F.col("df") >= LEAST_DOCS)
+    total, z = float(n.sum()), []
+    for d, size in enumerate(n):
+        if 0 < size < total:
+            share, rest, mean = F.col(f"d{d}") / float(size), (F.col("df") - F.col(f"d{d}")) / float(total - size), F.col("df") / total
+            z.append((share - rest) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / size + 1 / (total - size))))
+    best = found.withColumn("z", F.greatest(*z, F.lit(0.0))).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect() if len(z) > 1 else []
+    model = Model(n, [r.term for r in best], np.array([[r[f"d{d}"] for r in best] for d in range(len(n))], float).reshape(len(n), len(best)))
+    if best:
+        scored = hit(own, "terms", model)
+        none = {r.domain: r for r in scored.groupBy("domain").agg(*(F.count_if(gain(model, d) == 0).alias(f"n{d}") for d in model.present[1:])).collect()}
+        for d in model.present[1:]:
+            log = [float(np.log((none[e][f"n{d}"] + 0.5) / (n[e] + 1))) for e in (d, model.zero)]
+            model.without[d] = log[0] - log[1]
+    drop_durable(own)
+    return model
 
 
 def literal(values, kind: str) -> Column:
@@ -74,21 +108,40 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def members(docs: DataFrame, table: np.ndarray, prior: np.ndarray) -> DataFrame:
+def hit(docs: DataFrame, terms: str, model: Model) -> DataFrame:
+    """docs with __t, the places in the model's list of the distinct terms that a document holds."""
+    # One bit per hash value leaves few words to look up among the model's terms.
+    bits = np.zeros(1 << FILTER_BITS >> 6, np.uint64)
+    for t in model.terms:
+        at = t & ((1 << FILTER_BITS) - 1)
+        bits[at >> 6] |= np.uint64(1 << (at & 63))
+    mask, names = literal(bits.view(np.int64).tolist(), "array<long>"), literal(model.terms, "array<long>")
+    low = lambda h: h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")
+    is_set = lambda h: F.getbit(F.get(mask, F.shiftright(low(h), 6)), low(h).bitwiseAND(F.lit(63))) == 1
+    held = once(docs, "__h", F.array_distinct(F.filter(terms, is_set)))
+    return once(held, "__t", F.filter(F.transform("__h", lambda h: F.array_position(names, h).cast("int") - 1), lambda i: i >= 0))
+
+
+def gain(model: Model, d: int) -> Column:
+    values = literal(np.round(model.gains[d], 9).tolist(), "array<double>")
+    return F.aggregate("__t", F.lit(0.0), lambda s, i: s + F.get(values, i))
+
+
+def members(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __tokens and __p, the probability of each domain."""
-    held = once(docs, "__b", buckets(F.col("text")))
-    present = [d for d in range(len(prior)) if prior[d] > 0]
-    # Scores against the first domain that has labels; one fold over the words for each other domain.
-    zero = present[0]
+    held = once(docs, "__w", words(F.col("text")))
+    held = once(held, "__all", terms_of(F.col("text"), F.col("__w")))
+    held = hit(held, "__all", model).withColumn("__tokens", F.size("__w").cast("long")).drop("__w", "__all", "__h")
 
     def score(d: int) -> Column:
-        if d not in present:
+        if d not in model.present:
             return F.lit(None).cast("double")
-        gain = literal(np.round(table[d] - table[zero], 6).tolist(), "array<double>")
-        return F.aggregate("__b", F.lit(float(np.log(prior[d] / prior[zero]))), lambda s, b: s + F.get(gain, b))
+        if d == model.zero or not model.terms:
+            return F.lit(model.start[d])
+        found = gain(model, d)
+        return F.lit(model.start[d]) + F.when(found == 0, F.lit(model.without[d])).otherwise(found)
 
-    scores = [F.lit(0.0) if d == zero else score(d) for d in range(len(prior))]
-    scored = once(held, "__s", F.array(*scores)).withColumn("__tokens", F.size("__b").cast("long")).drop("__b")
+    scored = once(held, "__s", F.array(*(score(d) for d in range(len(DOMAINS))))).drop("__t")
     raised = once(scored, "__e", F.transform("__s", lambda s: F.coalesce(F.exp(s - F.array_max("__s")), F.lit(0.0))))
     total = once(raised, "__sum", F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))
     return once(total, "__p", F.transform("__e", lambda e: e / F.col("__sum"))).drop("__s", "__e", "__sum")
@@ -136,9 +189,9 @@ def fitted_steps(table: DataFrame, targets: dict[str, float]) -> list[list[float
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, a probability for each domain, and the rate of each document."""
-    table, prior = fitted(docs, labels)
+    model = fitted(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = durable(members(own, table, prior).select("doc_id", "__tokens", "__p"), "members")
+    held = durable(members(own, model).select("doc_id", "__tokens", "__p"), "members")
     steps = fitted_steps(held, targets or TARGETS)
     shares = [F.get("__p", F.lit(d)).alias(f"p_{k}") for d, k in enumerate(DOMAINS)]
     return held.select("doc_id", F.col("__tokens").alias("tokens"), *shares, rate(F.col("__p"), steps).alias("rate"))
@@ -146,10 +199,10 @@ def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, each as often as its rate says: the whole part always, and once more with the chance of the rest, which its id and text fix."""
-    table, prior = fitted(docs, labels)
-    held = durable(members(docs.select("text"), table, prior).select("__tokens", "__p"), "members")
+    model = fitted(docs, labels)
+    held = durable(members(docs.select("text"), model).select("__tokens", "__p"), "members")
     steps = fitted_steps(held, targets or TARGETS)
     u = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate(F.col("__p"), steps) + u).cast("int")
-    rows = members(docs, table, prior).select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy"))
+    rows = members(docs, model).select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy"))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
