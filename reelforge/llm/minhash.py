@@ -4,8 +4,8 @@ Shingles are runs of five words. A shingle weighs its count in the text times it
 over all documents in a fixed table of two rows of hashed counters (the smaller of a shingle's two counters is its
 frequency, less the mean load); idf runs from 1 for a shingle in every document to 2 for one in at most COMMON of them,
 so no similarity strays far from that of plain counts. Samples are banded; in every bucket the member that shares most
-buckets leads, the others are compared with it, and members whose groups still differ are compared with twice as many
-leaders each further round until no such pair is left, so a bucket of one group costs one comparison per member and yet
+buckets leads, the others are compared with it, and members whose groups still differ are compared with MORE times
+as many leaders each further round until no such pair is left, so a bucket of one group costs one comparison per member and yet
 no pair of a bucket is lost. A link needs a weighted Jaccard similarity of THRESHOLD or more, computed on whole texts.
 Texts with the same words are one class from the start.
 
@@ -32,6 +32,7 @@ COMMON = 0.01
 UNLIKELY = 0.5  # an estimate from SAMPLES samples below this is more than 5 deviations from THRESHOLD
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
+MORE = 4  # times as many leaders each round
 _U = np.uint64
 
 
@@ -218,11 +219,11 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
         if not rest.limit(1).count():
             drop_durable(rest, members, *([sets] if sets is not None else []))
             return found
-        top = rest.filter((F.col("at") > leaders) & (F.col("at") <= 2 * leaders)).select("bucket", F.col("rep").alias("l"), F.col("component").alias("lc"), F.col("at").alias("la"))
+        top = rest.filter((F.col("at") > leaders) & (F.col("at") <= MORE * leaders)).select("bucket", F.col("rep").alias("l"), F.col("component").alias("lc"), F.col("at").alias("la"))
         next_ = rest.join(top, "bucket").filter("component <> lc and at > la").select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
         pairs = durable(likely(next_, samples), "pairs")
         drop_durable(rest)
-        leaders *= 2
+        leaders *= MORE
 
 
 def grouped(docs: DataFrame) -> DataFrame:

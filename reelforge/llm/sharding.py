@@ -53,9 +53,9 @@ def edited_map(old: list[int], load: dict[int, int], shards: int, slack: float =
     for shard in sorted(range(shards), key=lambda s: (-held[s], s)):
         for slot in sorted(own[shard], key=lambda v: (-load.get(v, 0), v)):
             size, to = load.get(slot, 0), min(range(shards), key=lambda s: (held[s], s))
-            if held[shard] <= mean * (1 + slack):
+            if held[shard] <= mean * (1 + slack) and held[to] >= mean * (1 - slack):
                 break
-            if size and held[to] + size <= mean * (1 + slack) and held[shard] - size >= mean * (1 - slack):
+            if size and held[to] + size < held[shard] and held[shard] - size >= mean * (1 - slack):
                 out[slot], held[shard], held[to] = to, held[shard] - size, held[to] + size
     return out
 

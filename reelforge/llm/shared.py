@@ -97,6 +97,14 @@ def summed_vectors(rows: DataFrame, kinds: int, width: int) -> np.ndarray:
     return out
 
 
+BROADCAST_ROWS = 500_000  # of two longs: 8 MB
+
+
+def joined(left: DataFrame, right: DataFrame, on: str, rows: int, how: str = "left") -> DataFrame:
+    """left joined to right, whose counted rows decide whether it is broadcast or both are shuffled."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+
+
 # ---- connected components --------------------------------------------------------------------------------------------
 
 
@@ -112,15 +120,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     state = durable(nodes.select("node", F.col("node").alias("root")), "roots")
     while e.limit(1).count():
-        hook = e.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("p"))
+        hook = durable(e.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("p")), "hooks")
+        rows = hook.count()
         up = hook.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        hook = durable(hook.join(up, "p", "left").select("n", F.coalesce("pp", "p").alias("p")), "hooks")
-        nu, nv = (hook.select(F.col("n").alias(x), F.col("p").alias(f"p{x}")) for x in ("u", "v"))
-        ends = e.join(nu, "u", "left").join(nv, "v", "left").select(F.coalesce("pu", "u").alias("x"), F.coalesce("pv", "v").alias("y"))
+        jump = durable(joined(hook, up, "p", rows).select("n", F.coalesce("pp", "p").alias("p")), "jumps")
+        pu, pv, moved = (jump.select(F.col("n").alias(x), F.col("p").alias(f"p{x}")) for x in ("u", "v", "root"))
+        ends = joined(joined(e, pu, "u", rows), pv, "v", rows).select(F.coalesce("pu", "u").alias("x"), F.coalesce("pv", "v").alias("y"))
         e2 = durable(ends.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
-        moved = hook.select(F.col("n").alias("root"), F.col("p").alias("to"))
-        state2 = durable(state.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        drop_durable(e, state, hook)
+        state2 = durable(joined(state, moved, "root", rows).select("node", F.coalesce("proot", "root").alias("root")), "roots")
+        drop_durable(e, state, hook, jump)
         e, state = e2, state2
     drop_durable(e)
     out = state.select("node", F.col("root").alias("component"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import merging
+from reelforge.plans import facts, merging
 
-QUERIES = {**merging.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
