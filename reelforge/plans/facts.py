@@ -209,7 +209,7 @@ def _dates(spark, d):
 
 
 DATES = "WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS m, o_orderdate::DATE AS day, epoch_us(o_orderdate::DATE::TIMESTAMP) // 1000 AS ms FROM orders), r AS (SELECT *, CASE m WHEN 0 THEN ms + 30600000 WHEN 1 THEN ms + 83730500 WHEN 2 THEN ms WHEN 3 THEN ms WHEN 4 THEN ms + 3600000 END AS rel, CASE WHEN m IN (0, 1, 2, 3, 4) THEN day END AS d FROM o)"
-NOW, TODAY = 780_000_000_000, "1994-09-19"
+NOW, TODAY = 820_000_000_000, "1995-12-26"
 
 
 def date_precedence(spark, d):
@@ -228,10 +228,10 @@ DAYS_UNTIL = DATES + f" SELECT o_orderkey, date_diff('day', DATE '{TODAY}', d)::
 
 def unreleased(spark, d):
     o = _dates(spark, d)
-    return o.filter(~D.unreleased(F.coalesce("raw", F.lit("")), F.concat(F.lit("c. "), F.substring(F.col("day").cast("string"), 1, 4)), F.lit(NOW), 1994)).select("o_orderkey")
+    return o.filter(~D.unreleased(F.coalesce("raw", F.lit("")), F.concat(F.lit("c. "), F.substring(F.col("day").cast("string"), 1, 4)), F.lit(NOW), 1995)).select("o_orderkey")
 
 
-UNRELEASED = DATES + f" SELECT o_orderkey FROM r WHERE CASE WHEN rel IS NOT NULL THEN rel <= {NOW} ELSE year(day) <= 1994 END"
+UNRELEASED = DATES + f" SELECT o_orderkey FROM r WHERE CASE WHEN rel IS NOT NULL THEN rel <= {NOW} ELSE year(day) <= 1995 END"
 
 
 def compact_stamps(spark, d):
