@@ -104,7 +104,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Order, value: str, na
     return df.withColumn(name, F.sum(value).over(_w(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def densest_window(df: DataFrame, keys: Sequence[str], at: str, weight: str, part: str, width: float, most_parts: int) -> DataFrame:
+def densest_window(df: DataFrame, keys: Sequence[str], at: str, weight: str, part: str, width: int, most_parts: int) -> DataFrame:
     """keys and the window of the width that ends at a row and scores most: its weight times its share of most_parts parts."""
     w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-width, 0)
     scored = df.withColumn("mass", F.sum(weight).over(w)).withColumn("parts", F.size(F.collect_set(part).over(w)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import facts, merging
+from reelforge.plans import facts, merging, series
 
-QUERIES = {**merging.QUERIES, **facts.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
