@@ -119,7 +119,7 @@ def peaks(spark, d):
     return Q.peak(progress(spark, d), ["profile"], "stamp", "percent", 86_400_000)
 
 
-PEAKS = PROGRESS + ", t AS (SELECT profile, stamp AS top_at, percent AS top FROM p QUALIFY row_number() OVER (PARTITION BY profile ORDER BY percent DESC, stamp) = 1) SELECT profile, top_at AS "at", top, max(percent) FILTER (abs(stamp - top_at) > 86400000) AS runner_up FROM p JOIN t USING (profile) GROUP BY ALL"
+PEAKS = PROGRESS + ", t AS (SELECT profile, stamp AS top_at, percent AS top FROM p QUALIFY row_number() OVER (PARTITION BY profile ORDER BY percent DESC, stamp) = 1) SELECT profile, top_at AS \"at\", top, max(percent) FILTER (abs(stamp - top_at) > 86400000) AS runner_up FROM p JOIN t USING (profile) GROUP BY ALL"
 
 
 def fold_newest(spark, d):
