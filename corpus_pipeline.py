@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelforge.llm import minhash, mixing, quality, secrets, sentencepiece_scan
-from reelforge.llm.shared import read_table
+from reelforge.llm.shared import read_table, ship
 from reelforge.llm.vocab import vocabulary
 
 #: Shares of tokens after mixing: clean documents keep a rate of about 1, so this draws toxic ones down and drops junk.
@@ -24,10 +24,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return minhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     clean = secrets.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
@@ -37,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"))
 
 

@@ -4,9 +4,10 @@ Shingles are runs of five words. A shingle weighs its count in the text times it
 over all documents in a fixed table of two rows of hashed counters (the smaller of a shingle's two counters is its
 frequency, less the mean load); idf runs from 1 for a shingle in every document to 2 for one in at most COMMON of them,
 so no similarity strays far from that of plain counts. Samples are banded; in every bucket the member that shares most
-buckets leads, the others are compared with it, and members whose groups still differ are compared with MORE times
-as many leaders each further round until no such pair is left, so a bucket of one group costs one comparison per member and yet
-no pair of a bucket is lost. A link needs a weighted Jaccard similarity of THRESHOLD or more, computed on whole texts.
+buckets leads, and the others are compared with it: one comparison per member joins a group of copies however large.
+Buckets that several groups still share are dealt into blocks of members, and each two blocks are compared by their
+samples and then exactly, in one task that returns only the links that join groups: no pair of a bucket is lost, and
+none is emitted that is no link. A link needs a weighted Jaccard similarity of THRESHOLD or more, on whole texts.
 Texts with the same words are one class from the start.
 
 Cases: null and wordless texts link with nothing; a text of fewer than five words has one shingle; null ids link with
@@ -25,14 +26,14 @@ from reelforge.llm.shared import connected_components, drop_durable, durable, su
 from reelforge.llm.words import mix, sequence_key, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 16, 5
 SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 18
 COMMON = 0.01
-UNLIKELY = 0.5  # an estimate from SAMPLES samples below this is more than 5 deviations from THRESHOLD
+LIKELY = 0.62  # share of equal samples; a pair at THRESHOLD has fewer once in 30,000 times
+BLOCK_MEMBERS = 1024
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
-MORE = 4  # times as many leaders each round
 _U = np.uint64
 
 
@@ -81,28 +82,38 @@ def fitted_idf(docs: DataFrame) -> Idf:
 
 
 class Sampler:
-    """Consistent samples of weighted sets. Gamma(2, 1) variates come from tables of 2**16 quantiles."""
+    """Consistent samples of weighted sets. One 64-bit hash of a shingle serves two samples, 32 bits each.
+
+    The variates are quantiles: 8 bits name the Gamma(2, 1) one of the steps, 8 the uniform shift, 16 the Gamma(2, 1)
+    one that ranks; a tie goes to the smaller shingle. Equal shingles draw equally everywhere, so samples stay consistent.
+    """
 
     def __init__(self, samples: int = SAMPLES):
-        p = (np.arange(1 << 16) + 0.5) / (1 << 16)
         x = np.linspace(0, 60, 2_000_001)
-        gamma = np.interp(p, 1 - (1 + x) * np.exp(-x), x)
-        self.r, self.log_c = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
-        self.one_over_r = (1 / gamma).astype(np.float32)
-        self.seeds = mix(np.arange(1, samples + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        cdf = 1 - (1 + x) * np.exp(-x)
+        gamma = lambda bits: np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), cdf, x)
+        self.r, self.log_c = gamma(8).astype(np.float32), np.log(gamma(16)).astype(np.float32)
+        self.one_over_r = 1 / self.r
+        self.samples = samples
+        self.seeds = mix(np.arange(1, samples // 2 + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
     def _block(self, shingles, log_w):
         bits = (shingles[None, :] ^ self.seeds[:, None]) * _U(0xBF58476D1CE4E5B9)
         bits ^= bits >> _U(29)
         bits *= _U(0x94D049BB133111EB)
-        ri = (bits >> _U(48)).astype(np.int32)
-        r = self.r[ri]
-        beta = ((bits >> _U(16)) & _U(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-        t = np.floor(log_w[None, :] * self.one_over_r[ri] + beta)
-        a = self.log_c[((bits >> _U(32)) & _U(0xFFFF)).astype(np.int32)] - r * (t - beta + 1)
-        k = a.argmin(axis=1)
-        at = np.arange(len(k))
-        return a[at, k], shingles[k], t[at, k]
+        bits ^= bits >> _U(32)
+        parts = bits.view(np.uint8).reshape(len(self.seeds), len(shingles), 8)
+        words = bits.view(np.uint16).reshape(len(self.seeds), len(shingles), 4)
+        out = []
+        for half in (0, 1):
+            ri = parts[:, :, 4 * half + 2]
+            r, beta = self.r[ri], parts[:, :, 4 * half + 3] * np.float32(1 / 256)
+            t = np.floor(log_w[None, :] * self.one_over_r[ri] + beta)
+            a = self.log_c[words[:, :, 2 * half]] - r * (t - beta + 1)
+            k = a.argmin(axis=1)
+            at = np.arange(len(k))
+            out.append((a[at, k], shingles[k], t[at, k]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def __call__(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 32-bit value per sample, equal with the probability of the sets' weighted Jaccard similarity."""
@@ -148,10 +159,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _packed(s: np.ndarray, n: np.ndarray) -> bytes:
-    return s.astype("<u8").tobytes() + n.astype("<u4").tobytes()
+    """Shingles and, unless all are 1, counts; the last byte says which."""
+    once = len(n) == 0 or n.max() == 1
+    return s.astype("<u8").tobytes() + (b"" if once else n.astype("<u4").tobytes()) + (b"\1" if once else b"\0")
 
 
 def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if x[-1]:
+        n = len(x) // 8
+        return np.frombuffer(x, "<u8", n), np.ones(n, np.uint32)
     n = len(x) // 12
     return np.frombuffer(x, "<u8", n), np.frombuffer(x, "<u4", n, 8 * n)
 
@@ -185,45 +201,78 @@ def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """The pairs whose samples do not rule the threshold out."""
     x, y = (samples.select(F.col("rep").alias(k), F.col("samples").alias(f"s{k}")) for k in "ab")
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    return pairs.join(x, "a").join(y, "b").filter(same >= int(UNLIKELY * SAMPLES)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(same >= int(LIKELY * SAMPLES)).select("a", "b")
 
 
 def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
     """Verified links (a, b) between classes (rep, samples): all pairs of a bucket that no chain of links joins are compared."""
     band = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), *(F.get("samples", F.lit(i * ROWS + j)) for j in range(ROWS))).alias("key")) for i in range(BANDS)]
-    cells = classes.select("rep", F.explode(F.array(*band)).alias("c")).select("rep", F.xxhash64("c.band", "c.key").alias("bucket"))
+    cells = classes.select("rep", F.explode(F.array(*band)).alias("c")).select("rep", "c.band", F.xxhash64("c.band", "c.key").alias("bucket"))
     sizes = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cells.join(sizes, "bucket")
     central = shared.groupBy("rep").agg(F.sum("n").alias("central"))
-    members = durable(shared.join(central, "rep").select("bucket", "rep", "central"), "members")
+    members = durable(shared.join(central, "rep").select("bucket", "band", "rep", "central"), "members")
     samples = classes.join(members.select("rep").distinct(), "rep", "left_semi")
     lead = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
     first = members.join(lead, "bucket").filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     pairs = durable(likely(first, samples), "pairs")
-    found = durable(pairs.limit(0), "links")
-    sets, leaders = None, 1
-    while True:
-        if pairs.limit(1).count():
-            ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            new = set_table(docs, ends) if sets is None else set_table(docs, ends.join(sets, "id", "left_anti")).unionByName(sets)
-            sets, old = durable(new, "sets"), sets
-            found, less = durable(found.union(verified(pairs, sets, idf)), "links"), found
-            drop_durable(less, *([old] if old is not None else []))
-        drop_durable(pairs)
-        # Buckets that several groups still share, and the pairs across groups of their next leaders.
-        groups = connected_components(found, "a", "b")
-        state = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter(F.col("n") > leaders + 1).filter("lo <> hi").select("bucket")
-        rest = durable(state.join(open_, "bucket").withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "rep"))), "open")
-        drop_durable(groups)
-        if not rest.limit(1).count():
-            drop_durable(rest, members, *([sets] if sets is not None else []))
-            return found
-        top = rest.filter((F.col("at") > leaders) & (F.col("at") <= MORE * leaders)).select("bucket", F.col("rep").alias("l"), F.col("component").alias("lc"), F.col("at").alias("la"))
-        next_ = rest.join(top, "bucket").filter("component <> lc and at > la").select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
-        pairs = durable(likely(next_, samples), "pairs")
-        drop_durable(rest)
-        leaders *= MORE
+    sets = durable(set_table(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
+    found = durable(verified(pairs, sets, idf), "links")
+    drop_durable(pairs, sets)
+    # Buckets that several groups still share: their pairs across groups are compared in cells of two blocks of members.
+    groups = connected_components(found, "a", "b")
+    state = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    open_ = durable(state.join(mixed, "bucket").select("bucket", "blocks", "band", "rep", "component"), "open")
+    sets = durable(set_table(docs, open_.select(F.col("rep").alias("id")).distinct()).join(samples, F.col("id") == F.col("rep")).select("rep", "set", "samples"), "sets")
+    dealt = open_.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = each.select("bucket", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep", "component", "samples", "set")
+
+    def work(key, t):
+        _, band, first, second = (k.as_py() for k in key)
+        rows = cell_links(np.asarray(t["rep"]), np.asarray(t["component"]), np.asarray(t["samples"].combine_chunks().flatten()).reshape(len(t), SAMPLES), t["set"].to_pylist(), np.asarray(t["block"]), band, first, second, idf)
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+
+    more = cells.groupBy("bucket", "band", "first", "second").applyInArrow(work, "a long, b long")
+    out = durable(found.union(more), "links")
+    drop_durable(found, groups, open_, sets, members)
+    return out
+
+
+def cell_links(reps, components, samples, sets, block, band: int, first: int, second: int, idf) -> list[tuple[int, int]]:
+    """Links between members of different components, enough to join all that a cell's links join.
+
+    A pair is compared in the first band whose samples agree, and there only; likely pairs come first.
+    """
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    parent = {int(c): int(c) for c in components}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out, unpacked = [], {}
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        same = samples[rows][:, None, :] == samples[right][None, :, :]
+        count = same.sum(axis=2)
+        bands = same.reshape(len(rows), len(right), BANDS, ROWS).all(axis=3)
+        i, j = np.nonzero((count >= LIKELY * SAMPLES) & (bands.argmax(axis=2) == band) & bands.any(axis=2))
+        order = np.argsort(-count[i, j], kind="stable")
+        for x, y in zip(rows[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+            cx, cy = root(int(components[x])), root(int(components[y]))
+            if cx == cy or (first == second and x >= y):
+                continue
+            for k in (x, y):
+                if k not in unpacked:
+                    unpacked[k] = _unpacked(sets[k])
+            if similarity(unpacked[x], unpacked[y], idf) >= THRESHOLD:
+                parent[max(cx, cy)] = min(cx, cy)
+                out.append((int(min(reps[x], reps[y])), int(max(reps[x], reps[y]))))
+    return out
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that their Python finds it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_reelforge_shipped", None) is None:
+        top = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="reelforge-code-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, f"{top.name}/{p.relative_to(top)}")
+        sc.addPyFile(str(packed))
+        sc._reelforge_shipped = packed
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
