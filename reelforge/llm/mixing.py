@@ -88,6 +88,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
             share, rest, mean = F.col(f"d{d}") / float(size), (F.col("df") - F.col(f"d{d}")) / float(total - size), F.col("df") / total
             z.append((share - rest) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / size + 1 / (total - size))))
     best = found.withColumn("z", F.greatest(*z, F.lit(0.0))).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect() if len(z) > 1 else []
+    # Of terms that share the bits by which they are found, the surest stays.
+    slots: dict[int, object] = {}
+    for r in best:
+        slots.setdefault(r.term & ((1 << FILTER_BITS) - 1), r)
+    best = [slots[k] for k in sorted(slots)]
     model = Model(n, [r.term for r in best], np.array([[r[f"d{d}"] for r in best] for d in range(len(n))], float).reshape(len(n), len(best)))
     if best:
         scored = hit(own, "terms", model)
@@ -109,17 +114,23 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def hit(docs: DataFrame, terms: str, model: Model) -> DataFrame:
-    """docs with __t, the places in the model's list of the distinct terms that a document holds."""
-    # One bit per hash value leaves few words to look up among the model's terms.
+    """docs with __t, the places in the model's list of the distinct terms that a document holds.
+
+    A term's place is the number of set bits before its own in a map of one bit per hash value: no search.
+    """
     bits = np.zeros(1 << FILTER_BITS >> 6, np.uint64)
     for t in model.terms:
         at = t & ((1 << FILTER_BITS) - 1)
         bits[at >> 6] |= np.uint64(1 << (at & 63))
-    mask, names = literal(bits.view(np.int64).tolist(), "array<long>"), literal(model.terms, "array<long>")
+    before = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))[:-1]])
+    mask, start, names = literal(bits.view(np.int64).tolist(), "array<long>"), literal(before.tolist(), "array<int>"), literal(model.terms, "array<long>")
     low = lambda h: h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")
-    is_set = lambda h: F.getbit(F.get(mask, F.shiftright(low(h), 6)), low(h).bitwiseAND(F.lit(63))) == 1
+    word, bit = (lambda h: F.shiftright(low(h), 6)), (lambda h: low(h).bitwiseAND(F.lit(63)))
+    is_set = lambda h: F.getbit(F.get(mask, word(h)), bit(h)) == 1
+    lower = lambda h: F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), bit(h)))
+    place = lambda h: F.get(start, word(h)) + F.bit_count(F.get(mask, word(h)).bitwiseAND(lower(h)))
     held = once(docs, "__h", F.array_distinct(F.filter(terms, is_set)))
-    return once(held, "__t", F.filter(F.transform("__h", lambda h: F.array_position(names, h).cast("int") - 1), lambda i: i >= 0))
+    return once(held, "__t", F.transform(F.filter("__h", lambda h: F.get(names, place(h)) == h), place))
 
 
 def gain(model: Model, d: int) -> Column:
