@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from reelforge.llm.shared import drop_durable, durable, partitions_for
 
 CHUNK = 32_768
-CACHED = 800_000
+CACHED = 350_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
 NEVER = float("-inf")
@@ -65,6 +65,12 @@ class Pieces:
         self.split = not any(x[1] == BLANK and x[0] != BLANK or "\n" in x for x in self.inner)
         self.stretches = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall
         self.known: dict[str, bytes] = {}
+        # What an id adds to a path's score: a character without a piece counts once, with its first byte.
+        self.worth = np.zeros(size)
+        for i in plain:
+            self.worth[i] = model.get_score(i)
+        for b, i in self.byte_id.items():
+            self.worth[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
         self.raw: list[bytes | None] = [None] * size
         for b, i in self.byte_id.items():
             self.raw[i] = bytes([b])
@@ -136,7 +142,7 @@ class Pieces:
         tail = None
         if cuts:
             head = [self.forward(s[:first], i, first)[0][first] if i <= first else NEVER for i in range(k)]
-            middle = sum(map(self._score_of, self.stretches(s[first:last]) if self.split else [s[first:last]])) if last > first else 0.0
+            middle = float(self.worth[np.frombuffer(self.ids(s[first:last]), "<u4")].sum()) if last > first else 0.0
             best = self.forward(s[last:] + after, 0, n - last)[0]
             tail = [best[n - last + j] if n - last + j < len(best) else NEVER for j in range(k)]
             if n == last:
@@ -148,12 +154,6 @@ class Pieces:
                 out[i, j] = best[n + j]
         return out
 
-    def _score_of(self, part: str) -> float:
-        key = "\0" + part
-        if key not in self.known:
-            self.known[key] = self.score(part)  # type: ignore[assignment]
-        return self.known[key]  # type: ignore[return-value]
-
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
