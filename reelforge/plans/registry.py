@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import facts, merging, series
+from reelforge.plans import facts, merging, series, sources
 
-QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
