@@ -31,7 +31,7 @@ SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 18
 COMMON = 0.01
 LIKELY = 0.62  # share of equal samples; a pair at THRESHOLD has fewer once in 30,000 times
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 256
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 _U = np.uint64
