@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and an executor's Python workers share little memory
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that their Python finds it wherever they run."""
+    """Sends this package to the executors once, so that their Python finds it wherever they run; bounds Arrow batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_reelforge_shipped", None) is None:
         top = Path(__file__).resolve().parents[1]
         packed = Path(tempfile.mkdtemp(prefix="reelforge-code-")) / f"{top.name}.zip"
