@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from reelforge.llm.shared import drop_durable, durable, partitions_for
 
 CHUNK = 32_768
-CACHED = 350_000
+CACHED = 500_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
 NEVER = float("-inf")
@@ -63,7 +63,11 @@ class Pieces:
         self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         # Stretches are found by a regex where blanks only lead pieces and line ends are in none.
         self.split = not any(x[1] == BLANK and x[0] != BLANK or "\n" in x for x in self.inner)
-        self.stretches = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n").findall
+        # Marks that follow no Latin letter within a piece: a stretch ends before them where they follow one.
+        latin = "A-Za-zÀ-ÖØ-öø-ÿ"
+        after = {b for a, b in self.inner if re.match(f"[{latin}]", a)}
+        m = re.escape("".join(x for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~" if x not in after)) or LITERAL
+        self.stretches = re.compile(f"\n|{BLANK}*[^{BLANK}\n{latin}]*[{latin}]*(?:[^{BLANK}\n{latin}{m}][^{BLANK}\n{latin}]*[{latin}]*)*").findall
         self.known: dict[str, bytes] = {}
         # What an id adds to a path's score: a character without a piece counts once, with its first byte.
         self.worth = np.zeros(size)
@@ -101,8 +105,27 @@ class Pieces:
         return best, back
 
     def _one(self, s: str) -> bytes:
-        _, back = self.forward(s, 0, len(s))
-        out, j = [], len(s)
+        """Ids of the best path through s: forward() for whole texts, kept short as every new stretch passes here."""
+        n, most, get, unknown = len(s), self.longest, self.node.get, self.unknown
+        best, back = [NEVER] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            b = best[i]
+            if b == NEVER:
+                continue
+            score = get(s[i])
+            score = unknown if score is None else score
+            if b + score > best[i + 1]:
+                best[i + 1], back[i + 1] = b + score, i
+            for j in range(i + 2, min(i + most, n) + 1):
+                score = get(s[i:j], 1.0)  # scores are at most 0: 1 stands for what begins no piece
+                if score is None:
+                    continue
+                if score > 0:
+                    break
+                if b + score > best[j]:
+                    best[j], back[j] = b + score, i
+        out, j = [], n
         while j:
             i = back[j]
             sub = s[i:j]
