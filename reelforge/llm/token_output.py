@@ -34,7 +34,7 @@ from reelforge.llm.shared import durable, fresh_path, partitions_for
 SEEK_SKIPPABLE, IDS_SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)  # a null id in the table of ids
 END_ID = 2
-CACHED_PIECES = 500_000
+CACHED_PIECES = 1_200_000
 
 
 class Encoder:
