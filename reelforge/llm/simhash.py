@@ -161,4 +161,19 @@ def compared(docs: DataFrame) -> DataFrame:
         as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "fp",
     )
+
+
+def fingerprinted(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """compared() and n_near: the other documents whose fingerprints are at most `radius` bits away, equal texts included.
+
+    The search runs over distinct fingerprints; copies are counted.
+    """
+    rows = durable(compared(docs), "fingerprints")
+    sizes = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    pairs = within_radius(sizes, radius)
+    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))
+    others = both.join(sizes.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("others"))
+    near = durable(sizes.join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")), "near")
+    return rows.join(near, "fp").drop("fp")

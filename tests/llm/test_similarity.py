@@ -179,10 +179,6 @@ def test_words_and_windows(monkeypatch):
     assert not len(words.shingle_hashes(whole[:0], 5))
 
 
-def simhash_brute(text):
-    return text
-
-
 def test_simhash_edits_and_likeness(spark):
     import hashlib
 
@@ -213,6 +209,20 @@ def test_simhash_edits_and_likeness(spark):
     assert one[0].near_next == 1.0
 
 
+def test_near_fingerprints_are_counted(spark):
+    pick = random.Random(11)
+    base = pick.choices(VOCABULARY, k=400)
+    texts = [" ".join(pick.choices(VOCABULARY, k=30)) for _ in range(20)] + ["", "", None] + [" ".join(base)] * 3
+    for k in range(12):
+        texts.append(" ".join([*base[: 390 + k % 3], "x", *base[395:]]))
+    got = simhash.fingerprinted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    fps = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.n_near == sum(bin(fps[r.doc_id] ^ f).count("1") <= 3 for f in fps.values()) - 1
+    assert max(r.n_near for r in got) > 3
+
+
 def test_simhash_votes(spark):
     import pyspark.sql.functions as F
 
