@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reelforge.functions import candidates as K
 from reelforge.operators import catalog as C
 from reelforge.operators.order import top_per_key
 from reelforge.plans.facts import NAMES, releases
@@ -154,7 +155,28 @@ def string_hashes(spark, d):
 STRING_HASHES = "SELECT s_suppkey, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::INT AS hash FROM (SELECT s_suppkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s_name, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: (x * 31 + y) % 4294967296) AS h FROM supplier)"
 
 
+def candidate_kinds(spark, d):
+    o = table(spark, d, "orders")
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    url = F.when(k % 5 == 0, F.concat(F.lit(" http://x/"), text)).when(k % 5 == 1, F.concat(F.lit("magnet:?xt=urn:btih:"), F.sha1(text))).when(k % 5 == 2, F.lit("torrent://zz"))
+    hash_, external = F.when(k % 5 == 3, F.upper(F.sha1(text))), F.when(k % 7 == 0, F.lit("https://e"))
+    direct, none = F.lit(False), F.lit(None).cast("string")
+    return o.select(
+        "o_orderkey",
+        K.playable_url(url).alias("playable"),
+        K.opens_externally(url, hash_, none, external).alias("external"),
+        K.is_torrent(url, hash_, external, direct).alias("torrent"),
+        K.selectable(url, hash_, none, external, direct, True, F.lit(False)).alias("selectable"),
+        K.catalog_path(F.lit("movie"), F.lit("top"), F.when(k % 2 == 0, F.lit("Sci Fi&x")), F.lit(" "), (k % 3) * 100).alias("path"),
+    )
+
+
+CANDIDATE_KINDS = """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, CASE WHEN k % 5 = 0 THEN 'http://x/' || k END AS playable, k % 5 = 4 AND k % 7 = 0 AS external, k % 5 IN (1, 2, 3) AS torrent,
+k % 5 IN (0, 1, 3) OR (k % 5 = 4 AND k % 7 = 0) AS selectable, 'catalog/movie/top' || CASE WHEN k % 2 = 0 AND k % 3 > 0 THEN '/genre=Sci%20Fi%26x&skip=' || (k % 3 * 100) WHEN k % 2 = 0 THEN '/genre=Sci%20Fi%26x' WHEN k % 3 > 0 THEN '/skip=' || (k % 3 * 100) ELSE '' END || '.json' AS path FROM o"""
+
+
 QUERIES = {
+    "candidate_kinds": (candidate_kinds, CANDIDATE_KINDS),
     "provider_order": (provider_order, PROVIDER_ORDER),
     "source_order": (source_order, SOURCE_ORDER),
     "streaming_sort": (streaming_sort, STREAMING_SORT),

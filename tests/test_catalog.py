@@ -35,3 +35,38 @@ def test_url_template_and_hash(spark):
     assert list(got) == ["/x/", None, "//z", "plain"]
     assert spark.range(1).select(C.string_hash(F.lit("hello world")).alias("h")).first().h == 1794106052
     assert C.discover_query({"with_genres": [1, 2], "year": None, "include_adult": False})["region"] == "US"
+
+
+def test_season_posters(spark):
+    from reelforge.functions.candidates import season_posters, supports_discover, supports_search
+
+    rows = [
+        (1, {1: "k"}, ["a"], [1]),
+        (2, None, ["a", "b", "c"], [2, 0, 1]),
+        (3, None, ["a", " "], [0, 1, 2]),
+        (4, None, [None, "a", "b"], [1, 2]),
+        (5, None, ["a", "b", "c", "d"], [7]),
+    ]
+    df = spark.createDataFrame(rows, "i int, keyed map<int, string>, listed array<string>, seasons array<int>")
+    got = {r.i: r.m for r in df.select("i", season_posters(F.col("keyed"), F.col("listed"), F.col("seasons")).alias("m")).collect()}
+    assert got == {1: {1: "k"}, 2: {0: "a", 1: "b", 2: "c"}, 3: {1: "a"}, 4: {1: "a", 2: "b"}, 5: {1: "a", 2: "b", 3: "c", 4: "d"}}
+    extras = [[("search", True, [])], [("search", False, []), ("genre", True, ["x"])], [("genre", True, [])], [("skip", True, [])], []]
+    df = spark.createDataFrame([(e,) for e in extras], "e array<struct<name: string, isRequired: boolean, options: array<string>>>")
+    got = [(r.s, r.d) for r in df.select(supports_search(F.col("e")).alias("s"), supports_discover(F.col("e")).alias("d")).collect()]
+    assert got == [(True, False), (False, True), (False, False), (False, True), (False, True)]
+
+
+def test_scrapers(spark):
+    from reelforge.sources.scrapers import scraped
+
+    def scraper(id_, kind, season, episode):
+        if id_ == "bad":
+            raise ValueError
+        yield {"name": "n", "url": {"url": f"http://{id_}/{season}"}, "seeders": "7", "headers": {"A": 1, "B": None}}
+        yield {"title": "none"}
+        yield "text"
+        yield {"url": "u", "size": {"x": 1}}
+
+    req = spark.createDataFrame([(1, "a", "series", 2, None), (2, "bad", "movie", None, None)], "request long, id string, type string, season int, episode int")
+    got = scraped(req, scraper).orderBy("ord").collect()
+    assert [(r.request, r.title, r.url, r.seeders, r.headers, r.size) for r in got] == [(1, "n", "http://a/2", 7, '{"A": "1"}', None), (1, "Unknown", "u", None, None, None)]
