@@ -38,16 +38,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own, set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master:
-        base = f"file://{tempfile.mkdtemp(prefix='reelforge-')}"
-    else:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_reelforge"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    sc = spark.sparkContext
+    if getattr(sc, "_reelforge_dir", None) is None:
+        one_machine = sc.master == "local" or sc.master.startswith("local[")
+        sc._reelforge_dir = f"file://{tempfile.mkdtemp(prefix='reelforge-')}" if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_reelforge"
+    return sc._reelforge_dir
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every table and file this package has left in the shared folder; results not yet written elsewhere go too."""
+    delete_path(spark, f"{shared_dir(spark)}/reelforge")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
