@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import connected_components, drop_durable, durable, summed_vectors, vector_rows
+from reelforge.llm.shared import connected_components, drop_durable, durable, held, new_run, summed_vectors, vector_rows
 from reelforge.llm.words import mix, sequence_key, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -59,20 +59,23 @@ class Idf:
 
 
 def fitted_idf(docs: DataFrame) -> Idf:
-    def add(sums, held):
-        for row, at in zip(sums, _counters(np.concatenate([np.empty(0, _U), *held])), strict=True):
+    def add(sums, kept):
+        for row, at in zip(sums, _counters(np.concatenate([np.empty(0, _U), *kept])), strict=True):
             row += np.bincount(at, minlength=COUNTERS)
-        held.clear()
+        kept.clear()
+
+    run = new_run()
 
     def count(batches):
-        sums, n, held = np.zeros((2, COUNTERS), np.int64), 0, []
+        held(run, dict)  # frees what another operator left here
+        sums, n, kept = np.zeros((2, COUNTERS), np.int64), 0, []
         for batch in batches:
             for text in batch["text"]:
-                held.append(weighted_set(text.as_py())[0])
-                n += len(held[-1]) > 0
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) == 1024:
-                    add(sums, held)
-        add(sums, held)
+                kept.append(weighted_set(text.as_py())[0])
+                n += len(kept[-1]) > 0
+                if sum(map(len, kept[-64:])) > 1 << 20 or len(kept) == 1024:
+                    add(sums, kept)
+        add(sums, kept)
         for kind in (0, 1):
             yield vector_rows(kind, sums[kind])
         yield vector_rows(2, np.array([n], np.int64))
@@ -89,7 +92,7 @@ class Sampler:
     """
 
     def __init__(self, samples: int = SAMPLES):
-        x = np.linspace(0, 60, 2_000_001)
+        x = np.linspace(0, 60, 200_001)
         cdf = 1 - (1 + x) * np.exp(-x)
         gamma = lambda bits: np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), cdf, x)
         self.r, self.log_c = gamma(8).astype(np.float32), np.log(gamma(16)).astype(np.float32)
@@ -132,8 +135,10 @@ class Sampler:
 def signed(docs: DataFrame, idf: Idf) -> DataFrame:
     """id, two halves of the key of its words, and samples, of each document with an id and a word."""
 
+    run = new_run()
+
     def sign(batches):
-        sampler = Sampler()
+        sampler = held(run, Sampler)
         for b in batches:
             rows = []
             for i, text in zip(b["id"], b["text"], strict=True):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import drop_durable, durable, summed_vectors, vector_rows
+from reelforge.llm.shared import drop_durable, durable, held, new_run, summed_vectors, vector_rows
 from reelforge.llm.words import codes_of, mix, runs_hashed, windows, word_chars
 
 SAMPLE = 20_000
@@ -127,7 +127,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = own.join(F.broadcast(sample.withColumn("target", F.lit(True))), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
+    run = new_run()
+
     def count(batches):
+        held(run, dict)  # frees what another operator left here
         sums = np.zeros((2, WIDTH), np.int64)
         for b in batches:
             for text, target in zip(b["text"], b["target"].to_pylist(), strict=True):

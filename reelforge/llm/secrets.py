@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelforge.llm.shared import held, new_run
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -272,10 +274,10 @@ def automaton(rules: tuple[Rule, ...] = RULES) -> Automaton:
     return Automaton(rules)
 
 
-def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
+def find(text: str, rules: tuple[Rule, ...] = RULES, own: Automaton | None = None) -> list[tuple[int, int, int]]:
     """(start, rule, end) in code points."""
     data = text.encode()
-    spans = automaton(rules).spans(data)
+    spans = (own or automaton(rules)).spans(data)
     if not spans or len(data) == len(text):
         return spans
     at, chars, where = 0, 0, {}
@@ -291,13 +293,14 @@ def listed(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, a count per base rule, base_sha256 and spans of every whole text."""
-    base = [k for k, r in enumerate(rules) if r.base]
+    base, run = [k for k, r in enumerate(rules) if r.base], new_run()
 
     def scan(batches):
+        own_automaton = held(run, Automaton, rules)
         for b in batches:
             rows = []
             for text in b["text"]:
-                spans = find(text.as_py() or "", rules)
+                spans = find(text.as_py() or "", rules, own_automaton)
                 own = [x for x in spans if rules[x[1]].base]
                 rows.append([*(sum(x[1] == k for x in own) for k in base), hashlib.sha256(listed(own, rules).encode()).hexdigest(), listed(spans, rules)])
             names = [*(f"n_{rules[k].name}" for k in base), "base_sha256", "spans"]
@@ -307,9 +310,9 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
-def redact(text: str, rules: tuple[Rule, ...] = RULES) -> str:
+def redact(text: str, rules: tuple[Rule, ...] = RULES, own: Automaton | None = None) -> str:
     out, at = [], 0
-    for start, k, end in find(text, rules):
+    for start, k, end in find(text, rules, own):
         if start >= at:
             out += [text[at:start], f"[{rules[k].name}]"]
         at = max(at, end)
@@ -318,11 +321,12 @@ def redact(text: str, rules: tuple[Rule, ...] = RULES) -> str:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret of its text, overlapping ones as one, replaced by its rule's name; all columns stay."""
-    at = docs.columns.index("text")
+    at, run = docs.columns.index("text"), new_run()
 
     def clean(batches):
+        own = held(run, Automaton, rules)
         for b in batches:
-            texts = [None if (t := x.as_py()) is None else redact(t, rules) for x in b.column(at)]
+            texts = [None if (t := x.as_py()) is None else redact(t, rules, own) for x in b.column(at)]
             yield pa.record_batch([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
     return docs.mapInArrow(clean, docs.schema)

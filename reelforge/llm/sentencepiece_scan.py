@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import drop_durable, durable, partitions_for
+from reelforge.llm.shared import drop_durable, durable, held, new_run, partitions_for
 
 CHUNK = 32_768
-CACHED = 500_000
+CACHED = 450_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
 NEVER = float("-inf")
@@ -142,7 +142,7 @@ class Pieces:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > CACHED:
+            if len(known) > CACHED:  # what is common soon comes back
                 known.clear()
             for p in set(parts).difference(known):
                 known[p] = self._one(p)
@@ -233,15 +233,15 @@ def _body(at: int, text: str) -> str:
     return (BLANK if at == 0 else "") + escaped(text)
 
 
-def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = None) -> DataFrame:
     """row, doc_id, ids (little-endian unsigned 32-bit integers) and chunks of each document; docs: row, doc_id, text.
 
     row names a row; it is only moved about for documents longer than a chunk.
     """
-    n, reach = partitions_for(docs.sparkSession), pieces(model).longest
+    n, reach, run = partitions_for(docs.sparkSession), pieces(model).longest, run or new_run()
 
     def whole(batches):
-        own = pieces(model)
+        own = held(run, Pieces, model)
         for b in batches:
             ids = [own.ids(_body(0, t.as_py())) for t in b["text"]]
             yield pa.record_batch([b["row"], b["doc_id"], pa.array(ids, pa.binary()), pa.array([1] * len(b), pa.int32())], names=["row", "doc_id", "ids", "chunks"])
@@ -252,7 +252,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
         return small
 
     def matrix(batches):
-        own = pieces(model)
+        own = held(run, Pieces, model)
         for b in batches:
             got = [own.transfer(escaped(x.as_py()), _body(i.as_py(), y.as_py()), escaped(z.as_py())).astype("<f8").tobytes() for i, x, y, z in zip(b["at"], b["before"], b["body"], b["after"], strict=True)]
             yield pa.record_batch([b["row"], b["at"], pa.array(got, pa.binary())], names=["row", "at", "matrix"])
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     ends = long_.mapInArrow(matrix, "row string, at int, matrix binary").groupBy("row").applyInArrow(states, "row string, at int, entry int, leave int")
 
     def trace(batches):
-        own = pieces(model)
+        own = held(run, Pieces, model)
         for b in batches:
             ids = []
             for at, body, after, entry, leave in zip(*(b[c].to_pylist() for c in ("at", "body", "after", "entry", "leave")), strict=True):
@@ -302,10 +302,11 @@ def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     long_ = rows.filter(F.length("text") > chunk)
     copies = long_.groupBy("row").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     once = durable(copies, "long-documents")
-    out = encoded(rows.filter(F.length("text") <= chunk).unionByName(once.select("row", "doc_id", "text")), model, chunk)
+    run = new_run()
+    out = encoded(rows.filter(F.length("text") <= chunk).unionByName(once.select("row", "doc_id", "text")), model, chunk, run)
 
     def decode(batches):
-        own = pieces(model)
+        own = held(run, Pieces, model)
         for b in batches:
             got = []
             for ids in b["ids"].to_pylist():

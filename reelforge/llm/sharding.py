@@ -50,12 +50,13 @@ def edited_map(old: list[int], load: dict[int, int], shards: int, slack: float =
         held[shard] += load.get(slot, 0)
         own[shard].append(slot)
     mean = sum(held) / shards
+    if all(abs(h - mean) <= mean * slack for h in held):
+        return out
     for shard in sorted(range(shards), key=lambda s: (-held[s], s)):
         for slot in sorted(own[shard], key=lambda v: (-load.get(v, 0), v)):
             size, to = load.get(slot, 0), min(range(shards), key=lambda s: (held[s], s))
-            if held[shard] <= mean * (1 + slack) and held[to] >= mean * (1 - slack):
-                break
-            if size and held[to] + size < held[shard] and held[shard] - size >= mean * (1 - slack):
+            # A move brings both shards nearer to the mean, or is none.
+            if size and held[shard] - size / 2 > mean and held[to] + size / 2 < mean:
                 out[slot], held[shard], held[to] = to, held[shard] - size, held[to] + size
     return out
 

@@ -14,6 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_HELD: dict = {}
+_HELD_BY: list[str] = []
+
+
+def held(run: str, make, *args):
+    """make(*args), kept in this Python worker while tasks of one run follow each other. Tasks of another run free it:
+    workers live on between stages, and what they keep counts against their executor."""
+    if _HELD_BY != [run]:
+        _HELD.clear()
+        _HELD_BY[:] = [run]
+    if (make, args) not in _HELD:
+        _HELD[make, args] = make(*args)
+    return _HELD[make, args]
+
+
+def new_run() -> str:
+    return uuid.uuid4().hex
+
+
 BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and an executor's Python workers share little memory
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelforge.llm.files import committed, open_fs, put_json
-from reelforge.llm.shared import durable, fresh_path, partitions_for
+from reelforge.llm.shared import durable, fresh_path, held, new_run, partitions_for
 
 # Fixed values of zstandard's seekable format and of this file's own skippable frame.
 SEEK_SKIPPABLE, IDS_SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -102,11 +102,6 @@ def _differing() -> str:
     return "".join(out) + "\U00010000-\U0010ffff"  # all beyond the first plane, which keeps the class a bitmap
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def write_shard(url: str, documents: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes a shard; returns its documents and tokens."""
     pack, ids, table, tokens = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True), [], [], 0
@@ -162,13 +157,13 @@ def read_documents(url: str, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
 def write_tokens(docs: DataFrame, url: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Writes docs (doc_id, text) under url in ascending id; returns the manifest (shard, url, docs, tokens, start)."""
     spark = docs.sparkSession
-    n, end = shards or partitions_for(spark), struct.pack("<I", end_id)
+    n, end, run = shards or partitions_for(spark), struct.pack("<I", end_id), new_run()
 
     def write(batches):
         shard = TaskContext.get().partitionId()
 
         def documents():
-            own = encoder(tokenizer)
+            own = held(run, Encoder, tokenizer)
             for b in batches:
                 for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                     yield doc_id.as_py(), own.encode(text.as_py() or "") + end
