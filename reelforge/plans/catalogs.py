@@ -75,7 +75,7 @@ SIBLING_BADGES = "WITH c AS (SELECT c_name AS alias, c_mktsegment || '-' || c_na
 
 
 def _segments(spark, d):
-    p = progress(spark, d).filter("event_id % 3 = 0")
+    p = progress(spark, d)
     kind = F.when(F.col("title") == "view", "outro").when(F.col("title") == "click", "scene").otherwise("intro")
     return p.select("profile", F.floor("percent").cast("long").alias("a"), (F.floor("percent").cast("long") + 20).alias("b"), kind.alias("kind"), F.lit(300).cast("long").alias("duration"))
 
@@ -84,7 +84,7 @@ def following_scenes(spark, d):
     return C.following_scene(_segments(spark, d), ["profile"], "a", "b", "kind", "duration")
 
 
-FOLLOWING = PROGRESS + ", s AS (SELECT profile, floor(percent)::BIGINT AS a, floor(percent)::BIGINT + 20 AS b, title FROM p WHERE event_id % 3 = 0), o AS (SELECT profile, max(b) AS x FROM s WHERE title = 'view' GROUP BY profile), f AS (SELECT o.profile, x, min({'a': a, 'b': b}) FILTER (title = 'click' AND a >= x) AS n FROM o JOIN s USING (profile) GROUP BY ALL) SELECT profile, CASE WHEN n IS NOT NULL THEN n.a ELSE x END AS a, CASE WHEN n IS NOT NULL THEN n.b ELSE 300 END AS b FROM f WHERE n IS NOT NULL OR 300 - x > 5"
+FOLLOWING = PROGRESS + ", s AS (SELECT profile, floor(percent)::BIGINT AS a, floor(percent)::BIGINT + 20 AS b, title FROM p), o AS (SELECT profile, max(b) AS x FROM s WHERE title = 'view' GROUP BY profile), f AS (SELECT o.profile, x, min({'a': a, 'b': b}) FILTER (title = 'click' AND a >= x) AS n FROM o JOIN s USING (profile) GROUP BY ALL) SELECT profile, CASE WHEN n IS NOT NULL THEN n.a ELSE x END AS a, CASE WHEN n IS NOT NULL THEN n.b ELSE 300 END AS b FROM f WHERE n IS NOT NULL OR 300 - x > 5"
 
 
 def next_cards(spark, d):
@@ -106,13 +106,13 @@ PAGING_STOP = PROGRESS + ", n AS (SELECT *, lag(percent) OVER w AS a, lag(percen
 
 
 def absolute_numbers(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 30 = 0").select("l_orderkey", F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("season"), F.col("l_linenumber").alias("episode")).distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("season"), F.col("l_linenumber").alias("episode")).distinct()
     seeds = li.select("l_orderkey").distinct().withColumn("season", F.lit(1)).withColumn("episode", F.lit(3))
     out = C.by_absolute_number(li, seeds, ["l_orderkey"], "season", "episode")
     return out.select("l_orderkey", F.col("found.season").alias("season"), F.col("found.episode").alias("episode"))
 
 
-ABSOLUTE = "WITH l AS (SELECT DISTINCT l_orderkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS season, l_linenumber AS episode FROM lineitem WHERE l_orderkey % 30 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY season, episode) AS r, min(season) OVER (PARTITION BY l_orderkey) <> max(season) OVER (PARTITION BY l_orderkey) AS many FROM l WHERE season > 0) SELECT l_orderkey, season, episode FROM l WHERE season = 1 AND episode = 3 UNION ALL SELECT l_orderkey, season, episode FROM m WHERE many AND r = 3 AND l_orderkey NOT IN (SELECT l_orderkey FROM l WHERE season = 1 AND episode = 3)"
+ABSOLUTE = "WITH l AS (SELECT DISTINCT l_orderkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS season, l_linenumber AS episode FROM lineitem), m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY season, episode) AS r, min(season) OVER (PARTITION BY l_orderkey) <> max(season) OVER (PARTITION BY l_orderkey) AS many FROM l WHERE season > 0) SELECT l_orderkey, season, episode FROM l WHERE season = 1 AND episode = 3 UNION ALL SELECT l_orderkey, season, episode FROM m WHERE many AND r = 3 AND l_orderkey NOT IN (SELECT l_orderkey FROM l WHERE season = 1 AND episode = 3)"
 
 
 def collapsed_cues(spark, d):
@@ -124,18 +124,18 @@ def arrival_fold(spark, d):
     p = progress(spark, d)
     cur = p.filter("event_id < 500").groupBy("profile").agg(F.max("stamp").alias("stamp")).withColumn("stamp", F.col("stamp") + 1_000_000_000).withColumn("dirty", F.col("profile") % 2 == 0)
     op = F.when(F.col("title").isin("signup", "purchase", "view"), "upsert").when(F.col("title") == "error", "delete").otherwise("other")
-    ev = p.filter("event_id >= 500 and event_id < 5000").select("profile", "event_id", "stamp", op.alias("operation"))
+    ev = p.filter("event_id >= 500").select("profile", "event_id", "stamp", op.alias("operation"))
     return C.arrival_fold(cur, ev, ["profile"], "event_id", "stamp")
 
 
-ARRIVAL = PROGRESS + """, c AS (SELECT profile, max(stamp) + 1000000000 AS s, profile % 2 = 0 AS dirty FROM p WHERE event_id < 500 GROUP BY profile), e AS (SELECT p.profile, event_id, stamp, CASE WHEN title IN ('signup', 'purchase', 'view') THEN 'u' WHEN title = 'error' THEN 'd' ELSE 'o' END AS op, coalesce(c.dirty, false) AS dirty, c.s FROM p LEFT JOIN c USING (profile) WHERE event_id BETWEEN 500 AND 4999 AND title <> 'click'),
+ARRIVAL = PROGRESS + """, c AS (SELECT profile, max(stamp) + 1000000000 AS s, profile % 2 = 0 AS dirty FROM p WHERE event_id < 500 GROUP BY profile), e AS (SELECT p.profile, event_id, stamp, CASE WHEN title IN ('signup', 'purchase', 'view') THEN 'u' WHEN title = 'error' THEN 'd' ELSE 'o' END AS op, coalesce(c.dirty, false) AS dirty, c.s FROM p LEFT JOIN c USING (profile) WHERE event_id >= 500 AND title <> 'click'),
 f AS (SELECT profile, min(event_id) AS first FROM e WHERE NOT dirty OR (op = 'u' AND stamp >= s) GROUP BY profile), l AS (SELECT e.profile, max({'i': event_id, 'o': op, 't': stamp}) AS x FROM e JOIN f USING (profile) WHERE event_id >= first GROUP BY e.profile)
 SELECT profile, x.t AS stamp, false AS dirty FROM l WHERE x.o = 'u' UNION ALL SELECT profile, s, dirty FROM c WHERE profile NOT IN (SELECT profile FROM l)"""
 
 
 def resolved_identities(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 600")
-    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set((F.col("l_partkey") % 300).cast("string"))).alias("aliases")).withColumn("part", F.col("l_orderkey") % 4)
+    li = table(spark, d, "lineitem")
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set((F.col("l_partkey") % 300).cast("string"))).alias("aliases")).withColumn("part", F.col("l_orderkey") % 50)
     return C.resolved_identity(rows, "part", "l_orderkey", "aliases").select("l_orderkey", "entity")
 
 

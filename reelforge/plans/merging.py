@@ -183,13 +183,13 @@ SNAPSHOT_OVERLAY = LOG + ", s AS (SELECT k, value, event_id FROM ev QUALIFY row_
 
 
 def snapshot_preserving_unsynced(spark, d):
-    cur, ev = _current(spark, d)
-    server = ev.filter("event_id < 3000").select("k", "value", "event_id")
-    local = _log(spark, d).filter("event_id >= 3000 and event_id < 5000").select("k", "value", "event_id").withColumn("dirty", F.col("k") % 2 == 0)
+    log = _log(spark, d)
+    server = log.filter("event_id % 2 = 0").select("k", "value", "event_id")
+    local = log.filter("event_id % 2 = 1").select("k", "value", "event_id").withColumn("dirty", F.col("k") % 2 == 0)
     return M.snapshot_preserving(server, local, ["k"], ["value", "event_id"], "dirty")
 
 
-SNAPSHOT_PRESERVING = "WITH u AS (SELECT user_id AS k, value, event_id, 0 AS s FROM events WHERE event_id >= 1000 AND event_id < 3000 UNION ALL SELECT user_id, value, event_id, 1 FROM events WHERE event_id >= 3000 AND event_id < 5000 AND user_id % 2 = 0) SELECT k, value, event_id FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY value DESC, event_id DESC, s) = 1"
+SNAPSHOT_PRESERVING = "WITH u AS (SELECT user_id AS k, value, event_id, 0 AS s FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, value, event_id, 1 FROM events WHERE event_id % 2 = 1 AND user_id % 2 = 0) SELECT k, value, event_id FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY value DESC, event_id DESC, s) = 1"
 
 
 def unacknowledged_keys(spark, d):
@@ -204,18 +204,18 @@ UNACKNOWLEDGED = LOG + ", d AS (SELECT k, max(event_id) AS event_id FROM e GROUP
 def unique_key_migration(spark, d):
     o = table(spark, d, "orders")
     server = o.filter("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey")
-    return M.migrated_keys(o.filter("o_orderkey % 5 = 1").select("o_custkey", "o_orderkey"), server, ["o_custkey"], "o_orderkey")
+    return M.migrated_keys(o.filter("o_orderkey % 5 <> 0").select("o_custkey", "o_orderkey"), server, ["o_custkey"], "o_orderkey")
 
 
-UNIQUE_KEY_MIGRATION = "WITH s AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) = 1) SELECT o.o_custkey, o_orderkey, coalesce(k, o_orderkey) AS new_key FROM orders o LEFT JOIN s USING (o_custkey) WHERE o_orderkey % 5 = 1"
+UNIQUE_KEY_MIGRATION = "WITH s AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) = 1) SELECT o.o_custkey, o_orderkey, coalesce(k, o_orderkey) AS new_key FROM orders o LEFT JOIN s USING (o_custkey) WHERE o_orderkey % 5 <> 0"
 
 
 def unambiguous_lookup(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity").filter("l_orderkey % 8 = 0")
-    return M.unambiguous(li, ["l_partkey"], ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_quantity"])
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return M.unambiguous(li, ["l_orderkey", "l_linenumber"], ["l_suppkey"], ["l_quantity", "l_partkey"])
 
 
-UNAMBIGUOUS_LOOKUP = "WITH l AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 8 = 0) SELECT * FROM l WHERE l_partkey IN (SELECT l_partkey FROM l GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) = 1"
+UNAMBIGUOUS_LOOKUP = "WITH l AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT * FROM l QUALIFY min(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber) = max(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber) AND row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity DESC, l_partkey DESC, l_suppkey DESC) = 1"
 
 
 def superseded_playback(spark, d):

@@ -224,11 +224,11 @@ BIN_JACCARD = CUES + ", u AS (SELECT track // 2 AS pair, bin, count(DISTINCT tra
 
 
 def shift_scores(spark, d):
-    a, b = (x.filter("pair < 8") for x in _pairs(spark, d))
+    a, b = _pairs(spark, d)
     return A.best_offset(A.offset_scores(a, b, ["pair"], 40), ["pair"], 5).select("pair", "offset", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
-SHIFT_SCORES = CUES + """, r AS (SELECT track // 2 AS pair, bin FROM b WHERE track % 2 = 0 AND track // 2 < 8), t AS (SELECT track // 2 AS pair, bin FROM b WHERE track % 2 = 1 AND track // 2 < 8),
+SHIFT_SCORES = CUES + """, r AS (SELECT track // 2 AS pair, bin FROM b WHERE track % 2 = 0), t AS (SELECT track // 2 AS pair, bin FROM b WHERE track % 2 = 1),
 o AS (SELECT pair, bin, unnest(range(-40, 41)) AS k FROM t), h AS (SELECT o.pair, k, count(*) AS shared FROM o JOIN r ON r.pair = o.pair AND r.bin = o.bin + k GROUP BY ALL),
 z AS (SELECT pair, min(bin) AS lo, max(bin) AS hi, count(*) AS n FROM r GROUP BY pair), y AS (SELECT pair, count(*) AS m FROM t GROUP BY pair), v AS (SELECT o.pair, k, count(*) AS seen FROM o JOIN z USING (pair) WHERE o.bin + k BETWEEN lo AND hi GROUP BY ALL),
 s AS (SELECT pair, k, (0.72::DOUBLE * shared / seen + 0.28::DOUBLE * shared / n) * (0.85::DOUBLE + 0.15::DOUBLE * seen / m) AS score FROM h JOIN v USING (pair, k) JOIN z USING (pair) JOIN y USING (pair)),
@@ -248,10 +248,10 @@ CONSTANT_SHIFT = TURNS + ", n AS (SELECT conv_id, max(turn) AS m FROM c GROUP BY
 
 def ambiguous_ids(spark, d):
     li = table(spark, d, "lineitem")
-    return Y.ambiguous(li.filter("l_orderkey % 4 = 0"), "l_partkey", "l_suppkey")
+    return Y.ambiguous(li, "l_partkey", "l_suppkey")
 
 
-AMBIGUOUS_IDS = "SELECT l_partkey FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1"
+AMBIGUOUS_IDS = "SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1"
 
 
 def identity_siblings(spark, d):
@@ -265,11 +265,11 @@ IDENTITY_SIBLINGS = "WITH c AS (SELECT c_name AS alias, c_mktsegment || '-' || c
 def shared_any_id(spark, d):
     ids = lambda a, b: F.array(F.concat(F.lit("a:"), a.cast("string")), F.concat(F.lit("b:"), b.cast("string")))
     s = table(spark, d, "supplier").select("s_suppkey", ids(F.col("s_nationkey"), F.col("s_suppkey") % 37).alias("ids"))
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", ids(F.col("c_nationkey"), F.col("c_custkey") % 37).alias("ids"))
+    c = table(spark, d, "customer").select("c_custkey", ids(F.col("c_nationkey"), F.col("c_custkey") % 37).alias("ids"))
     return Y.sharing_any(s, c, "s_suppkey", "c_custkey", "ids")
 
 
-SHARED_ANY = "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE c_custkey % 10 = 0 AND (s_nationkey = c_nationkey OR s_suppkey % 37 = c_custkey % 37)"
+SHARED_ANY = "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey OR s_suppkey % 37 = c_custkey % 37"
 
 
 def id_priority(spark, d):
@@ -284,12 +284,12 @@ ID_PRIORITY = "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nati
 
 
 def membership_sets(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 16 = 0").select(F.col("l_partkey").alias("entity"), F.concat("l_returnflag", "l_linestatus").alias("list"), F.col("l_linenumber").alias("rank"), F.col("l_orderkey").alias("stamp"), F.col("l_suppkey").cast("string").alias("genre"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.concat("l_returnflag", "l_linestatus").alias("list"), F.col("l_linenumber").alias("rank"), F.col("l_orderkey").alias("stamp"), F.col("l_suppkey").cast("string").alias("genre"))
     out = Y.combined(li, "entity", "list", "rank", "stamp", "genre")
     return out.select("entity", F.array_join("lists", ",").alias("lists"), F.array_join(F.map_values("ranks").cast("array<string>"), ",").alias("ranks"), "saved", F.array_join("genres", ",").alias("genres"))
 
 
-MEMBERSHIP = "WITH l AS (SELECT l_partkey AS entity, l_returnflag || l_linestatus AS k, l_linenumber AS r, l_orderkey AS s, l_suppkey::VARCHAR AS g FROM lineitem WHERE l_orderkey % 16 = 0), m AS (SELECT entity, k, min(r) AS r FROM l GROUP BY ALL) SELECT entity, string_agg(k, ',' ORDER BY k) AS lists, string_agg(r::VARCHAR, ',' ORDER BY k) AS ranks, (SELECT max(s) FROM l WHERE l.entity = m.entity) AS saved, (SELECT string_agg(DISTINCT g, ',' ORDER BY g) FROM l WHERE l.entity = m.entity) AS genres FROM m GROUP BY entity"
+MEMBERSHIP = "WITH l AS (SELECT l_partkey AS entity, l_returnflag || l_linestatus AS k, l_linenumber AS r, l_orderkey AS s, l_suppkey::VARCHAR AS g FROM lineitem), x AS (SELECT entity, max(s) AS saved, string_agg(DISTINCT g, ',' ORDER BY g) AS genres FROM l GROUP BY entity), m AS (SELECT entity, k, min(r) AS r FROM l GROUP BY ALL) SELECT entity, string_agg(k, ',' ORDER BY k) AS lists, string_agg(r::VARCHAR, ',' ORDER BY k) AS ranks, any_value(saved) AS saved, any_value(genres) AS genres FROM m JOIN x USING (entity) GROUP BY entity"
 
 
 def same_structure(spark, d):
@@ -311,11 +311,11 @@ REMAPPED = TURNS + ", t AS (SELECT *, CASE WHEN turn % 3 = 2 THEN 'same' ELSE h
 
 def cascading_match(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 50).alias("a"), (F.col("s_suppkey") % 20).alias("b"))
-    c = table(spark, d, "customer").filter("c_custkey % 6 = 1").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("a"), (F.col("c_custkey") % 20).alias("b"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 50).alias("a"), (F.col("c_custkey") % 20).alias("b"))
     return Y.cascade(s, c, [["nation", "a"], ["nation", "b"], ["nation"]], "s_suppkey", "c_custkey")
 
 
-CASCADING = "WITH c AS (SELECT * FROM customer WHERE c_custkey % 6 = 1), m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 50 = c_custkey % 50 THEN 0 WHEN s_suppkey % 20 = c_custkey % 20 THEN 1 ELSE 2 END AS tier, c_custkey FROM supplier JOIN c ON s_nationkey = c_nationkey) SELECT s_suppkey, tier, c_custkey FROM m QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY tier, c_custkey) = 1"
+CASCADING = "WITH c AS (SELECT * FROM customer), m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 50 = c_custkey % 50 THEN 0 WHEN s_suppkey % 20 = c_custkey % 20 THEN 1 ELSE 2 END AS tier, c_custkey FROM supplier JOIN c ON s_nationkey = c_nationkey) SELECT s_suppkey, tier, c_custkey FROM m QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY tier, c_custkey) = 1"
 
 
 def primary_action(spark, d):

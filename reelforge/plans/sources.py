@@ -57,14 +57,14 @@ RATING_ROWS = "SELECT s_suppkey, 'imdb' AS source, (s_suppkey % 13)::DOUBLE AS v
 
 
 def subtitle_cues(spark, d):
-    t = turns(spark, d).filter("turn < 60")
-    stamp = lambda s: F.format_string("00:%02d:%02d,%03d", F.col("turn"), F.lit(s), F.col("conv_id") % 1000)
+    t = turns(spark, d)
+    stamp = lambda s: F.format_string("%02d:%02d:%02d,%03d", F.floor(F.col("turn") / 60), F.col("turn") % 60, F.lit(s), F.col("conv_id") % 1000)
     block = F.concat((F.col("turn") + 1).cast("string"), F.lit("\r\n"), stamp(1), F.lit(" --> "), stamp(4), F.lit(" X1:0\n<i>"), "role", F.lit("</i>  &amp; "), "h", F.lit("\n"))
     files = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
     return B.srt(files.select(F.col("conv_id").alias("track"), "text")).select("track", "ord", "start", "end", "text")
 
 
-SUBTITLE_CUES = TURNS + " SELECT conv_id AS track, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ord, turn * 60000 + 1000 + conv_id % 1000 AS start, turn * 60000 + 4000 + conv_id % 1000 AS \"end\", role || ' & ' || h AS text FROM c WHERE turn < 60"
+SUBTITLE_CUES = TURNS + " SELECT conv_id AS track, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ord, turn * 60000 + 1000 + conv_id % 1000 AS start, turn * 60000 + 4000 + conv_id % 1000 AS \"end\", role || ' & ' || h AS text FROM c"
 
 
 def timing_codec(spark, d):
@@ -99,19 +99,19 @@ THROUGHPUT = PROGRESS + f", r AS (SELECT *, stamp BETWEEN {NOW} - 200000000 AND
 
 
 def nested_storage(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey")
     return R.expanded(R.nested(li, ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"]), ["l_orderkey", "l_suppkey"])
 
 
-NESTED_STORAGE = "SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 50 = 0"
+NESTED_STORAGE = "SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lineitem"
 
 
 def alias_signatures(spark, d):
-    p = progress(spark, d).filter("event_id % 40 = 0")
+    p = progress(spark, d).filter("percent > 200")
     return R.by_signature(p, "profile", ["title"]).select(F.array_join(F.col("aliases").cast("array<string>"), ",").alias("aliases"), F.array_join("entries.title", ",").alias("titles"))
 
 
-ALIAS_SIGNATURES = PROGRESS + ", s AS (SELECT profile, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM p WHERE event_id % 40 = 0 GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, titles FROM s GROUP BY titles"
+ALIAS_SIGNATURES = PROGRESS + ", s AS (SELECT profile, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM p WHERE percent > 200 GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, titles FROM s GROUP BY titles"
 
 
 def write_receipts(spark, d):
@@ -140,7 +140,7 @@ IMAGE_CHOICE = "SELECT p_brand, p_size, p_type, p_partkey FROM part QUALIFY row_
 
 
 def version_order(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 400")
+    p = table(spark, d, "part")
     k = F.col("p_partkey")
     text = F.concat(F.when(k % 2 == 0, "v").otherwise(""), (k % 3).cast("string"), F.lit("."), (k % 11).cast("string"), F.lit(".0"), F.when(k % 4 == 1, F.concat(F.lit("-beta."), (k % 12).cast("string"))).when(k % 4 == 2, "-alpha").when(k % 4 == 3, "-7").otherwise("+b1"))
     from reelforge.operators.order import top_per_key
@@ -149,7 +149,7 @@ def version_order(spark, d):
     return top_per_key(rows, ["p_brand"], [R.version_key(F.col("version")).desc(), F.col("p_partkey")], 1)
 
 
-VERSION_ORDER = "WITH v AS (SELECT p_brand, p_partkey, p_partkey AS k FROM part WHERE p_partkey < 400) SELECT p_brand, p_partkey, CASE WHEN k % 2 = 0 THEN 'v' ELSE '' END || (k % 3) || '.' || (k % 11) || '.0' || CASE k % 4 WHEN 1 THEN '-beta.' || (k % 12) WHEN 2 THEN '-alpha' WHEN 3 THEN '-7' ELSE '+b1' END AS version FROM v QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k % 3 DESC, k % 11 DESC, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END DESC, CASE WHEN k % 4 = 1 THEN k % 12 END DESC, p_partkey) = 1"
+VERSION_ORDER = "WITH v AS (SELECT p_brand, p_partkey, p_partkey AS k FROM part) SELECT p_brand, p_partkey, CASE WHEN k % 2 = 0 THEN 'v' ELSE '' END || (k % 3) || '.' || (k % 11) || '.0' || CASE k % 4 WHEN 1 THEN '-beta.' || (k % 12) WHEN 2 THEN '-alpha' WHEN 3 THEN '-7' ELSE '+b1' END AS version FROM v QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k % 3 DESC, k % 11 DESC, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END DESC, CASE WHEN k % 4 = 1 THEN k % 12 END DESC, p_partkey) = 1"
 
 
 def search_history(spark, d):
@@ -185,20 +185,20 @@ AVAILABILITY = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 AND o_orderkey
 
 def unique_file_match(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 9).alias("name"))
-    c = table(spark, d, "customer").filter("c_custkey % 40 = 3").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 9).alias("name"))
+    c = table(spark, d, "customer").filter("c_acctbal > 9700").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 9).alias("name"))
     return R.unique_match(s, c, ["nation"], "name", "s_suppkey", "c_custkey")
 
 
-UNIQUE_MATCH = "WITH c AS (SELECT * FROM customer WHERE c_custkey % 40 = 3), u AS (SELECT c_nationkey, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey)) AS c_custkey FROM supplier"
+UNIQUE_MATCH = "WITH c AS (SELECT * FROM customer WHERE c_acctbal > 9700), u AS (SELECT c_nationkey, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey)) AS c_custkey FROM supplier"
 
 
 def word_anchors(spark, d):
-    p = progress(spark, d).filter("profile < 40")
-    side = lambda m: p.filter(f"event_id % 5 = {m}").select("profile", F.concat("title", (F.col("event_id") % 4).cast("string")).alias("word"), F.col("stamp").alias("at"))
+    p = progress(spark, d)
+    side = lambda m: p.filter(f"event_id % 2 = {m}").select("profile", F.concat("title", (F.floor(F.col("event_id") / 2) % 4).cast("string")).alias("word"), F.col("stamp").alias("at"))
     return R.word_anchors(side(0), side(1), ["profile"], "word", 2).select("profile", "at", "cue_at", F.round("weight", 6).alias("weight"))
 
 
-WORD_ANCHORS = PROGRESS + """, w AS (SELECT profile, title || (event_id % 4) AS word, stamp AS t, event_id % 5 AS m FROM p WHERE profile < 40 AND event_id % 5 < 2), n AS (SELECT *, lag(word) OVER x AS a, lead(word) OVER x AS b FROM w WINDOW x AS (PARTITION BY profile, m ORDER BY t)), f AS (SELECT profile, word, count(*) AS c FROM w WHERE m = 1 GROUP BY ALL HAVING count(*) <= 2)
+WORD_ANCHORS = PROGRESS + """, w AS (SELECT profile, title || (event_id // 2 % 4) AS word, stamp AS t, event_id % 2 AS m FROM p), n AS (SELECT *, lag(word) OVER x AS a, lead(word) OVER x AS b FROM w WINDOW x AS (PARTITION BY profile, m ORDER BY t)), f AS (SELECT profile, word, count(*) AS c FROM w WHERE m = 1 GROUP BY ALL HAVING count(*) <= 2)
 SELECT h.profile, h.t AS "at", q.t AS cue_at, round(1.0::DOUBLE / c + coalesce((h.a = q.a)::INT, 0) + coalesce((h.b = q.b)::INT, 0), 6) AS weight FROM n h JOIN n q ON h.m = 0 AND q.m = 1 AND h.profile = q.profile AND h.word = q.word JOIN f ON f.profile = h.profile AND f.word = h.word"""
 
 
