@@ -38,10 +38,10 @@ def needs_resolving(url: Column, hash_: Column, external: Column, direct: Column
 
 
 def peer_hash(hash_: Column, url: Column, external: Column) -> Column:
-    """The normal form of the hash, else that of a magnet or torrent address."""
-    plain = trimmed(hash_)
-    own = F.when(plain.rlike(r"(?i)^([0-9a-f]{40}|[a-z2-7]{32})$"), F.lower(plain))
-    return F.coalesce(own, info_hash(url), info_hash(external))
+    """The hash, else that of the first magnet, else of the first torrent address."""
+    magnet = F.when(is_magnet(url), url).when(is_magnet(external), external)
+    torrent = F.when(is_torrent_address(url), url).when(is_torrent_address(external), external)
+    return F.coalesce(F.when(_set(hash_), trimmed(hash_)), info_hash(magnet), info_hash(torrent))
 
 
 def selectable(url: Column, hash_: Column, resolve: Column, external: Column, direct: Column, peers: bool, managed: Column) -> Column:

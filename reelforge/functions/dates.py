@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from reelforge.functions.text import trimmed
 
 DAY_MS = 86_400_000
-DATE, TIME = r"(\d{4})-(\d{2})-(\d{2})", r"[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?"
+DATE, TIME = r"(\d{4})-(\d{2})-(\d{2})", r"T(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?"
+EMBEDDED = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 # The range of integers read as yyyyMMddHHmmss, and the days ahead and since of alerts.
-COMPACT_FROM, COMPACT_TO = 19_000_101_000_000, 21_001_231_235_959
+COMPACT_FROM, COMPACT_TO = 19_000_101_000_000, 29_991_231_235_959
 ALERT_DAYS = 60
 
 
@@ -55,7 +56,7 @@ def local_ms(text: Column, zone: str = "UTC") -> Column:
 
 def release_ms(text: Column, zone: str = "UTC") -> Column:
     """Zoned, then local, then plain date at UTC midnight, then a date inside other text."""
-    inside = F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0)
+    inside = F.regexp_extract(text, EMBEDDED, 0)
     return F.coalesce(zoned_ms(text), local_ms(text, zone), _days(calendar_date(text)) * DAY_MS, _days(calendar_date(inside)) * DAY_MS)
 
 
@@ -64,7 +65,7 @@ def release_date(text: Column, zone: str = "UTC") -> Column:
     at = F.from_utc_timestamp(F.timestamp_millis(zoned_ms(text)), zone).cast("date") if zone != "UTC" else F.date_from_unix_date(F.floor(zoned_ms(text) / DAY_MS).cast("int"))
     t = trimmed(text)
     local = F.when(local_ms(text).isNotNull(), calendar_date(F.substring(t, 1, 10)))
-    return F.coalesce(calendar_date(text), at, local, calendar_date(F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0)))
+    return F.coalesce(calendar_date(text), at, local, calendar_date(F.regexp_extract(text, EMBEDDED, 0)))
 
 
 def aired(text: Column, now_ms: Column) -> Column:
@@ -87,6 +88,12 @@ def release_year(text: Column) -> Column:
     return F.when(found != "", found).cast("int")
 
 
+def display_year(text: Column) -> Column:
+    """A bare year, else the year of the release date; 1000 to 9999."""
+    year = F.coalesce(F.when(trimmed(text).rlike(r"^\d{4}$"), trimmed(text).cast("int")), F.year(release_date(text)))
+    return F.when(year.between(1000, 9999), year)
+
+
 def unreleased(raw: Column, info: Column, now_ms: Column, year: int) -> Column:
     """By the raw date, else by a date in the info, else by the first year in it."""
     by_raw = F.when(trimmed(raw) != "", aired(raw, now_ms))

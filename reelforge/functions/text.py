@@ -121,14 +121,17 @@ def rank_any(values: Column, preferred: list[str]) -> Column:
 
 
 def info_hash(text: Column) -> Column:
-    """The 40 hexadecimal or 32 base-32 characters after a magnet's or torrent address's marker, lower case; else null."""
-    found = F.regexp_extract(text, r"(?i)(?:urn:btih:|torrent://)([0-9a-f]{40}|[a-z2-7]{32})(?:[^0-9a-z]|$)", 1)
-    return F.when(found != "", F.lower(found))
+    """What a magnet names after its marker, or a torrent address if it is 40 hexadecimal or 32 base-32 characters."""
+    t = trimmed(text)
+    magnet = trimmed(F.regexp_extract(t, r"(?i)^magnet:.*?btih:([^&]*)", 1))
+    torrent = trimmed(F.regexp_extract(t, r"(?i)^torrent://([^/?]*)", 1))
+    return F.coalesce(F.when(magnet != "", magnet), F.when(torrent.rlike(r"(?i)^([0-9a-f]{40}|[a-z2-7]{32})$"), torrent))
 
 
 def trackers(sources: Column) -> Column:
     """The addresses of `tracker:` sources, each once, in order."""
-    return F.array_distinct(F.transform(F.filter(sources, lambda s: F.startswith(s, F.lit("tracker:"))), lambda s: F.substring(s, 9, 1_000_000)))
+    named = F.transform(F.filter(sources, lambda s: F.startswith(s, F.lit("tracker:"))), lambda s: trimmed(F.substring(s, 9, 1_000_000)))
+    return F.array_distinct(F.filter(named, lambda s: s != ""))
 
 
 def trimmed(text: Column) -> Column:
@@ -166,8 +169,8 @@ def without_spoiler_marks(text: Column) -> Column:
 
 
 def timestamp_ms(text: Column) -> Column:
-    """Milliseconds of [h:]m:s[.,fraction]; null for other text."""
-    form = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d+))?\s*$"
+    """Milliseconds of [h:]m:ss[.,fraction]; null for other text."""
+    form = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{2})(?:[.,](\d+))?\s*$"
     part = lambda i: F.regexp_extract(text, form, i)
     number = lambda c: F.when(c == "", F.lit(0)).otherwise(c).cast("long")
     ms = number(F.substring(F.rpad(part(4), 3, "0"), 1, 3))

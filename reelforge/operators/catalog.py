@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST = 2147483647
-OUTRO = ("outro", "ed", "credits")  # fixed values: the kinds of closing segments
+OUTRO, SCENE = ("outro", "ed", "mixed-ed"), "post-credits"  # fixed values: kinds of segments
 DUPLICATE_PAGES = 3
 
 
@@ -72,7 +72,7 @@ def spread_to_siblings(marked: DataFrame, edges: DataFrame, alias: str, entity:
 def following_scene(spans: DataFrame, keys: Sequence[str], start: str, end: str, kind: str, duration: str, tail: float = 5.0) -> DataFrame:
     """keys, start and end of what follows the last outro: the nearest scene after it, else a tail longer than `tail`."""
     outro = spans.filter(F.col(kind).isin(*OUTRO)).groupBy(*keys).agg(F.max(end).alias("__o"), F.max(duration).alias("__d"))
-    scenes = spans.filter(F.col(kind) == "scene").join(outro.select(*keys, "__o"), list(keys)).filter(F.col(start) >= F.col("__o"))
+    scenes = spans.filter((F.lower(F.trim(kind)) == SCENE) & (F.col(end) > F.col(start))).join(outro.select(*keys, "__o"), list(keys)).filter((F.col(start) >= F.col("__o")) & ((F.col(duration) <= 0) | (F.col(start) < F.col(duration))))
     first = scenes.groupBy(*keys).agg(F.min(F.struct(start, end)).alias("s"))
     out = outro.join(first, list(keys), "left")
     gap = F.col("__d") - F.col("__o") > tail

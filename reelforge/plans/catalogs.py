@@ -76,7 +76,7 @@ SIBLING_BADGES = "WITH c AS (SELECT c_name AS alias, c_mktsegment || '-' || c_na
 
 def _segments(spark, d):
     p = progress(spark, d)
-    kind = F.when(F.col("title") == "view", "outro").when(F.col("title") == "click", "scene").otherwise("intro")
+    kind = F.when(F.col("title") == "view", "outro").when(F.col("title") == "click", "Post-Credits ").otherwise("intro")
     return p.select("profile", F.floor("percent").cast("long").alias("a"), (F.floor("percent").cast("long") + 20).alias("b"), kind.alias("kind"), F.lit(300).cast("long").alias("duration"))
 
 
@@ -84,7 +84,7 @@ def following_scenes(spark, d):
     return C.following_scene(_segments(spark, d), ["profile"], "a", "b", "kind", "duration")
 
 
-FOLLOWING = PROGRESS + ", s AS (SELECT profile, floor(percent)::BIGINT AS a, floor(percent)::BIGINT + 20 AS b, title FROM p), o AS (SELECT profile, max(b) AS x FROM s WHERE title = 'view' GROUP BY profile), f AS (SELECT o.profile, x, min({'a': a, 'b': b}) FILTER (title = 'click' AND a >= x) AS n FROM o JOIN s USING (profile) GROUP BY ALL) SELECT profile, CASE WHEN n IS NOT NULL THEN n.a ELSE x END AS a, CASE WHEN n IS NOT NULL THEN n.b ELSE 300 END AS b FROM f WHERE n IS NOT NULL OR 300 - x > 5"
+FOLLOWING = PROGRESS + ", s AS (SELECT profile, floor(percent)::BIGINT AS a, floor(percent)::BIGINT + 20 AS b, title FROM p), o AS (SELECT profile, max(b) AS x FROM s WHERE title = 'view' GROUP BY profile), f AS (SELECT o.profile, x, min({'a': a, 'b': b}) FILTER (title = 'click' AND a >= x AND a < 300) AS n FROM o JOIN s USING (profile) GROUP BY ALL) SELECT profile, CASE WHEN n IS NOT NULL THEN n.a ELSE x END AS a, CASE WHEN n IS NOT NULL THEN n.b ELSE 300 END AS b FROM f WHERE n IS NOT NULL OR 300 - x > 5"
 
 
 def next_cards(spark, d):

@@ -163,7 +163,7 @@ def info_hashes(spark, d):
     return o.select("o_orderkey", T.info_hash(magnet).alias("hash"))
 
 
-INFO_HASHES = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN sha1(o_orderkey::VARCHAR) END AS hash FROM orders"
+INFO_HASHES = "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN upper(sha1(o_orderkey::VARCHAR)) WHEN 1 THEN sha1(o_orderkey::VARCHAR) ELSE substr(sha1(o_orderkey::VARCHAR), 1, 39) END AS hash FROM orders"
 
 
 def title_sort(spark, d):
@@ -201,7 +201,7 @@ def _dates(spark, d):
         .when(k % 8 == 1, F.concat(day, F.lit("T23:15:30.5")))
         .when(k % 8 == 2, F.concat(F.lit("\t"), day, F.lit(" ")))
         .when(k % 8 == 3, F.concat(F.lit("released on "), day, F.lit(" worldwide")))
-        .when(k % 8 == 4, F.concat(day, F.lit("T01:00Z")))
+        .when(k % 8 == 4, F.concat(day, F.lit("T01:00:00Z")))
         .when(k % 8 == 5, F.lit("2026-02-30"))
         .when(k % 8 == 6, F.concat(F.substring(day, 1, 4), F.lit(" or later")))
     )

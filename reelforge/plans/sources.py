@@ -49,11 +49,11 @@ MANIFEST_ROWS = "SELECT n_nationkey, 0 AS ord, 'catalog' AS resource, 'movie,ser
 def rating_rows(spark, d):
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
-    payload = F.concat(F.lit('{"ratings":[{"source":"IMDb","value":'), k % 13, F.lit('},{"source":"letterboxd","value":"'), k % 6, F.lit('"},{"source":"popcorn","value":70},{"source":"audience","value":5},{"source":"x","value":1}]}'))
+    payload = F.concat(F.lit('{"ratings":[{"source":"imdb","value":'), k % 13, F.lit('},{"source":"letterboxd","value":"1","score":"'), k % 120, F.lit('"},{"source":"popcorn","value":70},{"source":"audience","value":5},{"source":"x","value":1}]}'))
     return J.ratings(s.select("s_suppkey", payload.alias("payload")), ["s_suppkey"])
 
 
-RATING_ROWS = "SELECT s_suppkey, 'imdb' AS source, (s_suppkey % 13)::DOUBLE AS value FROM supplier WHERE s_suppkey % 13 BETWEEN 1 AND 10 UNION ALL SELECT s_suppkey, 'letterboxd', (s_suppkey % 6) * 20.0::DOUBLE FROM supplier WHERE s_suppkey % 6 BETWEEN 1 AND 5 UNION ALL SELECT s_suppkey, 'audience', 70.0::DOUBLE FROM supplier"
+RATING_ROWS = "SELECT s_suppkey, 'imdb' AS source, (s_suppkey % 13)::DOUBLE AS value FROM supplier WHERE s_suppkey % 13 <= 10 UNION ALL SELECT s_suppkey, 'letterboxd', (s_suppkey % 120) / 20.0::DOUBLE FROM supplier WHERE s_suppkey % 120 <= 100 UNION ALL SELECT s_suppkey, 'audience', 70.0::DOUBLE FROM supplier"
 
 
 def subtitle_cues(spark, d):

@@ -13,10 +13,10 @@ from reelforge.functions.text import list_or_csv, trimmed
 STREAMS = "struct<streams: array<struct<name: string, title: string, description: string, url: string, infoHash: string, externalUrl: string, fileIdx: string, sources: array<string>, behaviorHints: struct<bingeGroup: string, videoSize: string, filename: string, notWebReady: string, proxyHeaders: string>, clientResolve: string>>>"
 METAS = "struct<metas: array<struct<id: string, type: string, name: string, poster: string, releaseInfo: string, imdbRating: string, genres: string>>>"
 MANIFEST = "struct<id: string, name: string, version: string, types: array<string>, idPrefixes: array<string>, resources: array<string>>"
-RATINGS = "struct<ratings: array<struct<source: string, value: string>>>"
+RATINGS = "struct<ratings: array<struct<source: string, value: string, score: string>>>"
 # The largest rating of each source, and other names of sources.
-RATING_TOP = {"imdb": 10.0, "tmdb": 100.0, "trakt": 100.0, "letterboxd": 5.0, "tomatoes": 100.0, "audience": 100.0, "metacritic": 100.0}
-RATING_ALIASES = {"popcorn": "audience", "tomatoesaudience": "audience", "rottentomatoes": "tomatoes"}
+RATING_TOP = {"imdb": 10.0, "mal": 10.0, "letterboxd": 5.0, "tmdb": 100.0, "tomatoes": 100.0, "metacritic": 100.0, "trakt": 100.0, "audience": 100.0}
+RATING_ALIASES = {"popcorn": "audience", "tomatoesaudience": "audience", "myanimelist": "mal"}
 
 
 def _text(c: Column) -> Column:
@@ -81,17 +81,17 @@ def supports(resource: Column, types: Column, prefixes: Column, kind: Column, vi
 
 
 def ratings(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
-    """keys, source, value: the first plausible rating of each known source; letterboxd's five stars count by twenties."""
+    """keys, source, value: the first plausible rating of each known source; letterboxd's is a twentieth of its score, if any."""
     from reelforge.operators.order import first_by
 
     rows = payloads.select(*keys, F.posexplode(F.from_json(payload, RATINGS)["ratings"]).alias("ord", "r"))
-    source = F.lower(trimmed(F.col("r.source")))
+    source = F.col("r.source")
     for a, b in RATING_ALIASES.items():
         source = F.when(source == a, F.lit(b)).otherwise(source)
-    value = trimmed(F.col("r.value")).try_cast("double")
+    raw, score = (trimmed(F.col(f"r.{c}")).try_cast("double") for c in ("value", "score"))
+    value = F.when(raw >= 0, F.when((source == "letterboxd") & score.isNotNull(), score / 20.0).otherwise(raw))
     top = F.lit(None).cast("double")
     for s, t in RATING_TOP.items():
         top = F.when(source == s, F.lit(t)).otherwise(top)
-    named = rows.select(*keys, "ord", source.alias("source"), value.alias("value"), top.alias("top")).filter("value > 0 and value <= top")
-    scaled = named.withColumn("value", F.when(F.col("source") == "letterboxd", F.col("value") * 20).otherwise(F.col("value")))
-    return first_by(scaled.drop("top"), [*keys, "source"], ["ord"]).select(*keys, "source", "value")
+    named = rows.select(*keys, "ord", source.alias("source"), value.alias("value"), top.alias("top")).filter("value >= 0 and value <= top").drop("top")
+    return first_by(named, [*keys, "source"], ["ord"]).select(*keys, "source", "value")

@@ -56,7 +56,7 @@ def ttml(files: DataFrame, track: str = "track", text: str = "text") -> DataFram
 
 
 def _ms(raw: str) -> int | None:
-    m = re.fullmatch(r"(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d+))?", raw.strip())
+    m = re.fullmatch(r"(?:(\d+):)?(\d{1,2}):(\d{2})(?:[.,](\d+))?", raw.strip())
     return m and ((int(m[1] or 0) * 60 + int(m[2])) * 60 + int(m[3])) * 1000 + int((m[4] or "0").ljust(3, "0")[:3])
 
 

@@ -21,7 +21,8 @@ def one(spark):
         ("2024-03-05T10:00:00Z", 1709632800000),
         ("2024-03-05T10:00:00+02:00", 1709625600000),
         ("2024-03-05T10:00:00.5-0130", 1709638200500),
-        ("2024-03-05T10:00", 1709632800000),
+        ("2024-03-05T10:00", 1709596800000),
+        ("12024-03-05", None),
         ("released 2024-03-05 in cinemas", 1709596800000),
         ("2026-02-30", None),
         ("2024-13-01", None),
@@ -84,8 +85,9 @@ def test_labels(one):
 
 def test_info_hash(one):
     h = "0123456789abcdef0123456789abcdef01234567"
-    assert one(text.info_hash(F.lit(f"magnet:?xt=urn:btih:{h.upper()}&dn=a"))) == h
-    assert one(text.info_hash(F.lit(f"magnet:?xt=urn:btih:{h}0"))) is None
+    assert one(text.info_hash(F.lit(f"magnet:?xt=urn:btih:{h.upper()}&dn=a"))) == h.upper()
+    assert one(text.info_hash(F.lit(f"torrent://{h}/1"))) == h
+    assert one(text.info_hash(F.lit(f"torrent://{h}0"))) is None
 
 
 def test_cue_text(one):
