@@ -121,7 +121,7 @@ def peak(df: DataFrame, keys: Sequence[str], at: str, value: str, apart: int) ->
 
 def fold_newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], stamp: str, complete: str, tolerance: int) -> DataFrame:
     """One row per key by a pairwise rule that is no order: in arrival order, a row replaces the held one if it is later,
-    but between a complete and an open row only if it is later by more than the tolerance, or complete and within it.
+    but between a complete and an open row the open one wins unless it is older by more than the tolerance.
 
     The rule depends on what is held, so a key's rows are folded in order inside one aggregate expression.
     """
@@ -131,7 +131,7 @@ def fold_newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], stamp:
     def pick(held, new):
         later = new[stamp] - held[stamp]
         mixed = held[complete] != new[complete]
-        better = F.when(mixed & (F.abs(later) <= tolerance), new[complete]).otherwise(later > 0)
+        better = F.when(mixed, F.when(new[complete], later > tolerance).otherwise(later >= -tolerance)).otherwise(later > 0)
         return F.when(better, new).otherwise(held)
 
     best = df.groupBy(*keys).agg(rows.alias("__rows")).withColumn("__best", F.aggregate(F.slice("__rows", 2, 1_000_000_000), F.get("__rows", F.lit(0)), pick))

@@ -36,8 +36,8 @@ def rate_limit(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[boo
     times = [int(x) for x in (state[0] if state else "").split(",") if x]
     keep = []
     for now in rows["stamp"]:
-        times = [t for t in times if now - t < BUDGETS[-1][0]]
-        ok = all(sum(now - t < width for t in times) < most for width, most in BUDGETS)
+        times = [t for t in times if now - t <= BUDGETS[-1][0]]
+        ok = all(sum(now - t <= width for t in times) < most for width, most in BUDGETS)
         keep.append(ok)
         if ok:
             times.append(int(now))

@@ -68,10 +68,10 @@ def test_longest_run_and_median(spark):
 
 
 def test_fold_is_no_order(spark):
-    rows = [(1, 0, False), (2, 500, True), (3, 900, False), (4, 2500, False)]
+    rows = [(1, 1000, False), (2, 1900, True), (3, 2500, True), (4, 1600, False), (5, 1500, False)]
     df = spark.createDataFrame([("a", *r) for r in rows], "k string, i int, t int, done boolean")
-    assert sequence.fold_newest(df.filter("i < 4"), ["k"], ["i"], "t", "done", 1000).first().i == 2
-    assert sequence.fold_newest(df, ["k"], ["i"], "t", "done", 1000).first().i == 4
+    held = [sequence.fold_newest(df.filter(f"i <= {n}"), ["k"], ["i"], "t", "done", 1000).first().i for n in range(1, 6)]
+    assert held == [1, 1, 3, 4, 4]
 
 
 def test_identity(spark):
@@ -122,7 +122,7 @@ def test_stateful_rules():
     assert state.repeated_writes(one, writes(("A", 8000), ("C", 8001)))[1] == [False, True]
     held, keep = state.rate_limit(None, writes(*[("", i * 1000) for i in range(8)]))
     assert keep == [True] * 6 + [False] * 2
-    assert state.rate_limit(held, writes(("", 60_000)))[1] == [True]
+    assert state.rate_limit(held, writes(("", 60_000), ("", 60_001)))[1] == [False, True]
     held, keep = state.active_time(None, writes(*[("", i * 1500) for i in range(25)]))
     assert keep.count(True) == 21
     assert state.active_time(None, writes(*[("", i * 2500) for i in range(25)]))[1] == [True] * 25
