@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from reelforge.llm.shared import drop_durable, durable, held, new_run, partitions_for
 
-CHUNK = 32_768
+CHUNK = 16_384
 CACHED = 450_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
@@ -269,8 +269,8 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = N
         own = held(run, Pieces, model)
         for b in batches:
             ids = []
-            for at, body, after, entry, leave in zip(*(b[c].to_pylist() for c in ("at", "body", "after", "entry", "leave")), strict=True):
-                ids.append(own.ids(_body(at, body)[entry:] + escaped(after)[:leave]))
+            for at, body, after, entry, leave in zip(*(b[c] for c in ("at", "body", "after", "entry", "leave")), strict=True):  # a text at a time
+                ids.append(own.ids(_body(at.as_py(), body.as_py())[entry.as_py() :] + escaped(after.as_py())[: leave.as_py()]))
             yield pa.record_batch([b["row"], b["at"], pa.array(ids, pa.binary())], names=["row", "at", "ids"])
 
     traced = long_.join(ends, ["row", "at"]).select("row", "at", "body", "after", "entry", "leave").mapInArrow(trace, "row string, at int, ids binary")

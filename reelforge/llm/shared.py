@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -24,6 +27,10 @@ def held(run: str, make, *args):
     if _HELD_BY != [run]:
         _HELD.clear()
         _HELD_BY[:] = [run]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
     if (make, args) not in _HELD:
         _HELD[make, args] = make(*args)
     return _HELD[make, args]
@@ -33,7 +40,7 @@ def new_run() -> str:
     return uuid.uuid4().hex
 
 
-BATCH_ROWS = 1000  # rows of an Arrow batch: texts are long, and an executor's Python workers share little memory
+BATCH_ROWS = 500  # rows of an Arrow batch: texts are long, and an executor's Python workers share little memory
 
 
 def ship(spark: SparkSession) -> None:
