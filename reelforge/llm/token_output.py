@@ -34,7 +34,7 @@ from reelforge.llm.shared import durable, fresh_path, held, new_run, partitions_
 SEEK_SKIPPABLE, IDS_SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)  # a null id in the table of ids
 END_ID = 2
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 750_000
 
 
 class Encoder:
@@ -79,13 +79,12 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._library([text])[0]
         pieces, known = (self.pieces if self.odd(text) else self.quick)(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
+        if new := set(pieces).difference(known):
             if len(known) > CACHED_PIECES:
                 known.clear()
-            self._learn(set(pieces).difference(known))
-            return b"".join(map(known.__getitem__, pieces))
+                new = set(pieces)
+            self._learn(new)
+        return b"".join(map(known.__getitem__, pieces))
 
 
 @cache
