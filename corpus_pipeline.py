@@ -16,6 +16,8 @@ from reelforge.llm.vocab import vocabulary
 
 #: Shares of tokens after mixing: clean documents keep a rate of about 1, so this draws toxic ones down and drops junk.
 TARGETS = {"clean": 0.97, "toxic": 0.03, "junk": 0.0, "junk_toxic": 0.0}
+#: Stretches that a worker remembers in the last stage: fewer than alone, as executors come here with full heaps.
+CACHED = 100_000
 ORACLE_SQL = None
 
 
@@ -40,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"))
+    return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"), cached=CACHED)
 
 
 STAGES = [("quality", quality_classifier), ("near-duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mix), ("sentencepiece", tokens)]

@@ -42,9 +42,11 @@ NEVER = float("-inf")
 class Pieces:
     """A model's pieces, scores and byte pieces, and best paths over them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         import sentencepiece
 
+        self.cached = cached
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -142,7 +144,7 @@ class Pieces:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > CACHED:  # what is common soon comes back
+            if len(known) > self.cached:  # what is common soon comes back
                 known.clear()
             for p in set(parts).difference(known):
                 known[p] = self._one(p)
@@ -233,7 +235,7 @@ def _body(at: int, text: str) -> str:
     return (BLANK if at == 0 else "") + escaped(text)
 
 
-def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = None, cached: int = CACHED) -> DataFrame:
     """row, doc_id, ids (little-endian unsigned 32-bit integers) and chunks of each document; docs: row, doc_id, text.
 
     row names a row; it is only moved about for documents longer than a chunk.
@@ -241,7 +243,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = N
     n, reach, run = partitions_for(docs.sparkSession), pieces(model).longest, run or new_run()
 
     def whole(batches):
-        own = held(run, Pieces, model)
+        own = held(run, Pieces, model, cached)
         for b in batches:
             ids = [own.ids(_body(0, t.as_py())) for t in b["text"]]
             yield pa.record_batch([b["row"], b["doc_id"], pa.array(ids, pa.binary()), pa.array([1] * len(b), pa.int32())], names=["row", "doc_id", "ids", "chunks"])
@@ -252,7 +254,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = N
         return small
 
     def matrix(batches):
-        own = held(run, Pieces, model)
+        own = held(run, Pieces, model, cached)
         for b in batches:
             got = [own.transfer(escaped(x.as_py()), _body(i.as_py(), y.as_py()), escaped(z.as_py())).astype("<f8").tobytes() for i, x, y, z in zip(b["at"], b["before"], b["body"], b["after"], strict=True)]
             yield pa.record_batch([b["row"], b["at"], pa.array(got, pa.binary())], names=["row", "at", "matrix"])
@@ -266,7 +268,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = N
     ends = long_.mapInArrow(matrix, "row string, at int, matrix binary").groupBy("row").applyInArrow(states, "row string, at int, entry int, leave int")
 
     def trace(batches):
-        own = held(run, Pieces, model)
+        own = held(run, Pieces, model, cached)
         for b in batches:
             ids = []
             for at, body, after, entry, leave in zip(*(b[c] for c in ("at", "body", "after", "entry", "leave")), strict=True):  # a text at a time
@@ -293,9 +295,11 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return own.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1("text"), F.length("text").cast("string")).alias("row"), "doc_id", "text")
 
 
-def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK, cached: int = CACHED) -> DataFrame:
     """doc_id, n_chars, n_tokens, chunks, ids_crc32, decoded_sha256, round_trip of each document: encoded, then decoded.
 
+    cached: how many stretches a Python worker remembers, about 170 bytes each.
+
     Long documents that repeat as whole rows are encoded once and counted.
     """
     rows = with_rows(docs)
@@ -303,10 +307,10 @@ def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     copies = long_.groupBy("row").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     once = durable(copies, "long-documents")
     run = new_run()
-    out = encoded(rows.filter(F.length("text") <= chunk).unionByName(once.select("row", "doc_id", "text")), model, chunk, run)
+    out = encoded(rows.filter(F.length("text") <= chunk).unionByName(once.select("row", "doc_id", "text")), model, chunk, run, cached)
 
     def decode(batches):
-        own = held(run, Pieces, model)
+        own = held(run, Pieces, model, cached)
         for b in batches:
             got = []
             for ids in b["ids"].to_pylist():
