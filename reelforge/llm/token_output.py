@@ -66,14 +66,15 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Encodes pieces that are a blank and letters as one text, which the pre-tokenizer cuts into them again; others one by one."""
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        self.known.update(zip(others, self._library(others), strict=True))
+        if len(words) < len(pieces):
+            others = list(pieces.difference(words))
+            self.known.update(zip(others, self._library(others), strict=True))
         if words:
-            ids = np.frombuffer(self._library(["".join(words)])[0], "<u4")
-            ends = np.cumsum([len(p.encode()) for p in words])
-            cuts = [0, *np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right").tolist()]
-            for i, p in enumerate(words):
-                self.known[p] = ids[cuts[i] : cuts[i + 1]].tobytes()
+            text = "".join(words)
+            raw = self._library([text])[0]
+            ends = np.cumsum([*map(len, words if text.isascii() else map(str.encode, words))])
+            cuts = (4 * np.searchsorted(np.cumsum(self.widths[np.frombuffer(raw, "<u4")]), ends, side="right")).tolist()
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
