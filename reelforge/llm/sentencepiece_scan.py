@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from reelforge.llm.shared import drop_durable, durable, held, new_run, partitions_for
 
-CHUNK = 16_384
+CHUNK = 65_536
 CACHED = 450_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
