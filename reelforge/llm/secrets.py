@@ -4,7 +4,8 @@ Each rule's regex becomes a Thompson NFA; subset construction with ordered state
 automaton, which starts over by itself after a match; the product of all rules' automata is minimised and laid out as
 one transition array over bytes. A text is scanned once, all rules together; where a match ends, a reverse automaton of
 its rule finds the start. A rule may name a form of its match that is too short to report: such matches are consumed,
-as a regex search would, and dropped.
+as a regex search would, and dropped. A rule may also name what follows its match and belongs to the secret, as a key's
+body follows its first line.
 
 Cases: null counts as empty text; spans are in code points of the text, end exclusive; repeated rows give equal rows;
 extra columns are not read by scanned() and kept by redacted(); an empty table gives no rows.
@@ -13,6 +14,7 @@ extra columns are not read by scanned() and kept by redacted(); an empty table g
 from __future__ import annotations
 
 import hashlib
+import re
 import re._constants as c
 import re._parser as parser
 from collections.abc import Iterator
@@ -28,23 +30,36 @@ from reelforge.llm.shared import held, new_run
 
 @dataclass(frozen=True)
 class Rule:
-    """good and short: regexes of matches to report and to consume alone, after the common head; good comes first."""
+    """good and short: regexes of matches to report and to consume alone, after the common head; good comes first.
+
+    rest: a regex of re, matched where a good match ends; the span then ends where rest does. It holds no match of the rule.
+    """
 
     name: str
     head: str
     good: str
     short: str = ""
     base: bool = False
+    rest: str = ""
 
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
+# A private key up to its last line, whatever lies between unless another block begins; where the last line is missing,
+# the lines of base64 that follow, also quoted or with line ends written as escapes.
+_BEGIN, _CLOSE = "(?:-----|---- )BEGIN (?:[A-Z0-9]+ )*", "PRIVATE KEY(?: BLOCK)?(?:-----| ----)"
+_BETWEEN, _BASE64 = r"""(?:[\s"'`,;>#*|+]|\\+[nrt])++""", "[A-Za-z0-9+/=]"
+_WHOLE = r"(?:(?!-----BEGIN |---- BEGIN )[\s\S])*?(?:-----|---- )END (?:[A-Z0-9]+ )*" + _CLOSE
+_CUT = (
+    rf"(?:{_BETWEEN}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|Subject): [^\r\n\\]*+)*+"
+    rf"(?:(?:{_BETWEEN}{_BASE64}{{16,}}+)++(?:{_BETWEEN}{_BASE64}++(?=[ \t]*(?:[\r\n\\\"']|\Z))){{0,2}}+|{_BETWEEN}{_BASE64}++(?=\s*\Z))?"
+)
 # Fixed forms that the scan's contract names, then those of some issuers' published token formats.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", _VALUE + "{8,}", _VALUE + "{1,7}", True),
     Rule("access", "AKIA", "[A-Z0-9]{12,}", "[A-Z0-9]{1,11}", True),
     Rule("hex", "", "[0-9a-f]{32,}", "[0-9a-f]{1,31}", True),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]{10,}", "[A-Za-z0-9-]{1,9}"),
-    Rule("pem", "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", ""),
+    Rule("pem", _BEGIN + _CLOSE, "", rest=f"{_WHOLE}|{_CUT}"),
 )
 
 
@@ -213,6 +228,7 @@ class Automaton:
                 self.table.append(to)
         self.start, self.last = block[0] << 8, [last[lead[k]] for k in range(self.size)]
         self.back = [Backwards(r) for r in rules]
+        self.rest = [re.compile(r.rest.encode()) if r.rest else None for r in rules]
 
     @staticmethod
     def _numbered(keys: list) -> list[int]:
@@ -237,7 +253,8 @@ class Automaton:
         out, free = [], [0] * len(self.rules)
         for end, rule, event in self.ends(data):
             if event == 2:
-                out.append((self.back[rule].start(data, end, free[rule]), rule, end))
+                more = self.rest[rule] and self.rest[rule].match(data, end)
+                out.append((self.back[rule].start(data, end, free[rule]), rule, more.end() if more else end))
             free[rule] = end
         return sorted(out)
 

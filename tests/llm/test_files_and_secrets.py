@@ -129,6 +129,30 @@ def test_secrets_minimised_and_redacted(spark):
     assert got[0].size == "clash"
 
 
+def test_private_keys_are_taken_whole(spark):
+    lines = [hashlib.sha512(bytes([i])).hexdigest().translate(str.maketrans("0123", "+/Zz"))[:64] for i in range(5)] + ["Qx7="]
+    for label in ("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", "SSH2 ENCRYPTED "):
+        key = "\n".join([f"-----BEGIN {label}PRIVATE KEY-----", *lines, f"-----END {label}PRIVATE KEY-----"])
+        for form in (key, key.replace("\n", "\r\n"), key.replace("\n", "\\n"), key.replace("\n", " "), key.replace("\n", "\n> ")):
+            assert secrets.redact(f"é a {form} b") == "é a [pem] b"
+            assert secrets.find(f"é a {form} b")[0] == (4, 4, 4 + len(form))
+    pgp = "\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *lines, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"])
+    old = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, "-----END RSA PRIVATE KEY-----"])
+    ssh = "\n".join(["---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----", "Comment: x", *lines, "---- END SSH2 ENCRYPTED PRIVATE KEY ----"])
+    for key in (pgp, old, ssh):
+        assert secrets.redact(f"a\n{key}\nb") == "a\n[pem]\nb"
+        # Keys that are cut off lose the lines that are there, and no word of the text behind them.
+        assert secrets.redact("\n".join([*key.split("\n")[:-1], "", "some words follow"])) == "[pem]\n\nsome words follow"
+        assert secrets.redact(key[: len(key) // 2]) == "[pem]"
+        assert secrets.redact(f"{key}\n{key}") == "[pem]\n[pem]"
+        assert secrets.redact("\n".join(key.split("\n")[:-1]) + f"\n{key} b") == "[pem]\n[pem] b"
+    assert secrets.redact("-----BEGIN PRIVATE KEY----- is how one starts") == "[pem] is how one starts"
+    public = "\n".join(["-----BEGIN PUBLIC KEY-----", "zz" * 30, "-----END PUBLIC KEY-----"])
+    assert secrets.redact(public) == public
+    got = secrets.scanned(frame(spark, [(1, f"x {old} y")])).collect()[0]
+    assert f"pem:2:{2 + len(old)}" in got.spans.split(",")
+
+
 def test_shards_are_even_and_gapless(spark):
     rows = [(i, "x" * (i * 37 % 900)) for i in range(3000)] + [(None, None)] * 50 + [(1, "same")] * 70
     got = sharding.shard_documents(frame(spark, rows), slots=1024).toPandas()
