@@ -114,6 +114,14 @@ def alias_signatures(spark, d):
 ALIAS_SIGNATURES = PROGRESS + ", s AS (SELECT profile, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM p WHERE percent > 200 GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, titles FROM s GROUP BY titles"
 
 
+def alias_signatures_all(spark, d):
+    p = progress(spark, d).select("profile", F.concat_ws("-", "title", F.least(F.floor(F.col("percent") / 100), F.lit(2)).cast("string")).alias("entry"))
+    return R.by_signature(p, "profile", ["entry"]).select(F.array_join(F.col("aliases").cast("array<string>"), ",").alias("aliases"), F.array_join("entries.entry", ",").alias("entries"))
+
+
+ALIAS_SIGNATURES_ALL = PROGRESS + ", e AS (SELECT profile, title || '-' || least(floor(percent / 100)::INT, 2) AS entry FROM p), s AS (SELECT profile, string_agg(DISTINCT entry, ',' ORDER BY entry) AS entries FROM e GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, entries FROM s GROUP BY entries"
+
+
 def write_receipts(spark, d):
     li = table(spark, d, "lineitem")
     return R.receipt(li, li.filter("l_quantity > 25"), "l_returnflag", "l_orderkey")
@@ -232,6 +240,7 @@ QUERIES = {
     "throughput_estimates": (throughput_estimates, THROUGHPUT),
     "nested_storage": (nested_storage, NESTED_STORAGE),
     "alias_signatures": (alias_signatures, ALIAS_SIGNATURES),
+    "alias_signatures_all": (alias_signatures_all, ALIAS_SIGNATURES_ALL),
     "write_receipts": (write_receipts, WRITE_RECEIPTS),
     "regional_ratings": (regional_ratings, REGIONAL),
     "image_choice": (image_choice, IMAGE_CHOICE),

@@ -46,3 +46,16 @@ def test_equals_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SMALL).count() > 0
+
+
+def test_signatures_are_of_whole_profiles(spark):
+    d = "/root/testdata/sf0.01"
+    entries: dict = {}
+    for r in spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "value").collect():
+        entries.setdefault(r.user_id, set()).add(f"{r.event_type}-{min(int(r.value // 100), 2)}")
+    groups: dict = {}
+    for user, own in entries.items():
+        groups.setdefault(",".join(sorted(own)), []).append(user)
+    got = {r.entries: r.aliases for r in registry.queries()["alias_signatures_all"](spark, d).collect()}
+    assert got == {k: ",".join(map(str, sorted(v))) for k, v in groups.items()}
+    assert 1 < len(groups) < len(entries)
