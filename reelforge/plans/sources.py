@@ -200,6 +200,17 @@ def unique_file_match(spark, d):
 UNIQUE_MATCH = "WITH c AS (SELECT * FROM customer WHERE c_acctbal > 9700), u AS (SELECT c_nationkey, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey)) AS c_custkey FROM supplier"
 
 
+def unique_file_match_all(spark, d):
+    s, k = table(spark, d, "supplier"), F.col("c_custkey")
+    s = s.select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 12).alias("shelf"), (F.col("s_suppkey") % 9).alias("name"))
+    # Each shelf of a nation has half the files of the one before, so that some have many, some one and some none.
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.bit_count(k.bitwiseAND(-k) - 1).cast("long").alias("shelf"), (k % 9).alias("name"))
+    return R.unique_match(s, c, ["nation", "shelf"], "name", "s_suppkey", "c_custkey")
+
+
+UNIQUE_MATCH_ALL = "WITH c AS (SELECT *, bit_count((c_custkey & -c_custkey) - 1) AS shelf FROM customer), u AS (SELECT c_nationkey, shelf, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND shelf = s_suppkey % 12 AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey AND u.shelf = s_suppkey % 12)) AS c_custkey FROM supplier"
+
+
 def word_anchors(spark, d):
     p = progress(spark, d)
     side = lambda m: p.filter(f"event_id % 2 = {m}").select("profile", F.concat("title", (F.floor(F.col("event_id") / 2) % 4).cast("string")).alias("word"), F.col("stamp").alias("at"))
@@ -250,6 +261,7 @@ QUERIES = {
     "seeded_sample": (seeded_sample, SEEDED),
     "availability": (availability, AVAILABILITY),
     "unique_file_match": (unique_file_match, UNIQUE_MATCH),
+    "unique_file_match_all": (unique_file_match_all, UNIQUE_MATCH_ALL),
     "word_anchors": (word_anchors, WORD_ANCHORS),
     "timing_classes": (timing_classes, TIMING_CLASSES),
     "repeated_writes": (repeated_writes, None),

@@ -59,3 +59,19 @@ def test_signatures_are_of_whole_profiles(spark):
     got = {r.entries: r.aliases for r in registry.queries()["alias_signatures_all"](spark, d).collect()}
     assert got == {k: ",".join(map(str, sorted(v))) for k, v in groups.items()}
     assert 1 < len(groups) < len(entries)
+
+
+def test_files_are_matched_among_all_customers(spark):
+    d = "/root/testdata/sf0.01"
+    shelves: dict = {}
+    for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey").collect():
+        k = r.c_custkey
+        shelves.setdefault((r.c_nationkey, (k & -k).bit_length() - 1), []).append(k)
+    want, kinds = {}, set()
+    for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey").collect():
+        files = shelves.get((r.s_nationkey, r.s_suppkey % 12), [])
+        exact = [k for k in files if k % 9 == r.s_suppkey % 9]
+        want[r.s_suppkey] = min(exact) if exact else files[0] if len(files) == 1 else None
+        kinds.add("exact" if exact else ["none", "only", "ambiguous"][min(len(files), 2)])
+    assert {r.s_suppkey: r.c_custkey for r in registry.queries()["unique_file_match_all"](spark, d).collect()} == want
+    assert kinds == {"exact", "only", "ambiguous", "none"}
