@@ -11,15 +11,16 @@ none is emitted that is no link. A link needs a weighted Jaccard similarity of T
 Texts with the same words are one class from the start.
 
 Cases: null and wordless texts link with nothing; a text of fewer than five words has one shingle; null ids link with
-nothing; repeated rows and equal ids are handled by row; an empty table gives no rows; other columns are not read by
-grouped() and kept by deduplicated() under any names.
+nothing; different texts of one id are documents of their own, named by the id and a hash of the text; repeated rows are
+one document; an empty table gives no rows; other columns are not read by grouped() and kept by deduplicated() under any
+names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelforge.llm.shared import connected_components, drop_durable, durable, held, new_run, summed_vectors, vector_rows
@@ -133,7 +134,7 @@ class Sampler:
 
 
 def signed(docs: DataFrame, idf: Idf) -> DataFrame:
-    """id, two halves of the key of its words, and samples, of each document with an id and a word."""
+    """id, hash of the text, two halves of the key of its words, and samples, of each document with an id and a word."""
 
     run = new_run()
 
@@ -141,16 +142,16 @@ def signed(docs: DataFrame, idf: Idf) -> DataFrame:
         sampler = held(run, Sampler)
         for b in batches:
             rows = []
-            for i, text in zip(b["id"], b["text"], strict=True):
+            for i, h, text in zip(b["id"], b["h"], b["text"], strict=True):
                 words = word_hashes(text.as_py())
                 if len(words) and i.as_py() is not None:
                     shingles, counts = np.unique(shingle_hashes(words, SHINGLE), return_counts=True)
-                    rows.append((i.as_py(), *sequence_key(words), sampler(shingles, counts * idf(shingles))))
-            flat = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.int32)
+                    rows.append((i.as_py(), h.as_py(), *sequence_key(words), sampler(shingles, counts * idf(shingles))))
+            flat = np.concatenate([r[4] for r in rows]) if rows else np.empty(0, np.int32)
             samples = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SAMPLES, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.record_batch([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(3)), samples], names=["id", "k1", "k2", "samples"])
+            yield pa.record_batch([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(4)), samples], names=["id", "h", "k1", "k2", "samples"])
 
-    return docs.mapInArrow(sign, "id long, k1 long, k2 long, samples array<int>")
+    return docs.mapInArrow(sign, "id long, h long, k1 long, k2 long, samples array<int>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf) -> float:
@@ -178,15 +179,15 @@ def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and weighted set of the wanted ids' documents. Few ids go to the documents; many meet them in a shuffle."""
+    """rep and weighted set of the wanted classes (rep, id, h). Few go to the documents; many meet them in a shuffle."""
     few = wanted.count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    own = docs.join(F.broadcast(wanted) if few else wanted, ["id", "h"]).select("rep", "text")
 
     def make(batches):
         for b in batches:
-            yield pa.record_batch([b["id"], pa.array([_packed(*weighted_set(t.as_py())) for t in b["text"]], pa.binary())], names=["id", "set"])
+            yield pa.record_batch([b["rep"], pa.array([_packed(*weighted_set(t.as_py())) for t in b["text"]], pa.binary())], names=["rep", "set"])
 
-    return own.mapInArrow(make, "id long, set binary").dropDuplicates(["id"])
+    return own.mapInArrow(make, "rep long, set binary").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, idf: Idf) -> DataFrame:
@@ -197,8 +198,8 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Idf) -> DataFrame:
             keep = [similarity(_unpacked(x.as_py()), _unpacked(y.as_py()), idf) >= THRESHOLD for x, y in zip(b["set_a"], b["set_b"], strict=True)]
             yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+    both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
@@ -210,7 +211,7 @@ def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
-    """Verified links (a, b) between classes (rep, samples): all pairs of a bucket that no chain of links joins are compared."""
+    """Verified links (a, b) between classes (rep, id, h, samples): all pairs of a bucket that no chain of links joins are compared."""
     band = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), *(F.get("samples", F.lit(i * ROWS + j)) for j in range(ROWS))).alias("key")) for i in range(BANDS)]
     cells = classes.select("rep", F.explode(F.array(*band)).alias("c")).select("rep", "c.band", F.xxhash64("c.band", "c.key").alias("bucket"))
     sizes = cells.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -221,7 +222,8 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
     lead = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
     first = members.join(lead, "bucket").filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     pairs = durable(likely(first, samples), "pairs")
-    sets = durable(set_table(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
+    named = classes.select("rep", "id", "h")
+    sets = durable(set_table(docs, named.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi")), "sets")
     found = durable(verified(pairs, sets, idf), "links")
     drop_durable(pairs, sets)
     # Buckets that several groups still share: their pairs across groups are compared in cells of two blocks of members.
@@ -229,7 +231,7 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
     state = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = state.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     open_ = durable(state.join(mixed, "bucket").select("bucket", "blocks", "band", "rep", "component"), "open")
-    sets = durable(set_table(docs, open_.select(F.col("rep").alias("id")).distinct()).join(samples, F.col("id") == F.col("rep")).select("rep", "set", "samples"), "sets")
+    sets = durable(set_table(docs, named.join(open_.select("rep").distinct(), "rep", "left_semi")).join(samples.select("rep", "samples"), "rep"), "sets")
     dealt = open_.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = each.select("bucket", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rep", "component", "samples", "set")
@@ -280,41 +282,48 @@ def cell_links(reps, components, samples, sets, block, band: int, first: int, se
     return out
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    """What names a document of docs: id and h, a hash of its text."""
+    return [docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("h")]
+
+
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of its group, itself included), kept (one row of each group), of every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    """id, h, component_id (smallest id of its group, itself included), first (one document of each group), of every document."""
+    own = docs.select(*_named(docs), F.col("text").cast("string").alias("text"))
     idf = fitted_idf(own)
     signs = durable(signed(own, idf), "samples")
-    classes = durable(signs.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min_by("samples", "id").alias("samples")), "classes")
-    # An id may stand for several texts; they are then one group.
-    found = links(own, classes.groupBy("rep").agg(F.first("samples").alias("samples")), idf)
-    same = signs.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep").distinct()
-    split = same.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    groups = connected_components(found.unionByName(split), "a", "b")
-    named = same.groupBy("id").agg(F.min("rep").alias("rep")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = named.select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component_id"))
-    return durable(out, "groups")
+    least = signs.groupBy("k1", "k2").agg(F.min(F.struct("id", "h")).alias("m"), F.min_by("samples", F.struct("id", "h")).alias("samples"))
+    # Numbers, as an id may stand for several classes; they hold once they are written.
+    classes = durable(least.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "m.id", "m.h", "samples"), "classes")
+    found = links(own, classes, idf)
+    groups = connected_components(found, "a", "b")
+    of = classes.select("rep", "k1", "k2", F.struct("id", "h").alias("m")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = of.join(of.groupBy("component").agg(F.min("m").alias("top")), "component").select("k1", "k2", "top")
+    rows = signs.select("id", "h", "k1", "k2").distinct().join(named, ["k1", "k2"])
+    return durable(rows.select("id", "h", F.col("top.id").alias("component_id"), (F.struct("id", "h") == F.col("top")).alias("first")), "groups")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id, kept of every row; documents without words or id are groups of their own."""
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
-    named = rows.join(grouped(docs), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    each = named.select("doc_id", "component_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return each.select("doc_id", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")) & (F.col("copy") == 1)).alias("kept"))
+    rows = docs.select(*_named(docs)).groupBy("id", "h").agg(F.count("*").alias("n"))
+    named = rows.join(grouped(docs), ["id", "h"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    each = named.select(F.col("id").alias("doc_id"), "component_id", "first", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    return each.select("doc_id", "component_id", (F.col("doc_id").isNull() | F.coalesce("first", F.lit(True)) & (F.col("copy") == 1)).alias("kept"))
 
 
-def _without(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs without, or only with, some ids; a checked few of them are broadcast."""
-    named = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, docs["doc_id"].cast("long") == F.col("__id"), how)
+def _without(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """docs without, or only with, some documents (id, h); a checked few of them are broadcast."""
+    few, (i, h) = names.count() <= BROADCAST_IDS, _named(docs)
+    named = names.select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    return docs.join(F.broadcast(named) if few else named, (i == F.col("__id")) & (h == F.col("__h")), how)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of its smallest id; all columns stay. Of rows with that id, the first by text stays."""
-    kept = _without(docs, grouped(docs).filter("doc_id <> component_id"), "left_anti")
-    twice = durable(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    """One document of each group, the first by id; all columns stay. Of its rows one stays."""
+    kept = _without(docs, grouped(docs).filter("not first"), "left_anti")
+    twice = durable(docs.select(*_named(docs)).groupBy("id", "h").count().filter("count > 1 and id is not null").select("id", "h"), "repeated")
     if not twice.limit(1).count():
         return kept
-    rows = _without(kept, twice, "left_semi").withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    rows = _without(kept, twice, "left_semi")
+    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*_named(rows)).orderBy("text")))
     return _without(kept, twice, "left_anti").unionByName(rows.filter("__at = 1").drop("__at"))

@@ -140,6 +140,21 @@ def test_minhash_groups_equal_brute_force(spark):
     assert minhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_minhash_takes_each_text_of_an_id(spark):
+    pick = random.Random(12)
+    a, b, c = (" ".join(pick.choices(VOCABULARY, k=60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, c), (2, a + " more"), (3, b + " more"), (4, c.upper()), (1, c), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, False), *[(1, 1, True)] * 3, (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True)]
+    kept = minhash.deduplicated(docs).collect()
+    assert sorted((r.doc_id, r.text or "-") for r in kept) == sorted([(1, a), (1, b), (1, c), (5, "-"), (5, "-")])
+    # Texts of one id that are near each other are one group, of which one stays.
+    near = spark.createDataFrame([(1, a), (1, a + " more"), (1, b), (2, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept) for r in minhash.near_duplicates(near).collect()) == [(1, False), (1, True), (1, True), (2, False)]
+    assert minhash.deduplicated(near).count() == 2
+
+
 def test_minhash_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(corpus(9))), "doc_id long, text string")
     want = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
