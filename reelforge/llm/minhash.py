@@ -27,7 +27,7 @@ from reelforge.llm.shared import connected_components, drop_durable, durable, he
 from reelforge.llm.words import mix, sequence_key, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 24, 5  # an isolated pair at THRESHOLD shares no band once in about 13,700 times
 SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 18
 COMMON = 0.01
