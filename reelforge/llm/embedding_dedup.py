@@ -8,8 +8,9 @@ and a spanning forest of their links, not pairs. Equal vectors are one class wit
 
 The number of pivots grows with the number of vectors up to MOST_PIVOTS, so lists keep their length until then.
 
-Cases: null, zero and non-finite vectors, those with null components and those of another length than most link with
-nothing; null ids link with nothing and are returned once per row; equal ids are one vector each for its own value;
+Vectors of each length have an index of their own.
+
+Cases: null, zero and non-finite vectors and those with null components link with nothing; null ids link with nothing and are returned once per row; equal ids are one vector each for its own value;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -39,9 +40,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     value = F.col("embedding").cast("array<double>")
     own = vectors.select(F.col("vec_id").cast("long").alias("id"), value.alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = own.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
-    grouped = fine.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    sizes = grouped.groupBy(F.size("v").alias("d")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return grouped.filter(F.size("v") == (sizes[0].d if sizes else 0)).select("rep", "n", "v")
+    return fine.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v")
 
 
 def pivots_of(classes: DataFrame, count: int) -> np.ndarray:
@@ -138,19 +137,24 @@ def linked(index: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     classes = durable(classes_of(vectors), "vectors")
-    count = classes.count()
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    if count:
-        found = durable(linked(described(classes, pivots_of(classes, count))), "links")
-        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        groups = connected_components(found, "rep", "parent")
-        named = classes.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        out = out.join(named, "v", "left")
-        out = durable(_finished(out.withColumn("linked", F.col("vec_id").isNotNull() & F.col("n_links").isNotNull())), "classes")
-        drop_durable(found, groups, classes)
-        return out
-    return _finished(out.select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("linked")))
+    size = F.size("v")
+    lengths = classes.groupBy(size.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    # A vector that is the only one of its length links with its copies alone.
+    named = classes.filter(size.isin([r.d for r in lengths if r.n == 1])).select("v", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    made = [classes]
+    for r in lengths:
+        if r.n > 1:
+            own = classes.filter(size == r.d)
+            found = durable(linked(described(own, pivots_of(own, r.n))), "links")
+            links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+            groups = connected_components(found, "rep", "parent")
+            more = own.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            named = named.unionByName(more.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+            made += [found, groups]
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).join(named, "v", "left")
+    out = durable(_finished(out.withColumn("linked", F.col("vec_id").isNotNull() & F.col("n_links").isNotNull())), "classes")
+    drop_durable(*made)
+    return out
 
 
 def _finished(rows: DataFrame) -> DataFrame:

@@ -91,6 +91,23 @@ def test_embedding_blocks_and_empty(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_each_length_are_linked(spark):
+    rng = np.random.default_rng(8)
+    rows, at = [], 0
+    for d, n in ((16, 30), (8, 12), (5, 1), (3, 1)):
+        base = rng.normal(size=d)
+        base /= np.linalg.norm(base)
+        rows += [(at + i, [float(v) for v in near(base, rng.uniform(0, 20), rng)]) for i in range(n)]
+        at += 100
+    rows += [(290, rows[-2][1]), (100, rows[0][1])]  # a copy, and an id of two lengths
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = []
+    for i, v in rows:
+        same = [(j, u) for j, u in rows if len(u) == len(v) and np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v) >= 0.9]
+        want.append((i, len(same) - 1, min(j for j, _ in same)))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
+
+
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
 
