@@ -6,7 +6,7 @@ A shard file holds one frame per document, in order of id, each the document's t
 reader of one document reads the two tables and that document's frame alone.
 
 Cases: a null text counts as empty and holds the end id alone; a null id sorts first and is kept; rows with equal ids
-are kept, ordered by text; an empty table gives no rows and a manifest without shards; other columns are not read.
+are kept, ordered by the first 64 characters of their text and then by a hash of it; an empty table gives no rows and a manifest without shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -28,90 +28,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelforge.llm.files import committed, open_fs, put_json
-from reelforge.llm.shared import durable, fresh_path, held, new_run, partitions_for
+from reelforge.llm.shared import drop_durable, durable, fresh_path, held, new_run, partitions_for
 
 # Fixed values of zstandard's seekable format and of this file's own skippable frame.
 SEEK_SKIPPABLE, IDS_SKIPPABLE, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)  # a null id in the table of ids
 END_ID = 2
-CACHED_PIECES = 750_000
+STRETCHES = 4096  # distinct stretches that the library gets as one text
+BATCH_BYTES = 8 << 20  # of texts whose stretches are made distinct together
+SHARD_BYTES = 256 << 20  # of frames, after which a task rolls over to its next file
+# White space by Unicode and by Python, in the classes of RE2; texts in which a blank stands beside white space or an edge.
+_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = f"^$|^{_SPACE}|{_SPACE}$| {_SPACE}|{_SPACE} "
+BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class Encoder:
     """Token ids of whole texts by a byte-level BPE file of the tokenizers library, as bytes of 32-bit integers.
 
-    The file's model merges nothing across the pieces its pre-tokenizer cuts, so a text's ids are those of its pieces
-    in order. Each distinct piece goes through the library once while it stays in a bounded cache; texts that hold a
-    special token's string go through it whole.
+    The library merges nothing across a single blank between two visible characters, so a text's ids are those of its
+    stretches between such blanks, in order. Each distinct stretch of a batch goes through the library once, many in
+    one text; the first stretch of a text, which no blank leads, and what else a text's edges change go through it alone.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # The published split pattern of byte-level BPE: a fixed value.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        # The same pattern in the classes of re, for texts without a character that the two sort differently.
-        self.quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile(f"[{_differing()}]").search
-        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])  # a byte-level token has a character per byte
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encodes pieces that are a blank and letters as one text, which the pre-tokenizer cuts into them again; others one by one."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if len(words) < len(pieces):
-            others = list(pieces.difference(words))
-            self.known.update(zip(others, self._library(others), strict=True))
-        if words:
-            text = "".join(words)
-            raw = self._library([text])[0]
-            ends = np.cumsum([*map(len, words if text.isascii() else map(str.encode, words))])
-            cuts = (4 * np.searchsorted(np.cumsum(self.widths[np.frombuffer(raw, "<u4")]), ends, side="right")).tolist()
-            self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        # A byte-level token has a character per byte, so ids say how many bytes of a text they stand for.
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.whole = any(" " in t.content or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stretches(self, distinct: pa.Array) -> pa.Array:
+        """Ids of each stretch, led by a blank, as large binaries."""
+        n = len(distinct)
+        groups = np.append(np.arange(0, n, STRETCHES), n)
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(groups, pa.int64()), distinct), pa.scalar(" ", distinct.type))
+        ids = [self.library([f" {t}"])[0] for t in texts.to_pylist()]  # a text at a time, for their memory
+        ids = np.concatenate(ids) if ids else np.empty(0, "<u4")
+        ends = np.cumsum(np.asarray(pc.binary_length(distinct), np.int64) + 1)
+        cuts = 4 * np.searchsorted(np.cumsum(self.widths[ids]), ends, side="right")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, cuts).astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._library([text])[0]
-        pieces, known = (self.pieces if self.odd(text) else self.quick)(text), self.known
-        if new := set(pieces).difference(known):
-            if len(known) > CACHED_PIECES:
-                known.clear()
-                new = set(pieces)
-            self._learn(new)
-        return b"".join(map(known.__getitem__, pieces))
-
-
-@cache
-def _differing() -> str:
-    """The characters, for a class of re, that re and Unicode's properties sort differently into letters, numbers and blanks."""
-    blank = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}  # White_Space: fixed values
-    kinds = {"L": 1, "N": 2}
-    out = []
-    for c in range(0x10000):
-        ch = chr(c)
-        own = 3 if ch.isspace() else 2 if ch.isdecimal() else 1 if ch.isalnum() else 0
-        if own != (3 if c in blank else kinds.get(unicodedata.category(ch)[0], 0)):
-            out.append(f"\\u{c:04x}")
-    return "".join(out) + "\U00010000-\U0010ffff"  # all beyond the first plane, which keeps the class a bitmap
-
-
-def write_shard(url: str, documents: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
-    """Writes a shard; returns its documents and tokens."""
-    pack, ids, table, tokens = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True), [], [], 0
+        return self.encoded(pa.array([text]))[0]
+
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; none is null."""
+        texts = texts.cast(pa.large_string())
+        if self.whole:
+            return [x.tobytes() for t in texts.to_pylist() for x in self.library([t])]
+        odd = np.asarray(pc.match_substring_regex(texts, ODD))
+        parts = pc.split_pattern(texts, " ")
+        tails = [""] * len(texts)
+        if odd.any():  # cut by the longer rule; their last stretch depends on the text's end
+            lists = parts.to_pylist()
+            for i in np.flatnonzero(odd).tolist():
+                lists[i] = BETWEEN(texts[i].as_py())
+                if len(lists[i]) > 1:
+                    tails[i] = " " + lists[i].pop()
+            parts = pa.array(lists, pa.large_list(pa.large_string()))
+        heads = self.library(pc.list_element(parts, 0).to_pylist())
+        ends = self.library(tails)
+        at = np.asarray(parts.offsets, np.int64)
+        own = parts.flatten().dictionary_encode()
+        taken = self.stretches(own.dictionary).take(own.indices)
+        _, offsets, data = taken.buffers()
+        where = np.frombuffer(offsets, "<i8")[taken.offset :]
+        data = memoryview(data or b"")
+        return [b"".join((head.tobytes(), data[where[a + 1] : where[b]], tail.tobytes())) for head, tail, a, b in zip(heads, ends, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together until they hold about so many bytes: more of a batch's stretches are then equal."""
+    held_, n = [], 0
+    for b in batches:
+        held_.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held_)
+            held_, n = [], 0
+    if held_:
+        yield pa.Table.from_batches(held_)
+
+
+def write_shard(url: str, documents: Iterable[tuple[int | None, bytes]], most: int = SHARD_BYTES) -> tuple[int, int]:
+    """Writes documents until the shard's frames hold `most` bytes; returns how many it took and their tokens."""
+    pack, ids, table, tokens, size = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True), [], [], 0, 0
     with committed(url) as out:
-        for doc_id, content in documents:
+        for doc_id, content in documents:  # a list or an iterator that the next shard goes on with
             frame = pack.compress(content)
             out.write(frame)
             ids.append(NO_ID if doc_id is None else doc_id)
             table.append(struct.pack("<III", len(frame), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
             tokens += len(content) // 4
+            size += len(frame)
+            if size >= most:
+                break
         body = np.asarray(ids, "<i8").tobytes()
         out.write(struct.pack("<II", IDS_SKIPPABLE, len(body)) + body)
         body = b"".join(table) + struct.pack("<IBI", len(table), CHECKSUMS, SEEK_MAGIC)
@@ -154,34 +171,40 @@ def read_documents(url: str, doc_ids: Iterable[int]) -> dict[int, np.ndarray]:
         return {int(ids[i]): np.frombuffer(x, "<u4") for i, x in zip(at, frames(f, at, offsets, table), strict=True)}
 
 
-def write_tokens(docs: DataFrame, url: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
-    """Writes docs (doc_id, text) under url in ascending id; returns the manifest (shard, url, docs, tokens, start)."""
+def write_tokens(docs: DataFrame, url: str, tokenizer: str, end_id: int = END_ID, parts: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes docs (doc_id, text) under url in ascending id; returns the manifest (shard, url, docs, tokens, start).
+
+    Ranges are cut by id, then text, then row, so that rows of one id, or of none, are no single task's; each range
+    rolls its files by size.
+    """
     spark = docs.sparkSession
-    n, end, run = shards or partitions_for(spark), struct.pack("<I", end_id), new_run()
+    n, end, run = parts or partitions_for(spark), struct.pack("<I", end_id), new_run()
 
     def write(batches):
-        shard = TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
 
         def documents():
             own = held(run, Encoder, tokenizer)
-            for b in batches:
-                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                    yield doc_id.as_py(), own.encode(text.as_py() or "") + end
-
-        out = f"{url}/shard-{shard:06d}.zst"
-        rows = documents()
-        first = next(rows, None)
-        if first is None:
-            return
-        done, tokens = write_shard(out, (x for part in ([first], rows) for x in part))
-        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([out]), pa.array([done], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "url", "docs", "tokens"])
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = durable(ordered.mapInArrow(write, "shard int, url string, docs long, tokens long"), "token-manifest")
+            for t in gathered(batches, BATCH_BYTES):
+                yield from zip(t["doc_id"].to_pylist(), (x + end for x in own.encoded(t["text"].combine_chunks())), strict=True)
+
+        rows, k = documents(), 0
+        while (first := next(rows, None)) is not None:
+            out = f"{url}/shard-{part:06d}-{k:04d}.zst"
+            done, tokens = write_shard(out, chain([first], rows), shard_bytes)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([out]), pa.array([done], pa.int64()), pa.array([tokens], pa.int64())], names=["part", "k", "url", "docs", "tokens"])
+            k += 1
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = own.select("*", F.substring("text", 1, 64).alias("lead"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("lead"), F.col("h"), F.col("row")]
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = durable(ordered.mapInArrow(write, "part int, k int, url string, docs long, tokens long"), "token-manifest")
     found, start = [], 0
-    for r in manifest.orderBy("shard").toLocalIterator():  # a row for each file
-        found.append({"shard": r.shard, "url": r.url, "docs": r.docs, "tokens": r.tokens, "start": start})
+    for r in manifest.orderBy("part", "k").toLocalIterator():  # a row for each file
+        found.append({"shard": len(found), "url": r.url, "docs": r.docs, "tokens": r.tokens, "start": start})
         start += r.tokens
+    drop_durable(manifest)
     put_json(f"{url}/manifest.json", {"end_id": end_id, "shards": found})
     return spark.createDataFrame(found or [], "shard int, url string, docs long, tokens long, start long")
 
