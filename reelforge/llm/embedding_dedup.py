@@ -1,14 +1,18 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Vectors are described by their NEAREST pivots of a bounded sample, in order of cosine. An inverted list holds the
-vectors that name a pivot; pairs that share MIN_SHARED pivots or more are candidates, and are verified by their cosine
-in double precision. A list longer than BLOCK is dealt out in blocks and its pairs in cells of two blocks, so that no
-task holds a list; every pair is verified and counted in the list of its first shared pivot alone. Cells return counts
-and a spanning forest of their links, not pairs. Equal vectors are one class with a count.
+Vectors are described by their nearest pivots of a bounded sample, in order of angle; pivots are at least APART from each
+other, so a dense cluster has few and its members share them. An inverted list holds the vectors that name a pivot.
+Pairs of a list are candidates if they share MIN_SHARED pivots, the nearest pivot of either counting MIN_SHARED times;
+candidates are verified by their cosine in double precision.
 
-The number of pivots grows with the number of vectors up to MOST_PIVOTS, so lists keep their length until then.
+A vector names the pivots within twice the linking angle of its nearest one's, NEAREST at most. By the triangle
+inequality a vector linked to it names its nearest pivot too, so no link of it is lost unless its list was cut at
+NEAREST; with one pivot all pairs are compared, which is the exact mode.
 
-Vectors of each length have an index of their own.
+A list longer than BLOCK is dealt out in blocks and its pairs in cells of two blocks, so that no task holds a list;
+every pair is verified and counted in the list of its smallest shared pivot alone. Cells return counts and a spanning
+forest of their links, not pairs. Equal vectors are one class with a count. The number of pivots grows with the number
+of vectors up to MOST_PIVOTS, so lists keep their length until then. Vectors of each length have an index of their own.
 
 Cases: null, zero and non-finite vectors and those with null components link with nothing; null ids link with nothing and are returned once per row; equal ids are one vector each for its own value;
 an empty table gives no rows; other columns are not read.
@@ -21,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import connected_components, drop_durable, durable
+from reelforge.llm.shared import connected_components, drop_durable, durable, partitions_for
 
 COSINE = 0.9
 NEAREST, MIN_SHARED = 16, 2
+APART = 0.8  # the largest cosine of two pivots
 LIST_LENGTH, LEAST_PIVOTS, MOST_PIVOTS = 640, 64, 8192
+SAMPLE = 4  # vectors looked at for each pivot wanted
 BLOCK = 1024
+BITS = 256  # of the maps by which shared pivots are counted
 SEED = 7
 
 
@@ -43,43 +50,66 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return fine.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v")
 
 
-def pivots_of(classes: DataFrame, count: int) -> np.ndarray:
-    """Unit vectors of the pivots: at most MOST_PIVOTS classes, the same ones each time."""
-    k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, count * NEAREST // LIST_LENGTH), max(1, count)))
-    rows = classes.select("rep", "v").orderBy(F.xxhash64(F.lit(SEED), "v"), "rep").limit(k).collect()
-    x = np.array([r.v for r in rows], np.float64)
-    return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def pivots_of(classes: DataFrame, count: int, most: int = MOST_PIVOTS) -> np.ndarray:
+    """Unit vectors of the pivots, chosen one after another from a sample of the classes, the same each time."""
+    k = int(min(most, max(min(most, LEAST_PIVOTS), count * NEAREST // LIST_LENGTH), max(1, count)))
+    rows = classes.select("rep", "v").orderBy(F.xxhash64(F.lit(SEED), "v"), "rep").limit(SAMPLE * k).collect()
+    x, out = _unit(np.array([r.v for r in rows], np.float64)), []
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        free = (part @ np.array(out).T).max(axis=1) <= APART if out else np.ones(len(part), bool)
+        fresh: list[np.ndarray] = []
+        for u in part[free]:
+            if len(out) + len(fresh) < k and (not fresh or (np.array(fresh) @ u).max() <= APART):
+                fresh.append(u)
+        out += fresh
+    return np.array(out)
 
 
 def described(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """rep, n, unit vector as bytes and the ordered nearest pivots of each class."""
-    k = min(NEAREST, len(pivots))
+    """rep, n, unit vector as bytes and the nearest pivots, nearest first, of each class."""
+    k, reach = min(NEAREST, len(pivots)), 2 * np.arccos(COSINE) + 1e-6
 
     def describe(batches):
         for b in batches:
             if not len(b):
                 continue
-            x = np.asarray(b["v"].flatten()).reshape(len(b), -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(np.asarray(b["v"].flatten()).reshape(len(b), -1))
             for i in range(0, len(x), 1024):
                 u = x[i : i + 1024]
                 cos = u @ pivots.T
                 near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cos, near, axis=1), axis=1, kind="stable"), axis=1)
-                perm = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * k, pa.int32()), pa.array(near.ravel(), pa.int32()))
+                angle = np.arccos(np.clip(np.take_along_axis(cos, near, axis=1), -1, 1))
+                named = angle <= angle[:, :1] + reach
+                perm = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(axis=1))), pa.int32()), pa.array(near[named], pa.int32()))
                 yield pa.record_batch([b["rep"][i : i + 1024], b["n"][i : i + 1024], pa.array([r.tobytes() for r in u], pa.binary()), perm], names=["rep", "n", "unit", "near"])
 
     return classes.mapInArrow(describe, "rep long, n long, unit binary, near array<int>")
 
 
+def _maps(near: np.ndarray) -> np.ndarray:
+    """Each row's pivots as set bits: common bits are at least the shared pivots."""
+    out = np.zeros((len(near), BITS // 64), np.uint64)
+    for column in near.T:
+        at = np.flatnonzero(column >= 0)
+        bit = column[at] % BITS
+        out[at, bit >> 6] |= np.uint64(1) << (bit & 63).astype(np.uint64)
+    return out
+
+
 def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second: int):
     """(rep, links, parent): copies linked to each vector of a cell, and a spanning forest of the cell's links.
 
-    near rows are sorted; a pair counts here if own_pivot is the smallest pivot that both name.
+    near: pivots, nearest first, filled up with -1; a pair counts here if own_pivot is the smallest pivot that both name.
     """
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    links, parent = np.zeros(len(reps), np.int64), np.arange(len(reps))
+    links, parent, maps, home = np.zeros(len(reps), np.int64), np.arange(len(reps)), _maps(near), near[:, 0] == own_pivot
 
     def root(i):
         while parent[i] != i:
@@ -89,19 +119,22 @@ def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second:
 
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        i, j = np.nonzero(units[rows] @ units[right].T >= COSINE - 1e-9)
+        shared = sum(np.bitwise_count(maps[rows, w][:, None] & maps[right, w][None, :]) for w in range(maps.shape[1]))
+        found = (shared >= MIN_SHARED) | home[rows][:, None] | home[right][None, :]
+        if first == second:
+            found &= rows[:, None] < right[None, :]
+        if 16 * np.count_nonzero(found) > found.size:
+            found &= units[rows] @ units[right].T >= COSINE - 1e-9
+        i, j = np.nonzero(found)
         i, j = rows[i], right[j]
-        keep = i < j if first == second else i != j
-        i, j = i[keep], j[keep]
         for part in range(0, len(i), 1 << 15):
             a, b = i[part : part + (1 << 15)], j[part : part + (1 << 15)]
-            same = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            shared = same.sum(axis=1)
-            smallest = np.where(same, near[a], np.iinfo(np.int32).max).min(axis=1)
-            good = (shared >= min(MIN_SHARED, near.shape[1])) & (smallest == own_pivot)
-            a, b = a[good], b[good]
             good = np.einsum("ij,ij->i", units[a], units[b]) >= COSINE
             a, b = a[good], b[good]
+            same = ((near[a][:, :, None] == near[b][:, None, :]) & (near[a] >= 0)[:, :, None]).any(axis=2)
+            smallest = np.where(same, near[a], np.iinfo(np.int32).max).min(axis=1)
+            sure = (same.sum(axis=1) >= MIN_SHARED) | same[:, 0] | (near[b][:, :1] == near[a]).any(axis=1)
+            a, b = a[sure & (smallest == own_pivot)], b[sure & (smallest == own_pivot)]
             np.add.at(links, a, n[b])
             np.add.at(links, b, n[a])
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -117,7 +150,7 @@ def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second:
 
 def linked(index: DataFrame) -> DataFrame:
     """rep, links, parent rows of all cells of all inverted lists."""
-    lists = index.select("rep", "n", "unit", F.array_sort("near").alias("near"), F.explode("near").alias("pivot"))
+    lists = index.select("rep", "n", "unit", "near", F.explode("near").alias("pivot"))
     blocks = {r.pivot: -(-r.c // BLOCK) for r in index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a row for each pivot
     of = F.from_json(F.lit(str([blocks.get(p, 1) for p in range(max(blocks, default=0) + 1)])), "array<int>")
     dealt = lists.withColumn("blocks", F.get(of, "pivot")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -126,7 +159,10 @@ def linked(index: DataFrame) -> DataFrame:
 
     def work(key, t):
         pivot, first, second = (k.as_py() for k in key)
-        near = np.asarray(t["near"].combine_chunks().flatten()).reshape(len(t), -1)
+        column = t["near"].combine_chunks()
+        size = np.diff(np.asarray(column.offsets))
+        near = np.full((len(t), size.max()), -1, np.int32)
+        near[np.arange(size.max()) < size[:, None]] = np.asarray(column.flatten())
         units = _flat(t["unit"].combine_chunks())
         rows = list(cell_links(np.asarray(t["rep"]), np.asarray(t["n"]), units, near, np.asarray(t["block"]), pivot, first, second))
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "parent": pa.array([r[2] for r in rows], pa.int64())})
@@ -134,26 +170,35 @@ def linked(index: DataFrame) -> DataFrame:
     return cells.groupBy("pivot", "first", "second").applyInArrow(work, "rep long, links long, parent long")
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def near_duplicates(vectors: DataFrame, pivots: int = MOST_PIVOTS) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. pivots: the most there may be; 1 compares all pairs."""
     classes = durable(classes_of(vectors), "vectors")
     size = F.size("v")
     lengths = classes.groupBy(size.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
     # A vector that is the only one of its length links with its copies alone.
-    named = classes.filter(size.isin([r.d for r in lengths if r.n == 1])).select("v", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    named = classes.filter(size.isin([r.d for r in lengths if r.n == 1])).select("v", "n", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
     made = [classes]
     for r in lengths:
         if r.n > 1:
             own = classes.filter(size == r.d)
-            found = durable(linked(described(own, pivots_of(own, r.n))), "links")
+            found = durable(linked(described(own, pivots_of(own, r.n, pivots))), "links")
             links = found.groupBy("rep").agg(F.sum("links").alias("links"))
             groups = connected_components(found, "rep", "parent")
             more = own.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            named = named.unionByName(more.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+            named = named.unionByName(more.select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
             made += [found, groups]
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).join(named, "v", "left")
+    named = durable(named, "named")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # A vector with so many copies that a partition would feel them goes to its rows; there are few such.
+    many = F.col("n") > max(1000, (named.agg(F.sum("n")).first()[0] or 0) // (16 * partitions_for(vectors.sparkSession)))
+    hot = named.filter(many).drop("n")
+    if hot.limit(1).count():
+        rest = rows.join(F.broadcast(hot.select("v")), "v", "left_anti").join(named.filter(~many).drop("n"), "v", "left")
+        out = rows.join(F.broadcast(hot), "v").unionByName(rest)
+    else:
+        out = rows.join(named.drop("n"), "v", "left")
     out = durable(_finished(out.withColumn("linked", F.col("vec_id").isNotNull() & F.col("n_links").isNotNull())), "classes")
-    drop_durable(*made)
+    drop_durable(*made, named)
     return out
 
 

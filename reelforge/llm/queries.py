@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": texts.WARC, "op5_secrets": texts.secrets()}
+    return {"op2_embedding_dedup": texts.EMBEDDINGS, "op4_warc": texts.WARC, "op5_secrets": texts.secrets()}

@@ -42,3 +42,25 @@ f AS ({" UNION ALL ".join(parts)}),
 g AS (SELECT doc_id, {base}, {listed} FILTER (kind IN ({names})) AS base, {listed} AS spans FROM f GROUP BY doc_id)
 SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
+
+#: Cosine links of all pairs and their components; vectors that can link with nothing stand alone.
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), fine AS (
+  SELECT rn, vec_id, e FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.rn AS a, b.rn AS b, b.vec_id FROM fine a JOIN fine b
+  ON a.rn <> b.rn AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(rn, vec_id, a) AS (
+  SELECT rn, vec_id, rn FROM fine
+  UNION
+  SELECT r.rn, p.vec_id, p.b FROM reach r JOIN pairs p ON p.a = r.a
+), component AS (SELECT rn, min(vec_id) AS c FROM reach GROUP BY rn),
+linked AS (SELECT a AS rn, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id,
+  vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept
+FROM v LEFT JOIN linked USING (rn) LEFT JOIN component USING (rn)
+"""

@@ -108,6 +108,25 @@ def test_embeddings_of_each_length_are_linked(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(want)
 
 
+def test_tight_cluster_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = np.zeros(64)
+    base[0] = 1
+    tight = [base + rng.normal(size=64) * 0.3246 / 8 for _ in range(1200)]
+    loose = [rng.normal(size=64) for _ in range(400)]
+    mixed = [0.866 * base + 0.5 * u / np.linalg.norm(u) for u in rng.normal(size=(300, 64))]  # apart, around one centre
+    mixed += [0.866 * base + 0.5 * (0.8 * (m - 0.866 * base) / 0.5 + 0.6 * u / np.linalg.norm(u)) for m, u in zip(mixed, rng.normal(size=(300, 64)), strict=True)]
+    x = np.array(tight + loose + mixed)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    exact = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, pivots=1).collect()}
+    assert exact == dict(enumerate(want.tolist()))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
 
