@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-A text is cut into the pieces of a SentencePiece model whose scores have the largest sum. A document longer than CHUNK
-is split into chunks. The state at a boundary is how far the piece that crosses it reaches into the next chunk. A chunk
-yields a matrix: the best score from each state at its start to each state at its end. Matrices combine by max-plus
-products, which are associative; one small scan per document over its matrices gives every chunk its states at both
-ends on a best path, and each chunk then traces its own pieces back between them. Chunks of all documents are dealt out
-alike, so a giant document is no giant task.
+A text is cut into the pieces of a SentencePiece model whose scores have the largest sum; of equal sums the path wins
+that, read from the end, has the longest piece where they first differ. Scores are rounded to 1/65536, so that sums are
+exact and a text has the same ids however it is chunked.
+
+A document longer than CHUNK is split into chunks. The state at a boundary is how far the piece that crosses it reaches
+into the next chunk. A chunk yields a matrix: the best score from each state at its start to each state at its end.
+Matrices combine by max-plus products, which are associative: a tree of products, FAN to a node, gives every chunk the
+best scores of its entry states. With them a chunk says from which entry the path to each of its leave states came;
+these maps combine by composition, in a tree again, and each chunk then traces its own pieces back between the states
+it was given. Chunks of all documents are dealt out alike, so a giant document is no giant task.
 
 Between characters that stand side by side in no piece every path has a cut; stretches between such places are encoded
 once while a bounded cache holds them. Characters without a piece become their UTF-8 bytes' pieces, at the model's
 least score less 10 each, so decoding gives back every text exactly, a literal U+2581 included.
 
 The public model here is of BPE type: its pieces and scores are used as a best-path model's, which is what this method
-computes; the ids are not those of merging pair by pair.
+computes; the ids are those of the library where the same file is read as a unigram model, not those of merging pair by
+pair.
 
 Cases: null counts as empty, and the empty text is the lone prefix blank; repeated rows give equal rows; null ids are
 kept; an empty table gives no rows; other columns are not read by encoded() and kept by tokenized().
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from reelforge.llm.shared import drop_durable, durable, held, new_run, partitions_for
 
 CHUNK = 65_536
+FAN = 64  # matrices or maps that one node of a tree combines
+EXACT = 65_536  # scores are multiples of one over this
 CACHED = 450_000
 BLANK, LITERAL = "▁", "\ud800"  # the model's blank; what stands for a literal U+2581, and in no text
 UNKNOWN_LESS = 10.0
@@ -49,6 +56,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
+        score = [round(model.get_score(i) * EXACT) / EXACT for i in range(size)]
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
@@ -59,9 +67,9 @@ class Pieces:
             for k in range(1, len(self.text[i])):
                 self.node.setdefault(self.text[i][:k])
         for i in plain:
-            self.node[self.text[i]] = model.get_score(i)
+            self.node[self.text[i]] = score[i]
         self.longest = max(len(self.text[i]) for i in plain)
-        self.unknown = min(model.get_score(i) for i in plain) - UNKNOWN_LESS
+        self.unknown = min(score[i] for i in plain) - UNKNOWN_LESS
         self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         # Stretches are found by a regex where blanks only lead pieces and line ends are in none.
         self.split = not any(x[1] == BLANK and x[0] != BLANK or "\n" in x for x in self.inner)
@@ -74,7 +82,7 @@ class Pieces:
         # What an id adds to a path's score: a character without a piece counts once, with its first byte.
         self.worth = np.zeros(size)
         for i in plain:
-            self.worth[i] = model.get_score(i)
+            self.worth[i] = score[i]
         for b, i in self.byte_id.items():
             self.worth[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
         self.raw: list[bytes | None] = [None] * size
@@ -83,12 +91,16 @@ class Pieces:
         for i in plain:
             self.raw[i] = self.text[i].replace(BLANK, " ").encode()
 
-    def forward(self, s: str, at: int, stop: int) -> tuple[list[float], list[int]]:
-        """Best scores from at to each later place of s by pieces that start before stop, and where the last piece starts."""
+    def forward(self, s: str, entry: dict[int, float], stop: int) -> tuple[list[float], list[int]]:
+        """Best scores of each place of s by pieces that start before stop, and where the last piece starts.
+
+        entry: places at which paths come in, and their scores; a place whose best path comes in there has the start -1.
+        """
         node, n, most = self.node, len(s), self.longest
         best, back = [NEVER] * (n + 1), [-1] * (n + 1)
-        best[at] = 0.0
-        for i in range(at, min(stop, n)):
+        for at, score in entry.items():
+            best[at] = score
+        for i in range(min(stop, n)):
             b = best[i]
             if b == NEVER:
                 continue
@@ -151,33 +163,50 @@ class Pieces:
             return b"".join(map(known.__getitem__, parts))
 
     def score(self, s: str) -> float:
-        return self.forward(s, 0, len(s))[0][len(s)]
+        return self.forward(s, {0: 0.0}, len(s))[0][len(s)]
+
+    def cuts(self, before: str, s: str, after: str) -> tuple[int, int] | None:
+        """The first and the last place of a chunk that no piece crosses; before and after are the text around it."""
+        whole, lead = before[-1:] + s + after[:1], len(before[-1:])
+        is_cut = lambda p: whole[lead + p - 1 : lead + p + 1] not in self.inner
+        places = range(0 if lead else 1, len(s) + (1 if after else 0))
+        first = next((p for p in places if is_cut(p)), None)
+        if not after:
+            return (len(s) if first is None else first), len(s)
+        return None if first is None else (first, next(p for p in reversed(places) if is_cut(p)))
 
     def transfer(self, before: str, s: str, after: str) -> np.ndarray:
-        """The chunk's matrix: states are 0 to longest - 1 characters; before and after are the text around the chunk."""
+        """The chunk's matrix, less its largest entry: states are 0 to longest - 1 characters."""
         k, n = self.longest, len(s)
         after = after[: k - 1]
         out = np.full((k, k), NEVER)
-        whole = before[-1:] + s + after[:1]
-        lead = len(before[-1:])
-        cuts = [p for p in range(0 if lead else 1, n + (1 if after else 0)) if whole[lead + p - 1 : lead + p + 1] not in self.inner]
-        if not after:
-            cuts.append(n)
-        first, last = (cuts[0], cuts[-1]) if cuts else (None, None)
-        tail = None
-        if cuts:
-            head = [self.forward(s[:first], i, first)[0][first] if i <= first else NEVER for i in range(k)]
-            middle = float(self.worth[np.frombuffer(self.ids(s[first:last]), "<u4")].sum()) if last > first else 0.0
-            best = self.forward(s[last:] + after, 0, n - last)[0]
-            tail = [best[n - last + j] if n - last + j < len(best) else NEVER for j in range(k)]
-            if n == last:
-                tail = [0.0] + [NEVER] * (k - 1)
-            return np.array(head)[:, None] + middle + np.array(tail)[None, :]
-        for i in range(min(k, n)):
-            best = self.forward(s + after, i, n)[0]
-            for j in range(min(k, len(after) + 1)):
-                out[i, j] = best[n + j]
-        return out
+        if found := self.cuts(before, s, after):
+            first, last = found
+            head = [self.forward(s[:first], {i: 0.0}, first)[0][first] if i <= first else NEVER for i in range(k)]
+            best = self.forward(s[last:] + after, {0: 0.0}, n - last)[0]
+            tail = [best[n - last + j] if n - last + j < len(best) else NEVER for j in range(k)] if n > last else [0.0] + [NEVER] * (k - 1)
+            out = np.array(head)[:, None] + np.array(tail)[None, :]  # what lies between the cuts is the same for all
+        else:
+            for i in range(min(k, n)):
+                best = self.forward(s + after, {i: 0.0}, n)[0]
+                for j in range(min(k, len(after) + 1)):
+                    out[i, j] = best[n + j]
+        return less_largest(out)
+
+    def entries(self, front: np.ndarray, before: str, s: str, after: str) -> np.ndarray:
+        """For each leave state the entry state from which its best path comes; front: scores of the entry states."""
+        k, n = self.longest, len(s)
+        after, found = after[: k - 1], self.cuts(before, s, after)
+        end = found[0] if found else n
+        part = s[:end] if found else s + after
+        _, back = self.forward(part, {i: float(x) for i, x in enumerate(front) if x > NEVER and i <= len(part)}, end)
+
+        def start(j: int) -> int:
+            while back[j] >= 0:
+                j = back[j]
+            return min(j, k - 1)
+
+        return np.array([start(end)] * k if found else [start(min(n + j, len(part))) for j in range(k)], np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -192,43 +221,70 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def scan(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states at both ends of each chunk on a best path from state 0 to state 0.
+def less_largest(m: np.ndarray) -> np.ndarray:
+    """Only differences count, and small numbers stay exact."""
+    most = m.max()
+    return m - most if most > NEVER else m
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product of matrices, or of a vector and a matrix."""
+    return less_largest((a[..., :, None] + b).max(axis=-2))
+
+
+def _swept(rows: DataFrame, most: int, combine, start, step, out: str) -> DataFrame:
+    """An exclusive scan along each document: row, at and out (binary), what the rows before `at` make of start.
 
-    Prefix vectors are the first rows of the max-plus products; states are then read from the end backwards.
+    rows: row, at from 0 to most - 1, value (binary). combine(a, b): a node's value; step(x, value): the next out.
+    Values go up a tree of FAN to a node until a document has one node at most, and the outs come down it again.
     """
-    k = len(matrices[0])
-    front = [np.where(np.arange(k) == 0, 0.0, NEVER)]
-    for m in matrices:
-        v = (front[-1][:, None] + m).max(axis=0)
-        front.append(v - v.max())  # only differences count, and small numbers stay exact
-    states, at = [0], 0
-    for v, m in zip(reversed(front[:-1]), reversed(matrices), strict=True):
-        at = int((v + m[:, at]).argmax())
-        states.append(at)
-    states.reverse()
-    return list(zip(states[:-1], states[1:], strict=True))
+    level, levels = rows, [rows]
+    node = F.floor(F.col("at") / F.lit(FAN)).cast("int")
 
+    def up(key, t):
+        values = t.sort_by("at")["value"].to_pylist()
+        for v in values[1:]:
+            values[0] = combine(values[0], v)
+        return pa.table({"row": pa.array([key[0].as_py()]), "at": pa.array([key[1].as_py()], pa.int32()), "value": pa.array(values[:1], pa.binary())})
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+    def down(t):
+        t = t.sort_by("at")
+        x, got = t["given"][0].as_py(), []
+        for v in t["value"].to_pylist():
+            got.append(x)
+            x = step(x, v)
+        return pa.table({"row": t["row"], "at": t["at"], out: pa.array(got, pa.binary())})
+
+    while most > FAN:
+        level = durable(level.withColumn("node", node).groupBy("row", "node").applyInArrow(up, "row string, at int, value binary"), "tree")
+        levels.append(level)
+        most = -(-most // FAN)
+    given = None
+    for level in reversed(levels):
+        if given is None:
+            ready = level.withColumn("given", F.lit(start)).withColumn("node", F.lit(0))
+        else:
+            parents = given.select("row", F.col("at").alias("node"), F.col(out).alias("given"))
+            ready = level.withColumn("node", node).join(parents, ["row", "node"])
+        given = ready.select("row", "node", "at", "value", "given").groupBy("row", "node").applyInArrow(down, f"row string, at int, {out} binary")
+    return given
 
 
 def _chunks(docs: DataFrame, chunk: int, reach: int) -> DataFrame:
-    """row, at, of, before, body, after of each chunk of each document that is longer than a chunk."""
-    n = F.length("text")
-    of = F.ceil(n / F.lit(chunk)).cast("int")
-    at = docs.filter(n > chunk).select("row", "text", of.alias("of"), F.explode(F.sequence(F.lit(0), of - 1)).alias("at"))
-    start = F.col("at") * chunk
-    return at.select(
-        "row",
-        "at",
-        "of",
-        F.when(F.col("at") > 0, F.substring("text", start, F.lit(1))).otherwise(F.lit("")).alias("before"),
-        F.substring("text", start + 1, F.lit(chunk)).alias("body"),
-        F.substring("text", start + 1 + chunk, F.lit(reach)).alias("after"),
-    )
+    """row, at, of, before, body, after of each chunk of each document that is longer than a chunk; a text is cut in one pass."""
+    kinds = "row string, at int, of int, before string, body string, after string"
+
+    def cut(batches):
+        for b in batches:
+            for row, text in zip(b["row"].to_pylist(), b["text"], strict=True):
+                text = text.as_py()
+                of = -(-len(text) // chunk)
+                for at in range(of):
+                    a, z = at * chunk, (at + 1) * chunk
+                    yield pa.RecordBatch.from_pylist([{"row": row, "at": at, "of": of, "before": text[max(0, a - 1) : a], "body": text[a:z], "after": text[z : z + reach]}], schema)
+
+    schema = pa.schema([pa.field(x.split()[0], pa.int32() if x.endswith("int") else pa.string()) for x in kinds.split(", ")])
+    return docs.filter(F.length("text") > chunk).select("row", "text").mapInArrow(cut, kinds)
 
 
 def _body(at: int, text: str) -> str:
@@ -238,9 +294,12 @@ def _body(at: int, text: str) -> str:
 def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = None, cached: int = CACHED) -> DataFrame:
     """row, doc_id, ids (little-endian unsigned 32-bit integers) and chunks of each document; docs: row, doc_id, text.
 
-    row names a row; it is only moved about for documents longer than a chunk.
+    row names a row; it is only moved about for documents longer than a chunk. A text of one chunk has no boundary:
+    its ids are those of the scan for any smaller chunk too.
     """
     n, reach, run = partitions_for(docs.sparkSession), pieces(model).longest, run or new_run()
+    if chunk < reach:
+        raise ValueError("a chunk holds at least the longest piece")
 
     def whole(batches):
         own = held(run, Pieces, model, cached)
@@ -250,39 +309,56 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, run: str | None = N
 
     small = docs.filter(F.length("text") <= chunk).select("row", "doc_id", "text").mapInArrow(whole, "row string, doc_id long, ids binary, chunks int")
     long_ = durable(_chunks(docs, chunk, reach).repartition(n, "row", "at"), "chunks")
-    if not long_.limit(1).count():
+    most = long_.agg(F.max("of")).first()[0]
+    if not most:
         return small
+    around = ("at", "before", "body", "after")
 
     def matrix(batches):
         own = held(run, Pieces, model, cached)
         for b in batches:
-            got = [own.transfer(escaped(x.as_py()), _body(i.as_py(), y.as_py()), escaped(z.as_py())).astype("<f8").tobytes() for i, x, y, z in zip(b["at"], b["before"], b["body"], b["after"], strict=True)]
-            yield pa.record_batch([b["row"], b["at"], pa.array(got, pa.binary())], names=["row", "at", "matrix"])
+            got = [own.transfer(escaped(x.as_py()), _body(i.as_py(), y.as_py()), escaped(z.as_py())).astype("<f8").tobytes() for i, x, y, z in zip(*(b[c] for c in around), strict=True)]
+            yield pa.record_batch([b["row"], b["at"], pa.array(got, pa.binary())], names=["row", "at", "value"])
 
-    def states(t: pa.Table) -> pa.Table:
-        t = t.sort_by("at")
-        k = reach
-        ends = scan([np.frombuffer(m.as_py(), "<f8").reshape(k, k) for m in t["matrix"]])
-        return pa.table({"row": t["row"], "at": t["at"], "entry": pa.array([a for a, _ in ends], pa.int32()), "leave": pa.array([b for _, b in ends], pa.int32())})
+    def read(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, "<f8").reshape(-1, reach)
+
+    start = np.where(np.arange(reach) == 0, 0.0, NEVER).tobytes()
+    times = lambda a, b: product(read(a), read(b)).tobytes()
+    matrices = durable(long_.mapInArrow(matrix, "row string, at int, value binary"), "matrices")
+    fronts = _swept(matrices, most, times, start, times, "front")
+
+    def entries(batches):
+        own = held(run, Pieces, model, cached)
+        for b in batches:
+            got = [own.entries(read(f.as_py())[0], escaped(x.as_py()), _body(i.as_py(), y.as_py()), escaped(z.as_py())).astype("<i4").tobytes() for i, x, y, z, f in zip(*(b[c] for c in (*around, "front")), strict=True)]
+            yield pa.record_batch([b["row"], b["at"], b["of"], pa.array(got, pa.binary())], names=["row", "at", "of", "value"])
 
-    ends = long_.mapInArrow(matrix, "row string, at int, matrix binary").groupBy("row").applyInArrow(states, "row string, at int, entry int, leave int")
+    maps = durable(long_.join(fronts, ["row", "at"]).mapInArrow(entries, "row string, at int, of int, value binary"), "maps")
+    follow = lambda a, b: np.frombuffer(b, "<i4")[np.frombuffer(a, "<i4")].tobytes()
+    # From the end of each document: what the chunks behind a chunk make of the last state, 0, is where it is left.
+    back = maps.select("row", (F.col("of") - 1 - F.col("at")).alias("at"), "value")
+    leaves = _swept(back, most, follow, np.zeros(1, "<i4").tobytes(), follow, "leave").join(maps.select("row", "of").distinct(), "row")
+    ends = maps.join(leaves.select("row", (F.col("of") - 1 - F.col("at")).alias("at"), "leave"), ["row", "at"])
 
     def trace(batches):
         own = held(run, Pieces, model, cached)
         for b in batches:
             ids = []
-            for at, body, after, entry, leave in zip(*(b[c] for c in ("at", "body", "after", "entry", "leave")), strict=True):  # a text at a time
-                ids.append(own.ids(_body(at.as_py(), body.as_py())[entry.as_py() :] + escaped(after.as_py())[: leave.as_py()]))
+            for at, body, after, value, leave in zip(*(b[c] for c in ("at", "body", "after", "value", "leave")), strict=True):  # a text at a time
+                leave = int(np.frombuffer(leave.as_py(), "<i4")[0])
+                entry = int(np.frombuffer(value.as_py(), "<i4")[leave])
+                ids.append(own.ids(_body(at.as_py(), body.as_py())[entry:] + escaped(after.as_py())[:leave]))
             yield pa.record_batch([b["row"], b["at"], pa.array(ids, pa.binary())], names=["row", "at", "ids"])
 
-    traced = long_.join(ends, ["row", "at"]).select("row", "at", "body", "after", "entry", "leave").mapInArrow(trace, "row string, at int, ids binary")
+    traced = long_.join(ends.select("row", "at", "value", "leave"), ["row", "at"]).select("row", "at", "body", "after", "value", "leave").mapInArrow(trace, "row string, at int, ids binary")
 
     def joined(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
         return pa.table({"row": t["row"][:1], "ids": pa.array([b"".join(t["ids"].to_pylist())], pa.binary()), "chunks": pa.array([len(t)], pa.int32())})
 
     one = durable(traced.groupBy("row").applyInArrow(joined, "row string, ids binary, chunks int"), "long-ids")
-    drop_durable(long_)
+    drop_durable(long_, matrices, maps)
     # doc_id comes from the row's own table, which holds the long documents alone.
     names = docs.filter(F.length("text") > chunk).select("row", "doc_id")
     return small.unionByName(one.join(names, "row").select("row", "doc_id", "ids", "chunks"))
