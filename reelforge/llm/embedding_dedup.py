@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import connected_components, drop_durable, durable, partitions_for
+from reelforge.llm.shared import connected_components, drop_durable, durable, hot_joined
 
 COSINE = 0.9
 NEAREST, MIN_SHARED = 16, 2
@@ -189,14 +189,7 @@ def near_duplicates(vectors: DataFrame, pivots: int = MOST_PIVOTS) -> DataFrame:
             made += [found, groups]
     named = durable(named, "named")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    # A vector with so many copies that a partition would feel them goes to its rows; there are few such.
-    many = F.col("n") > max(1000, (named.agg(F.sum("n")).first()[0] or 0) // (16 * partitions_for(vectors.sparkSession)))
-    hot = named.filter(many).drop("n")
-    if hot.limit(1).count():
-        rest = rows.join(F.broadcast(hot.select("v")), "v", "left_anti").join(named.filter(~many).drop("n"), "v", "left")
-        out = rows.join(F.broadcast(hot), "v").unionByName(rest)
-    else:
-        out = rows.join(named.drop("n"), "v", "left")
+    out = hot_joined(rows, named, "v", "n")
     out = durable(_finished(out.withColumn("linked", F.col("vec_id").isNotNull() & F.col("n_links").isNotNull())), "classes")
     drop_durable(*made, named)
     return out

@@ -6,7 +6,8 @@ frequency, less the mean load); idf runs from 1 for a shingle in every document
 so no similarity strays far from that of plain counts. Samples are banded; in every bucket the member that shares most
 buckets leads, and the others are compared with it: one comparison per member joins a group of copies however large.
 Buckets that several groups still share are dealt into blocks of members, and each two blocks are compared by their
-samples and then exactly, in one task that returns only the links that join groups: no pair of a bucket is lost, and
+samples and then exactly (pairs with so few equal samples that the threshold is out of reach but once in 1e9 times are
+not; a parameter compares these too), in one task that returns only the links that join groups: no pair of a bucket is lost, and
 none is emitted that is no link. A link needs a weighted Jaccard similarity of THRESHOLD or more, on whole texts.
 Texts with the same words are one class from the start.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import connected_components, drop_durable, durable, held, new_run, summed_vectors, vector_rows
+from reelforge.llm.shared import connected_components, counted_out, drop_durable, durable, held, new_run, summed_vectors, unused, vector_rows
 from reelforge.llm.words import mix, sequence_key, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -31,7 +32,7 @@ BANDS, ROWS = 24, 5  # an isolated pair at THRESHOLD shares no band once in abou
 SAMPLES = BANDS * ROWS
 COUNTERS = 1 << 18
 COMMON = 0.01
-LIKELY = 0.62  # share of equal samples; a pair at THRESHOLD has fewer once in 30,000 times
+LIKELY = 0.55  # share of equal samples that a pair needs to be verified; one at THRESHOLD has fewer with a chance of 1e-9; 0: verify all
 BLOCK_MEMBERS = 256
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
@@ -203,14 +204,14 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: Idf) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """The pairs whose samples do not rule the threshold out."""
+def likely(pairs: DataFrame, samples: DataFrame, share: float) -> DataFrame:
+    """The pairs of which at least a share of the samples is equal."""
     x, y = (samples.select(F.col("rep").alias(k), F.col("samples").alias(f"s{k}")) for k in "ab")
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
-    return pairs.join(x, "a").join(y, "b").filter(same >= int(LIKELY * SAMPLES)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(same >= share * SAMPLES).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, idf: Idf, share: float = LIKELY) -> DataFrame:
     """Verified links (a, b) between classes (rep, id, h, samples): all pairs of a bucket that no chain of links joins are compared."""
     band = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), *(F.get("samples", F.lit(i * ROWS + j)) for j in range(ROWS))).alias("key")) for i in range(BANDS)]
     cells = classes.select("rep", F.explode(F.array(*band)).alias("c")).select("rep", "c.band", F.xxhash64("c.band", "c.key").alias("bucket"))
@@ -221,7 +222,7 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
     samples = classes.join(members.select("rep").distinct(), "rep", "left_semi")
     lead = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"))
     first = members.join(lead, "bucket").filter("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    pairs = durable(likely(first, samples), "pairs")
+    pairs = durable(likely(first, samples, share), "pairs")
     named = classes.select("rep", "id", "h")
     sets = durable(set_table(docs, named.join(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "rep", "left_semi")), "sets")
     found = durable(verified(pairs, sets, idf), "links")
@@ -238,7 +239,7 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
 
     def work(key, t):
         _, band, first, second = (k.as_py() for k in key)
-        rows = cell_links(np.asarray(t["rep"]), np.asarray(t["component"]), np.asarray(t["samples"].combine_chunks().flatten()).reshape(len(t), SAMPLES), t["set"].to_pylist(), np.asarray(t["block"]), band, first, second, idf)
+        rows = cell_links(np.asarray(t["rep"]), np.asarray(t["component"]), np.asarray(t["samples"].combine_chunks().flatten()).reshape(len(t), SAMPLES), t["set"].to_pylist(), np.asarray(t["block"]), band, first, second, idf, share)
         return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
 
     more = cells.groupBy("bucket", "band", "first", "second").applyInArrow(work, "a long, b long")
@@ -247,7 +248,7 @@ def links(docs: DataFrame, classes: DataFrame, idf: Idf) -> DataFrame:
     return out
 
 
-def cell_links(reps, components, samples, sets, block, band: int, first: int, second: int, idf) -> list[tuple[int, int]]:
+def cell_links(reps, components, samples, sets, block, band: int, first: int, second: int, idf, share: float = LIKELY) -> list[tuple[int, int]]:
     """Links between members of different components, enough to join all that a cell's links join.
 
     A pair is compared in the first band whose samples agree, and there only; likely pairs come first.
@@ -267,7 +268,7 @@ def cell_links(reps, components, samples, sets, block, band: int, first: int, se
         same = samples[rows][:, None, :] == samples[right][None, :, :]
         count = same.sum(axis=2)
         bands = same.reshape(len(rows), len(right), BANDS, ROWS).all(axis=3)
-        i, j = np.nonzero((count >= LIKELY * SAMPLES) & (bands.argmax(axis=2) == band) & bands.any(axis=2))
+        i, j = np.nonzero((count >= share * SAMPLES) & (bands.argmax(axis=2) == band) & bands.any(axis=2))
         order = np.argsort(-count[i, j], kind="stable")
         for x, y in zip(rows[i[order]].tolist(), right[j[order]].tolist(), strict=True):
             cx, cy = root(int(components[x])), root(int(components[y]))
@@ -287,15 +288,18 @@ def _named(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("h")]
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """id, h, component_id (smallest id of its group, itself included), first (one document of each group), of every document."""
+def grouped(docs: DataFrame, share: float = LIKELY) -> DataFrame:
+    """id, h, component_id (smallest id of its group, itself included), first (one document of each group), of every document.
+
+    share: the equal samples that a pair of a bucket needs to be verified; 0 verifies every pair of every bucket.
+    """
     own = docs.select(*_named(docs), F.col("text").cast("string").alias("text"))
     idf = fitted_idf(own)
     signs = durable(signed(own, idf), "samples")
     least = signs.groupBy("k1", "k2").agg(F.min(F.struct("id", "h")).alias("m"), F.min_by("samples", F.struct("id", "h")).alias("samples"))
     # Numbers, as an id may stand for several classes; they hold once they are written.
     classes = durable(least.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "m.id", "m.h", "samples"), "classes")
-    found = links(own, classes, idf)
+    found = links(own, classes, idf, share)
     groups = connected_components(found, "a", "b")
     of = classes.select("rep", "k1", "k2", F.struct("id", "h").alias("m")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = of.join(of.groupBy("component").agg(F.min("m").alias("top")), "component").select("k1", "k2", "top")
@@ -307,15 +311,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id, kept of every row; documents without words or id are groups of their own."""
     rows = docs.select(*_named(docs)).groupBy("id", "h").agg(F.count("*").alias("n"))
     named = rows.join(grouped(docs), ["id", "h"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    each = named.select(F.col("id").alias("doc_id"), "component_id", "first", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    return each.select("doc_id", "component_id", (F.col("doc_id").isNull() | F.coalesce("first", F.lit(True)) & (F.col("copy") == 1)).alias("kept"))
+    each = counted_out(named.select(F.col("id").alias("doc_id"), "component_id", "first", "n"), F.col("n"), "copy")
+    return each.select("doc_id", "component_id", (F.col("doc_id").isNull() | F.coalesce("first", F.lit(True)) & (F.col("copy") == 0)).alias("kept"))
 
 
 def _without(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
     """docs without, or only with, some documents (id, h); a checked few of them are broadcast."""
-    few, (i, h) = names.count() <= BROADCAST_IDS, _named(docs)
-    named = names.select(F.col("id").alias("__id"), F.col("h").alias("__h"))
-    return docs.join(F.broadcast(named) if few else named, (i == F.col("__id")) & (h == F.col("__h")), how)
+    few, (i, h), (own_id, own_h) = names.count() <= BROADCAST_IDS, _named(docs), (unused(docs, x) for x in ("id_", "h_"))
+    named = names.select(F.col("id").alias(own_id), F.col("h").alias(own_h))
+    return docs.join(F.broadcast(named) if few else named, (i == F.col(own_id)) & (h == F.col(own_h)), how)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -325,5 +329,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if not twice.limit(1).count():
         return kept
     rows = _without(kept, twice, "left_semi")
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*_named(rows)).orderBy("text")))
-    return _without(kept, twice, "left_anti").unionByName(rows.filter("__at = 1").drop("__at"))
+    at = unused(rows, "at")
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(*_named(rows)).orderBy("text")))
+    return _without(kept, twice, "left_anti").unionByName(rows.filter(F.col(at) == 1).drop(at))

@@ -213,7 +213,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     model = fitted(docs, labels)
     held = durable(members(docs.select("text"), model).select("__tokens", "__p"), "members")
     steps = fitted_steps(held, targets or TARGETS)
-    u = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64(F.lit(SEED), F.col("__row.doc_id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate(F.col("__p"), steps) + u).cast("int")
-    rows = members(docs, model).select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # The row goes along as one value, so that none of its names meets those used here.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")
+    return members(own, model).select("__row", F.explode(F.array_repeat(F.lit(0), times)).alias("__copy")).select("__row.*")

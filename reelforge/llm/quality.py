@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import drop_durable, durable, held, new_run, summed_vectors, vector_rows
+from reelforge.llm.shared import drop_durable, durable, held, new_run, plainly_named, summed_vectors, unused, vector_rows
 from reelforge.llm.words import codes_of, mix, runs_hashed, windows, word_chars
 
 SAMPLE = 20_000
@@ -146,15 +146,16 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def weighted(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """docs and, last, the log importance weight of each text: null without n-grams."""
-    at = docs.columns.index("text")
+    """docs and, last, under WEIGHT or a name of its own, the log importance weight of each text: null without n-grams."""
+    names = [*docs.columns, unused(docs, WEIGHT)]
+    at = names.index("text")
 
     def score(batches):
         for b in batches:
             found = [table[x].sum() if len(x := ngrams(t.as_py())) else None for t in b.column(at)]
-            yield pa.record_batch([*(b.column(i) for i in range(b.num_columns)), pa.array(found, pa.float64())], names=[*b.schema.names, WEIGHT])
+            yield pa.record_batch([*(b.column(i) for i in range(b.num_columns)), pa.array(found, pa.float64())], names=names)
 
-    return docs.mapInArrow(score, _with(docs, WEIGHT))
+    return plainly_named(docs).mapInArrow(score, _with(docs, names[-1]))
 
 
 WEIGHT = "__log_weight"
@@ -209,9 +210,10 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns. Weights are made twice, which costs less than to move the texts."""
     table, prior = fitted(docs, labels)
-    key = gumbel_key(F.col(WEIGHT), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = weighted(docs.select("doc_id", "text"), table)
-    keys = durable(scored.filter(F.col(WEIGHT).isNotNull()).select(F.col(WEIGHT).alias("log_weight"), key.alias("gumbel_key")), "importance")
+    key = lambda weight: gumbel_key(weight, F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored, weight = weighted(docs.select("doc_id", "text"), table), F.col(WEIGHT)
+    keys = durable(scored.filter(weight.isNotNull()).select(weight.alias("log_weight"), key(weight).alias("gumbel_key")), "importance")
     cut = threshold(keys, prior)
     drop_durable(keys)
-    return weighted(docs, table).filter(F.col(WEIGHT).isNotNull() & (key >= cut)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, weight = weighted(docs, table), F.col(unused(docs, WEIGHT))
+    return rows.filter(weight.isNotNull() & (key(weight) >= cut)).select(*(F.col(f"`{c}`") for c in docs.columns))

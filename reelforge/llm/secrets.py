@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import held, new_run
+from reelforge.llm.shared import held, new_run, plainly_named
 
 
 @dataclass(frozen=True)
@@ -338,12 +338,13 @@ def redact(text: str, rules: tuple[Rule, ...] = RULES, own: Automaton | None = N
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret of its text, overlapping ones as one, replaced by its rule's name; all columns stay."""
-    at, run = docs.columns.index("text"), new_run()
+    names, run = docs.columns, new_run()
+    at = names.index("text")
 
     def clean(batches):
         own = held(run, Automaton, rules)
         for b in batches:
             texts = [None if (t := x.as_py()) is None else redact(t, rules, own) for x in b.column(at)]
-            yield pa.record_batch([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+            yield pa.record_batch([pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns)], names=names)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return plainly_named(docs).mapInArrow(clean, docs.schema)

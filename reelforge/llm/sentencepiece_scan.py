@@ -371,10 +371,10 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return own.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1("text"), F.length("text").cast("string")).alias("row"), "doc_id", "text")
 
 
-def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK, cached: int = CACHED) -> DataFrame:
+def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK, cached: int = CACHED, with_ids: bool = False) -> DataFrame:
     """doc_id, n_chars, n_tokens, chunks, ids_crc32, decoded_sha256, round_trip of each document: encoded, then decoded.
 
-    cached: how many stretches a Python worker remembers, about 170 bytes each.
+    cached: how many stretches a Python worker remembers, about 170 bytes each. with_ids: token_ids, the ids, come last.
 
     Long documents that repeat as whole rows are encoded once and counted.
     """
@@ -393,9 +393,15 @@ def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK, cached: int = CAC
                 text = own.decode(np.frombuffer(ids, "<u4"))[1:]  # without the prefix blank
                 got.append((len(text.decode()), len(ids) // 4, zlib.crc32(ids), hashlib.sha1(text).hexdigest(), hashlib.sha256(text).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([b["row"], b["doc_id"], b["chunks"], *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names=["row", "doc_id", "chunks", "n_chars", "n_tokens", "ids_crc32", "sha1", "decoded_sha256"])
-
-    done = out.mapInArrow(decode, "row string, doc_id long, chunks int, n_chars long, n_tokens long, ids_crc32 long, sha1 string, decoded_sha256 string")
+            columns = [b["row"], b["doc_id"], b["chunks"], *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))]
+            if with_ids:
+                raw = b["ids"].to_pylist()
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) // 4 for x in raw])), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"), pa.int32())))
+            yield pa.record_batch(columns, names=names)
+
+    schema = "row string, doc_id long, chunks int, n_chars long, n_tokens long, ids_crc32 long, sha1 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    done = out.mapInArrow(decode, schema)
     # The row's name ends with the text's digest and length, which the decoded text must give again.
     said = F.concat(F.col("sha1"), F.lit(":"), F.col("n_chars").cast("string"))
     done = done.withColumn("round_trip", F.substring_index("row", ":", -2) == said)
@@ -403,4 +409,4 @@ def tokenized(docs: DataFrame, model: str, chunk: int = CHUNK, cached: int = CAC
     if many.limit(1).count():
         done = done.join(many, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
         done = done.select("*", F.explode(F.array_repeat(F.lit(0), F.when(F.col("chunks") > 1, F.col("copies")).otherwise(F.lit(1)).cast("int"))))
-    return done.select("doc_id", "n_chars", "n_tokens", "chunks", "ids_crc32", "decoded_sha256", "round_trip")
+    return done.select("doc_id", "n_chars", "n_tokens", "chunks", "ids_crc32", "decoded_sha256", "round_trip", *(["token_ids"] if with_ids else []))

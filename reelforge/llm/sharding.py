@@ -17,7 +17,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import durable
+from reelforge.llm.shared import counted_out, durable, fresh_path
 
 SLOTS = 4096
 
@@ -66,39 +66,56 @@ def constant(values, kind: str):
     return F.from_json(F.lit(json.dumps(list(values))), kind)
 
 
-def save_map(spark: SparkSession, mapping: list[int], version: int) -> DataFrame:
-    """Stores a version of the map as a durable table (version, slot, shard)."""
+def save_map(spark: SparkSession, mapping: list[int], url: str, version: int) -> None:
+    """Stores a version of the map, a table (slot, shard), under url; a version is never written twice."""
     rows = spark.range(1).select(F.posexplode(constant(mapping, "array<int>")).alias("slot", "shard"))
-    return durable(rows.select(F.lit(version).alias("version"), "slot", "shard"), f"slot-map-v{version}")
+    rows.coalesce(1).write.parquet(f"{url}/version={version}")
 
 
-def load_map(table: DataFrame) -> list[int]:
-    return [r.shard for r in table.orderBy("slot").collect()]  # one row for each slot
+def versions(spark: SparkSession, url: str) -> list[int]:
+    """The versions stored whole under url, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(url)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{url}/version=*/_SUCCESS")) or []
+    return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, mapping: list[int] | None = None, law: str = "bytes") -> DataFrame:
+def load_map(spark: SparkSession, url: str, version: int) -> list[int]:
+    return [r.shard for r in spark.read.parquet(f"{url}/version={version}").orderBy("slot").collect()]  # one row for each slot
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, url: str | None = None, law: str = "bytes") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (position in the shard, gapless from 0), vslot, map_version, grown_shard.
 
-    mapping: a stored map to apply; else one is made from the bytes per slot and stored as version 1.
+    url: where the map's versions lie. The newest one is applied; where shards were added or loads have drifted it is
+    edited and stored as the next version. Without one, a map is made from the bytes per slot and stored as version 1.
     """
-    spark = docs.sparkSession
+    spark, url = docs.sparkSession, url or fresh_path(docs.sparkSession, "slot-map")
     # Equal rows are counted, not carried one by one: a row that repeats without end is no hot slot.
     rows = durable(in_slots(docs, slots).groupBy("vslot", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "slot-rows")
     per = rows.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")).collect()  # one row for each slot
-    mapping = mapping or load_map(save_map(spark, first_map({r.vslot: r.bytes for r in per}, slots, shards), 1))
+    load, stored = {r.vslot: r.bytes for r in per}, versions(spark, url)
+    old = load_map(spark, url, stored[-1]) if stored else None
+    if old is not None and len(old) != slots:
+        raise ValueError("the number of slots is fixed")
+    mapping = first_map(load, slots, shards) if old is None else edited_map(old, load, shards)
+    version = stored[-1] if mapping == old else stored[-1] + 1 if stored else 1
+    if mapping != old:
+        save_map(spark, mapping, url, version)
     counts, starts, filled = {r.vslot: r.rows for r in per}, [0] * slots, [0] * shards
     for slot, shard in enumerate(mapping):
         starts[slot] = filled[shard]
         filled[shard] += counts.get(slot, 0)
     w = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
     first = F.get(constant(starts, "array<long>"), F.col("vslot")) + F.sum("n").over(w) - F.col("n")
-    return rows.withColumn("first", first).select(
+    return counted_out(rows.withColumn("first", first), F.col("n"), "copy").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit(law).alias("law"),
         F.get(constant(mapping, "array<int>"), F.col("vslot")).alias("shard"),
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"),
+        (F.col("first") + F.col("copy")).alias("slot"),
         "vslot",
+        F.lit(version).alias("map_version"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -105,6 +105,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with its columns numbered: functions over batches take no names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -156,6 +169,27 @@ def joined(left: DataFrame, right: DataFrame, on: str, rows: int, how: str = "le
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
+def hot_joined(left: DataFrame, right: DataFrame, on: str, n: str) -> DataFrame:
+    """left with the columns of right (one row for each value of on, and in n how often left has it), null where right has none.
+
+    Values with so many rows that a partition would feel them are few; they go to their rows, the rest is shuffled.
+    """
+    many = F.col(n) > max(1000, (right.agg(F.sum(n)).first()[0] or 0) // (16 * partitions_for(left.sparkSession)))
+    hot = right.filter(many).drop(n)
+    if not hot.limit(1).count():
+        return left.join(right.drop(n), on, "left")
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.filter(~many).drop(n), on, "left")
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def counted_out(df: DataFrame, n: Column, name: str, block: int = 65_536) -> DataFrame:
+    """Each row of df n times, numbered from 0; no array holds more than `block` numbers however large n is."""
+    at = unused(df, "block")
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.lit(block)))).alias(at))
+    first = F.col(at) * block
+    return blocks.select(*df.columns, F.explode(F.sequence(first, F.least(first + block, n.cast("long")) - 1)).alias(name))
+
+
 # ---- connected components --------------------------------------------------------------------------------------------
 
 

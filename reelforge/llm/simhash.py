@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.llm.shared import durable, partitions_for
+from reelforge.llm.shared import durable, hot_joined, partitions_for
 
 SHINGLE = 5
 LANES = 0x0000000100000001
@@ -87,9 +87,11 @@ def within_radius(fps: DataFrame, radius: int = 3) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(tables(radius))))
     cells = distinct.select("fp", F.explode(keys).alias("key")).select("key.table", "key.bits", "fp")
     other = cells.withColumnRenamed("fp", "b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = cells.withColumnRenamed("fp", "a").join(other, ["table", "bits"]).filter("a < b").select("a", "b", apart.alias("distance"))
-    return pairs.filter(F.col("distance") <= radius).distinct()
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = cells.withColumnRenamed("fp", "a").join(other, ["table", "bits"]).filter("a < b")
+    # Several tables may find a pair: it counts in the first of them.
+    first = F.coalesce(*(F.when(differing.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(tables(radius))))
+    return pairs.filter((F.bit_count(differing) <= radius) & (F.col("table") == first)).select("a", "b", F.bit_count(differing).alias("distance"))
 
 
 # ---- each document beside its next -----------------------------------------------------------------------------------
@@ -175,5 +177,5 @@ def fingerprinted(docs: DataFrame, radius: int = 3) -> DataFrame:
     pairs = within_radius(sizes, radius)
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))
     others = both.join(sizes.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("others"))
-    near = durable(sizes.join(others, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")), "near")
-    return rows.join(near, "fp").drop("fp")
+    near = durable(sizes.join(others, "fp", "left").select("fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")), "near")
+    return hot_joined(rows, near, "fp", "n").drop("fp")

@@ -29,10 +29,27 @@ def test_token_files_are_read_back(spark):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((start, i, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert [(a, c, d) for a, _, c, d in got] == [(a, c, d) for a, _, c, d in want]
+    assert got == want
     assert token_output.token_files(frame(spark, []), path).count() == 0
 
 
+def test_shards_roll_by_size_and_hot_ids_are_split(spark, tmp_path):
+    path, pick = vocabulary("byte_bpe_50k.json"), random.Random(9)
+    rows = [(None, f"hot text {pick.randrange(500)}") for _ in range(900)] + [(3, "same row")] * 600 + [(i, "a  b \n c" * pick.randrange(9)) for i in range(300)]
+    manifest = token_output.write_tokens(frame(spark, rows), f"file://{tmp_path}/t", path, parts=4, shard_bytes=2000)
+    shards = manifest.collect()
+    assert len(shards) > 8
+    assert max(r.docs for r in shards) < 600
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.read_tokens(manifest).collect())
+    library, start = Tokenizer.from_file(path), 0
+    want = sorted((r[0] is not None, r[0] or 0) for r in rows)
+    assert [(d is not None, d or 0) for _, d, _ in got] == want
+    for at, _, n in got:
+        assert at == start
+        start += n
+    assert start == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_reader_takes_one_document_and_sees_damage(spark, tmp_path):
     url = str(tmp_path / "x.zst")
     docs = [(i, np.arange(i * 3, dtype="<u4").tobytes()) for i in range(50)]
@@ -168,14 +185,19 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 
-def test_map_is_edited_not_made_anew(spark):
+def test_map_is_edited_not_made_anew(spark, tmp_path):
     load = {s: 100 + s % 7 for s in range(1024)}
     old = sharding.first_map(load, 1024, 8)
     new = sharding.edited_map(old, load, 9)
     moved = [s for s in range(1024) if old[s] != new[s]]
     assert {new[s] for s in moved} == {8}
     assert abs(len(moved) - 1024 / 9) < 8
-    assert sharding.load_map(sharding.save_map(spark, new, 2)) == new
+    url = f"{tmp_path}/map"
+    assert sharding.versions(spark, url) == []
+    sharding.save_map(spark, old, url, 1)
+    sharding.save_map(spark, new, url, 12)
+    assert sharding.versions(spark, url) == [1, 12]
+    assert sharding.load_map(spark, url, 12) == new
     load[3] += 5000
     again = sharding.edited_map(old, load, 8)
     assert 0 < sum(a != b for a, b in zip(old, again, strict=True)) < 200
@@ -193,6 +215,27 @@ def viterbi(p, s):
     return best[-1]
 
 
+def test_stored_map_is_found_edited_and_equals_a_loop(spark, tmp_path):
+    pick = random.Random(4)
+    rows = [(i, "x" * pick.randrange(200)) for i in range(3000)] + [(None, "n")] * 50 + [(7, "same")] * 40
+    docs, url = frame(spark, rows), f"{tmp_path}/map"
+    one = sharding.shard_documents(docs, 8, 256, url).toPandas()
+    two = sharding.shard_documents(docs, 8, 256, url).toPandas()
+    more = sharding.shard_documents(docs, 9, 256, url).toPandas()
+    assert [set(x.map_version) for x in (one, two, more)] == [{1}, {1}, {2}]
+    assert (one.groupby("vslot").shard.first() == two.groupby("vslot").shard.first()).all()
+    moved = one.groupby("vslot").shard.first() != more.groupby("vslot").shard.first()
+    assert set(more.groupby("vslot").shard.first()[moved]) == {8}
+    for got in (one, more):
+        assert len(got) == len(rows)
+        shard_of, place = got.groupby("vslot").shard.first().to_dict(), {}
+        own = sorted(zip(got.vslot, got.doc_id.fillna(-1), got.text_crc32, got["size"], got.slot, got.shard, strict=True))
+        for v, _, _, _, slot, shard in own:
+            assert shard == shard_of[v]
+            assert slot == place.get(shard, 0)
+            place[shard] = slot + 1
+
+
 def test_sentencepiece_paths_are_best_and_chunks_agree():
     p, pick = sentencepiece_scan.Pieces(vocabulary("piece_bpe_32k.model")), random.Random(5)
     bits = ["the", "ing", "a", "aa", " ", "  ", "é", "▁", "\n", "😀", "zqx", "tion", "ch", "ss"]

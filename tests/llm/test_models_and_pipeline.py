@@ -2,11 +2,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from reelforge.llm import minhash, mixing, quality, secrets
+from reelforge.llm import minhash, mixing, quality, secrets, sentencepiece_scan
 from reelforge.llm.shared import read_table
+from reelforge.llm.vocab import vocabulary
 
 SMALL = "/root/testdata/sf0.001"
 COMMON, RARE = [f"the{i}" for i in range(60)], [f"r{i}" for i in range(4000)]
@@ -68,6 +70,20 @@ def test_quality_counts_equal_a_loop(labelled):
     assert 0.8 < prior < 0.9
 
 
+def test_quality_rows_equal_a_loop(labelled):
+    _, docs, labels = labelled
+    table, prior = quality.fitted(docs, labels)
+    got = quality.resampled(docs, labels).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    scored = [r for r in got if r.log_weight is not None]
+    assert all(r.log_weight == pytest.approx(table[quality.ngrams(texts[r.doc_id])].sum()) for r in scored)
+    assert all(not len(quality.ngrams(texts[r.doc_id])) for r in got if r.log_weight is None)
+    k = round(sum(min(1.0, prior * np.exp(min(r.log_weight, 50.0))) for r in scored))
+    cut = sorted((r.gumbel_key for r in scored), reverse=True)[k - 1]
+    assert all(r.kept == (r.log_weight is not None and r.gumbel_key >= cut) for r in got)
+    assert len({r.gumbel_key - r.log_weight for r in scored}) > 0.9 * len(scored)
+
+
 def test_kth_largest(spark):
     values = [random.Random(3).choice([1.5, 2.5, 7.0]) if i % 3 else i * 0.37 for i in range(2000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
@@ -124,6 +140,17 @@ def test_mixing_rates_equal_a_loop(labelled):
     assert np.allclose(got.rate, best[1], atol=1e-6)
 
 
+def test_names_of_other_columns_never_clash(spark, labelled):
+    rows, docs, labels = labelled
+    names = ["__log_weight", "__p", "__id", "__row", "__tokens", "__w", "__s", "__e", "__copy", "__at", "id", "h", "id_", "h_", "at", "k1", "rep", "samples", "target", "block", "a.b"]
+    wide = docs.select("doc_id", "text", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for out, plain in ((quality.selected(wide, labels), quality.selected(docs, labels)), (mixing.mixed(wide, labels), mixing.mixed(docs, labels)), (minhash.deduplicated(wide), minhash.deduplicated(docs)), (secrets.redacted(wide), secrets.redacted(docs))):
+        got = out.collect()
+        assert out.columns == wide.columns
+        assert len(got) == plain.count()
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got)
+
+
 def test_pipeline_stages_against_loops(spark):
     docs = read_table(spark, SMALL, "documents")
     kept = corpus_pipeline.quality_classifier(spark, docs, SMALL)
@@ -155,6 +182,10 @@ def test_pipeline_stages_against_loops(spark):
     out = corpus_pipeline.tokens(spark, mixed, SMALL).collect()
     assert len(out) == mixed.count()
     assert all(r.round_trip for r in out)
+    p = sentencepiece_scan.pieces(vocabulary("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in mixed.collect()}
+    assert all(p.decode(np.array(r.token_ids))[1:].decode() == texts[r.doc_id] for r in out)
+    assert all(len(r.token_ids) == r.n_tokens for r in out)
 
 
 def test_run_equals_the_stages(spark):
