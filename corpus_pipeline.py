@@ -2,7 +2,8 @@
 
 Junk goes, one document of each group of near-duplicates stays, secrets are replaced by their kind, documents are drawn
 by rates that bring clean and toxic text to target shares, and what is left becomes tokens. Each stage takes what the
-one before it kept; all but the last return the columns of documents.
+one before it kept; all but the last return the columns of documents. run() writes each stage's result as a table, so
+that no stage is worked out twice, and deletes the one before it. The last result carries the token ids.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelforge.llm import minhash, mixing, quality, secrets, sentencepiece_scan
-from reelforge.llm.shared import read_table, ship
+from reelforge.llm.shared import drop_durable, durable, read_table, ship
 from reelforge.llm.vocab import vocabulary
 
 #: Shares of tokens after mixing: clean documents keep a rate of about 1, so this draws toxic ones down and drops junk.
@@ -42,14 +43,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"), cached=CACHED)
+    return sentencepiece_scan.tokenized(docs, vocabulary("piece_bpe_32k.model"), cached=CACHED, with_ids=True)
 
 
 STAGES = [("quality", quality_classifier), ("near-duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mix), ("sentencepiece", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_durable(before)
+        before = docs
     return docs
