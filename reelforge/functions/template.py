@@ -7,8 +7,11 @@ branches are templates again. Text that is no whole placeholder stands for itsel
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,34 +138,61 @@ def _compared(v: Value, test: Callable[[Column], Column]) -> Column:
     return test(F.lower(as_text(v)))
 
 
-_LESS = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
-
-
-def _single(v: Value, ops: list[str]) -> Column:
-    if not ops:
-        return _truth(v)
-    out: Column | None = None
-    for op in ops:
-        if op == "exists":
-            out = _exists(v)
-        elif op == "istrue":
-            out = _flag(v, True) if out is None else out
-        elif op == "isfalse":
-            out = _flag(v, False) if out is None else ~out
-        elif op.startswith("~"):
-            target = op.removeprefix("~=").removeprefix("~").strip().lower()
-            out = _compared(v, lambda x, t=target: F.contains(x, F.lit(t)))
-        elif op.startswith("="):
-            target = op[1:].strip().lower()
-            out = _compared(v, lambda x, t=target: trimmed(x) == t)
-        else:
-            sign = next((s for s in _LESS if op.startswith(s)), None)
-            if sign:
-                try:
-                    out = F.coalesce(_LESS[sign](_number(v), F.lit(float(op[len(sign) :]))), F.lit(False))
-                except ValueError:
-                    out = F.lit(False)
-    return F.lit(False) if out is None else out
+def _ordered(compare: Callable[[Column, Column], Column]) -> Callable:
+    def test(v: Value, before: Column | None, target: str) -> Column:
+        try:
+            return F.coalesce(compare(_number(v), F.lit(float(target))), F.lit(False))
+        except ValueError:
+            return F.lit(False)
+
+    return test
+
+
+def _contains(v: Value, before: Column | None, target: str) -> Column:
+    return _compared(v, lambda x: F.contains(x, F.lit(target.strip().lower())))
+
+
+#: What each operator of a term makes of its value, of the result so far (null at first) and of what follows its sign.
+_TESTS: dict[str, Callable[[Value, Column | None, str], Column]] = {
+    "exists": lambda v, before, target: _exists(v),
+    "istrue": lambda v, before, target: _flag(v, True) if before is None else before,
+    "isfalse": lambda v, before, target: _flag(v, False) if before is None else ~before,
+    "~": _contains,
+    "~=": _contains,
+    "=": lambda v, before, target: _compared(v, lambda x: trimmed(x) == target.strip().lower()),
+    ">=": _ordered(Column.__ge__),
+    "<=": _ordered(Column.__le__),
+    ">": _ordered(Column.__gt__),
+    "<": _ordered(Column.__lt__),
+}
+_OPERATOR = re.compile(r"(exists|istrue|isfalse)\Z|(~=?|=|>=|<=|>|<)(.*)", re.DOTALL)
+
+
+@dataclass(frozen=True)
+class Term:
+    """A field and the operators after it; without any it asks for the field's truth."""
+
+    field: str
+    operators: tuple[str, ...]
+
+    def compiled(self, v: Value) -> Column:
+        out: Column | None = None
+        for m in filter(None, map(_OPERATOR.match, self.operators)):
+            out = _TESTS[m[1] or m[2]](v, out, m[3] or "")
+        return _truth(v) if not self.operators else F.lit(False) if out is None else out
+
+
+def parsed_condition(text: str, paths: tuple[str, ...]) -> list[list[Term]]:
+    """Alternatives of terms that hold together. A path among a term's operators begins the next term."""
+    groups: list[list[Term]] = [[]]
+    for word, run in groupby(_operators(text), lambda t: t if t in ("and", "or") else ""):
+        tokens = list(run)
+        if word == "or":
+            groups.append([])
+        elif not word:
+            starts = [0, *(i for i in range(1, len(tokens)) if tokens[i].startswith(paths))]
+            groups[-1] += [Term(tokens[i], tuple(tokens[i + 1 : j])) for i, j in zip(starts, [*starts[1:], len(tokens)], strict=True)]
+    return [g for g in groups if g]
 
 
 class Template:
@@ -216,23 +246,5 @@ class Template:
         return v
 
     def condition(self, text: str) -> Column:
-        groups: list[list[Column]] = [[]]
-        tokens, i = _operators(text), 0
-        while i < len(tokens):
-            if tokens[i] == "or":
-                groups.append([])
-            elif tokens[i] != "and":
-                field, ops = tokens[i], []
-                while i + 1 < len(tokens) and tokens[i + 1] not in ("and", "or") and not tokens[i + 1].startswith(self.paths):
-                    i += 1
-                    ops.append(tokens[i])
-                groups[-1].append(_single(self._value(field), ops))
-            i += 1
-        out = F.lit(False)
-        for g in groups:
-            if g:
-                all_ = g[0]
-                for c in g[1:]:
-                    all_ = all_ & c
-                out = out | all_
-        return out
+        together = (reduce(Column.__and__, (t.compiled(self._value(t.field)) for t in group)) for group in parsed_condition(text, self.paths))
+        return reduce(Column.__or__, together, F.lit(False))

@@ -135,8 +135,8 @@ def trackers(sources: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without blanks of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space, as Unicode has it, at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def clean_cue(text: Column) -> Column:

@@ -1,16 +1,18 @@
 """Alignment of interval time series by activity in bins.
 
 A track's intervals become the set of bins they touch. Two tracks match at an offset as well as their bins do; all
-offsets are tried at once by joining bins on equal distance, so the search is one equi-join and one count.
+offsets are tried at once on arrays of a pair's bins. A track counts up to TIMELINE_MS, which bounds those arrays.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the scores.
-LONGEST_MS, COARSE_MS, FINE_MS = 20_000, 500, 100
+LONGEST_MS, COARSE_MS, TIMELINE_MS = 20_000, 500, 8 * 3_600_000
 PRECISION, RECALL, VISIBLE_BASE, VISIBLE = 0.72, 0.28, 0.85, 0.15
 
 
@@ -21,8 +23,8 @@ def normalised(cues: DataFrame, track: str = "track") -> DataFrame:
 
 def activity(cues: DataFrame, width: int = COARSE_MS, track: str = "track") -> DataFrame:
     """track, bin: the bins a track is active in; an interval counts for LONGEST_MS at most."""
-    end = F.least(F.col("end"), F.col("start") + LONGEST_MS)
-    spans = cues.filter(F.col("end") > F.col("start"))
+    end = F.least(F.col("end"), F.col("start") + LONGEST_MS, F.lit(TIMELINE_MS))
+    spans = cues.filter((F.col("end") > F.col("start")) & (F.col("start") < TIMELINE_MS))
     return spans.select(track, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((end - 1) / width))).alias("bin")).distinct()
 
 
@@ -41,13 +43,35 @@ def activity_score(shared: Column, visible: Column, target: Column, reference: C
 
 def offset_scores(reference: DataFrame, target: DataFrame, keys: list[str], largest: int) -> DataFrame:
     """keys, offset, shared, score for the offsets (bins) up to largest at which any bin is shared."""
-    spread = target.select(*keys, F.col("bin").alias("own"), F.explode(F.sequence(F.lit(-largest), F.lit(largest))).alias("offset"))
-    hits = spread.withColumn("bin", F.col("own") + F.col("offset")).join(reference.select(*keys, "bin"), [*keys, "bin"]).groupBy(*keys, "offset").agg(F.count("*").alias("shared"))
-    span = reference.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.count("*").alias("r"))
-    seen = spread.join(span, keys).filter((F.col("own") + F.col("offset")).between(F.col("lo"), F.col("hi"))).groupBy(*keys, "offset", "r").agg(F.count("*").alias("visible"))
-    size = target.groupBy(*keys).agg(F.count("*").alias("t"))
-    out = hits.join(seen, [*keys, "offset"]).join(size, keys)
-    return out.select(*keys, "offset", "shared", activity_score(F.col("shared"), F.col("visible"), F.col("t"), F.col("r")).alias("score"))
+    sides = reference.select(*keys, "bin", F.lit(True).alias("ref")).unionByName(target.select(*keys, "bin", F.lit(False).alias("ref")))
+    lists = sides.groupBy(*keys).agg(*(F.collect_list(F.when(F.col("ref") == x, F.col("bin"))).alias(n) for n, x in (("r", True), ("t", False)))).filter((F.size("r") > 0) & (F.size("t") > 0))
+    offsets = np.arange(-largest, largest + 1)
+
+    def count(batches):
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            rows, found = [], []
+            for i, (r, t) in enumerate(zip(b["r"], b["t"], strict=True)):
+                r, t = np.asarray(r.values, np.int64), np.sort(np.asarray(t.values, np.int64))
+                lo, hi = r.min(), r.max()
+                # The reference as a row of marks with room for every offset on both sides; bins beyond it share nothing.
+                marks = np.zeros(hi - lo + 1 + 4 * largest, np.int32)
+                marks[r - lo + 2 * largest] = 1
+                near = t[(t >= lo - largest) & (t <= hi + largest)]
+                shared = sum((marks[part[:, None] - lo + 2 * largest + offsets].sum(axis=0) for part in np.array_split(near, len(near) // 8192 + 1)), np.zeros(len(offsets), np.int64))
+                visible = np.searchsorted(t, hi - offsets, side="right") - np.searchsorted(t, lo - offsets)
+                hit = np.flatnonzero(shared)
+                rows.append(np.full(len(hit), i))
+                found.append(np.stack([offsets[hit], shared[hit], visible[hit], np.full(len(hit), len(t)), np.full(len(hit), len(r))]))
+            numbers = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+            named = table.select(keys).take(pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+            for name, column in zip(("offset", "shared", "visible", "t", "r"), numbers, strict=True):
+                named = named.append_column(name, pa.array(column, pa.int64()))
+            yield from named.combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lists.select(*keys).schema.fields)
+    out = lists.mapInArrow(count, f"{kinds}, offset long, shared long, visible long, t long, r long")
+    return out.select(*keys, F.col("offset").cast("int").alias("offset"), "shared", activity_score(F.col("shared"), F.col("visible"), F.col("t"), F.col("r")).alias("score"))
 
 
 def best_offset(scores: DataFrame, keys: list[str], apart: int) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.patterns import compiles
+
 LAST = 2147483647
 OUTRO, SCENE = ("outro", "ed", "mixed-ed"), "post-credits"  # fixed values: kinds of segments
 DUPLICATE_PAGES = 3
@@ -38,9 +40,7 @@ def excluded_words(pattern: str) -> list[str]:
 
 def user_pattern(text: Column, pattern: str) -> Column:
     """Found, without a word that the pattern excludes; a pattern that does not compile matches nothing."""
-    try:
-        re.compile(pattern.strip())
-    except re.error:
+    if not compiles(f"(?i){pattern.strip()}"):
         return F.lit(False)
     words = excluded_words(pattern)
     found = text.rlike(f"(?i){pattern.strip()}")
@@ -185,10 +185,10 @@ def url_template(pattern: str, values: dict[str, Column]) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """The 31-multiplier hash of a text's UTF-16 code units with 32-bit wrap-around, for texts of the first plane."""
-    codes = F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c)).cast("long"))
-    span = 1 << 32
-    raw = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % span)
+    """The 31-multiplier hash of a text's UTF-16 code units with 32-bit wrap-around."""
+    digits, span = F.hex(F.encode(text, "UTF-16BE")), 1 << 32
+    units = F.transform(F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1), lambda i: F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    raw = F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % span))
     return F.when(raw >= span // 2, raw - span).otherwise(raw).cast("int")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelforge.functions.patterns import compiles
+
 GB = 1024**3
 
 
@@ -117,13 +119,5 @@ def connection_fit(size: Column, minutes: Column, mbps: Column) -> tuple[Column,
 
 def badges(df: DataFrame, text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Names of the rules, in order and each once, whose pattern is found. Rules are part of the plan: no join, no cross product."""
-    import re
-
-    fine = []
-    for name, pattern in rules:
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        fine.append((name, pattern))
+    fine = [(name, pattern) for name, pattern in rules if compiles(f"(?i){pattern}")]
     return F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), F.lit(n)) for n, p in fine)))) if fine else F.array().cast("array<string>")

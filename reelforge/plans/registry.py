@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import catalogs, facts, merging, series, sources
+from reelforge.plans import catalogs, facts, merging, series, sources, viewing
 
-QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES, **viewing.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

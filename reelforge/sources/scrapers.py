@@ -1,7 +1,8 @@
 """User-registered functions that turn a request into candidate rows.
 
 A function takes (id, type, season, episode) and yields dictionaries, whose fields are read with tolerance; rows without
-an address go. Functions are trusted: a Python worker is no sandbox. One that fails for a request gives no rows for it.
+an address go. Functions are trusted: a Python worker is no sandbox. One that fails for a
+request gives a row with its error and no address.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 FIELDS = ("title", "name", "url", "quality", "size", "language", "provider", "type", "info_hash")
-SCHEMA = "request long, ord int, title string, name string, url string, quality string, size string, language string, provider string, type string, info_hash string, seeders int, headers string"
+SCHEMA = "request long, ord int, title string, name string, url string, quality string, size string, language string, provider string, type string, info_hash string, seeders int, headers string, error string"
 Scraper = Callable[[str, str, "int | None", "int | None"], Iterable[dict]]
 
 
@@ -50,10 +51,11 @@ def scraped(requests: DataFrame, scraper: Scraper) -> DataFrame:
                 whole = lambda x: None if pd.isna(x) else int(x)
                 try:
                     found = list(scraper(r.id, r.type, whole(r.season), whole(r.episode)) or [])
-                except Exception:  # noqa: BLE001
-                    found = []
+                except Exception as e:  # noqa: BLE001
+                    rows.append({"request": r.request, "error": f"{type(e).__name__}: {e}"})
+                    continue
                 rows += [{"request": r.request, "ord": i} | x for i, x in enumerate(y for y in map(result, found) if y)]
-            frame = pd.DataFrame(rows, columns=["request", "ord", *FIELDS, "seeders", "headers"])
+            frame = pd.DataFrame(rows, columns=["request", "ord", *FIELDS, "seeders", "headers", "error"])
             yield frame.astype({"seeders": "Int32"})
 
     return requests.select("request", "id", "type", "season", "episode").mapInPandas(run, SCHEMA)

@@ -44,13 +44,30 @@ def srt(files: DataFrame, track: str = "track", text: str = "text") -> DataFrame
 
 
 def ttml(files: DataFrame, track: str = "track", text: str = "text") -> DataFrame:
-    """`<p begin end|dur>` elements; a cue without an end lasts three seconds."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?is)(<p\b[^>]*\bbegin\s*=.*?</p>)"), 1)
-    rows = files.select(track, F.posexplode(found).alias("ord", "p"))
-    attr = lambda n: F.regexp_extract("p", rf"(?i)\b{n}\s*=\s*[\"']([^\"']+)[\"']", 1)
-    clock = lambda c: F.coalesce(timestamp_ms(c), F.round(F.regexp_extract(c, r"^([\d.]+)s$", 1).try_cast("double") * 1000).cast("long"))
-    start = clock(attr("begin"))
-    end = F.coalesce(clock(attr("end")), start + clock(attr("dur")), start + 3000)
+    """`<p begin|start end|dur>` elements; a cue without an end lasts three seconds.
+
+    Clocks are times with a fraction or with frames of the root's rate (30 unless it names one), or numbers with a unit.
+    """
+    attr = lambda c, n: F.nullif(F.regexp_extract(c, rf"(?i)(?<![\w:-]){n}\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
+    number = lambda c: c.try_cast("double")
+    root = F.regexp_extract(text, r"(?is)<tt\b([^>]*)>", 1)
+    ratio = F.split(trimmed(attr(root, "(?:ttp:)?frameRateMultiplier")), r"\s+")
+    times = F.when((F.size(ratio) == 2) & (number(F.get(ratio, F.lit(1))) > 0), number(F.get(ratio, F.lit(0))) / number(F.get(ratio, F.lit(1))))
+    rate = F.coalesce(number(attr(root, "(?:ttp:)?frameRate")), F.lit(30.0)) * F.coalesce(times, F.lit(1.0))
+    found = F.regexp_extract_all(F.col(text), F.lit(r"(?is)(<p\b[^>]*>.*?</p>)"), 1)
+    rows = files.select(track, F.when(rate > 0, rate).otherwise(30.0).alias("rate"), F.posexplode(found).alias("ord", "p"))
+
+    def clock(c: Column) -> Column:
+        frames = F.split(F.regexp_extract(c, r"^\s*(\d+:\d{2}:\d{2}:\d+)\s*$", 1), ":")
+        part = lambda i: number(F.get(frames, F.lit(i)))
+        framed = ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3) / F.col("rate") * 1000
+        unit = F.regexp_extract(c, r"^\s*[\d.]+(ms|h|m|s|f)\s*$", 1)
+        long_ = F.when(unit == "h", F.lit(3_600_000.0)).when(unit == "m", 60_000.0).when(unit == "s", 1000.0).when(unit == "ms", 1.0).when(unit == "f", 1000 / F.col("rate"))
+        return F.coalesce(F.round(framed).cast("long"), timestamp_ms(c), F.round(number(F.regexp_extract(c, r"^\s*([\d.]+)[a-z]+\s*$", 1)) * long_).cast("long"))
+
+    opening = F.regexp_extract("p", r"(?is)^<p\b([^>]*)>", 1)
+    start = clock(F.coalesce(attr(opening, "begin"), attr(opening, "start")))
+    end = F.coalesce(clock(attr(opening, "end")), start + clock(attr(opening, "dur")), start + 3000)
     body = clean_cue(F.regexp_replace(F.regexp_replace(F.regexp_extract("p", r"(?is)^<p\b[^>]*>(.*)</p>$", 1), r"(?i)<br\s*/?>", "\n"), r"<[^>]*>", ""))
     return rows.select(track, "ord", start.alias("start"), end.alias("end"), body.alias("text")).filter("end > start and text <> ''")
 

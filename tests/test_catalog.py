@@ -8,6 +8,9 @@ def test_excluded_words_and_broken_patterns(spark):
     df = spark.createDataFrame([("a cam x",), ("camera x",), ("b",)], "t string")
     assert [r.t for r in df.filter(C.user_pattern(F.col("t"), r"(?!.*(cam)).*x|x")).collect()] == ["camera x"]
     assert df.filter(C.user_pattern(F.col("t"), "([")).count() == 0
+    letters = spark.createDataFrame([("é",), ("12",)], "t string")
+    assert [r.t for r in letters.filter(C.user_pattern(F.col("t"), r"^\p{L}+$")).collect()] == ["é"]
+    assert letters.filter(C.user_pattern(F.col("t"), "(?P<x>.)")).count() == 0  # Python's form, which the engine does not take
 
 
 def test_collapsed_cues(spark):
@@ -34,6 +37,8 @@ def test_url_template_and_hash(spark):
     got = df.select(*(C.url_template(p, v).alias(str(i)) for i, p in enumerate(["/{b|a}/", "/{b}", "/{b?}/z", "plain"]))).first()
     assert list(got) == ["/x/", None, "//z", "plain"]
     assert spark.range(1).select(C.string_hash(F.lit("hello world")).alias("h")).first().h == 1794106052
+    others = spark.range(1).select(C.string_hash(F.lit("a😀")).alias("a"), C.string_hash(F.lit("")).alias("b"), C.string_hash(F.lit(None).cast("string")).alias("c")).first()
+    assert tuple(others) == (1866116, 0, None)
     assert C.discover_query({"with_genres": [1, 2], "year": None, "include_adult": False})["region"] == "US"
 
 

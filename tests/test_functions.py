@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelforge.functions import dates, ids, progress, text
+from reelforge.functions import language, dates, ids, progress, text
 from reelforge.functions.template import Template, Value
 from reelforge.operators import selection as S
 from reelforge.operators.rollups import version_key
@@ -161,3 +161,23 @@ def test_broken_rules_are_passed_over(spark):
     df = spark.createDataFrame([("x265 IMAX",), ("none",)], "t string")
     rules = [("A", "imax"), ("B", "(["), ("A", "x265"), ("C", r"\bx265\b")]
     assert [r.b for r in df.select(S.badges(df, F.col("t"), rules).alias("b")).collect()] == [["A", "C"], []]
+
+
+def test_blanks_of_all_kinds_are_trimmed(one):
+    assert one(text.trimmed(F.lit("\u2003 \u00a0é x\u00a0 "))) == "é x"
+
+
+@pytest.mark.parametrize(
+    ("said", "code"),
+    [("pt_BR", "pt-br"), ("Portuguese (Brasil)", "pt-br"), ("português", "português"), ("ES-419", "es-419"), ("Castellano", "es"), ("zht", "zh-tw"), ("chi-hk", "zh-hk"), ("zht-x", "zh-tw"), ("Brazilian Portuguese", "pt-br"), ("old norwegian dub", "no"), ("english.uk", "en"), ("tlh", "tlh"), ("  ", None), (None, None)],
+)
+def test_language_codes(one, said, code):
+    assert one(language.language_code(F.lit(said).cast("string"))) == code
+
+
+def test_forced_tracks_and_countries(one):
+    none = F.lit(None).cast("string")
+    assert one(language.is_forced(F.lit("Signs & Songs"), none, none, F.lit(False))) is True
+    assert one(language.is_forced(F.lit("Signs"), none, none, F.lit(None).cast("boolean"))) is False
+    assert one(language.country_language(F.lit(" South Korea "))) == "ko"
+    assert one(language.content_language(none, F.lit("BR"))) == "pt"

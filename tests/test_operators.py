@@ -106,6 +106,11 @@ def test_subtitles(spark):
     assert rows(subtitles.by_line(f(ass), "ass")) == [(1000, 2500, "a, b\nc")]
     ttml = '<tt><p begin="00:00:01.0" end="00:00:02.0">a<br/>b</p><p begin="5s">c</p><p end="1s">d</p></tt>'
     assert rows(subtitles.ttml(f(ttml))) == [(1000, 2000, "a\nb"), (5000, 8000, "c")]
+    framed = '<tt xmlns:ttp="x" ttp:frameRate="25"><p begin="00:00:10:12" end="00:00:12:00">Frame rated</p><p xml:id="q" start="1.5s" dur="500ms">s</p></tt>'
+    assert rows(subtitles.ttml(f(framed))) == [(10480, 12000, "Frame rated"), (1500, 2000, "s")]
+    ratio = '<tt ttp:frameRate="30" ttp:frameRateMultiplier="1000 1001"><p begin="00:00:10:15" end="00:00:11:00">x</p></tt>'
+    assert rows(subtitles.ttml(f(ratio))) == [(10500, 11000, "x")]
+    assert rows(subtitles.ttml(f('<tt ttp:frameRate="0"><p begin="00:01:12:15" end="00:01:13:00">x</p></tt>'))) == [(72500, 73000, "x")]
     kinds = spark.createDataFrame([("a.VTT?x", ""), ("", "WEBVTT"), ("x.ssa", ""), ("", "<tt xmlns>"), ("", "1\n")], "n string, t string")
     assert [r.k for r in kinds.select(subtitles.kind_of(F.col("t"), F.col("n")).alias("k")).collect()] == ["vtt", "vtt", "ass", "ttml", "srt"]
     tiles = "WEBVTT\n\n00:00.000 --> 00:10.000\ns.jpg#xywh=0,1,2,3\n\n00:10.000 --> 00:20.000\nbad\n"
