@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 # Fixed values of the scores.
 LONGEST_MS, COARSE_MS, TIMELINE_MS = 20_000, 500, 8 * 3_600_000
+# Ratios of 23.976, 24 and 25 frames a second; scales that are likely; how far apart two are; offsets; a partial target.
+SCALES = (1.0, 25 / 23.976, 23.976 / 25, 25 / 24, 24 / 25, 24 / 23.976, 23.976 / 24)
+SCALE_RANGE, SCALE_APART, OFFSET_MS, PARTIAL = (0.94, 1.06), 0.00035, 180_000, 0.75
 PRECISION, RECALL, VISIBLE_BASE, VISIBLE = 0.72, 0.28, 0.85, 0.15
 
 
@@ -74,6 +77,23 @@ def offset_scores(reference: DataFrame, target: DataFrame, keys: list[str], larg
     return out.select(*keys, F.col("offset").cast("int").alias("offset"), "shared", activity_score(F.col("shared"), F.col("visible"), F.col("t"), F.col("r")).alias("score"))
 
 
+def scale_candidates(reference_span: Column, target_span: Column) -> Column:
+    """Scales between frame rates, and the ratio of the spans where it is likely, ascending; near ones count once."""
+    ratio = F.when((reference_span > 0) & (target_span > 0), reference_span.cast("double") / target_span)
+    likely = F.filter(F.array(*map(F.lit, SCALES), ratio), lambda x: F.coalesce(x.between(*SCALE_RANGE), F.lit(False)))
+    add = lambda held, x: F.when(F.exists(held, lambda y: F.abs(y - x) < SCALE_APART), held).otherwise(F.concat(held, F.array(x)))
+    return F.aggregate(F.array_sort(likely), F.array().cast("array<double>"), add)
+
+
+def offset_range(reference: tuple[Column, Column], target: tuple[Column, Column], width: int = COARSE_MS) -> tuple[Column, Column]:
+    """The least and the largest offset to try, in bins, of tracks between their first and last active bins: a target that
+    covers part of its reference alone may lie anywhere in it."""
+    base = OFFSET_MS // width
+    whole = (target[1] - target[0]) >= (reference[1] - reference[0]) * PARTIAL
+    low, high = F.least(F.lit(-base), reference[0] - target[0] - base), F.greatest(F.lit(base), reference[1] - target[1] + base)
+    return F.when(whole, F.lit(-base)).otherwise(low), F.when(whole, F.lit(base)).otherwise(high)
+
+
 def best_offset(scores: DataFrame, keys: list[str], apart: int) -> DataFrame:
     """keys, offset, score and margin over the best offset more than `apart` away."""
     best = scores.groupBy(*keys).agg(F.min_by(F.struct("offset", "score"), F.struct((-F.round("score", 9)).alias("s"), F.abs("offset").alias("d"), "offset")).alias("b")).select(*keys, F.col("b.offset").alias("best"), F.col("b.score").alias("top"))

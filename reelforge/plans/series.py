@@ -236,6 +236,34 @@ w AS (SELECT pair, k, score FROM s QUALIFY row_number() OVER (PARTITION BY pair
 SELECT w.pair, w.k AS "offset", round(w.score, 6) AS score, round(w.score - coalesce(max(s.score) FILTER (abs(s.k - w.k) > 5), 0), 6) AS margin FROM w JOIN s USING (pair) GROUP BY w.pair, w.k, w.score"""
 
 
+def wide_shift_scores(spark, d):
+    a, b = _pairs(spark, d)
+    return A.best_offset(A.offset_scores(a, b, ["pair"], A.OFFSET_MS // A.COARSE_MS), ["pair"], 5).select("pair", "offset", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+WIDE_SHIFT_SCORES = SHIFT_SCORES.replace("range(-40, 41)", "range(-360, 361)")
+
+
+def scale_candidates(spark, d):
+    ends = _cues(spark, d).groupBy("track").agg(F.min("start").alias("lo"), (F.max("start") - F.min("start")).alias("span"), F.min(F.floor(F.col("start") / 500)).alias("first"), F.max(F.floor(F.col("start") / 500)).alias("last"))
+    side = lambda x: ends.filter(F.col("track") % 2 == x).select(F.floor(F.col("track") / 2).alias("pair"), *(F.col(c).alias(f"{c}{x}") for c in ("span", "first", "last")))
+    both = side(0).join(side(1), "pair")
+    scales = F.array_join(F.transform(A.scale_candidates(F.col("span0"), F.col("span1")), lambda x: F.round(x, 4).cast("string")), ",")
+    low, high = A.offset_range((F.col("first0"), F.col("last0")), (F.col("first1"), F.col("last1") - F.when(F.col("pair") % 3 == 0, 3000).otherwise(0)))
+    return both.select("pair", scales.alias("scales"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+
+SCALE_CANDIDATES = CUES + """, e AS (SELECT track, max(start) - min(start) AS span, min(start) // 500 AS f, max(start) // 500 AS l FROM c GROUP BY track),
+g AS (SELECT x.track // 2 AS pair, x.span AS rs, y.span AS ts, x.f AS rf, x.l AS rl, y.f AS tf, y.l - CASE WHEN x.track // 2 % 3 = 0 THEN 3000 ELSE 0 END AS tl FROM e x JOIN e y ON y.track = x.track + 1 WHERE x.track % 2 = 0),
+s AS (SELECT pair, unnest([1.0::DOUBLE, 25.0 / 23.976, 23.976 / 25.0, 25.0 / 24.0, 24.0 / 25.0, 24.0 / 23.976, 23.976 / 24.0, rs::DOUBLE / ts]) AS x FROM g),
+u AS (SELECT DISTINCT pair, x FROM s WHERE x BETWEEN 0.94 AND 1.06),
+k AS (SELECT pair, x FROM u WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.pair = u.pair AND v.x < u.x AND u.x - v.x < 0.00035))
+SELECT g.pair, string_agg(round(x, 4)::VARCHAR, ',' ORDER BY x) AS scales,
+  CASE WHEN tl - tf >= (rl - rf) * 0.75 THEN -360 ELSE least(-360, rf - tf - 360) END::BIGINT AS low,
+  CASE WHEN tl - tf >= (rl - rf) * 0.75 THEN 360 ELSE greatest(360, rl - tl + 360) END::BIGINT AS high
+FROM g JOIN k ON k.pair = g.pair GROUP BY ALL"""
+
+
 def constant_shift(spark, d):
     t = turns(spark, d)
     a = t.select("conv_id", F.col("turn").alias("ord"), (F.col("turn") * 1000).alias("start"), (F.col("turn") * 1000 + 500).alias("end"))
@@ -355,6 +383,8 @@ QUERIES = {
     "activity_bins": (activity_bins, ACTIVITY_BINS),
     "bin_jaccard": (bin_jaccard, BIN_JACCARD),
     "shift_scores": (shift_scores, SHIFT_SCORES),
+    "wide_shift_scores": (wide_shift_scores, WIDE_SHIFT_SCORES),
+    "scale_candidates": (scale_candidates, SCALE_CANDIDATES),
     "constant_shift": (constant_shift, CONSTANT_SHIFT),
     "ambiguous_ids": (ambiguous_ids, AMBIGUOUS_IDS),
     "identity_siblings": (identity_siblings, IDENTITY_SIBLINGS),

@@ -2,7 +2,7 @@
 
 A function takes (id, type, season, episode) and yields dictionaries, whose fields are read with tolerance; rows without
 an address go. Functions are trusted: a Python worker is no sandbox. One that fails for a
-request gives a row with its error and no address.
+request gives no rows for it, or, where errors are asked for, a row with its error.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ def result(item, unknown: str = "Unknown") -> dict | None:
     return row
 
 
-def scraped(requests: DataFrame, scraper: Scraper) -> DataFrame:
-    """Rows of all requests (request, id, type, season, episode)."""
+def scraped(requests: DataFrame, scraper: Scraper, errors: bool = False) -> DataFrame:
+    """Rows of all requests (request, id, type, season, episode); with errors, a row that says so for each failed one."""
 
     def run(batches):
         for b in batches:
@@ -52,10 +52,11 @@ def scraped(requests: DataFrame, scraper: Scraper) -> DataFrame:
                 try:
                     found = list(scraper(r.id, r.type, whole(r.season), whole(r.episode)) or [])
                 except Exception as e:  # noqa: BLE001
-                    rows.append({"request": r.request, "error": f"{type(e).__name__}: {e}"})
+                    if errors:
+                        rows.append({"request": r.request, "error": f"{type(e).__name__}: {e}"})
                     continue
                 rows += [{"request": r.request, "ord": i} | x for i, x in enumerate(y for y in map(result, found) if y)]
             frame = pd.DataFrame(rows, columns=["request", "ord", *FIELDS, "seeders", "headers", "error"])
-            yield frame.astype({"seeders": "Int32"})
+            yield frame.astype({"ord": "Int32", "seeders": "Int32"} | dict.fromkeys((*FIELDS, "headers", "error"), "object"))
 
     return requests.select("request", "id", "type", "season", "episode").mapInPandas(run, SCHEMA)

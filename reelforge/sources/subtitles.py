@@ -58,12 +58,14 @@ def ttml(files: DataFrame, track: str = "track", text: str = "text") -> DataFram
     rows = files.select(track, F.when(rate > 0, rate).otherwise(30.0).alias("rate"), F.posexplode(found).alias("ord", "p"))
 
     def clock(c: Column) -> Column:
-        frames = F.split(F.regexp_extract(c, r"^\s*(\d+:\d{2}:\d{2}:\d+)\s*$", 1), ":")
+        first = F.split_part(trimmed(c), F.lit(" "), F.lit(1))
+        frames = F.split(F.regexp_extract(first, r"^(\d+:\d+:\d+:[\d.]+)$", 1), ":")
         part = lambda i: number(F.get(frames, F.lit(i)))
-        framed = ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3) / F.col("rate") * 1000
-        unit = F.regexp_extract(c, r"^\s*[\d.]+(ms|h|m|s|f)\s*$", 1)
-        long_ = F.when(unit == "h", F.lit(3_600_000.0)).when(unit == "m", 60_000.0).when(unit == "s", 1000.0).when(unit == "ms", 1.0).when(unit == "f", 1000 / F.col("rate"))
-        return F.coalesce(F.round(framed).cast("long"), timestamp_ms(c), F.round(number(F.regexp_extract(c, r"^\s*([\d.]+)[a-z]+\s*$", 1)) * long_).cast("long"))
+        framed = ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3) * 1000 / F.col("rate")
+        unit = F.lower(F.regexp_extract(first, r"(?i)^\d+(?:\.\d+)?(ms|h|m|s)$", 1))
+        long_ = F.when(unit == "h", F.lit(3_600_000.0)).when(unit == "m", 60_000.0).when(unit == "s", 1000.0).when(unit == "ms", 1.0)
+        counted = number(F.regexp_extract(first, r"^([\d.]+)", 1)) * long_
+        return F.coalesce(framed.cast("long"), timestamp_ms(first), counted.cast("long"))  # fractions of a millisecond go
 
     opening = F.regexp_extract("p", r"(?is)^<p\b([^>]*)>", 1)
     start = clock(F.coalesce(attr(opening, "begin"), attr(opening, "start")))

@@ -75,3 +75,5 @@ def test_scrapers(spark):
     req = spark.createDataFrame([(1, "a", "series", 2, None), (2, "bad", "movie", None, None)], "request long, id string, type string, season int, episode int")
     got = scraped(req, scraper).orderBy("ord").collect()
     assert [(r.request, r.title, r.url, r.seeders, r.headers, r.size) for r in got] == [(1, "n", "http://a/2", 7, '{"A": "1"}', None), (1, "Unknown", "u", None, None, None)]
+    told = scraped(req, scraper, errors=True).filter("error is not null").collect()
+    assert [(r.request, r.url, r.error) for r in told] == [(2, None, "ValueError: ")]
