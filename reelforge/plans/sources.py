@@ -107,11 +107,11 @@ NESTED_STORAGE = "SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey FROM lin
 
 
 def alias_signatures(spark, d):
-    p = progress(spark, d).filter("percent > 200")
+    p = progress(spark, d)
     return R.by_signature(p, "profile", ["title"]).select(F.array_join(F.col("aliases").cast("array<string>"), ",").alias("aliases"), F.array_join("entries.title", ",").alias("titles"))
 
 
-ALIAS_SIGNATURES = PROGRESS + ", s AS (SELECT profile, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM p WHERE percent > 200 GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, titles FROM s GROUP BY titles"
+ALIAS_SIGNATURES = PROGRESS + ", s AS (SELECT profile, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM p GROUP BY profile) SELECT string_agg(profile::VARCHAR, ',' ORDER BY profile) AS aliases, titles FROM s GROUP BY titles"
 
 
 def alias_signatures_all(spark, d):
@@ -193,11 +193,11 @@ AVAILABILITY = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 1 AND o_orderkey
 
 def unique_file_match(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 9).alias("name"))
-    c = table(spark, d, "customer").filter("c_acctbal > 9700").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 9).alias("name"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 9).alias("name"))
     return R.unique_match(s, c, ["nation"], "name", "s_suppkey", "c_custkey")
 
 
-UNIQUE_MATCH = "WITH c AS (SELECT * FROM customer WHERE c_acctbal > 9700), u AS (SELECT c_nationkey, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey)) AS c_custkey FROM supplier"
+UNIQUE_MATCH = "WITH c AS (SELECT * FROM customer), u AS (SELECT c_nationkey, min(c_custkey) AS k FROM c GROUP BY ALL HAVING count(DISTINCT c_custkey) = 1) SELECT s_suppkey, coalesce((SELECT min(c_custkey) FROM c WHERE c_nationkey = s_nationkey AND c_custkey % 9 = s_suppkey % 9), (SELECT k FROM u WHERE u.c_nationkey = s_nationkey)) AS c_custkey FROM supplier"
 
 
 def unique_file_match_all(spark, d):
