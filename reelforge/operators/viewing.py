@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelforge.functions.progress import malformed_id
-from reelforge.functions.text import trimmed
+from reelforge.functions.text import title_sort_key, trimmed
 from reelforge.operators.order import first_by, last_by, ranked
 
 # Names that are no id, the fraction from which an entry is not shown, the last place of unranked rows.
@@ -170,3 +170,76 @@ def sources_loaded(groups: DataFrame, keys: Sequence[str], scope: str, installed
     known = groups.join(installed.select("addon", F.lit(True).alias("known")).distinct(), "addon", "left")
     relevant = {"all": F.lit(True), "installed": F.col("known").isNotNull(), "plugins": F.col("known").isNull()}[scope]
     return known.groupBy(*keys).agg((~F.bool_or(F.col("loading") & relevant)).alias("loaded"))
+
+
+def overlaid(remote: DataFrame, own: DataFrame, keys: Sequence[str], now: int) -> DataFrame:
+    """remote and the own entries that still count: not expired, and not yet confirmed by a remote entry of their video.
+
+    Both: keys, video, stamp, fraction, done; own also expires. A remote entry that is at most a minute older confirms a
+    finished one if it is finished, another one if their fractions differ by 0.03 at most. The newest entry of a video stays.
+    """
+    there = remote.select(*keys, "video", F.col("stamp").alias("r_stamp"), F.col("fraction").alias("r_fraction"), F.col("done").alias("r_done"))
+    close = F.when(F.col("done"), F.col("r_done")).otherwise(F.abs(F.col("r_fraction") - F.col("fraction")) <= 0.03)
+    joined = own.filter(F.col("expires") > now).join(there, [*keys, "video"], "left")
+    sure = joined.groupBy(*keys, "video", "stamp", "fraction", "done").agg(F.coalesce(F.bool_or(close & (F.col("r_stamp") >= F.col("stamp") - 60_000)), F.lit(False)).alias("sure"))
+    active = sure.filter("not sure").select(*keys, "video", "stamp", "fraction", "done", F.lit(True).alias("own"))
+    both = remote.select(*keys, "video", "stamp", "fraction", "done", F.lit(False).alias("own")).unionByName(active)
+    return last_by(both.withColumn("turn", F.when(F.col("own"), 0).otherwise(1)), [*keys, "video"], ["stamp", "turn", "fraction"]).drop("turn")
+
+
+def prepared(candidates: DataFrame, keys: Sequence[str], key: str, chosen: Column, matches: Column, limit: int) -> DataFrame:
+    """The candidates to prepare, each key once: the chosen one, those that match, the rest, as far as the limit; place from 1."""
+    once = first_by(candidates.withColumn("step", F.when(chosen, 0).when(matches, 1).otherwise(2)), [*keys, key], ["ord"])
+    return ranked(once, keys, ["step", "ord"], "place").filter(F.col("place") <= limit)
+
+
+def library_rows(items: DataFrame, keys: Sequence[str], key: str, kind: str, wanted: str | None, sort: str) -> DataFrame:
+    """Items of all sections, each key once, of one kind where any item has it, with their place by one of five orders.
+
+    items: also ord, list_rank, tracker_rank, saved, title, id.
+    """
+    name, tie = title_sort_key(F.col("title")), [F.lower(trimmed(F.col("title"))), F.col("id")]
+    orders = {
+        "default": [F.coalesce("list_rank", "tracker_rank", F.lit(LAST)).asc(), F.col("saved").desc(), *tie],
+        "added_desc": [F.col("saved").desc(), *tie],
+        "added_asc": [F.col("saved").asc(), *tie],
+        "title_asc": [name.asc(), F.col("id")],
+        "title_desc": [name.desc(), F.col("id")],
+    }
+    once = first_by(items, [*keys, key], ["ord"]).withColumn("kind", F.lower(trimmed(F.col(kind))))
+    if wanted is not None:
+        w = Window.partitionBy(*keys)
+        same = F.col("kind") == wanted.strip().lower()
+        once = once.withColumn("any", F.max(F.coalesce(same, F.lit(False))).over(w)).filter(~F.col("any") | same).drop("any")
+    return ranked(once, keys, orders[sort], "place")
+
+
+def like_dialogue(text: Column) -> Column:
+    """Not wholly in brackets, and with a letter or a digit."""
+    whole = trimmed(text)
+    return F.coalesce(~whole.rlike(r"(?s)^(\(.*\)|\[.*\])$") & whole.rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
+
+
+def plain_name(name: Column) -> Column:
+    """The last part of a path in lower case, without its ending, its letters and digits in words."""
+    last = F.regexp_replace(F.lower(F.substring_index(name, "/", -1)), r"\.[^.]*$", "")
+    return trimmed(F.regexp_replace(last, r"[^a-z0-9]+", " "))
+
+
+def chosen_file(files: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One file for each request that has a playable one: the first whose name holds a wanted one or lies in it, the first whose name holds an
+    episode's mark, the one at the wanted index, then before it, then of that id, else the largest.
+
+    files: keys, pos (from 0), id, name, size, playable; wanted: keys, names, marks (arrays, lower case), index.
+    """
+    rows = files.filter("playable").join(wanted, keys)
+    name = F.lower(trimmed(F.col("name")))
+    plain = plain_name(F.col("name"))
+    named = F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.contains(plain, plain_name(n)) | F.contains(plain_name(n), plain))
+    marked = F.exists(F.coalesce("marks", F.array().cast("array<string>")), lambda m: F.contains(name, m))
+    step = (
+        F.when(named, 0).when(marked, 1).when(F.col("pos") == F.col("index"), 2)
+        .when((F.col("index") > 0) & (F.col("pos") == F.col("index") - 1), 3).when(F.col("id") == F.col("index"), 4).otherwise(5)
+    )
+    sized = rows.withColumn("step", step).withColumn("less", F.when(F.col("step") == 5, -F.coalesce("size", F.lit(0))).otherwise(0))
+    return first_by(sized, keys, ["step", "less", "pos", "id", "name"]).select(*keys, "id", "name", "step")

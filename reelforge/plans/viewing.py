@@ -288,6 +288,83 @@ QUERIES = {
     "loaded_sources": (loaded_sources, LOADED),
 }
 
+def overlaid_progress(spark, d):
+    e = given(spark, d, "entries").select("profile", "video", "stamp", "fraction", "done")
+    remote = e.filter("stamp % 3 <> 0").groupBy("profile", "video").agg(F.max("stamp").alias("stamp"), F.max_by("fraction", F.struct("stamp", "fraction", "done")).alias("fraction"), F.max_by("done", F.struct("stamp", "fraction", "done")).alias("done"))
+    own = e.filter("stamp % 3 = 0").groupBy("profile", "video").agg((F.max("stamp") + 40).alias("stamp"), F.max_by("fraction", F.struct("stamp", "fraction", "done")).alias("fraction"), F.max_by("done", F.struct("stamp", "fraction", "done")).alias("done"))
+    return V.overlaid(remote, own.withColumn("expires", F.col("stamp") * 2), ["profile"], 4000).select("profile", "video", "stamp", "fraction", "done", "own")
+
+
+OVERLAID = f"""WITH {_with("entries")}, e AS (SELECT profile, video, stamp, fraction, done FROM entries),
+remote AS (SELECT * FROM e WHERE stamp % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY profile, video ORDER BY stamp DESC, fraction DESC, done DESC) = 1),
+own AS (SELECT profile, video, stamp + 40 AS stamp, fraction, done FROM e WHERE stamp % 3 = 0 QUALIFY row_number() OVER (PARTITION BY profile, video ORDER BY stamp DESC, fraction DESC, done DESC) = 1),
+live AS (SELECT o.* FROM own o LEFT JOIN remote r USING (profile, video) WHERE o.stamp * 2 > 4000
+  AND NOT coalesce(r.stamp >= o.stamp - 60000 AND CASE WHEN o.done THEN r.done ELSE abs(r.fraction - o.fraction) <= 0.03 END, false)),
+u AS (SELECT *, false AS own FROM remote UNION ALL SELECT *, true FROM live)
+SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY profile, video ORDER BY stamp DESC, own) = 1"""
+
+
+def preparation_order(spark, d):
+    o = given(spark, d, "up_next").select("profile", "video", "released", "ord")
+    return V.prepared(o, ["profile"], "video", F.col("video") == F.concat(F.lit("n"), F.col("profile") % 97), F.coalesce(F.col("released").rlike("^199[57]"), F.lit(False)), 6).select("profile", "video", "step", "place")
+
+
+PREPARATION = f"""WITH {_with("up_next")}, s AS (SELECT profile, video, ord, CASE WHEN video = 'n' || profile % 97 THEN 0 WHEN released LIKE '1995%' OR released LIKE '1997%' THEN 1 ELSE 2 END AS step FROM up_next),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY profile, video ORDER BY ord) = 1)
+SELECT profile, video, step, row_number() OVER (PARTITION BY profile ORDER BY step, ord) AS place FROM f QUALIFY place <= 6"""
+
+
+def library_sorts(spark, d):
+    p = table(spark, d, "part")
+    article = F.get(F.array(*map(F.lit, ["The ", "an ", "A ", "", "Theo "])), (F.col("p_partkey") % 5).cast("int"))
+    items = p.select((F.col("p_partkey") % 7).alias("shelf"), (F.col("p_partkey") % 900).alias("key"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size").cast("int")).alias("list_rank"), F.when(F.col("p_partkey") % 4 == 1, F.col("p_size").cast("int")).alias("tracker_rank"), (F.col("p_partkey") % 50).alias("saved"), F.concat(article, "p_name").alias("title"), F.col("p_partkey").alias("id"), F.get(F.array(F.lit(" Movie"), F.lit("series ")), (F.col("p_size") % 2).cast("int")).alias("type"))
+    out = None
+    for sort in ("default", "added_desc", "added_asc", "title_asc", "title_desc"):
+        rows = V.library_rows(items, ["shelf"], "key", "type", "MOVIE", sort).select("shelf", "id", F.col("place").alias(f"by_{sort}"))
+        out = rows if out is None else out.join(rows, ["shelf", "id"])
+    return out
+
+
+LIBRARY = """WITH t AS (SELECT p_partkey % 7 AS shelf, p_partkey % 900 AS key, p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 2147483647 END AS r, p_partkey % 50 AS saved,
+  ['The ', 'an ', 'A ', '', 'Theo '][(p_partkey % 5 + 1)::INT] || p_name AS title, p_size % 2 = 0 AS movie FROM part),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY shelf, key ORDER BY id) = 1),
+g AS (SELECT *, lower(title) AS tie, lower(regexp_replace(title, '^(the|an|a)\s+', '', 'i')) AS name FROM f WHERE movie)
+SELECT shelf, id, row_number() OVER (PARTITION BY shelf ORDER BY r, saved DESC, tie, id) AS by_default, row_number() OVER (PARTITION BY shelf ORDER BY saved DESC, tie, id) AS by_added_desc,
+  row_number() OVER (PARTITION BY shelf ORDER BY saved, tie, id) AS by_added_asc, row_number() OVER (PARTITION BY shelf ORDER BY name, id) AS by_title_asc, row_number() OVER (PARTITION BY shelf ORDER BY name DESC, id) AS by_title_desc FROM g"""
+
+
+def chosen_files(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request"), (F.col("l_linenumber") - 1).cast("int").alias("pos"), (F.col("l_partkey") % 9).cast("int").alias("id"), F.concat(F.lit("Dir/Show S01E0"), F.col("l_linenumber"), F.lit(" "), "l_returnflag", F.lit(".mkv")).alias("name"), F.when(F.col("l_suppkey") % 4 != 0, F.col("l_quantity").cast("long")).alias("size"), (F.col("l_suppkey") % 5 != 0).alias("playable"))
+    o = F.col("o_orderkey")
+    text = "array<string>"
+    wanted = table(spark, d, "orders").select(o.alias("request"), F.when(o % 4 == 0, F.array(F.lit("x/show_s01e02 A.avi"))).otherwise(F.array().cast(text)).alias("names"), F.when(o % 4 == 1, F.array(F.lit("s01e03"))).otherwise(F.array().cast(text)).alias("marks"), F.when(o % 3 == 0, (o % 8).cast("int")).alias("index"))
+    return V.chosen_file(li, wanted, ["request"])
+
+
+CHOSEN = """WITH f AS (SELECT l_orderkey AS request, (l_linenumber - 1)::INT AS pos, (l_partkey % 9)::INT AS id, l_returnflag AS mode, l_linenumber AS n, CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity::BIGINT END AS size,
+  CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey % 8 END AS i FROM lineitem WHERE l_suppkey % 5 <> 0),
+s AS (SELECT *, CASE WHEN request % 4 = 0 AND n = 2 AND mode = 'A' THEN 0 WHEN request % 4 = 1 AND n = 3 THEN 1 WHEN pos = i THEN 2 WHEN i > 0 AND pos = i - 1 THEN 3 WHEN id = i THEN 4 ELSE 5 END AS step FROM f)
+SELECT request, id, 'Dir/Show S01E0' || n || ' ' || mode || '.mkv' AS name, step FROM s WHERE request IN (SELECT o_orderkey FROM orders)
+QUALIFY row_number() OVER (PARTITION BY request ORDER BY step, CASE WHEN step = 5 THEN -coalesce(size, 0) ELSE 0 END, pos, id, name) = 1"""
+
+
+def dialogue_lines(spark, d):
+    o = F.col("o_orderkey")
+    text = F.concat(F.get(F.array(*map(F.lit, [" (", "[", "(a) ", "♪ ", "", "...", "Ж"])), (o % 7).cast("int")), F.when(o % 3 != 0, F.lit("")).otherwise("o_orderpriority"), F.get(F.array(*map(F.lit, [") ", "]", ""])), (o % 5 % 3).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", V.like_dialogue(text).alias("dialogue"))
+
+
+DIALOGUE = """WITH t AS (SELECT o_orderkey, trim([' (', '[', '(a) ', '♪ ', '', '...', 'Ж'][(o_orderkey % 7 + 1)::INT] || CASE WHEN o_orderkey % 3 <> 0 THEN '' ELSE o_orderpriority END || [') ', ']', ''][(o_orderkey % 5 % 3 + 1)::INT]) AS s FROM orders)
+SELECT o_orderkey, NOT ((starts_with(s, '(') AND ends_with(s, ')') AND length(s) > 1) OR (starts_with(s, '[') AND ends_with(s, ']') AND length(s) > 1)) AND regexp_matches(s, '[A-Za-z0-9Ж]') AS dialogue FROM t"""
+
+QUERIES |= {
+    "overlaid_progress": (overlaid_progress, OVERLAID),
+    "preparation_order": (preparation_order, PREPARATION),
+    "library_sorts": (library_sorts, LIBRARY),
+    "chosen_files": (chosen_files, CHOSEN),
+    "dialogue_lines": (dialogue_lines, DIALOGUE),
+}
+
 # ---- subtitle files --------------------------------------------------------------------------------------------------
 
 # Times of three cues of a file, from its number: both sides write them in the file's own form and read them back.

@@ -157,3 +157,31 @@ def test_change_log_stream(spark, tmp_path):
     cdc.start(stream, str(tmp_path / "state"), ["k"], table, str(tmp_path / "ck")).awaitTermination(120)
     assert sorted((r.k, r.v) for r in cdc.current(spark, str(tmp_path / "state"), table).collect()) == [(2, "B"), (3, "c")]
     assert len(cdc.versions(spark, str(tmp_path / "state"))) == 3
+
+
+def test_continue_rows_edges(spark):
+    from reelforge.operators import viewing
+
+    entries = spark.createDataFrame([(1, "s1", "v1", True, 50, 0.5, 1), (1, "", "film", False, 60, 0.2, 2), (1, "s2", "v2", True, 70, 0.999, 3), (1, "s1", "v0", True, 50, 0.4, 4)], "p long, parent string, video string, series boolean, stamp long, fraction double, ord long")
+    up = spark.createDataFrame([(1, "s1", "n1", 99, "2024-01-01", 1), (1, "s3", "n3", 60, "2025-05-05", 2), (1, "s4", "n4", 40, None, 3), (1, "s2", "n2", 80, None, 4), (1, "s5", "n5", 90, "2024-12-01", 5)], "p long, parent string, video string, stamp long, released string, ord long")
+    got = lambda *a: [r.video for r in viewing.continue_rows(entries, up, ["p"], *a).orderBy("place").collect()]
+    assert got() == ["n5", "film", "n3", "v1", "n4"]  # series in progress hold their next episodes back, also finished ones
+    assert got("streaming", "2024-06-01") == ["film", "v1", "n4", "n5", "n3"]
+    assert viewing.continue_rows(entries.limit(0), up.limit(0), ["p"]).count() == 0
+
+
+def test_confirmed_entries_give_way(spark):
+    from reelforge.operators import viewing
+
+    remote = spark.createDataFrame([(1, "a", 100, 0.50, False), (1, "b", 100, 0.95, True), (1, "c", 100, 0.1, False)], "p long, video string, stamp long, fraction double, done boolean")
+    own = spark.createDataFrame([(1, "a", 200, 0.52, False, 999), (1, "b", 60_200, 0.99, True, 99_999), (1, "c", 90, 0.9, False, 999), (1, "d", 5, 0.3, False, 10)], "p long, video string, stamp long, fraction double, done boolean, expires long")
+    got = {r.video: (r.stamp, r.own) for r in viewing.overlaid(remote, own, ["p"], 50).collect()}
+    assert got == {"a": (100, False), "b": (60_200, True), "c": (100, False)}
+
+
+def test_dialogue_and_names(spark):
+    from reelforge.operators import viewing
+
+    df = spark.createDataFrame([("(sighs)",), ("[a] b",), ("♪♪",), (None,), ("(",), ("7",)], "t string")
+    assert [r[0] for r in df.select(viewing.like_dialogue(F.col("t"))).collect()] == [False, True, False, False, False, True]
+    assert spark.range(1).select(viewing.plain_name(F.lit("a/B.c/The_Show.S01E02.mkv"))).first()[0] == "the show s01e02"
