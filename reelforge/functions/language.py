@@ -85,3 +85,41 @@ def country_language(country: Column) -> Column:
 
 def content_language(language: Column, country: Column) -> Column:
     return F.coalesce(language_code(language), country_language(country))
+
+
+# What in a track's words names a region, by the code it makes of the language.
+REGIONS = {
+    "pt-br": ("pt-br", "pt_br", "pob", "brazilian", "brazil", "brasil", "brasileiro", " br", "(br)"),
+    "pt": ("pt-pt", "pt_pt", "iberian", "european", "portugal", "europeu", " eu", "(eu)"),
+    "es-419": ("es-419", "es_419", "es-la", "es-lat", "latino", "latinoamerica", "latinoamericano", "latam", "lat am", "latin america"),
+    "es": ("es-es", "es_es", "castilian", "castellano", "spain", "españa", "espana", "iberian"),
+    "id": ("indonesia", "indonesian", "bahasa indonesia"),
+}
+
+
+def said_by(words: Column, code: Column) -> Column:
+    """Whether lower-case words name the region of a code; false for codes without one."""
+    tags = lambda c: F.exists(F.array(*map(F.lit, REGIONS[c])), lambda t: F.contains(words, t))
+    told = F.lit(False)
+    for c in REGIONS:
+        told = F.when(code == c, tags(c)).otherwise(told)
+    return F.coalesce(told, F.lit(False))
+
+
+def track_variant(language: Column, words: Column) -> Column:
+    """The code of a language, narrowed by the words where they name one region of it alone."""
+    base = F.coalesce(language_code(language), F.lit(""))
+    said = lambda c: said_by(words, F.lit(c))
+    out = F.when((base == "ms") & said("id"), "id")
+    for a, b, plain in (("pt-br", "pt", "pt"), ("pt", "pt-br", "pt"), ("es-419", "es", "es"), ("es", "es-419", "es")):
+        out = out.when((base == plain) & said(a) & ~said(b), a)
+    return out.otherwise(base)
+
+
+def code_matches(language: Column, target: Column) -> Column:
+    """Whether a track's code, or a later subtag of three letters, is the target or a region of it; plain Portuguese and Spanish take no region."""
+    goal = language_code(target)
+    near = lambda c: (c == goal) | (~goal.isin("pt", "es") & (F.startswith(c, F.concat(goal, F.lit("-"))) | F.startswith(c, F.concat(goal, F.lit("_")))))
+    parts = F.filter(F.split(F.replace(F.lower(trimmed(language)), F.lit("_"), F.lit("-")), r"[-./ ]"), lambda x: trimmed(x) != "")
+    rest = F.filter(parts, lambda x, i: (i > 0) & (F.length(x) == 3))
+    return F.coalesce(near(language_code(language)), F.lit(False)) | F.coalesce(F.exists(rest, lambda x: near(language_code(x))), F.lit(False))
