@@ -106,9 +106,8 @@ def said_by(words: Column, code: Column) -> Column:
     return F.coalesce(told, F.lit(False))
 
 
-def track_variant(language: Column, words: Column) -> Column:
+def track_variant(base: Column, words: Column) -> Column:
     """The code of a language, narrowed by the words where they name one region of it alone."""
-    base = F.coalesce(language_code(language), F.lit(""))
     said = lambda c: said_by(words, F.lit(c))
     out = F.when((base == "ms") & said("id"), "id")
     for a, b, plain in (("pt-br", "pt", "pt"), ("pt", "pt-br", "pt"), ("es-419", "es", "es"), ("es", "es-419", "es")):
@@ -116,10 +115,14 @@ def track_variant(language: Column, words: Column) -> Column:
     return out.otherwise(base)
 
 
-def code_matches(language: Column, target: Column) -> Column:
-    """Whether a track's code, or a later subtag of three letters, is the target or a region of it; plain Portuguese and Spanish take no region."""
-    goal = language_code(target)
-    near = lambda c: (c == goal) | (~goal.isin("pt", "es") & (F.startswith(c, F.concat(goal, F.lit("-"))) | F.startswith(c, F.concat(goal, F.lit("_")))))
+def track_codes(language: Column) -> Column:
+    """The code of a track's language, then those of its later subtags of three letters; compute it once a track."""
     parts = F.filter(F.split(F.replace(F.lower(trimmed(language)), F.lit("_"), F.lit("-")), r"[-./ ]"), lambda x: trimmed(x) != "")
-    rest = F.filter(parts, lambda x, i: (i > 0) & (F.length(x) == 3))
-    return F.coalesce(near(language_code(language)), F.lit(False)) | F.coalesce(F.exists(rest, lambda x: near(language_code(x))), F.lit(False))
+    rest = F.transform(F.filter(parts, lambda x, i: (i > 0) & (F.length(x) == 3)), language_code)
+    return F.coalesce(F.concat(F.array(language_code(language)), rest), F.array().cast("array<string>"))
+
+
+def codes_fit(codes: Column, goal: Column) -> Column:
+    """Whether a code is the goal or a region of it; plain Portuguese and Spanish take no region."""
+    near = lambda c: (c == goal) | (~goal.isin("pt", "es") & (F.startswith(c, F.concat(goal, F.lit("-"))) | F.startswith(c, F.concat(goal, F.lit("_")))))
+    return F.coalesce(F.exists(codes, near), F.lit(False))

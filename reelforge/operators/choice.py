@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.functions.language import code_matches, language_code, said_by, track_variant
+from reelforge.functions.language import codes_fit, language_code, said_by, track_codes, track_variant
 from reelforge.functions.text import trimmed
 from reelforge.operators.order import first_by, ranked
 
@@ -36,7 +36,7 @@ def published_sections(definitions: DataFrame, sections: DataFrame, preferences:
     return ranked(shown, keys, [F.coalesce("position", F.lit(LAST)), *order], "place").select(*keys, name, "title", "n_items", "place")
 
 
-def chosen_tracks(tracks: DataFrame, targets: DataFrame, keys: Sequence[str], normal_only: bool = False, matches: Callable[[Column, Column], Column] = code_matches) -> DataFrame:
+def chosen_tracks(tracks: DataFrame, targets: DataFrame, keys: Sequence[str], normal_only: bool = False) -> DataFrame:
     """keys, ord of the track to show; null where no target is met.
 
     tracks: keys, ord, label, language, track, forced; targets: keys, position (from 0), target. The first target met
@@ -44,18 +44,20 @@ def chosen_tracks(tracks: DataFrame, targets: DataFrame, keys: Sequence[str], no
     A regional target without a track takes one of the plain language that names the region; the first target gives up
     there. A single track of the other region does not meet a plain target. A key's tracks meet its targets, both short.
     """
-    goal, own = language_code(F.col("target")), F.coalesce(language_code(F.col("language")), F.lit(""))
+    # Codes are costly expressions: once a track and once a target, before both meet.
+    coded, named = tracks.withColumn("codes", track_codes(F.col("language"))), targets.select(*keys, "position", language_code(F.col("target")).alias("goal"))
+    goal, own = F.col("goal"), F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
     haystack = F.lower(F.concat_ws(" ", "label", "language", "track"))
     base = F.substring_index(goal, "-", 1)
     home = said_by(haystack, goal)
     away = said_by(haystack, F.when(goal.isin(*WIDE), base).when(goal == "pt", "pt-br").when(goal == "es", "es-419"))
     tier = F.when(~goal.isin(*WIDE, *NARROW) | (home & ~away), 0).when(home, 1).when(goal.isin(*WIDE) | ~away, 2).otherwise(3)
     open_ = ~F.col("forced") if normal_only else F.lit(True)
-    fits = open_ & matches(F.col("language"), F.col("target"))
-    variant = track_variant(F.col("language"), haystack)
+    fits = open_ & codes_fit(F.col("codes"), goal)
+    variant = track_variant(own, haystack)
     odd = goal.isin(*NARROW) & (variant != goal) & F.coalesce(variant != F.lower("language"), F.lit(True))
     stand_in = F.when(open_ & goal.isin(*WIDE) & (own == base) & home, F.when(away, 2).when(F.col("forced"), 1).otherwise(0))
-    per = tracks.join(targets, keys).groupBy(*keys, "position", goal.alias("goal")).agg(
+    per = coded.join(named, keys).groupBy(*keys, "position", "goal").agg(
         F.min(F.when(fits, F.struct("forced", tier.alias("tier"), "ord", odd.alias("odd")))).alias("best"),
         *(F.count_if(fits & (F.col("forced") == f)).alias(n) for f, n in ((False, "plain"), (True, "forced_ones"))),
         F.min(F.when(stand_in.isNotNull(), F.struct(stand_in.alias("tier"), "ord"))).alias("other"),

@@ -15,13 +15,13 @@ from reelforge.operators import journal as J
     [("por", "pt", True), ("pt-BR", "pt", False), ("pt_br", "pt-br", True), ("en-US", "en", True), ("en", "en-us", False), ("zxx.eng", "en", True), ("zxx-en", "en", False), ("es-419", "es", False), (" ", "en", False), (None, "en", False)],
 )
 def test_code_matches(spark, language, target, want):
-    row = spark.createDataFrame([(language, target)], "l string, t string").select(L.code_matches(F.col("l"), F.col("t")).alias("m")).first()
+    row = spark.createDataFrame([(language, target)], "l string, t string").select(L.track_codes(F.col("l")).alias("c"), L.language_code(F.col("t")).alias("g")).select(L.codes_fit(F.col("c"), F.col("g")).alias("m")).first()
     assert row.m is want
 
 
 def test_track_variant_needs_one_region(spark):
     rows = [("por", "brasil", "pt-br"), ("pt", "brasil portugal", "pt"), ("spa", "latino", "es-419"), ("spa", "spain", "es"), ("may", "indonesian", "id"), (None, "", "")]
-    got = spark.createDataFrame(rows, "l string, w string, want string").select(L.track_variant(F.col("l"), F.col("w")).alias("v"), "want").collect()
+    got = spark.createDataFrame(rows, "l string, w string, want string").select(L.track_variant(F.coalesce(L.language_code(F.col("l")), F.lit("")), F.col("w")).alias("v"), "want").collect()
     assert [r.v for r in got] == [r.want for r in got]
 
 
