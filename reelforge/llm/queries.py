@@ -1,4 +1,4 @@
-"""Queries op1 to op10: each applies its operator to its whole table and returns what the contract names."""
+"""Queries op1 to op13: each applies its operator to its whole table and returns what the contract names."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.llm import embedding_dedup, minhash, mixing, quality, secrets, sentencepiece_scan, sharding, simhash, token_output, warc
+from reelforge.llm import embedding_dedup, language_id, minhash, mixing, quality, secrets, sentencepiece_scan, sharding, simhash, sort_means, token_output, vector_codes, warc
 from reelforge.llm import sql as texts
 from reelforge.llm.shared import read_table
 from reelforge.llm.vocab import vocabulary
@@ -52,6 +52,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clustered(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_sentencepiece,
     op2_embedding_dedup,
@@ -63,6 +75,9 @@ QUERIES = (
     op8_sharding,
     op9_minhash,
     op10_quality,
+    op11_sort_means,
+    op12_language_id,
+    op13_vector_codes,
 )
 
 
@@ -71,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": texts.EMBEDDINGS, "op4_warc": texts.WARC, "op5_secrets": texts.secrets()}
+    return {"op2_embedding_dedup": texts.EMBEDDINGS, "op4_warc": texts.WARC, "op5_secrets": texts.secrets(), "op11_sort_means": texts.sort_means(), "op13_vector_codes": texts.vector_codes()}

@@ -151,11 +151,16 @@ def _sum_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def summed_rows(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of one vector for each kind and slice: the sums of all tasks' vectors. A task holds the slices dealt to it."""
+    n = partitions_for(rows.sparkSession)
+    return rows.repartition(min(n, most or n), "kind", "slice").mapInArrow(_sum_slices, VECTOR_SCHEMA)
+
+
 def summed_vectors(rows: DataFrame, kinds: int, width: int) -> np.ndarray:
-    """Sum of every task's vectors, kinds x width. A task holds the slices dealt to it; the driver gets the fixed-size total."""
-    n = min(partitions_for(rows.sparkSession), kinds * -(-width // VECTOR_SLICE))
+    """Sum of every task's vectors, kinds x width; the driver gets the fixed-size total."""
     out = np.zeros((kinds, width), np.int64)
-    for r in rows.repartition(n, "kind", "slice").mapInArrow(_sum_slices, VECTOR_SCHEMA).collect():
+    for r in summed_rows(rows, kinds * -(-width // VECTOR_SLICE)).collect():
         x = np.frombuffer(r.counts, "<i8")
         out[r.kind, r.slice * VECTOR_SLICE : r.slice * VECTOR_SLICE + len(x)] += x
     return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from reelforge.llm import sort_means as sort_means_of
+from reelforge.llm import vector_codes as vector_codes_of
 from reelforge.llm.secrets import RULES
+from reelforge.llm.whole_vectors import limit_of
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -64,3 +67,83 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS compone
   vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept
 FROM v LEFT JOIN linked USING (rn) LEFT JOIN component USING (rn)
 """
+
+_FLOOR_MEAN = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))::BIGINT"
+
+
+def _whole(scale: int, length: int) -> str:
+    top = limit_of(length)
+    return f"list_transform(embedding, lambda x: greatest(least(floor({scale} * x::DOUBLE), {top}), -{top})::BIGINT)"
+
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+
+
+def sort_means() -> str:
+    """Each round compares every vector with every centroid."""
+    k, rounds, d = sort_means_of.K, sort_means_of.ROUNDS, sort_means_of.COMPONENTS
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, {_whole(sort_means_of.SCALE, d)} AS e FROM embeddings WHERE len(embedding) = {d} AND {_FINITE}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS k, e FROM v
+  ORDER BY sha256('2:' || vec_id) NULLS LAST, e LIMIT {k}
+)"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT rn, min({_apart('v.e', 'c.e')}::HUGEINT * {k} + k) AS m FROM v, c{t} c GROUP BY rn
+)""")
+        if t < rounds:
+            steps.append(f"""
+c{t + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(n.e, c.e) AS e FROM c{t} c LEFT JOIN (
+    SELECT k, list(x ORDER BY i) AS e FROM (
+      SELECT k, i, {_FLOOR_MEAN} AS x FROM (
+        SELECT (m % {k})::BIGINT AS k, unnest(range(1, {d + 1})) AS i, unnest(e) AS x FROM a{t} JOIN v USING (rn)) GROUP BY k, i) GROUP BY k
+  ) n USING (k)
+)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, (m % {k})::INT AS cluster, (m // {k})::BIGINT AS distance,
+  (sum(m // {k}) OVER (PARTITION BY m % {k}))::BIGINT AS cluster_inertia, (sum(m // {k}) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rn) JOIN c{rounds} c ON c.k = m % {k}
+"""
+
+
+def vector_codes() -> str:
+    """Each round makes all sums anew; for vectors whose length the number of parts divides."""
+    parts, entries, rounds = vector_codes_of.PARTS, vector_codes_of.ENTRIES, vector_codes_of.ROUNDS
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, label, len(embedding) AS d, {_whole(vector_codes_of.SCALE, 64)} AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND {_FINITE}
+), s AS MATERIALIZED (
+  SELECT rn, d, p, list_slice(e, p * d // {parts} + 1, (p + 1) * d // {parts}) AS x FROM v, range({parts}) AS q(p)
+), first AS (
+  SELECT rn, row_number() OVER (PARTITION BY d ORDER BY vec_id NULLS LAST, e) - 1 AS k FROM v QUALIFY k < {entries}
+), c0 AS MATERIALIZED (SELECT d, p, k, x AS e FROM first JOIN s USING (rn))"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT rn, s.d, s.p, min({_apart('s.x', 'c.e')}::HUGEINT * {entries} + k) AS m FROM s JOIN c{t} c ON c.d = s.d AND c.p = s.p GROUP BY ALL
+)""")
+        if t < rounds:
+            steps.append(f"""
+c{t + 1} AS MATERIALIZED (
+  SELECT c.d, c.p, c.k, coalesce(n.e, c.e) AS e FROM c{t} c LEFT JOIN (
+    SELECT d, p, k, list(x ORDER BY i) AS e FROM (
+      SELECT d, p, k, i, {_FLOOR_MEAN} AS x FROM (
+        SELECT d, p, (m % {entries})::BIGINT AS k, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM a{t} JOIN s USING (rn, d, p)) GROUP BY ALL) GROUP BY d, p, k
+  ) n USING (d, p, k)
+)""")
+    return ",".join(steps) + f""",
+sha AS (SELECT d, sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds} GROUP BY d),
+r AS (SELECT rn, d, string_agg(lpad(lower(hex(m % {entries})), 2, '0'), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rn, d)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN v USING (rn, d) JOIN sha USING (d)
+"""
