@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import catalogs, choices, facts, merging, series, sources, viewing
+from reelforge.plans import alignment, catalogs, choices, facts, merging, series, sources, viewing
 
-QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES, **viewing.QUERIES, **choices.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES, **viewing.QUERIES, **choices.QUERIES, **alignment.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
