@@ -119,6 +119,20 @@ def peak(df: DataFrame, keys: Sequence[str], at: str, value: str, apart: int) ->
     return other.select(*keys, F.col("__at").alias("at"), F.col("__top").alias("top"), "runner_up")
 
 
+def refined_peak(df: DataFrame, keys: Sequence[str], at: str, value: str, apart: int) -> DataFrame:
+    """peak() with refined: the place of the parabola through the peak and the rows one before and one after it, half a
+    step away at most; the peak's own place where either is missing. One window of a group's rows, so at and value are read once."""
+    group = Window.partitionBy(*keys)
+    own = df.select(*keys, F.col(at).alias("at"), F.col(value).alias("value"))
+    own = own.withColumn("p", F.min_by(F.struct("at", F.col("value").alias("top")), F.struct((-F.col("value")).alias("v"), "at")).over(group))
+    away = F.col("at") - F.col("p.at")
+    beside = lambda k: F.max(F.when(away == k, F.col("value")))
+    per = own.groupBy(*keys).agg(F.first("p").alias("p"), F.max(F.when(F.abs(away) > apart, F.col("value"))).alias("runner_up"), beside(-1).alias("left"), beside(1).alias("right"))
+    curve = F.col("left") - 2 * F.col("p.top") + F.col("right")
+    step = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("left") - F.col("right")) / F.nullif(curve, F.lit(0.0))))
+    return per.select(*keys, "p.at", "p.top", "runner_up", (F.col("p.at") + F.coalesce(F.when(curve < 0, step), F.lit(0.0))).alias("refined"))
+
+
 def fold_newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], stamp: str, complete: str, tolerance: int) -> DataFrame:
     """One row per key by a pairwise rule that is no order: in arrival order, a row replaces the held one if it is later,
     but between a complete and an open row the open one wins unless it is older by more than the tolerance.

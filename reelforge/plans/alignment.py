@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from reelforge.operators import retime as R
 from reelforge.operators import search as S
+from reelforge.operators import sequence as Q
+from reelforge.operators import speech as V
 from reelforge.operators.align import OFFSET_MS, SCALES
 from reelforge.plans.merging import PROGRESS
-from reelforge.plans.tables import progress
+from reelforge.plans.tables import progress, table
 
 STRETCH = (1.0, 25 / 23.976, 24 / 25)
 
@@ -120,10 +122,96 @@ def retime_verdicts(spark, d):
     return v.select("profile", "intercept", "delay", *rounded, "skip_run", "thirds", F.round("residual", 6).alias("residual"), "confident", F.array_join("reasons", ",").alias("reasons"), "accepted", "run_ignored")
 
 
+def _talk(spark, d):
+    """Each conversation's turns as cues, and two of three of their words as heard, later and, of every other one, slower."""
+    t = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), "text")
+    cues = t.select("conv_id", "ord", (F.col("ord") * 40_000).alias("start"), (F.col("ord") * 40_000 + 38_000).alias("end"), "text")
+    words = t.select("conv_id", F.col("ord").alias("segment"), F.size(F.split("text", r"\s+")).alias("n"), F.posexplode(F.split("text", r"\s+")).alias("k", "text")).filter("k % 3 <> 1")
+    scale = F.when(F.col("conv_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(25 / 24))
+    at = (F.col("segment") * 40.0 + 38.0 * F.col("k") / F.col("n")) * scale + F.col("conv_id") % 90 - 45.0 + F.when((F.col("conv_id") % 5 == 0) & (F.col("segment") > 2), F.lit(7.0)).otherwise(F.lit(0.0))
+    return words.select("conv_id", (F.col("segment") * 100_000 + F.col("k")).alias("ord"), at.alias("at"), "text", "segment"), cues
+
+
+_BARE = r"trim(regexp_replace(lower(x), '[^\p{L}\p{Nd}'']', '', 'g'), '''')"
+TALK = rf"""WITH tn AS (SELECT conv_id, turn::BIGINT AS ord, text, regexp_split_to_array(text, '\s+') AS w FROM conversations),
+hw AS (SELECT conv_id, ord AS segment, len(w) AS n, unnest(range(0, len(w))) AS k, unnest(w) AS x FROM tn),
+heard AS (SELECT conv_id, segment * 100000 + k AS ord, (segment * 40.0::DOUBLE + 38.0::DOUBLE * k / n) * CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 25.0::DOUBLE / 24 END + conv_id % 90 - 45.0::DOUBLE
+  + CASE WHEN conv_id % 5 = 0 AND segment > 2 THEN 7.0::DOUBLE ELSE 0.0::DOUBLE END AS media, {_BARE} AS word, segment FROM hw WHERE k % 3 <> 1),
+cw AS (SELECT conv_id, ord, list_filter(list_transform(w, lambda x: {_BARE}), lambda x: x <> '') AS w FROM tn),
+c0 AS (SELECT conv_id, ord, len(w) AS n, unnest(range(0, len(w))) AS k, unnest(w) AS word FROM cw),
+c1 AS (SELECT conv_id, word, k = 0 AS first, (ord * 40000 + 38000 * k::DOUBLE / n) / 1000.0::DOUBLE AS sub, lag(word) OVER v AS cb, lead(word) OVER v AS ca, count(*) OVER (PARTITION BY conv_id, word) AS times FROM c0 WINDOW v AS (PARTITION BY conv_id ORDER BY ord, k)),
+h1 AS (SELECT *, CASE WHEN lag(segment) OVER v = segment THEN lag(word) OVER v END AS hb, CASE WHEN lead(segment) OVER v = segment THEN lead(word) OVER v END AS ha FROM heard WINDOW v AS (PARTITION BY conv_id ORDER BY ord)),
+votes AS MATERIALIZED (SELECT conv_id, media, sub, 1.0::DOUBLE / times + coalesce((hb = cb)::INT, 0) + coalesce((ha = ca)::INT, 0) AS weight, segment, first FROM h1 JOIN c1 USING (conv_id, word)
+  WHERE times <= 6 AND length(word) >= 3 AND word NOT IN ({', '.join(f"'{w}'" for w in V.STOP_WORDS)}))"""
+
+
+def _densest(out: str, votes: str, keys: str) -> str:
+    window = f"(PARTITION BY {keys} ORDER BY d RANGE BETWEEN 0.7::DOUBLE PRECEDING AND CURRENT ROW)"
+    return f"""{out}0 AS (SELECT *, media - scale * sub AS d FROM {votes}),
+{out}1 AS (SELECT *, round(sum(weight) OVER {window} * least(len(list_distinct(list(segment) OVER {window})), 6) / 6.0::DOUBLE, 9) AS own, len(list_distinct(list(segment) OVER {window})) AS parts FROM {out}0 WHERE abs(d) <= 60),
+{out}2 AS (SELECT {keys}, d AS bd, own AS score, parts AS segments FROM {out}1 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY own DESC, d) = 1),
+{out}3 AS (SELECT {keys}, score, segments, CASE WHEN count(*) FILTER (first) >= 2 THEN median(d) FILTER (first) ELSE median(d) END AS shift, max(media) - min(media) AS span, median(media) AS anchor FROM {out}1 JOIN {out}2 USING ({keys}) WHERE d BETWEEN bd - 0.7::DOUBLE AND bd GROUP BY {keys}, score, segments),
+{out}4 AS (SELECT {keys}, max(m) AS runner_up FROM (SELECT {keys}, sum(weight) OVER {window} AS m FROM {out}1 JOIN {out}3 USING ({keys}) WHERE abs(d - shift) > 2) GROUP BY {keys}),
+{out} AS (SELECT {keys}, shift, score, segments, coalesce(runner_up, 0) AS runner_up, span, anchor, segments >= 3 AND score >= 3 AND score >= 2.5 * greatest(coalesce(runner_up, 0), 0.5) AS sure FROM {out}3 LEFT JOIN {out}4 USING ({keys}))"""
+
+
+_SHOWN = [("scale", 9), ("shift", 6), ("score", 6), ("segments", None), ("runner_up", 6), ("span", 6), ("anchor", 6), ("sure", None)]
+
+
+def _shown(names, of: str = "") -> str:
+    return ", ".join(f"{of}{c}::INT AS {c}" if c == "segments" else f"{of}{c} AS {c}" if n is None else f"round({of}{c}, {n}) AS {c}" for c, n in names)
+
+
+def word_fits(spark, d):
+    f = V.word_fit(V.anchors(*_talk(spark, d), ["conv_id"]), ["conv_id"])
+    return f.select("conv_id", *(F.col(c) if n is None else F.round(c, n).alias(c) for c, n in _SHOWN))
+
+
+_SCALES = "[" + ", ".join(f"{x!r}::DOUBLE" for x in V.SCALES) + "]"
+WORD_FITS = TALK + f""", sp AS (SELECT conv_id, max(media) - min(media) AS whole FROM votes GROUP BY conv_id),
+tv AS (SELECT v.*, turn, ({_SCALES})[turn + 1] AS scale FROM votes v JOIN sp USING (conv_id), (SELECT unnest(range(0, 7)) AS turn) WHERE turn = 0 OR whole >= 180), {_densest('g', 'tv', 'conv_id, turn')},
+l AS (SELECT conv_id, list({{'turn': turn, 'scale': ({_SCALES})[turn + 1], 'shift': shift, 'score': score, 'segments': segments, 'runner_up': runner_up, 'span': span, 'anchor': anchor, 'sure': sure}} ORDER BY turn) AS f FROM g GROUP BY conv_id),
+b AS (SELECT conv_id, list_reduce(f, lambda a, x: CASE WHEN x.segments >= 5 AND x.score > a.score * 1.3 AND x.score > f[1].score * 1.3 THEN x ELSE a END) AS b FROM l WHERE f[1].turn = 0)
+SELECT conv_id, {_shown(_SHOWN, 'b.')} FROM b"""
+
+
+def local_fits(spark, d):
+    f = V.local_fits(V.anchors(*_talk(spark, d), ["conv_id"]), ["conv_id"], F.lit(1.0))
+    return f.select("conv_id", "region", *(F.col(c) if n is None else F.round(c, n).alias(c) for c, n in _SHOWN[1:7]))
+
+
+LOCAL_FITS = TALK + f""", rv AS (SELECT *, 1.0::DOUBLE AS scale, trunc(media / 120)::BIGINT AS region FROM votes), {_densest('g', 'rv', 'conv_id, region')}
+SELECT conv_id, region, {_shown(_SHOWN[1:7])} FROM g WHERE sure"""
+
+
+def refined_peaks(spark, d):
+    p = progress(spark, d).groupBy("profile", F.floor(F.col("stamp") / 86_400_000).alias("day")).agg(F.round(F.sum("percent"), 6).alias("v"))
+    found = Q.refined_peak(p, ["profile"], "day", "v", 3)
+    return found.select("profile", "at", *(F.round(c, 6).alias(c) for c in ("top", "runner_up", "refined")))
+
+
+REFINED_PEAKS = PROGRESS + """, d AS (SELECT profile, stamp // 86400000 AS day, round(sum(percent), 6) AS v FROM p GROUP BY ALL), t AS (SELECT profile, day AS "at", v AS top FROM d QUALIFY row_number() OVER (PARTITION BY profile ORDER BY v DESC, day) = 1),
+g AS (SELECT profile, "at", top, max(v) FILTER (abs(day - "at") > 3) AS runner_up, max(v) FILTER (day = "at" - 1) AS l, max(v) FILTER (day = "at" + 1) AS r FROM d JOIN t USING (profile) GROUP BY ALL)
+SELECT profile, "at", round(top, 6) AS top, round(runner_up, 6) AS runner_up, round("at" + coalesce(CASE WHEN l - 2 * top + r < 0 THEN greatest(-0.5::DOUBLE, least(0.5::DOUBLE, 0.5::DOUBLE * (l - r) / (l - 2 * top + r))) END, 0), 6) AS refined FROM g"""
+
+
+def speech_fits(spark, d):
+    """Each viewer's reference cues as detected speech, half a second of silence after each and nothing known beyond."""
+    r, t = tracks(spark, d)
+    frames = F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) / V.FRAME_MS)).cast("int")
+    heard = r.select("profile", F.floor(F.col("start") / V.FRAME_MS).alias("frame"), F.concat(F.array_repeat(F.lit(0.9), frames), F.array_repeat(F.lit(0.05), 16)).alias("probabilities"))
+    f = V.speech_fit(heard, t, ["profile"], (-60_000.0, 20_000.0))
+    return f.select("profile", *(F.round(c, 6).alias(c) for c in ("scale", "shift_ms", "peak", "prominence")), "at_edge")
+
+
 QUERIES = {
     "scale_offset_search": (scale_offset_search, SEARCH),
     "delay_only": (delay_only, DELAY_ONLY),
     "cue_groups": (cue_groups, None),
     "retimed_cues": (retimed_cues, None),
     "retime_verdicts": (retime_verdicts, None),
+    "word_fits": (word_fits, WORD_FITS),
+    "local_fits": (local_fits, LOCAL_FITS),
+    "refined_peaks": (refined_peaks, REFINED_PEAKS),
+    "speech_fits": (speech_fits, None),
 }

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from reelforge.shipping import ship
+
 FIELDS = ("title", "name", "url", "quality", "size", "language", "provider", "type", "info_hash")
 SCHEMA = "request long, ord int, title string, name string, url string, quality string, size string, language string, provider string, type string, info_hash string, seeders int, headers string, error string"
 Scraper = Callable[[str, str, "int | None", "int | None"], Iterable[dict]]
@@ -43,6 +45,7 @@ def result(item, unknown: str = "Unknown") -> dict | None:
 
 def scraped(requests: DataFrame, scraper: Scraper, errors: bool = False) -> DataFrame:
     """Rows of all requests (request, id, type, season, episode); with errors, a row that says so for each failed one."""
+    ship(requests.sparkSession)
 
     def run(batches):
         for b in batches:

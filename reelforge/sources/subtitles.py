@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelforge.functions.text import clean_cue, timestamp_ms, trimmed
+from reelforge.shipping import ship
 
 CUES = "track string, ord int, start long, end long, text string"
 
@@ -112,6 +113,7 @@ def ass_cues(text: str):
 
 def by_line(files: DataFrame, kind: str, track: str = "track", text: str = "text") -> DataFrame:
     """Cues of vtt or ass files."""
+    ship(files.sparkSession)
     parse = {"vtt": vtt_cues, "ass": ass_cues}[kind]
 
     def rows(batches):

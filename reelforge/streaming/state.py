@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from reelforge.shipping import ship
+
 # The window of repeated writes, and the budgets of background work.
 REPEAT_MS, GAP_MS, ACTIVE_MS = 5_000, 2_000, 30_000
 BUDGETS = ((60_000, 6), (3_600_000, 30))
@@ -58,6 +60,7 @@ def active_time(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[bo
 
 def over_stream(stream: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     """Rows of a stream (with `stamp`, and `signature` where the fold needs it) that the fold keeps."""
+    ship(stream.sparkSession)
 
     def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("stamp", kind="stable")
@@ -70,6 +73,7 @@ def over_stream(stream: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
 
 def over_table(table: DataFrame, keys: list[str], fold: Fold, order: list[str]) -> DataFrame:
     """The same over a table; a key's rows come together, as the rule needs all before each."""
+    ship(table.sparkSession)
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
