@@ -6,6 +6,7 @@ all moved a little, then shifted and stretched by viewer.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelforge.operators import retime as R
@@ -15,6 +16,7 @@ from reelforge.operators import speech as V
 from reelforge.operators.align import OFFSET_MS, SCALES
 from reelforge.plans.merging import PROGRESS
 from reelforge.plans.tables import progress, table
+from reelforge.streaming import tracker as T
 
 STRETCH = (1.0, 25 / 23.976, 24 / 25)
 
@@ -204,6 +206,37 @@ def speech_fits(spark, d):
     return f.select("profile", *(F.round(c, 6).alias(c) for c in ("scale", "shift_ms", "peak", "prominence")), "at_edge")
 
 
+def _runs(spark, d):
+    """Each viewer's events as a tracker's runs: what was measured follows the events' values and times."""
+    p = progress(spark, d).withColumn("run", F.row_number().over(Window.partitionBy("profile").orderBy("stamp", "event_id")))
+    n, wobble = F.col("run"), F.col("event_id") % 5 * 20.0
+    shift = F.col("profile") % 9 * 1000.0 + F.when(F.col("event_id") % 13 == 0, 2600.0).otherwise(0.0) + wobble
+    side = lambda name, value, cues: [value.alias(f"{name}_shift"), F.lit(0.5).alias(f"{name}_peak"), (F.col("percent") / 100).alias(f"{name}_prominence"), cues.cast("int").alias(f"{name}_cues"), F.lit(30.0).alias(f"{name}_speech"), (F.col("event_id") % 17 == 0).alias(f"{name}_at_edge")]
+    local = F.when(F.col("event_id") % 3 == 0, shift + F.when(n > 40, 4000.0).otherwise(0.0))
+    return p.select(
+        "profile", n.cast("long").alias("run"), F.lit(1.0).alias("scale"), shift.alias("shift"), F.lit(0.5).alias("peak"), (F.col("percent") / 100).alias("prominence"), (n + 2).cast("int").alias("cues"), F.lit(30.0).alias("speech"), (n * 6.0).alias("analysed"),
+        (F.col("event_id") % 19 == 0).alias("at_edge"), (F.col("event_id") % 2 == 0).alias("halves"), (n * 10_000).cast("long").alias("split"), *side("near", shift, n + 2), *side("local", local, F.lit(20)), *side("refined", shift, F.lit(40)),
+    )
+
+
+def tracked_shifts(spark, d):
+    return T.tracked_table(_runs(spark, d), ["profile"])
+
+
+def throughput_samples(spark, d):
+    """Each viewer's events as ticks of a player, about half a second apart."""
+    n = F.row_number().over(Window.partitionBy("profile").orderBy("stamp", "event_id"))
+    ticks = progress(spark, d).select("profile", (n * 500 + F.col("event_id") % 5 * 90).cast("long").alias("stamp"), F.floor(F.col("percent") * 10_000).cast("long").alias("bytes"), (F.col("event_id") % 11 != 0).alias("fetching"))
+    return T.samples_table(ticks, ["profile"]).withColumn("mbps", F.round("mbps", 9))
+
+
+SAMPLES = PROGRESS + """, k AS (SELECT profile, event_id, (row_number() OVER (PARTITION BY profile ORDER BY stamp, event_id)) * 500 + event_id % 5 * 90 AS t, floor(percent * 10000)::BIGINT AS b, event_id % 11 <> 0 AS f FROM p),
+g AS (SELECT *, t - lag(t) OVER (PARTITION BY profile ORDER BY t) AS gap FROM k), a AS (SELECT *, CASE WHEN f AND gap > 0 AND gap <= 2000 AND b > 0 THEN gap ELSE 0 END AS ms FROM g),
+s AS (SELECT *, sum(ms) OVER w AS active, sum(CASE WHEN ms > 0 THEN b ELSE 0 END) OVER w AS total FROM a WINDOW w AS (PARTITION BY profile ORDER BY t ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT profile, t AS "at", active::BIGINT AS active_ms, total::BIGINT AS bytes FROM s QUALIFY row_number() OVER (PARTITION BY profile ORDER BY active < 30000, CASE WHEN active >= 30000 THEN t ELSE -t END) = 1)
+SELECT profile, "at", active_ms, bytes, round(bytes * 8.0::DOUBLE / active_ms / 1000.0::DOUBLE, 9) AS mbps FROM e WHERE active_ms >= 3000 AND (bytes >= 8388608 OR active_ms >= 10000)"""
+
+
 QUERIES = {
     "scale_offset_search": (scale_offset_search, SEARCH),
     "delay_only": (delay_only, DELAY_ONLY),
@@ -214,4 +247,6 @@ QUERIES = {
     "local_fits": (local_fits, LOCAL_FITS),
     "refined_peaks": (refined_peaks, REFINED_PEAKS),
     "speech_fits": (speech_fits, None),
+    "tracked_shifts": (tracked_shifts, None),
+    "throughput_samples": (throughput_samples, SAMPLES),
 }
