@@ -127,6 +127,32 @@ def test_tight_cluster_loses_no_link(spark):
     assert sum(got.values()) >= 0.99 * want.sum()
 
 
+def test_vectors_with_a_common_direction_lose_no_link(spark, monkeypatch):
+    """Pivots of a large table: 8,192 of other vectors of the kind, all about as far from each vector."""
+    rng = np.random.default_rng(7)
+    d, n, share = 384, 3000, 0.75  # share: the cosine of two of the vectors
+    mean = np.zeros(d)
+    mean[0] = math.sqrt(share)
+
+    def sides(count):
+        x = rng.normal(size=(count, d))
+        x[:, 0] = 0
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    a, b = sides(n // 2), sides(n // 2)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    t = (0.905 - share) / (1 - share)
+    x = np.concatenate([mean + math.sqrt(1 - share) * y for y in (a, t * a + math.sqrt(1 - t * t) * b)])
+    pivots = mean + math.sqrt(1 - share) * sides(8192)
+    monkeypatch.setattr(embedding_dedup, "pivots_of", lambda *_: pivots / np.linalg.norm(pivots, axis=1, keepdims=True))
+    df = spark.createDataFrame(list(zip(range(n), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() >= n
+    assert got == dict(enumerate(want.tolist()))
+
+
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
 
