@@ -32,7 +32,8 @@ def is_complete(position: Column, duration: Column, ended: Column, fraction: flo
 
 
 def clamped_percent(percent: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent))
+    """0 to 100; null stays null, which greatest() and least() alone would pass over."""
+    return F.when(percent.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), percent)))
 
 
 def completion(flag: Column, percent: Column, position: Column, duration: Column) -> Column:
