@@ -95,3 +95,12 @@ def ratings(payloads: DataFrame, keys: list[str], payload: str = "payload") -> D
         top = F.when(source == s, F.lit(t)).otherwise(top)
     named = rows.select(*keys, "ord", source.alias("source"), value.alias("value"), top.alias("top")).filter("value >= 0 and value <= top").drop("top")
     return first_by(named, [*keys, "source"], ["ord"]).select(*keys, "source", "value")
+
+
+def batched_ratings(payloads: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """keys, id, source, value of answers about many media, each by one of three ids; of equal ids the last counts."""
+    media = f"array<struct<imdb_id:string,imdbid:string,ids:map<string,string>,{RATINGS.removeprefix('struct<').removesuffix('>')}>>"
+    rows = payloads.select(*keys, F.posexplode(F.from_json(payload, media)).alias("ord", "m"))
+    named = rows.select(*keys, "ord", F.coalesce("m.imdb_id", "m.imdbid", F.element_at("m.ids", "imdb")).alias("id"), F.to_json(F.struct("m.ratings")).alias("payload")).filter("id is not null")
+    last = named.groupBy(*keys, "id").agg(F.max_by("payload", "ord").alias("payload"))
+    return ratings(last, [*keys, "id"])
