@@ -135,8 +135,8 @@ def trackers(sources: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space, as Unicode has it, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends: Unicode's separators, and what ASCII has, with its four separators of files to units."""
+    return F.regexp_replace(text, r"^[\s\x1c-\x1f\p{Z}]+|[\s\x1c-\x1f\p{Z}]+$", "")
 
 
 def clean_cue(text: Column) -> Column:

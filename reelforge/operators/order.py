@@ -69,7 +69,7 @@ def round_robin(df: DataFrame, source: str, order: Cols, cap: int) -> DataFrame:
 
     Whole rounds are taken until cap is reached, and the last may pass it only by finishing its round.
     """
-    rows = ranked(df, [source], order, "round")
+    rows = ranked(df, [source], order, "round").filter(F.col("round") <= cap)  # each round before the last has a row at least
     per_round = rows.groupBy("round").agg(F.count("*").alias("n"))  # a row per round, summed below the shuffle
     before = per_round.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     kept = rows.join(before.filter(F.col("before") < cap).select("round", "before"), "round")

@@ -64,12 +64,14 @@ def completed_seeds(entries: DataFrame, watched: DataFrame, keys: Sequence[str],
     return last_by(both, [*keys, "parent"], ["season", "episode", "stamp"] if furthest else ["stamp", "season", "episode"])
 
 
-def current_up_next(rows: DataFrame, seeds: DataFrame, keys: Sequence[str], drop_unseeded: bool) -> DataFrame:
-    """rows (keys, content, seed_season, seed_episode) whose seed did not move; rows without a seed stay or go."""
+def current_up_next(rows: DataFrame, seeds: DataFrame, keys: Sequence[str], drop_unseeded: bool, active: DataFrame | None = None) -> DataFrame:
+    """rows (keys, content, seed_season, seed_episode) whose seed did not move; a row without a seed stays, but where those
+    of titles that are not active go. active: keys, content; without it, the titles that have a seed."""
     now = seeds.select(*keys, "content", F.col("season").alias("now_season"), F.col("episode").alias("now_episode"))
     joined = rows.join(now, [*keys, "content"], "left")
     same = (F.col("seed_season") == F.col("now_season")) & (F.col("seed_episode") == F.col("now_episode"))
-    return joined.filter(F.when(F.col("now_season").isNull(), F.lit(not drop_unseeded)).otherwise(F.coalesce(same, F.lit(False)))).drop("now_season", "now_episode")
+    kept = joined.filter(F.col("now_season").isNull() | F.coalesce(same, F.lit(False))).drop("now_season", "now_episode")
+    return kept.join((seeds if active is None else active).select(*keys, "content").distinct(), [*keys, "content"], "left_semi") if drop_unseeded else kept
 
 
 def with_cache(resolved: DataFrame, cached: DataFrame, settled: DataFrame, keys: Sequence[str], fill: Sequence[str], take: Sequence[str]) -> DataFrame:
@@ -220,22 +222,30 @@ def like_dialogue(text: Column) -> Column:
     return F.coalesce(~whole.rlike(r"(?s)^(\(.*\)|\[.*\])$") & whole.rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
 
 
+def shown_name(path: Column) -> Column:
+    """The last part of a path, or all of it where that is blank."""
+    last = F.regexp_extract(path, r"[^/\\]*$", 0)
+    return F.when(trimmed(last) == "", path).otherwise(last)
+
+
 def plain_name(name: Column) -> Column:
     """The last part of a path in lower case, without its ending, its letters and digits in words."""
-    last = F.regexp_replace(F.lower(F.substring_index(name, "/", -1)), r"\.[^.]*$", "")
+    last = F.regexp_replace(F.lower(shown_name(name)), r"\.[^.]*$", "")
     return trimmed(F.regexp_replace(last, r"[^a-z0-9]+", " "))
 
 
-def chosen_file(files: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def chosen_file(files: DataFrame, wanted: DataFrame, keys: Sequence[str], whole_path: bool = False) -> DataFrame:
     """One file for each request that has a playable one: the first whose name holds a wanted one or lies in it, the first whose name holds an
     episode's mark, the one at the wanted index, then before it, then of that id, else the largest.
 
-    files: keys, pos (from 0), id, name, size, playable; wanted: keys, names, marks (arrays, lower case), index.
+    files: keys, pos (from 0), id, name, size, playable; wanted: keys, names, marks (arrays, lower case), index. Marks are
+    looked for in a path's last part, or in all of it; blank names match nothing.
     """
     rows = files.filter("playable").join(wanted, keys)
-    name = F.lower(trimmed(F.col("name")))
+    name = F.lower(trimmed(F.col("name") if whole_path else shown_name(F.col("name"))))
     plain = plain_name(F.col("name"))
-    named = F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.contains(plain, plain_name(n)) | F.contains(plain_name(n), plain))
+    held = F.filter(F.transform(F.coalesce("names", F.array().cast("array<string>")), plain_name), lambda n: n != "")
+    named = F.exists(held, lambda n: F.contains(plain, n) | F.contains(n, plain))
     marked = F.exists(F.coalesce("marks", F.array().cast("array<string>")), lambda m: F.contains(name, m))
     step = (
         F.when(named, 0).when(marked, 1).when(F.col("pos") == F.col("index"), 2)

@@ -122,13 +122,13 @@ def collapsed_cues(spark, d):
 
 def arrival_fold(spark, d):
     p = progress(spark, d)
-    cur = p.filter("event_id < 500").groupBy("profile").agg(F.max("stamp").alias("stamp")).withColumn("stamp", F.col("stamp") + 1_000_000_000).withColumn("dirty", F.col("profile") % 2 == 0)
+    cur = p.filter("stamp < 1704844800000").groupBy("profile").agg(F.max("stamp").alias("stamp")).withColumn("stamp", F.col("stamp") + 1_000_000_000).withColumn("dirty", F.col("profile") % 2 == 0)
     op = F.when(F.col("title").isin("signup", "purchase", "view"), "upsert").when(F.col("title") == "error", "delete").otherwise("other")
-    ev = p.filter("event_id >= 500").select("profile", "event_id", "stamp", op.alias("operation"))
+    ev = p.filter("stamp >= 1704844800000").select("profile", "event_id", "stamp", op.alias("operation"))
     return C.arrival_fold(cur, ev, ["profile"], "event_id", "stamp")
 
 
-ARRIVAL = PROGRESS + """, c AS (SELECT profile, max(stamp) + 1000000000 AS s, profile % 2 = 0 AS dirty FROM p WHERE event_id < 500 GROUP BY profile), e AS (SELECT p.profile, event_id, stamp, CASE WHEN title IN ('signup', 'purchase', 'view') THEN 'u' WHEN title = 'error' THEN 'd' ELSE 'o' END AS op, coalesce(c.dirty, false) AS dirty, c.s FROM p LEFT JOIN c USING (profile) WHERE event_id >= 500 AND title <> 'click'),
+ARRIVAL = PROGRESS + """, c AS (SELECT profile, max(stamp) + 1000000000 AS s, profile % 2 = 0 AS dirty FROM p WHERE stamp < 1704844800000 GROUP BY profile), e AS (SELECT p.profile, event_id, stamp, CASE WHEN title IN ('signup', 'purchase', 'view') THEN 'u' WHEN title = 'error' THEN 'd' ELSE 'o' END AS op, coalesce(c.dirty, false) AS dirty, c.s FROM p LEFT JOIN c USING (profile) WHERE stamp >= 1704844800000 AND title <> 'click'),
 f AS (SELECT profile, min(event_id) AS first FROM e WHERE NOT dirty OR (op = 'u' AND stamp >= s) GROUP BY profile), l AS (SELECT e.profile, max({'i': event_id, 'o': op, 't': stamp}) AS x FROM e JOIN f USING (profile) WHERE event_id >= first GROUP BY e.profile)
 SELECT profile, x.t AS stamp, false AS dirty FROM l WHERE x.o = 'u' UNION ALL SELECT profile, s, dirty FROM c WHERE profile NOT IN (SELECT profile FROM l)"""
 

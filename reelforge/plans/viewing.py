@@ -325,7 +325,7 @@ def library_sorts(spark, d):
     return out
 
 
-LIBRARY = """WITH t AS (SELECT p_partkey % 7 AS shelf, p_partkey % 900 AS key, p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 2147483647 END AS r, p_partkey % 50 AS saved,
+LIBRARY = r"""WITH t AS (SELECT p_partkey % 7 AS shelf, p_partkey % 900 AS key, p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN p_size ELSE 2147483647 END AS r, p_partkey % 50 AS saved,
   ['The ', 'an ', 'A ', '', 'Theo '][(p_partkey % 5 + 1)::INT] || p_name AS title, p_size % 2 = 0 AS movie FROM part),
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY shelf, key ORDER BY id) = 1),
 g AS (SELECT *, lower(title) AS tie, lower(regexp_replace(title, '^(the|an|a)\s+', '', 'i')) AS name FROM f WHERE movie)

@@ -66,3 +66,35 @@ def test_a_confident_fit(spark):
     sizes = spark.createDataFrame([("p", 31, 40)], "pair string, target_size int, reference_size int")
     q = A.fit_quality(groups, sizes, ["pair"]).first()
     assert (q.confident, q.skip_run, q.skipped_reference, q.residual, q.shapes[0]) == (True, 1, 10, 15.0, 30)
+
+
+def test_marks_are_in_the_name_of_a_file(spark):
+    from reelforge.operators import viewing as V
+
+    files = spark.createDataFrame([(1, 0, 0, "Show S01E03/S01E01.mkv", 5, True), (1, 1, 1, "Show S01E03\\S01E03.mkv", 3, True), (1, 2, 2, "b/", 9, True)], "request int, pos int, id int, name string, size long, playable boolean")
+    wanted = spark.createDataFrame([(1, ["", " /x"], ["s01e03"], None)], "request int, names array<string>, marks array<string>, index int")
+    one = lambda **more: V.chosen_file(files, wanted, ["request"], **more).first()
+    assert one().id == 1
+    assert one(whole_path=True).id == 0
+    names = spark.createDataFrame([(1, ["", "..."], [], None)], "request int, names array<string>, marks array<string>, index int")
+    assert V.chosen_file(files, names, ["request"]).first().step == 5
+
+
+def test_rows_of_active_titles_stay_without_a_seed(spark):
+    from reelforge.operators import viewing as V
+
+    rows = spark.createDataFrame([(1, c, 1, 2) for c in "abcd"], "profile int, content string, seed_season int, seed_episode int")
+    seeds = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 3)], "profile int, content string, season int, episode int")
+    active = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "profile int, content string")
+    kept = lambda *more: "".join(sorted(r.content for r in V.current_up_next(rows, seeds, ["profile"], *more).collect()))
+    assert kept(False) == "acd"
+    assert kept(True, active) == "ac"
+    assert kept(True) == "a"
+
+
+def test_separators_of_files_to_units_are_trimmed(spark):
+    from pyspark.sql import functions as F
+
+    from reelforge.functions import text
+
+    assert spark.range(1).select(text.trimmed(F.lit("\x1c\x1f a b \x1e　")).alias("t")).first().t == "a b"
