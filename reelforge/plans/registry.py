@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelforge.plans import alignment, catalogs, choices, facts, listings, merging, series, sources, syncing, viewing
+from reelforge.plans import alignment, catalogs, choices, facts, forms, listings, merging, series, sources, syncing, viewing
 
-QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES, **viewing.QUERIES, **choices.QUERIES, **alignment.QUERIES, **syncing.QUERIES, **listings.QUERIES}
+QUERIES = {**merging.QUERIES, **facts.QUERIES, **series.QUERIES, **sources.QUERIES, **catalogs.QUERIES, **viewing.QUERIES, **choices.QUERIES, **alignment.QUERIES, **syncing.QUERIES, **listings.QUERIES, **forms.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
