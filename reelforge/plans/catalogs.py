@@ -120,6 +120,15 @@ def collapsed_cues(spark, d):
     return C.collapsed_cues(c, "track")
 
 
+COLLAPSED = PROGRESS.replace("WITH p", "WITH RECURSIVE p") + r""", c AS (SELECT profile AS track, event_id AS ord, stamp % 3600000 // 30 AS start, stamp % 3600000 + floor(percent)::BIGINT * 100 AS "end", CASE WHEN event_id % 6 <> 0 THEN title ELSE '' END AS text FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY start, ord) AS n FROM c),
+f AS (SELECT track, n, 1 AS slot, start, text, ord AS held FROM r WHERE n = 1
+  UNION ALL SELECT track, n, slot + CASE WHEN near THEN 0 ELSE 1 END, CASE WHEN takes THEN s ELSE start END, CASE WHEN takes THEN x ELSE text END, CASE WHEN takes THEN o ELSE held END FROM (
+    SELECT *, NOT near OR (text = '' AND x <> '') AS takes FROM (
+      SELECT r.track, r.n, f.slot, f.start, f.text, f.held, r.start AS s, r.text AS x, r.ord AS o, abs(f.start - r.start) <= 125 AND (f.text = '' OR r.text = '' OR f.text = r.text) AS near FROM f JOIN r ON r.track = f.track AND r.n = f.n + 1)))
+SELECT c.* FROM c JOIN (SELECT track, held FROM f QUALIFY row_number() OVER (PARTITION BY track, slot ORDER BY n DESC) = 1) k ON k.track = c.track AND k.held = c.ord"""
+
+
 def arrival_fold(spark, d):
     p = progress(spark, d)
     cur = p.filter("stamp < 1704844800000").groupBy("profile").agg(F.max("stamp").alias("stamp")).withColumn("stamp", F.col("stamp") + 1_000_000_000).withColumn("dirty", F.col("profile") % 2 == 0)
@@ -188,7 +197,7 @@ QUERIES = {
     "next_cards": (next_cards, NEXT_CARDS),
     "paging_stop": (paging_stop, PAGING_STOP),
     "absolute_numbers": (absolute_numbers, ABSOLUTE),
-    "collapsed_cues": (collapsed_cues, None),
+    "collapsed_cues": (collapsed_cues, COLLAPSED),
     "arrival_fold": (arrival_fold, ARRIVAL),
     "resolved_identities": (resolved_identities, None),
     "url_templates": (url_templates, URL_TEMPLATES),

@@ -141,6 +141,12 @@ def clean_markup(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.clean_cue(F.col("html"))).alias("clean"))
 
 
+CLEAN = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d+)?>', '', 'g'), '</?[a-zA-Z0-9._-]+(?: [^>]*)?>', '', 'g') AS x FROM pages),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS x FROM t),
+l AS (SELECT page_id, list_transform(regexp_split_to_array(x, '\r\n|\n|\r'), lambda y: regexp_replace(regexp_replace(y, '[ \t]+', ' ', 'g'), '^[\s\x1c-\x1f\p{Z}]+|[\s\x1c-\x1f\p{Z}]+$', '', 'g')) AS x FROM e)
+SELECT page_id, md5(array_to_string(list_filter(x, lambda y: y <> ''), chr(10))) AS clean FROM l"""
+
+
 def search_terms(spark, d):
     return table(spark, d, "documents").filter(T.matches_terms(F.col("text"), "  The eran ")).select("doc_id")
 
@@ -315,7 +321,7 @@ QUERIES = {
     "two_quotas": (two_quotas, None),
     "fit_order": (fit_order, FIT_ORDER),
     "regex_badges": (regex_badges, REGEX_BADGES),
-    "clean_markup": (clean_markup, None),
+    "clean_markup": (clean_markup, CLEAN),
     "search_terms": (search_terms, SEARCH_TERMS),
     "spoiler_marks": (spoiler_marks, SPOILER_MARKS),
     "info_hashes": (info_hashes, INFO_HASHES),

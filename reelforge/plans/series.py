@@ -127,6 +127,14 @@ def fold_newest(spark, d):
     return Q.fold_newest(p, ["profile", "title"], ["event_id"], "stamp", "complete", 5_000_000).select("profile", "title", "event_id")
 
 
+FOLDED = PROGRESS.replace("WITH p", "WITH RECURSIVE p") + """, r AS (SELECT profile, title, event_id, stamp, percent >= 90 AS c, row_number() OVER (PARTITION BY profile, title ORDER BY event_id) AS n FROM p),
+f AS (SELECT profile, title, n, event_id, stamp, c FROM r WHERE n = 1
+  UNION ALL SELECT profile, title, n, CASE WHEN w THEN e ELSE event_id END, CASE WHEN w THEN s ELSE stamp END, CASE WHEN w THEN d ELSE c END FROM (
+    SELECT r.profile, r.title, r.n, r.event_id AS e, r.stamp AS s, r.c AS d, f.event_id, f.stamp, f.c, CASE WHEN r.c = f.c THEN r.stamp > f.stamp WHEN r.c THEN r.stamp - f.stamp > 5000000 ELSE r.stamp - f.stamp >= -5000000 END AS w
+    FROM f JOIN r ON r.profile = f.profile AND r.title = f.title AND r.n = f.n + 1))
+SELECT profile, title, event_id FROM f QUALIFY row_number() OVER (PARTITION BY profile, title ORDER BY n DESC) = 1"""
+
+
 SPANS = PROGRESS + ", s AS (SELECT profile, stamp AS a, stamp + floor(percent)::BIGINT * 50000 AS b, event_id AS span_id FROM p WHERE title = 'purchase'), v AS (SELECT profile, stamp, event_id FROM p WHERE title = 'view')"
 
 
@@ -372,7 +380,7 @@ QUERIES = {
     "prefix_counts": (prefix_counts, PREFIX_COUNTS),
     "densest_window": (densest_window, DENSEST),
     "peaks": (peaks, PEAKS),
-    "fold_newest": (fold_newest, None),
+    "fold_newest": (fold_newest, FOLDED),
     "asof_last_event": (asof_last_event, ASOF_LAST),
     "lower_bound_event": (lower_bound_event, LOWER_BOUND),
     "nearest_event": (nearest_event, NEAREST),

@@ -234,9 +234,23 @@ def repeated_writes(spark, d):
     return T.over_table(p, ["profile"], T.repeated_writes, ["stamp", "event_id"])
 
 
+REPEATED = PROGRESS.replace("WITH p", "WITH RECURSIVE p") + """, r AS (SELECT profile, event_id, stamp // 40000 AS stamp, title, row_number() OVER (PARTITION BY profile ORDER BY stamp // 40000, event_id) AS n FROM p),
+f AS (SELECT profile, n, true AS keep, title AS sent, stamp AS t FROM r WHERE n = 1
+  UNION ALL SELECT r.profile, r.n, NOT (r.title = f.sent AND r.stamp - f.t < 5000), r.title, CASE WHEN r.title = f.sent AND r.stamp - f.t < 5000 THEN f.t ELSE r.stamp END FROM f JOIN r ON r.profile = f.profile AND r.n = f.n + 1)
+SELECT profile, event_id, stamp::BIGINT AS stamp, title AS signature FROM r JOIN f USING (profile, n) WHERE keep"""
+
+
 def rate_limited(spark, d):
-    p = progress(spark, d).select("title", "event_id", F.floor(F.col("stamp") / 10).alias("stamp"))
-    return T.over_table(p, ["title"], T.rate_limit, ["stamp", "event_id"])
+    p = progress(spark, d).select("profile", "event_id", F.floor(F.col("stamp") / 1000).alias("stamp"))
+    return T.over_table(p, ["profile"], T.rate_limit, ["stamp", "event_id"])
+
+
+LIMITED = PROGRESS.replace("WITH p", "WITH RECURSIVE p") + """, r AS (SELECT profile, event_id, stamp // 1000 AS stamp, row_number() OVER (PARTITION BY profile ORDER BY stamp // 1000, event_id) AS n FROM p),
+f AS (SELECT profile, n, true AS keep, [stamp] AS held FROM r WHERE n = 1
+  UNION ALL SELECT profile, n, keep, CASE WHEN keep THEN list_append(near, stamp) ELSE near END FROM (
+    SELECT profile, n, stamp, near, len(near) < 30 AND len(list_filter(near, lambda t: stamp - t <= 60000)) < 6 AS keep FROM (
+      SELECT r.profile, r.n, r.stamp, list_filter(f.held, lambda t: r.stamp - t <= 3600000) AS near FROM f JOIN r ON r.profile = f.profile AND r.n = f.n + 1)))
+SELECT profile, event_id, stamp::BIGINT AS stamp FROM r JOIN f USING (profile, n) WHERE keep"""
 
 
 QUERIES = {
@@ -264,6 +278,6 @@ QUERIES = {
     "unique_file_match_all": (unique_file_match_all, UNIQUE_MATCH_ALL),
     "word_anchors": (word_anchors, WORD_ANCHORS),
     "timing_classes": (timing_classes, TIMING_CLASSES),
-    "repeated_writes": (repeated_writes, None),
-    "rate_limited": (rate_limited, None),
+    "repeated_writes": (repeated_writes, REPEATED),
+    "rate_limited": (rate_limited, LIMITED),
 }
