@@ -10,36 +10,43 @@ from pyspark.sql import functions as F
 from reelforge.functions.text import trimmed
 
 # Codes and what they stand for, in lower case.
-CODES = dict(x.split(":") for x in """
-pt-pt:pt pt-br:pt-br br:pt-br pob:pt-br eng:en spa:es es-419:es-419 es-la:es-419 es-lat:es-419 fra:fr fre:fr deu:de
-ger:de ita:it por:pt rus:ru jpn:ja kor:ko zho:zh chi:zh zht:zh-tw zhs:zh-cn chi-tw:zh-tw chi-cn:zh-cn zh-tw:zh-tw
-zh-cn:zh-cn ara:ar hin:hi nld:nl dut:nl pol:pl swe:sv nor:no dan:da fin:fi tur:tr ell:el gre:el heb:he tha:th vie:vi
-ind:id msa:ms may:ms ces:cs cze:cs hun:hu ron:ro rum:ro ukr:uk bul:bg hrv:hr srp:sr slk:sk slo:sk slv:sl cat:ca
-alb:sq sqi:sq bos:bs mac:mk mkd:mk lav:lv lit:lt est:et isl:is ice:is glg:gl baq:eu eus:eu wel:cy cym:cy gle:ga
-ben:bn tam:ta tel:te mal:ml kan:kn mar:mr pan:pa guj:gu urd:ur fas:fa per:fa amh:am swa:sw zul:zu afr:af mlt:mt
-bel:be geo:ka tgl:tl fil:tl
-""".split())
+CODES = {
+    "pt-pt": "pt", "pt-br": "pt-br", "br": "pt-br", "pob": "pt-br", "eng": "en", "spa": "es", "es-419": "es-419", "es-la": "es-419",
+    "es-lat": "es-419", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "ita": "it", "por": "pt", "rus": "ru", "jpn": "ja", "kor": "ko",
+    "zho": "zh", "chi": "zh", "zht": "zh-tw", "zhs": "zh-cn", "chi-tw": "zh-tw", "chi-cn": "zh-cn", "zh-tw": "zh-tw", "zh-cn": "zh-cn", "ara": "ar",
+    "hin": "hi", "nld": "nl", "dut": "nl", "pol": "pl", "swe": "sv", "nor": "no", "dan": "da", "fin": "fi", "tur": "tr", "ell": "el", "gre": "el",
+    "heb": "he", "tha": "th", "vie": "vi", "ind": "id", "msa": "ms", "may": "ms", "ces": "cs", "cze": "cs", "hun": "hu", "ron": "ro", "rum": "ro",
+    "ukr": "uk", "bul": "bg", "hrv": "hr", "srp": "sr", "slk": "sk", "slo": "sk", "slv": "sl", "cat": "ca", "alb": "sq", "sqi": "sq", "bos": "bs",
+    "mac": "mk", "mkd": "mk", "lav": "lv", "lit": "lt", "est": "et", "isl": "is", "ice": "is", "glg": "gl", "baq": "eu", "eus": "eu", "wel": "cy",
+    "cym": "cy", "gle": "ga", "ben": "bn", "tam": "ta", "tel": "te", "mal": "ml", "kan": "kn", "mar": "mr", "pan": "pa", "guj": "gu", "urd": "ur",
+    "fas": "fa", "per": "fa", "amh": "am", "swa": "sw", "zul": "zu", "afr": "af", "mlt": "mt", "bel": "be", "geo": "ka", "tgl": "tl", "fil": "tl",
+}
 # English names and their codes.
-NAMES = dict(x.split(":") for x in """
-afrikaans:af albanian:sq amharic:am arabic:ar armenian:hy azerbaijani:az basque:eu belarusian:be bengali:bn bosnian:bs
-bulgarian:bg burmese:my catalan:ca chinese:zh mandarin:zh croatian:hr czech:cs danish:da dutch:nl english:en estonian:et
-filipino:tl finnish:fi french:fr galician:gl georgian:ka german:de greek:el gujarati:gu hebrew:he hindi:hi hungarian:hu
-icelandic:is indonesian:id irish:ga italian:it japanese:ja kannada:kn kazakh:kk khmer:km korean:ko lao:lo latvian:lv
-lithuanian:lt macedonian:mk malay:ms malayalam:ml maltese:mt marathi:mr mongolian:mn nepali:ne norwegian:no persian:fa
-polish:pl punjabi:pa romanian:ro russian:ru serbian:sr sinhala:si slovak:sk slovenian:sl swahili:sw swedish:sv tamil:ta
-telugu:te thai:th turkish:tr ukrainian:uk urdu:ur uzbek:uz vietnamese:vi welsh:cy zulu:zu
-""".split())
+NAMES = {
+    "afrikaans": "af", "albanian": "sq", "amharic": "am", "arabic": "ar", "armenian": "hy", "azerbaijani": "az", "basque": "eu", "belarusian": "be",
+    "bengali": "bn", "bosnian": "bs", "bulgarian": "bg", "burmese": "my", "catalan": "ca", "chinese": "zh", "mandarin": "zh", "croatian": "hr",
+    "czech": "cs", "danish": "da", "dutch": "nl", "english": "en", "estonian": "et", "filipino": "tl", "finnish": "fi", "french": "fr",
+    "galician": "gl", "georgian": "ka", "german": "de", "greek": "el", "gujarati": "gu", "hebrew": "he", "hindi": "hi", "hungarian": "hu",
+    "icelandic": "is", "indonesian": "id", "irish": "ga", "italian": "it", "japanese": "ja", "kannada": "kn", "kazakh": "kk", "khmer": "km",
+    "korean": "ko", "lao": "lo", "latvian": "lv", "lithuanian": "lt", "macedonian": "mk", "malay": "ms", "malayalam": "ml", "maltese": "mt",
+    "marathi": "mr", "mongolian": "mn", "nepali": "ne", "norwegian": "no", "persian": "fa", "polish": "pl", "punjabi": "pa", "romanian": "ro",
+    "russian": "ru", "serbian": "sr", "sinhala": "si", "slovak": "sk", "slovenian": "sl", "swahili": "sw", "swedish": "sv", "tamil": "ta",
+    "telugu": "te", "thai": "th", "turkish": "tr", "ukrainian": "uk", "urdu": "ur", "uzbek": "uz", "vietnamese": "vi", "welsh": "cy", "zulu": "zu",
+}
 # Words that name Portuguese and Spanish, and those that name a region.
 PORTUGUESE, BRAZIL = ("portuguese", "portugues"), ("brazil", "brasil", "brazilian", "brasileiro", "pt br", "ptbr", "pob", "(br)")
 SPANISH, LATIN = ("spanish", "espanol", "castellano"), ("latin", "latino", "latinoamerica", "latinoamericano", "lat am", "latam", "es 419", "es419", "(419)")
 # Languages of countries by two letters, three letters and name.
-COUNTRIES = dict(x.split(":") for x in """
-jp:ja kr:ko cn:zh tw:zh fr:fr de:de it:it es:es pt:pt br:pt ru:ru in:hi tr:tr pl:pl nl:nl se:sv no:no dk:da fi:fi th:th
-il:he cz:cs ro:ro hu:hu ua:uk gr:el jpn:ja kor:ko chn:zh twn:zh fra:fr deu:de ita:it esp:es prt:pt bra:pt rus:ru ind:hi
-tur:tr pol:pl nld:nl swe:sv nor:no dnk:da fin:fi tha:th isr:he cze:cs rou:ro hun:hu ukr:uk grc:el japan:ja korea:ko
-china:zh taiwan:zh france:fr germany:de italy:it spain:es portugal:pt brazil:pt russia:ru india:hi turkey:tr poland:pl
-netherlands:nl sweden:sv norway:no denmark:da finland:fi thailand:th israel:he romania:ro hungary:hu ukraine:uk greece:el
-""".split()) | {"south korea": "ko"}
+COUNTRIES = {
+    "jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "fr": "fr", "de": "de", "it": "it", "es": "es", "pt": "pt", "br": "pt", "ru": "ru", "in": "hi",
+    "tr": "tr", "pl": "pl", "nl": "nl", "se": "sv", "no": "no", "dk": "da", "fi": "fi", "th": "th", "il": "he", "cz": "cs", "ro": "ro", "hu": "hu",
+    "ua": "uk", "gr": "el", "jpn": "ja", "kor": "ko", "chn": "zh", "twn": "zh", "fra": "fr", "deu": "de", "ita": "it", "esp": "es", "prt": "pt",
+    "bra": "pt", "rus": "ru", "ind": "hi", "tur": "tr", "pol": "pl", "nld": "nl", "swe": "sv", "nor": "no", "dnk": "da", "fin": "fi", "tha": "th",
+    "isr": "he", "cze": "cs", "rou": "ro", "hun": "hu", "ukr": "uk", "grc": "el", "japan": "ja", "korea": "ko", "china": "zh", "taiwan": "zh",
+    "france": "fr", "germany": "de", "italy": "it", "spain": "es", "portugal": "pt", "brazil": "pt", "russia": "ru", "india": "hi", "turkey": "tr",
+    "poland": "pl", "netherlands": "nl", "sweden": "sv", "norway": "no", "denmark": "da", "finland": "fi", "thailand": "th", "israel": "he",
+    "romania": "ro", "hungary": "hu", "ukraine": "uk", "greece": "el", "south korea": "ko",
+}
 
 
 def _looked_up(table: dict[str, str], key: Column) -> Column:
