@@ -172,6 +172,29 @@ UNION ALL SELECT k, 1, 'Unknown', 'u' || CASE WHEN k % 2 = 0 THEN (k % 5)::VARCH
 UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError: no ' || k FROM k WHERE k % 7 = 0"""
 
 
+def scraper_table(spark, d):
+    """The same from SQL: of every fiftieth request the function is too slow."""
+    table(spark, d, "supplier").createOrReplaceTempView("asked_suppliers")
+
+    def scraper(id_, kind, season, episode):
+        import time
+
+        n = int(id_)
+        if n % 50 == 3:
+            time.sleep(3)
+        if n % 7 == 0:
+            raise ValueError(f"no {n}")
+        yield {"title": f"t{n}", "url": f"{kind}/{season}"}
+        yield {"url": " "}
+
+    scrapers.table_function(spark, "streams_of", scraper, timeout_s=1.0)
+    return spark.sql("SELECT s_suppkey, ord, title, url, error FROM asked_suppliers, LATERAL streams_of(CAST(s_suppkey AS STRING), 'movie', CAST(s_suppkey % 5 AS INT), NULL)")
+
+
+SCRAPER_TABLE = """SELECT s_suppkey, CASE WHEN s_suppkey % 50 <> 3 AND s_suppkey % 7 > 0 THEN 0 END AS ord, CASE WHEN s_suppkey % 50 <> 3 AND s_suppkey % 7 > 0 THEN 't' || s_suppkey END AS title,
+  CASE WHEN s_suppkey % 50 <> 3 AND s_suppkey % 7 > 0 THEN 'movie/' || s_suppkey % 5 END AS url, CASE WHEN s_suppkey % 50 = 3 THEN 'TimeoutError: more than 1 s' WHEN s_suppkey % 7 = 0 THEN 'ValueError: no ' || s_suppkey END AS error FROM supplier"""
+
+
 QUERIES = {
     "season_posters": (season_posters, POSTERS),
     "sprite_tiles": (sprite_tiles, TILES),
@@ -186,4 +209,5 @@ QUERIES = {
     "display_years": (display_years, YEARS),
     "told_titles": (told_titles, TOLD),
     "scraped_rows": (scraped_rows, SCRAPED),
+    "scraper_table": (scraper_table, SCRAPER_TABLE),
 }

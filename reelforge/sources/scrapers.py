@@ -8,15 +8,19 @@ request gives no rows for it, or, where errors are asked for, a row with its err
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+import threading
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 from reelforge.shipping import ship
 
 FIELDS = ("title", "name", "url", "quality", "size", "language", "provider", "type", "info_hash")
 SCHEMA = "request long, ord int, title string, name string, url string, quality string, size string, language string, provider string, type string, info_hash string, seeders int, headers string, error string"
+ANSWER = SCHEMA.removeprefix("request long, ")
+TIMEOUT_S, AT_ONCE = 60.0, 10  # fixed values
 Scraper = Callable[[str, str, "int | None", "int | None"], Iterable[dict]]
 
 
@@ -63,3 +67,43 @@ def scraped(requests: DataFrame, scraper: Scraper, errors: bool = False) -> Data
             yield frame.astype({"ord": "Int32", "seeders": "Int32"} | dict.fromkeys((*FIELDS, "headers", "error"), "object"))
 
     return requests.select("request", "id", "type", "season", "episode").mapInPandas(run, SCHEMA)
+
+
+def answered(scraper: Scraper, request: tuple, timeout_s: float, room: threading.Semaphore) -> tuple[list, str | None]:
+    """What a function gives for a request, and the error that it ended with, if any."""
+    told: dict = {}
+
+    def run() -> None:
+        try:
+            told["found"] = list(scraper(*request) or [])
+        except Exception as e:  # noqa: BLE001
+            told["error"] = f"{type(e).__name__}: {e}"
+        finally:
+            room.release()
+
+    late = f"TimeoutError: more than {timeout_s:g} s"
+    if not room.acquire(timeout=timeout_s):
+        return [], late
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(timeout_s)
+    return ([], late) if thread.is_alive() else (told.get("found", []), told.get("error"))
+
+
+def table_function(spark: SparkSession, name: str, scraper: Scraper, timeout_s: float = TIMEOUT_S) -> None:
+    """Registers name(id, type, season, episode) for use in SQL; its rows are scraped()'s without the request, errors among them."""
+    ship(spark)
+
+    class Answer:
+        def __init__(self) -> None:
+            self.room = threading.BoundedSemaphore(AT_ONCE)
+
+        def eval(self, id_: str, kind: str, season: int, episode: int) -> Iterator[tuple]:
+            found, error = answered(scraper, (id_, kind, season, episode), timeout_s, self.room)
+            names = [c.split()[0] for c in ANSWER.split(", ")]
+            for i, row in enumerate(x for x in map(result, found) if x):
+                yield tuple(({"ord": i, "error": None} | row)[n] for n in names)
+            if error:
+                yield tuple(({"error": error}).get(n) for n in names)
+
+    spark.udtf.register(name, udtf(Answer, returnType=ANSWER))

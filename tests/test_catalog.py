@@ -77,3 +77,22 @@ def test_scrapers(spark):
     assert [(r.request, r.title, r.url, r.seeders, r.headers, r.size) for r in got] == [(1, "n", "http://a/2", 7, '{"A": "1"}', None), (1, "Unknown", "u", None, None, None)]
     told = scraped(req, scraper, errors=True).filter("error is not null").collect()
     assert [(r.request, r.url, r.error) for r in told] == [(2, None, "ValueError: ")]
+
+
+def test_requests_that_take_too_long_make_room_again():
+    import threading
+    import time
+
+    from reelforge.sources.scrapers import answered
+
+    room, go = threading.BoundedSemaphore(2), threading.Event()
+    slow = lambda: go.wait(20)
+    assert answered(lambda: [1], (), 1, room) == ([1], None)
+    assert answered(lambda: 1 / 0, (), 1, room)[1].startswith("ZeroDivisionError")
+    assert [answered(slow, (), 0.05, room)[1] for _ in range(2)] == ["TimeoutError: more than 0.05 s"] * 2
+    start = time.monotonic()
+    assert answered(lambda: [1], (), 0.1, room) == ([], "TimeoutError: more than 0.1 s")  # no room
+    assert time.monotonic() - start < 5
+    go.set()
+    time.sleep(0.2)
+    assert answered(lambda: None, (), 1, room) == ([], None)
