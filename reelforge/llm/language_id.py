@@ -6,7 +6,7 @@ softmax over the mean gives each language's probability.
 
 The model is fitted on a bounded sample: SAMPLE documents at most on average, as each is drawn by a hash with the chance
 that gives its language an even part; of each at most WINDOWS windows of WINDOW characters, spread over its whole text. Embeddings and weights are fitted in numpy by
-stochastic gradient descent on batches of windows, the same way each time. A second sample of CALIBRATION documents, read
+stochastic gradient descent on batches of windows, the same way each time, in EPOCHS rounds or as many as LEAST_STEPS need. A second sample of CALIBRATION documents, read
 whole, fits the temperature by which scores are divided (least log loss) and the score below which a prediction is
 rejected: the lowest one above which at least PRECISION of the predictions of that sample are right. The driver sees the
 windows of the one sample and a row of numbers for each document of the other.
@@ -36,7 +36,7 @@ from reelforge.llm.words import codes_of, mix, windows
 BUCKETS, DIMENSIONS, LONGEST = 1 << 15, 16, 5
 SAMPLE, WINDOWS, WINDOW = 4000, 2, 256
 CALIBRATION, PRECISION = 4000, 0.99
-EPOCHS, BATCH, RATE = 4, 64, 10.0
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 500, 64, 10.0  # a small sample is gone through more often
 MOST = 128  # languages; the broadcast table has a number for each bucket and language
 FOLDS = 5
 SEED = 31
@@ -174,8 +174,10 @@ def fitted(rows: list[tuple[int, str]], langs: list[str]) -> Model:
     some = np.flatnonzero(np.diff(ends))  # windows with a letter
     e = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, bias = np.zeros((DIMENSIONS, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, step = max(1, EPOCHS * -(-len(some) // BATCH)), 0
-    for _ in range(EPOCHS):
+    per_epoch = max(1, -(-len(some) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         pick = rng.permutation(some)
         for at in range(0, len(pick), BATCH):
             own, rate = pick[at : at + BATCH], RATE * (1 - step / steps)

@@ -251,3 +251,12 @@ def test_tagged_keeps_columns_and_calibration_rejects(spoken, spark):
     assert fit.threshold <= language_id.softmax(np.array([[0, 7.0, 0]]) / fit.temperature).max()
     one = spark.createDataFrame([(1, "abc", "aa"), (2, "...", "aa"), (3, "дом", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identified(one).collect()} == {1: ("aa", 1.0), 2: ("und", 0.0), 3: ("aa", 1.0)}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_small_tables_are_learnt_too(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    fold = [r for r in language_id.identified(docs).collect() if r.held_out]
+    assert len(fold) > 20
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in fold]) > 0.97
