@@ -25,3 +25,12 @@ def test_lists_and_pairs_are_not_made_distinct(spark):
     for df in (found, pairs):
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert "Aggregate" not in "".join(lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
+
+
+def test_a_tier_joins_one_row_for_equal_columns(spark):
+    n = 60_000  # 3.6e9 pairs that agree on a tier
+    wanted = spark.range(n).select(F.col("id").alias("w"), F.lit(1).alias("a"), F.lit(2).alias("b"))
+    rows = spark.range(5, n).select(F.col("id").alias("r"), F.lit(9).alias("a"), F.lit(2).alias("b"))
+    got, seconds = timed(identity.cascade(wanted, rows, [["a"], ["b"]], "w", "r").groupBy("tier", "r").count())
+    assert [tuple(r) for r in got] == [(1, 5, n)]
+    assert seconds < 25
