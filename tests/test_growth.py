@@ -34,3 +34,11 @@ def test_a_tier_joins_one_row_for_equal_columns(spark):
     got, seconds = timed(identity.cascade(wanted, rows, [["a"], ["b"]], "w", "r").groupBy("tier", "r").count())
     assert [tuple(r) for r in got] == [(1, 5, n)]
     assert seconds < 25
+
+
+def test_only_rows_with_an_equal_id_or_title_meet(spark):
+    n = 40_000  # 1.6e9 pairs of equal `on`, none of which agrees on x but the diagonal
+    side = lambda i: spark.range(n).select(F.col("id").alias(i), F.lit(0).alias("on"), F.col("id").alias("x"), F.concat(F.lit(" T"), "id").alias("title"), F.lit(1).alias("year"))
+    got, seconds = timed(identity.by_priority(side("l"), side("r"), ["x"], "on", "l", "r", 1000).agg(F.count("*"), F.count_if(F.col("l") == F.col("r"))))
+    assert tuple(got[0]) == (n, n)
+    assert seconds < 25
