@@ -102,12 +102,17 @@ def without_history(marks: DataFrame, removed: DataFrame, keys: Sequence[str]) -
 
 def found_catalogs(wanted: DataFrame, catalogs: DataFrame) -> DataFrame:
     """wanted (request, source, catalog, type) with the owner and catalog it means: of its source by the exact id, then by
-    the id before the first comma; else of the first enabled source by the exact id. catalogs: owner, id, type, ord, enabled."""
-    on = catalogs.filter("enabled").drop("enabled")
-    short = F.substring_index("catalog", ",", 1)
-    by_id = wanted.join(on, (wanted.catalog == on.id) & (wanted.type == on.type)).select("request", F.when(F.col("owner") == F.col("source"), 0).otherwise(2).alias("step"), "ord", "owner", "id")
-    by_short = wanted.join(on, (short == on.id) & (wanted.type == on.type) & (wanted.source == on.owner)).select("request", F.lit(1).alias("step"), "ord", "owner", "id")
-    best = first_by(by_id.unionByName(by_short), ["request"], ["step", "ord"])
+    the id before the first comma; else of the first enabled source by the exact id. catalogs: owner, id, type, ord, enabled.
+
+    Of an owner's equal ids, and of all owners', the first alone is joined, so a request meets three catalogs at most.
+    """
+    on = catalogs.filter("enabled").drop("enabled").select("owner", "id", "type", "ord")
+    own, any_ = first_by(on, ["owner", "id", "type"], ["ord"]), first_by(on, ["id", "type"], ["ord"])
+    met = lambda df, test, step: wanted.alias("w").join(df.alias("c"), test).select("w.request", F.lit(step).alias("step"), "c.ord", "c.owner", "c.id")
+    exact, same_type, same_owner = (F.expr(x) for x in ("w.catalog = c.id", "w.type = c.type", "w.source = c.owner"))
+    by_short = F.expr("substring_index(w.catalog, ',', 1) = c.id")
+    hits = met(own, exact & same_type & same_owner, 0).unionByName(met(own, by_short & same_type & same_owner, 1)).unionByName(met(any_, exact & same_type, 2))
+    best = first_by(hits, ["request"], ["step", "ord"])
     return wanted.join(best.select("request", "owner", F.col("id").alias("found")), "request", "left")
 
 

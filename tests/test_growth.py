@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from reelforge.operators import identity
+from reelforge.operators import identity, viewing
 
 
 def timed(df):
@@ -13,20 +13,6 @@ def timed(df):
     return rows, time.monotonic() - start
 
 
-def test_lists_and_pairs_are_not_made_distinct(spark):
-    edges = spark.createDataFrame([("x", "e"), ("x", "e"), ("y", "e"), ("z", "e"), ("z", "f"), (None, "e"), (None, "f")], "alias string, entity string")
-    found = identity.siblings(edges, "alias", "entity")
-    assert sorted((r.alias, r.others) for r in found.collect()) == [("x", ["y"]), ("y", ["x"])]
-    ids = lambda own, rows: spark.createDataFrame(rows, f"{own} long, ids array<string>")
-    a, b = ids("l", [(1, ["b", "a", "a", None]), (1, ["c"]), (2, ["d"]), (3, None)]), ids("r", [(7, ["a", "b", "c"]), (8, ["c", None]), (9, [])])
-    pairs = identity.sharing_any(a, b, "l", "r", "ids")
-    assert sorted(map(tuple, pairs.collect())) == [(1, 7), (1, 8)]
-    # Above the join that makes lists or pairs nothing is grouped, so none of them is shuffled.
-    for df in (found, pairs):
-        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-        assert "Aggregate" not in "".join(lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
-
-
 def test_a_tier_joins_one_row_for_equal_columns(spark):
     n = 60_000  # 3.6e9 pairs that agree on a tier
     wanted = spark.range(n).select(F.col("id").alias("w"), F.lit(1).alias("a"), F.lit(2).alias("b"))
@@ -36,9 +22,32 @@ def test_a_tier_joins_one_row_for_equal_columns(spark):
     assert seconds < 25
 
 
+def test_a_request_meets_the_first_of_equal_catalogs(spark):
+    n = 60_000
+    wanted = spark.range(n).select(F.col("id").alias("request"), F.lit("x").alias("source"), F.lit("c").alias("catalog"), F.lit("t").alias("type"))
+    catalogs = spark.range(3, n).select(F.concat(F.lit("o"), "id").alias("owner"), F.lit("c").alias("id"), F.lit("t").alias("type"), F.col("id").alias("ord"), (F.col("id") > 3).alias("enabled"))
+    got, seconds = timed(viewing.found_catalogs(wanted, catalogs).groupBy("owner", "found").count())
+    assert [tuple(r) for r in got] == [("o4", "c", n)]
+    assert seconds < 25
+
+
 def test_only_rows_with_an_equal_id_or_title_meet(spark):
     n = 40_000  # 1.6e9 pairs of equal `on`, none of which agrees on x but the diagonal
     side = lambda i: spark.range(n).select(F.col("id").alias(i), F.lit(0).alias("on"), F.col("id").alias("x"), F.concat(F.lit(" T"), "id").alias("title"), F.lit(1).alias("year"))
     got, seconds = timed(identity.by_priority(side("l"), side("r"), ["x"], "on", "l", "r", 1000).agg(F.count("*"), F.count_if(F.col("l") == F.col("r"))))
     assert tuple(got[0]) == (n, n)
     assert seconds < 25
+
+
+def test_lists_and_pairs_are_not_made_distinct(spark):
+    edges = spark.createDataFrame([("x", "e"), ("x", "e"), ("y", "e"), ("z", "e"), ("z", "f"), (None, "e"), (None, "f")], "alias string, entity string")
+    found = identity.siblings(edges, "alias", "entity")
+    assert sorted((r.alias, r.others) for r in found.collect()) == [("x", ["y"]), ("y", ["x"])]
+    ids = lambda own, rows: spark.createDataFrame(rows, f"{own} long, ids array<string>")
+    a, b = ids("l", [(1, ["b", "a", "a", None]), (1, ["c"]), (2, ["d"]), (3, None)]), ids("r", [(7, ["a", "b", "c"]), (8, ["c", None]), (9, [])])
+    pairs = identity.sharing_any(a, b, "l", "r", "ids")
+    assert sorted(map(tuple, pairs.collect())) == [(1, 7), (1, 8)]
+    # Above the join that makes lists or pairs nothing is grouped, so none of them is shuffled.
+    for df in (found, pairs):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert "Aggregate" not in "".join(lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
