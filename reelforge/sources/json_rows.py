@@ -58,7 +58,8 @@ def catalog_items(payloads: DataFrame, keys: list[str], most: int, payload: str
     from reelforge.operators.order import first_by, ranked
 
     raw = payloads.select(*keys, F.from_json(payload, METAS)["metas"].alias("metas"))
-    rows = raw.select(*keys, F.size("metas").alias("raw_count"), F.posexplode("metas").alias("ord", "m"))
+    # The count is a column before the page is exploded: beside it, every item would be given its whole page.
+    rows = raw.select(*keys, F.size("metas").alias("raw_count"), "metas").select(*keys, "raw_count", F.posexplode("metas").alias("ord", "m"))
     named = rows.select(*keys, "raw_count", "ord", _text(F.col("m.id")).alias("id"), _text(F.col("m.type")).alias("type"), _text(F.col("m.name")).alias("name"), F.col("m.releaseInfo").alias("release_info"), trimmed(F.col("m.imdbRating")).try_cast("double").alias("rating"), list_or_csv(F.col("m.genres")).alias("genres"))
     fine = named.filter("id is not null and type is not null and name is not null")
     return ranked(first_by(fine, [*keys, "type", "id"], ["ord"]), keys, ["ord"], "place").filter(F.col("place") <= most)
