@@ -116,7 +116,8 @@ def cue_groups(reference: DataFrame, target: DataFrame, seeds: DataFrame, keys:
     pairs = pairs.filter((F.size("r_start") >= LEAST) & (F.size("t_start") >= LEAST) & F.col("scale").between(*SEED_SCALE) & (F.abs("intercept") < F.lit(float("inf"))))
 
     def match(batches):
-        for b in batches:
+        # A few pairs at a time, so that what is held does not grow with a batch.
+        for b in (whole.slice(i, S.ROWS) for whole in batches for i in range(0, len(whole), S.ROWS)):
             found, at = [], []
             for i in range(len(b)):
                 one = lambda name, kind=np.float64: np.array(b[name][i].as_py(), kind)  # noqa: B023, E731

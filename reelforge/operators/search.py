@@ -4,8 +4,8 @@ A track's cues become the set of bins they are active in. Every scale that is li
 in bins of COARSE_MS, the best is refined in bins of FINE_MS within RADIUS_MS, and its margin is what it has over the best
 candidate that differs from it by APART_MS somewhere on the target. A delay alone is accepted if its thirds agree.
 
-A pair and a scale are one row of arrays, as TIMELINE_MS bounds a track; its scores are rows again, and the choice among
-them is a window over the pair. Tracks are tables of keys, start, end. Pairs that share no bin give no row, and tracks of
+A pair is one row of its cues; its bins, bounded by TIMELINE_MS, and all scores of its scales and offsets are held while it
+is searched, and its best candidate alone is a row again. Tracks are tables of keys, start, end. Pairs that share no bin give no row, and tracks of
 fewer than LEAST cues or longer than TIMELINE_MS have no timeline.
 """
 
@@ -15,32 +15,40 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelforge.operators.align import COARSE_MS, LONGEST_MS, OFFSET_MS, PARTIAL, PRECISION, RECALL, TIMELINE_MS, VISIBLE, VISIBLE_BASE, scale_candidates
-from reelforge.settled import settled
 from reelforge.shipping import ship
 
 # Fixed values of the search and of a delay that is accepted.
 LEAST, FINE_MS, RADIUS_MS, APART_MS = 4, 100, 750, 3000
 THIRD_RADIUS, THIRD_APART, THIRD_SCORE = 10, 5, 0.68  # fine bins
+DIRECT, ROWS = 64, 200  # offsets counted one by one; rows worked on at a time
 DELAY_SCORE, DELAY_MARGIN, DELAY_SCALE, FEW = 0.78, 0.02, 0.0015, 8
 
 Timeline = tuple[np.ndarray, int]  # active bins, ascending; number of bins
 
 
-def timelines(cues: DataFrame, keys: Sequence[str], width: int, name: str, scale: Column | None = None) -> DataFrame:
-    """keys, <name>_bins (active bins, ascending), <name>_size (number of bins), <name>_n (cues) of each track."""
-    by = F.lit(1.0) if scale is None else scale
-    s = F.greatest("start", F.lit(0))
-    e = F.least(F.greatest("end", s + 1), s + LONGEST_MS)
-    half_up = lambda x: F.floor(x * by + 0.5).cast("long")
-    spans = cues.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*keys, half_up(s).alias("s"), half_up(e).alias("e"))
-    spans = spans.withColumn("e", F.greatest("e", F.col("s") + 1))
-    active = F.sequence(F.floor(F.col("s") / width), F.ceil(F.col("e") / width) - 1)
-    per = spans.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(active)))).alias(f"{name}_bins"), F.max("e").alias("e"), F.count("*").alias(f"{name}_n"))
-    return per.filter((F.col("e") <= TIMELINE_MS) & (F.col(f"{name}_n") >= LEAST)).select(*keys, f"{name}_bins", F.ceil((F.col("e") + 1) / width).alias(f"{name}_size"), f"{name}_n")
+def listed(cues: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """keys, <name>_cues (those with a start and an end), <name>_span of starts, <name>_end of each track."""
+    c = cues.select(*keys, F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"))
+    whole = F.when(F.col("s").isNotNull() & F.col("e").isNotNull(), F.struct("s", "e"))
+    return c.groupBy(*keys).agg(F.collect_list(whole).alias(f"{name}_cues"), (F.max("s") - F.min("s")).alias(f"{name}_span"), F.max("e").alias(f"{name}_end"))
+
+
+def timeline(cues: tuple[np.ndarray, np.ndarray], width: int, scale: float = 1.0) -> Timeline | None:
+    """The active bins of a track's starts and ends; None for a track of too few cues or too long a one."""
+    half_up = lambda x: np.floor(x * scale + 0.5).astype(np.int64)
+    s = np.maximum(cues[0], 0)
+    e = np.minimum(np.maximum(cues[1], s + 1), s + LONGEST_MS)
+    if len(s) < LEAST or half_up(e.max()) > TIMELINE_MS:
+        return None
+    s, e = half_up(s), half_up(e)
+    e = np.maximum(e, s + 1)
+    size = -(-(int(e.max()) + 1) // width)
+    steps = np.bincount(s // width, minlength=size + 1) - np.bincount((e - 1) // width + 1, minlength=size + 1)
+    return np.flatnonzero(np.cumsum(steps) > 0), size
 
 
 def _within(sorted_bins: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -48,7 +56,13 @@ def _within(sorted_bins: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 def _shared(marks: np.ndarray, bins: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many bins meet a mark at each offset."""
+    """How many bins meet a mark at each of consecutive offsets; many offsets are correlated by FFT, whose counts round to whole ones."""
+    if len(offsets) > DIRECT:
+        size = 1 << int(len(marks) + bins[-1]).bit_length()
+        own = np.zeros(size)
+        own[bins] = 1.0
+        all_ = np.rint(np.fft.irfft(np.fft.rfft(marks.astype(float), size) * np.conj(np.fft.rfft(own)), size)).astype(np.int64)
+        return np.where((offsets >= -bins[-1]) & (offsets < len(marks)), all_[offsets % size], 0)
     out = np.zeros(len(offsets), np.int64)
     for part in np.array_split(bins, len(bins) // 4096 + 1):
         at = part[:, None] + offsets
@@ -90,12 +104,47 @@ def thirds(reference: Timeline, target: Timeline, offset: int) -> tuple[int, int
     return int(agreed), int(covered)
 
 
+def _coarse(reference: Timeline, target: Timeline) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in milliseconds and scores of all offsets at which any bin is shared."""
+    base, (r, t) = OFFSET_MS // COARSE_MS, (reference[0], target[0])
+    low, high = -base, base
+    if t[-1] - t[0] < (r[-1] - r[0]) * PARTIAL:  # a part of the reference may lie anywhere in it
+        low, high = min(low, r[0] - t[0] - base), max(high, r[-1] - t[-1] + base)
+    offsets = np.arange(low, high + 1)
+    shared, score = offset_scores(reference, target, offsets)
+    hit = np.flatnonzero((shared > 0) & ~np.isnan(score))
+    return offsets[hit] * COARSE_MS, score[hit]
+
+
+def best_of_pair(r: tuple[np.ndarray, np.ndarray], t: tuple[np.ndarray, np.ndarray], t_end: float, scales: Sequence[float]) -> tuple | None:
+    """scale, intercept, score, margin, agreed, covered of a pair's starts and ends; None where no bin is ever shared."""
+    reference = timeline(r, COARSE_MS)
+    found = [(x, own) for x in scales if reference and (own := timeline(t, COARSE_MS, x))]
+    scored = [(np.full(len(k), x), k, score) for x, own in found for k, score in [_coarse(reference, own)] if len(k)]
+    if not scored:
+        return None
+    by, coarse, score = map(np.concatenate, zip(*scored, strict=True))
+    ties = np.flatnonzero(score == score.max())
+    top = ties[np.lexsort((coarse[ties], by[ties]))[0]]
+    apart = np.maximum(np.abs(coarse - coarse[top]), np.abs(t_end * by[top] + coarse[top] - (t_end * by + coarse))) >= APART_MS
+    margin = float(score[top] - (score[apart].max() if apart.any() else 0.0))
+    scale, intercept, best = float(by[top]), int(coarse[top]), float(score[top])
+    fine = timeline(r, FINE_MS), timeline(t, FINE_MS, scale)
+    offsets = np.floor((intercept - RADIUS_MS + np.arange(0, 2 * RADIUS_MS + 1, FINE_MS)) / FINE_MS + 0.5).astype(np.int64)
+    _, scores = offset_scores(*fine, offsets)
+    if not np.isnan(scores).all():
+        at = int(np.nanargmax(scores))
+        intercept, best = int(offsets[at]) * FINE_MS, float(scores[at])
+    return scale, intercept, best, margin, *thirds(*fine, (2 * intercept + FINE_MS) // (2 * FINE_MS))
+
+
 def _mapped(df: DataFrame, keys: Sequence[str], work, columns: Sequence[tuple[str, str, pa.DataType]]) -> DataFrame:
     """work(row) gives tuples of `columns` for each row of df; the result has the row's keys before them."""
     ship(df.sparkSession)
 
     def run(batches):
-        for b in batches:
+        # A few rows at a time, so that what is held does not grow with a batch.
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, len(whole), ROWS)):
             found, at = [], []
             for i, row in enumerate(b.drop_columns(list(keys)).to_pylist()):
                 own = work(row)
@@ -110,31 +159,13 @@ def _mapped(df: DataFrame, keys: Sequence[str], work, columns: Sequence[tuple[st
     return df.mapInArrow(run, ", ".join(kinds))
 
 
-def _timeline(row: dict, name: str) -> Timeline:
-    return np.array(row[f"{name}_bins"], np.int64), row[f"{name}_size"]
+def _best_row(row: dict) -> list[tuple]:
+    cues = lambda name: (np.array(row[f"{name}_s"]), np.array(row[f"{name}_e"]))
+    found = best_of_pair(cues("r"), cues("t"), row["t_end"], [x for x in row["scales"] or () if x is not None])
+    return [(*found, len(row["t_s"]))] if found else []
 
 
-def _score_all(row: dict) -> list[tuple]:
-    reference, target = _timeline(row, "r"), _timeline(row, "t")
-    base, (r, t) = OFFSET_MS // COARSE_MS, (reference[0], target[0])
-    low, high = -base, base
-    if t[-1] - t[0] < (r[-1] - r[0]) * PARTIAL:  # a part of the reference may lie anywhere in it
-        low, high = min(low, r[0] - t[0] - base), max(high, r[-1] - t[-1] + base)
-    offsets = np.arange(low, high + 1)
-    shared, score = offset_scores(reference, target, offsets)
-    hit = np.flatnonzero((shared > 0) & ~np.isnan(score))
-    return list(zip((offsets[hit] * COARSE_MS).tolist(), score[hit].tolist(), strict=True))
-
-
-def _refine(row: dict) -> list[tuple]:
-    reference, target = _timeline(row, "r"), _timeline(row, "t")
-    intercept, score = row["coarse"], row["coarse_score"]
-    offsets = np.floor((intercept - RADIUS_MS + np.arange(0, 2 * RADIUS_MS + 1, FINE_MS)) / FINE_MS + 0.5).astype(np.int64)
-    _, scores = offset_scores(reference, target, offsets)
-    if not np.isnan(scores).all():
-        at = int(np.nanargmax(scores))
-        intercept, score = int(offsets[at]) * FINE_MS, float(scores[at])
-    return [(intercept, score, *thirds(reference, target, (2 * intercept + FINE_MS) // (2 * FINE_MS)))]
+FOUND = (("scale", "double", pa.float64()), ("intercept", "long", pa.int64()), ("score", "double", pa.float64()), ("margin", "double", pa.float64()), *((n, "int", pa.int32()) for n in ("agreed", "covered", "target_n")))
 
 
 def searched(reference: DataFrame, target: DataFrame, keys: Sequence[str], scales: Column | None = None) -> DataFrame:
@@ -142,25 +173,10 @@ def searched(reference: DataFrame, target: DataFrame, keys: Sequence[str], scale
 
     scales: an array of the scales to try from the spans of starts r_span, t_span; without it, those likely for the pair.
     """
-    ends = lambda df, name: df.groupBy(*keys).agg((F.max("start") - F.min("start")).alias(f"{name}_span"), F.max("end").alias(f"{name}_end"))
-    spans = ends(reference, "r").join(ends(target, "t"), [*keys])
-    tried = spans.select(*keys, "t_end", F.explode(scale_candidates(F.col("r_span"), F.col("t_span")) if scales is None else scales).alias("scale"))
-    scaled = target.join(tried.select(*keys, "scale"), [*keys])
-    pairs = timelines(scaled, [*keys, "scale"], COARSE_MS, "t", F.col("scale")).join(timelines(reference, keys, COARSE_MS, "r"), [*keys])
-    scores = _mapped(pairs.join(tried, [*keys, "scale"]), [*keys, "scale", "t_end"], _score_all, (("coarse", "long", pa.int64()), ("coarse_score", "double", pa.float64())))
-    pair = Window.partitionBy(*keys)
-    best = F.min_by(F.struct("scale", "coarse", "coarse_score"), F.struct((-F.col("coarse_score")).alias("s"), "scale", "coarse")).over(pair)
-    scores = scores.withColumn("best", best)
-    apart = F.abs(F.col("t_end") * F.col("best.scale") + F.col("best.coarse") - (F.col("t_end") * F.col("scale") + F.col("coarse")))
-    other = F.max(F.when(F.greatest(F.abs(F.col("coarse") - F.col("best.coarse")).cast("double"), apart) >= APART_MS, F.col("coarse_score")))
-    chosen = scores.groupBy(*keys).agg(F.first("best").alias("best"), other.alias("other"))
-    chosen = chosen.select(*keys, "best.*", (F.col("best.coarse_score") - F.coalesce("other", F.lit(0.0))).alias("margin"))
-    chosen = settled(chosen, "coarse-offsets")
-    fine = timelines(target.join(chosen.select(*keys, "scale"), [*keys]), [*keys, "scale"], FINE_MS, "t", F.col("scale"))
-    both = chosen.join(fine, [*keys, "scale"]).join(timelines(reference, keys, FINE_MS, "r"), [*keys])
-    columns = (("intercept", "long", pa.int64()), ("score", "double", pa.float64()), *((n, "int", pa.int32()) for n in ("agreed", "covered")))
-    out = _mapped(both.drop("r_n"), [*keys, "scale", "margin", "t_n"], _refine, columns)
-    return out.select(*keys, "scale", "intercept", "score", "margin", "agreed", "covered", F.col("t_n").alias("target_n"))
+    both = listed(reference, keys, "r").join(listed(target, keys, "t"), [*keys]).filter((F.size("r_cues") >= LEAST) & (F.size("t_cues") >= LEAST))
+    tried = (scale_candidates(F.col("r_span"), F.col("t_span")) if scales is None else scales).cast("array<double>")
+    arrays = [F.col(f"{x}_cues.{k}").alias(f"{x}_{k}") for x in "rt" for k in "se"]
+    return _mapped(both.select(*keys, *arrays, "t_end", tried.alias("scales")), keys, _best_row, FOUND)
 
 
 def delays(unit: DataFrame, ambiguous: bool = False) -> DataFrame:

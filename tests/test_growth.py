@@ -2,9 +2,10 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from reelforge.operators import identity, viewing
+from reelforge.operators import identity, search, sequence, speech, viewing
 
 
 def timed(df):
@@ -51,3 +52,33 @@ def test_lists_and_pairs_are_not_made_distinct(spark):
     for df in (found, pairs):
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert "Aggregate" not in "".join(lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
+
+
+def test_of_all_scores_and_correlations_one_row_leaves_a_pair(spark):
+    r = spark.range(40).select((F.col("id") % 4).alias("film"), F.col("id").alias("ord"), (F.col("id") * 3500).alias("start"), (F.col("id") * 3500 + 900).alias("end"))
+    found = search.searched(r, r, ["film"])
+    assert {(x.film, x.scale, x.intercept) for x in found.collect()} == {(f, 1.0, 0) for f in range(4)}
+    heard = r.select("film", F.floor(F.col("start") / 32).alias("frame"), F.concat(F.array_repeat(F.lit(0.9), 28), F.array_repeat(F.lit(0.05), 16)).alias("probabilities"))
+    peaks = speech.speech_peaks(heard, r, ["film"], (-9000.0, 9000.0))
+    assert peaks.count() == 4 * len(speech.SCALES)
+    for df in (found, speech.speech_fit(heard, r, ["film"], (-9000.0, 9000.0))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+        assert "coarse" not in plan
+
+
+def test_many_offsets_count_as_few_do():
+    rng = np.random.default_rng(5)
+    marks, bins = rng.random(500) < 0.3, np.flatnonzero(rng.random(320) < 0.4)
+    offsets = np.arange(-900, 901)
+    direct = np.concatenate([search._shared(marks, bins, part) for part in np.array_split(offsets, 60)])
+    assert (search._shared(marks, bins, offsets) == direct).all()
+    assert direct.max() > 20
+
+
+def test_peak_of_is_refined_peak(spark):
+    rows = [("a", [1.0, 4.0, 3.0, np.nan, 2.0, 0.5]), ("b", [np.nan, 1.0]), ("c", [2.0, 2.0, 2.0]), ("d", [1.0, 3.0, np.nan, 0.0])]
+    flat = [(k, i, x) for k, v in rows for i, x in enumerate(v) if not np.isnan(x)]
+    want = {r.k: (r.at, r.top, r.runner_up, r.refined) for r in sequence.refined_peak(spark.createDataFrame(flat, "k string, t long, v double"), ["k"], "t", "v", 1).collect()}
+    assert {k: speech.peak_of(np.array(v), 1) for k, v in rows} == want
+    assert speech.peak_of(np.array([np.nan]), 1) is None
