@@ -2,7 +2,7 @@
 
 Word votes are joins and windows: a heard word votes for the difference of its time and that of each equal word of the
 cues, and the densest window of votes wins. Correlation with speech is one FFT a track and scale over arrays of frames,
-which a track's length bounds; its values are rows again, and peaks are found by peak().
+which a track's length bounds; the peak of its values alone is a row again.
 
 Cues are keys, ord, start, end (ms), text; words are keys, ord, at (seconds), text, segment. Null and empty texts have no
 words, cues without a start or end are left out; pairs without a common word or without speech give no row.
@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.operators.sequence import refined_peak
 from reelforge.shipping import ship
 
 # Fixed values of the votes.
@@ -148,10 +147,27 @@ def correlations(speech: np.ndarray, cues: np.ndarray) -> np.ndarray:
     return np.where(fine, cross / (norm * np.sqrt(np.where(fine, variance, 1.0))) if norm else np.nan, np.nan)
 
 
-def speech_correlations(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms: tuple[float, float], scales: Sequence[float] = SCALES) -> DataFrame:
-    """keys, scale, k (frames below the largest lag), value; speech: keys, frame (of its first), probabilities (array, null where unknown).
+def peak_of(value: np.ndarray, apart: int) -> tuple[int, float, float | None, float] | None:
+    """refined_peak() of one row of correlations, NaN where undefined: at, top, runner_up, refined; None where all are."""
+    fine = ~np.isnan(value)
+    if not fine.any():
+        return None
+    at = int(np.nanargmax(value))
+    far = value[(np.abs(np.arange(len(value)) - at) > apart) & fine]
+    refined, top = float(at), float(value[at])
+    if 0 < at < len(value) - 1 and fine[at - 1] and fine[at + 1]:
+        left, right = float(value[at - 1]), float(value[at + 1])
+        curve = left - 2 * top + right
+        if curve < 0:
+            refined = at + max(-0.5, min(0.5, 0.5 * (left - right) / curve))
+    return at, top, float(far.max()) if len(far) else None, refined
 
-    Stretches of speech that overlap count by their larger value.
+
+def speech_peaks(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms: tuple[float, float], scales: Sequence[float] = SCALES) -> DataFrame:
+    """keys, scale, at, top, runner_up, refined (frames below the largest lag); speech: keys, frame (of its first), probabilities
+    (array, null where unknown).
+
+    Stretches of speech that overlap count by their larger value. Of the correlations of all lags the peak alone is a row.
     """
     ship(speech.sparkSession)
     low, high = (int(np.floor((x + DELAY_MS + 0.5) // FRAME_MS)) for x in shift_ms)
@@ -160,9 +176,11 @@ def speech_correlations(speech: DataFrame, cues: DataFrame, keys: Sequence[str],
     fine = cues.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") - F.col("start") < LONGEST_MS))
     listed = fine.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cues"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heard.select(*keys).schema.fields)
+    columns = (("scale", pa.float64()), ("at", pa.int64()), ("top", pa.float64()), ("runner_up", pa.float64()), ("refined", pa.float64()))
 
     def work(batches):
         for b in batches:
+            rows, of = [], []
             for i in range(len(b)):
                 parts, own = b["parts"][i].as_py(), b["cues"][i].as_py()
                 parts = [p for p in parts if p["frame"] is not None and p["probabilities"]]
@@ -176,12 +194,15 @@ def speech_correlations(speech: DataFrame, cues: DataFrame, keys: Sequence[str],
                 starts, ends = (np.array([c[n] for c in own], np.float64) for n in ("start", "end"))
                 for scale in scales:
                     value = correlations(frames, rendered(starts, ends, first - high, end - first + high - low, scale))
-                    at = np.flatnonzero(~np.isnan(value))
-                    named = b.select(list(keys)).slice(i, 1).to_pydict()
-                    columns = [pa.array([x[0]] * len(at), b.schema.field(k).type) for k, x in named.items()]
-                    yield pa.record_batch([*columns, pa.array([scale] * len(at)), pa.array(at, pa.int64()), pa.array(value[at])], names=[*keys, "scale", "k", "value"])
+                    if found := peak_of(value, int(NEAR_MS / FRAME_MS)):
+                        rows.append((scale, *found))
+                        of.append(i)
+            named = pa.Table.from_batches([b]).select(list(keys)).take(pa.array(of, pa.int64()))
+            for c, (name, kind) in enumerate(columns):
+                named = named.append_column(name, pa.array([r[c] for r in rows], kind))
+            yield from named.combine_chunks().to_batches()
 
-    return heard.join(listed, list(keys)).select(*keys, "parts", "cues").mapInArrow(work, f"{kinds}, scale double, k long, value double")
+    return heard.join(listed, list(keys)).select(*keys, "parts", "cues").mapInArrow(work, f"{kinds}, scale double, at long, top double, runner_up double, refined double")
 
 
 def speech_fit(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms: tuple[float, float], scales: Sequence[float] = SCALES) -> DataFrame:
@@ -189,8 +210,7 @@ def speech_fit(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms
     hardly less and the other close to it."""
     low, high = (int(np.floor((x + DELAY_MS + 0.5) // FRAME_MS)) for x in shift_ms)
     high += 1
-    rows = speech_correlations(speech, cues, keys, shift_ms, scales)
-    peaks = refined_peak(rows, [*keys, "scale"], "k", "value", int(NEAR_MS / FRAME_MS))
+    peaks = speech_peaks(speech, cues, keys, shift_ms, scales)
     edge, lags = int(EDGE_MS / FRAME_MS), high - low + 1
     peaks = peaks.select(
         *keys, "scale", ((high - F.col("refined")) * FRAME_MS - DELAY_MS).alias("shift_ms"), F.col("top").alias("peak"),
