@@ -30,6 +30,11 @@ def kind_of(text: Column, name: Column) -> Column:
     )
 
 
+def _worked_out(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns that no later step or filter works out again: a generator of one row is where plans are not merged."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def srt(files: DataFrame, track: str = "track", text: str = "text") -> DataFrame:
     """Blocks between blank lines: an optional number, a line with the times, then text. Empty and backward cues go."""
     plain = F.regexp_replace(text, r"\r\n?", "\n")
@@ -58,8 +63,7 @@ def ttml(files: DataFrame, track: str = "track", text: str = "text") -> DataFram
     found = F.regexp_extract_all(F.col(text), F.lit(r"(?is)(<p\b[^>]*>.*?</p>)"), 1)
     rows = files.select(track, F.when(rate > 0, rate).otherwise(30.0).alias("rate"), F.posexplode(found).alias("ord", "p"))
 
-    def clock(c: Column) -> Column:
-        first = F.split_part(trimmed(c), F.lit(" "), F.lit(1))
+    def clock(first: Column) -> Column:
         frames = F.split(F.regexp_extract(first, r"^(\d+:\d+:\d+:[\d.]+)$", 1), ":")
         part = lambda i: number(F.get(frames, F.lit(i)))
         framed = ((part(0) * 60 + part(1)) * 60 + part(2)) * 1000 + part(3) * 1000 / F.col("rate")
@@ -68,11 +72,15 @@ def ttml(files: DataFrame, track: str = "track", text: str = "text") -> DataFram
         counted = number(F.regexp_extract(first, r"^([\d.]+)", 1)) * long_
         return F.coalesce(framed.cast("long"), timestamp_ms(first), counted.cast("long"))  # fractions of a millisecond go
 
-    opening = F.regexp_extract("p", r"(?is)^<p\b([^>]*)>", 1)
-    start = clock(F.coalesce(attr(opening, "begin"), attr(opening, "start")))
-    end = F.coalesce(clock(attr(opening, "end")), start + clock(attr(opening, "dur")), start + 3000)
+    # Each step's columns are worked out once: what a later one reads several times would else be copied into it.
+    rows = _worked_out(rows, F.regexp_extract("p", r"(?is)^<p\b([^>]*)>", 1).alias("opening"))
+    begin = F.coalesce(attr(F.col("opening"), "begin"), attr(F.col("opening"), "start"))
+    first = lambda c: F.split_part(trimmed(c), F.lit(" "), F.lit(1))
+    rows = _worked_out(rows, first(begin).alias("s"), first(attr(F.col("opening"), "end")).alias("e"), first(attr(F.col("opening"), "dur")).alias("d"))
     body = clean_cue(F.regexp_replace(F.regexp_replace(F.regexp_extract("p", r"(?is)^<p\b[^>]*>(.*)</p>$", 1), r"(?i)<br\s*/?>", "\n"), r"<[^>]*>", ""))
-    return rows.select(track, "ord", start.alias("start"), end.alias("end"), body.alias("text")).filter("end > start and text <> ''")
+    rows = _worked_out(rows, clock(F.col("s")).alias("start"), clock(F.col("e")).alias("stop"), clock(F.col("d")).alias("dur"), body.alias("body"))
+    end = F.coalesce(F.col("stop"), F.col("start") + F.col("dur"), F.col("start") + 3000)
+    return rows.select(track, "ord", "start", end.alias("end"), F.col("body").alias("text")).filter("end > start and text <> ''")
 
 
 def _ms(raw: str) -> int | None:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelforge.operators import identity, search, sequence, speech, viewing
+from reelforge.sources import subtitles
 
 
 def timed(df):
@@ -82,3 +83,11 @@ def test_peak_of_is_refined_peak(spark):
     want = {r.k: (r.at, r.top, r.runner_up, r.refined) for r in sequence.refined_peak(spark.createDataFrame(flat, "k string, t long, v double"), ["k"], "t", "v", 1).collect()}
     assert {k: speech.peak_of(np.array(v), 1) for k, v in rows} == want
     assert speech.peak_of(np.array([np.nan]), 1) is None
+
+
+def test_an_attribute_of_a_cue_is_read_once(spark):
+    text = '<tt><p begin="00:00:01.000" dur="2s">a</p><p start="00:00:05:15" end="7s">b</p><p begin="9s">c</p><p begin="4s" end="3s">d</p></tt>'
+    cues = subtitles.ttml(spark.createDataFrame([("f", text)], "track string, text string"))
+    assert [(r.start, r.end, r.text) for r in sorted(cues.collect())] == [(1000, 3000, "a"), (5500, 7000, "b"), (9000, 12_000, "c")]
+    plan = cues._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("begin\\s*=") <= 2
