@@ -16,6 +16,10 @@ every pair is verified and counted in the list of its smallest shared pivot alon
 forest of their links, not pairs. Equal vectors are one class with a count. The number of pivots grows with the number
 of vectors up to MOST_PIVOTS, so lists keep their length until then. Vectors of each length have an index of their own.
 
+A vector is in up to NEAREST lists, so all lists together are many times the table. They are dealt out in waves of some of
+the pivots each, whose bytes the table's own bound, and a wave's shuffle files go before the next begins; vectors travel in
+the table's own width, pivots as short numbers, and ids meet their classes by a SHA-256 of the vector.
+
 Cases: null, zero and non-finite vectors and those with null components link with nothing; null ids link with nothing and are returned once per row; equal ids are one vector each for its own value;
 an empty table gives no rows; other columns are not read.
 """
@@ -24,10 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelforge.llm.shared import connected_components, drop_durable, durable, hot_joined
+from reelforge.llm.shared import connected_components, drop_durable, durable, hot_joined, shuffles_freed
 
 COSINE = 0.9
 NEAREST, MIN_SHARED = 64, 2
@@ -36,20 +41,32 @@ LIST_LENGTH, LEAST_PIVOTS, MOST_PIVOTS = 640, 64, 8192
 SAMPLE = 4  # vectors looked at for each pivot wanted
 BLOCK = 1024
 BITS = 1024  # of the maps by which shared pivots are counted
+WAVE_BYTES, WAVE_SHARE = 1 << 27, 0.5  # of the rows of a wave's lists: the least, and the share of the table's vectors
 SEED = 7
 
 
-def _flat(column) -> np.ndarray:
-    """Fixed-length binary vectors of a batch as rows of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _rows(column, d: int) -> np.ndarray:
+    """Vectors of a batch, each as its bytes, as rows of doubles."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, f"<f{len(raw) // (d * len(column))}").reshape(len(column), d).astype(np.float64)
+
+
+def _value(vectors: DataFrame) -> Column:
+    """The vector in its own width: floats stay floats."""
+    kind = vectors.schema["embedding"].dataType
+    return F.col("embedding").cast("array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>")
+
+
+def _key(v: Column) -> Column:
+    """What stands for a vector where ids meet classes: equal vectors have equal keys, zeros of both signs too."""
+    return F.unhex(F.sha2(F.to_json(F.struct(F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x)).alias("v"))).cast("binary"), 256))
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """rep (smallest vec_id), n and the vector as doubles, of each distinct vector that can link."""
-    value = F.col("embedding").cast("array<double>")
-    own = vectors.select(F.col("vec_id").cast("long").alias("id"), value.alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    """rep (smallest vec_id), n, the vector and its key, of each distinct vector that can link."""
+    own = vectors.select(F.col("vec_id").cast("long").alias("id"), _value(vectors).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = own.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
-    return fine.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v")
+    return fine.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v", _key(F.col("v")).alias("key"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -60,7 +77,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def pivots_of(classes: DataFrame, count: int, most: int = MOST_PIVOTS) -> np.ndarray:
     """Unit vectors of the pivots, chosen one after another from a sample of the classes, the same each time."""
     k = int(min(most, max(min(most, LEAST_PIVOTS), count * NEAREST // LIST_LENGTH), max(1, count)))
-    rows = classes.select("rep", "v").orderBy(F.xxhash64(F.lit(SEED), "v"), "rep").limit(SAMPLE * k).collect()
+    rows = classes.select("rep", "v").orderBy(F.xxhash64(F.lit(SEED), F.col("v").cast("array<double>")), "rep").limit(SAMPLE * k).collect()
     x, out = _unit(np.array([r.v for r in rows], np.float64)), []
     for at in range(0, len(x), 256):
         part = x[at : at + 256]
@@ -74,25 +91,27 @@ def pivots_of(classes: DataFrame, count: int, most: int = MOST_PIVOTS) -> np.nda
 
 
 def described(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """rep, n, unit vector as bytes and the nearest pivots, nearest first, of each class."""
+    """rep, n, key, the vector as its bytes and the nearest pivots, nearest first, of each class."""
     k, reach = min(NEAREST, len(pivots)), 2 * np.arccos(COSINE) + 1e-6
+    kind, number = ("smallint", pa.int16()) if len(pivots) <= 1 << 15 else ("int", pa.int32())
 
     def describe(batches):
         for b in batches:
             if not len(b):
                 continue
-            x = _unit(np.asarray(b["v"].flatten()).reshape(len(b), -1))
+            x = np.asarray(b["v"].flatten()).reshape(len(b), -1)
             for i in range(0, len(x), 1024):
-                u = x[i : i + 1024]
+                u = _unit(x[i : i + 1024].astype(np.float64))
                 cos = u @ pivots.T
                 near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(cos, near, axis=1), axis=1, kind="stable"), axis=1)
                 angle = np.arccos(np.clip(np.take_along_axis(cos, near, axis=1), -1, 1))
                 named = angle <= angle[:, :1] + reach
-                perm = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(axis=1))), pa.int32()), pa.array(near[named], pa.int32()))
-                yield pa.record_batch([b["rep"][i : i + 1024], b["n"][i : i + 1024], pa.array([r.tobytes() for r in u], pa.binary()), perm], names=["rep", "n", "unit", "near"])
+                perm = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(named.sum(axis=1))), pa.int32()), pa.array(near[named], number))
+                own = [b[c][i : i + 1024] for c in ("rep", "n", "key")]
+                yield pa.record_batch([*own, pa.array([r.tobytes() for r in x[i : i + 1024]], pa.binary()), perm], names=["rep", "n", "key", "raw", "near"])
 
-    return classes.mapInArrow(describe, "rep long, n long, unit binary, near array<int>")
+    return classes.select("rep", "n", "key", "v").mapInArrow(describe, f"rep long, n long, key binary, raw binary, near array<{kind}>")
 
 
 def _maps(near: np.ndarray) -> np.ndarray:
@@ -149,14 +168,15 @@ def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second:
         yield int(reps[k]), int(links[k]), int(reps[root(k)])
 
 
-def linked(index: DataFrame) -> DataFrame:
-    """rep, links, parent rows of all cells of all inverted lists."""
-    lists = index.select("rep", "n", "unit", "near", F.explode("near").alias("pivot"))
-    blocks = {r.pivot: -(-r.c // BLOCK) for r in index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a row for each pivot
+def linked(index: DataFrame, d: int) -> list[DataFrame]:
+    """rep, links, parent rows of all cells of all inverted lists of vectors of length d: a durable table for each wave."""
+    row = index.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("bytes")).first()
+    sizes = {r.pivot: r.c for r in index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a row for each pivot
+    blocks = {p: -(-c // BLOCK) for p, c in sizes.items()}
+    copies = sum(c * blocks[p] for p, c in sizes.items())
+    waves = -(-copies * (row.bytes + 2 * NEAREST) // int(max(WAVE_BYTES, WAVE_SHARE * row.n * row.bytes))) if copies else 0
     of = F.from_json(F.lit(str([blocks.get(p, 1) for p in range(max(blocks, default=0) + 1)])), "array<int>")
-    dealt = lists.withColumn("blocks", F.get(of, "pivot")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = dealt.withColumn("other", other).select("pivot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "n", "unit", "near", "block")
 
     def work(key, t):
         pivot, first, second = (k.as_py() for k in key)
@@ -164,35 +184,55 @@ def linked(index: DataFrame) -> DataFrame:
         size = np.diff(np.asarray(column.offsets))
         near = np.full((len(t), size.max()), -1, np.int32)
         near[np.arange(size.max()) < size[:, None]] = np.asarray(column.flatten())
-        units = _flat(t["unit"].combine_chunks())
+        units = _unit(_rows(t["raw"].combine_chunks(), d))
         rows = list(cell_links(np.asarray(t["rep"]), np.asarray(t["n"]), units, near, np.asarray(t["block"]), pivot, first, second))
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "parent": pa.array([r[2] for r in rows], pa.int64())})
 
-    return cells.groupBy("pivot", "first", "second").applyInArrow(work, "rep long, links long, parent long")
+    out = []
+    for w in range(waves):
+        lists = index.select("rep", "n", "raw", "near", F.explode(F.filter("near", lambda p: p % waves == w)).alias("pivot"))  # noqa: B023
+        dealt = lists.withColumn("blocks", F.get(of, F.col("pivot").cast("int"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        cells = dealt.withColumn("other", other).select("pivot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "n", "raw", "near", "block")
+        out.append(durable(cells.groupBy("pivot", "first", "second").applyInArrow(work, "rep long, links long, parent long"), "links"))
+    return out
 
 
 def near_duplicates(vectors: DataFrame, pivots: int = MOST_PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row. pivots: the most there may be; 1 compares all pairs."""
+    with shuffles_freed(vectors.sparkSession):
+        return _near_duplicates(vectors, pivots)
+
+
+def _near_duplicates(vectors: DataFrame, pivots: int) -> DataFrame:
     classes = durable(classes_of(vectors), "vectors")
     size = F.size("v")
     lengths = classes.groupBy(size.alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
     # A vector that is the only one of its length links with its copies alone.
-    named = classes.filter(size.isin([r.d for r in lengths if r.n == 1])).select("v", "n", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
-    made = [classes]
+    lone = classes.filter(size.isin([r.d for r in lengths if r.n == 1])).select("key", "n", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    parts = [durable(lone, "lone")]
+    indexes = {}
     for r in lengths:
         if r.n > 1:
             own = classes.filter(size == r.d)
-            found = durable(linked(described(own, pivots_of(own, r.n, pivots))), "links")
-            links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-            groups = connected_components(found, "rep", "parent")
-            more = own.join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            named = named.unionByName(more.select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-            made += [found, groups]
-    named = durable(named, "named")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    out = hot_joined(rows, named, "v", "n")
+            indexes[r.d] = durable(described(own, pivots_of(own, r.n, pivots)), "index")
+    drop_durable(classes)
+    for d, index in indexes.items():
+        waves = linked(index, d)
+        found = waves[0]
+        for x in waves[1:]:
+            found = found.union(x)
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        groups = connected_components(found, "rep", "parent")
+        more = index.select("rep", "n", "key").join(links, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        parts.append(durable(more.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named"))
+        drop_durable(index, groups, *waves)
+    named = parts[0]
+    for x in parts[1:]:
+        named = named.unionByName(x)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _key(_value(vectors)).alias("key"))
+    out = hot_joined(rows, named, "key", "n")
     out = durable(_finished(out.withColumn("linked", F.col("vec_id").isNotNull() & F.col("n_links").isNotNull())), "classes")
-    drop_durable(*made, named)
+    drop_durable(*parts)
     return out
 
 

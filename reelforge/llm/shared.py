@@ -94,6 +94,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files go when the write that made them ends, not when the driver's memory happens to be cleaned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drop_durable(*tables: DataFrame) -> None:
     """Deletes tables of durable() that nothing reads any more."""
     for t in tables:

@@ -91,6 +91,27 @@ def test_embedding_blocks_and_empty(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lists_are_dealt_in_waves_whose_bytes_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 16)).astype(np.float32)
+    x[250:] = x[:250] + rng.normal(size=(250, 16)).astype(np.float32) * 0.05
+    x[7] = 0
+    x[7, 3] = 1
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.unionByName(df.filter("vec_id = 7").selectExpr("1007L as vec_id", "transform(embedding, x -> cast(-0.0 as float) + x) as embedding"))
+    whole = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    u = np.concatenate([x, x[7:8]]).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert [r[1] for r in whole] == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
+    names, made = [], embedding_dedup.durable
+    monkeypatch.setattr(embedding_dedup, "durable", lambda t, name: names.append(name) or made(t, name))
+    monkeypatch.setattr(embedding_dedup, "WAVE_BYTES", 1_000_000)
+    index = embedding_dedup.described(embedding_dedup.classes_of(df), embedding_dedup.pivots_of(embedding_dedup.classes_of(df), 500))
+    copies = index.selectExpr("sum(size(near))").first()[0]
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == whole
+    assert names.count("links") == -(-copies * (64 + 128) // 1_000_000) > 2
+
+
 def test_embeddings_of_each_length_are_linked(spark):
     rng = np.random.default_rng(8)
     rows, at = [], 0
