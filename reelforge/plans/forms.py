@@ -174,7 +174,8 @@ UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError: no '
 
 def scraper_table(spark, d):
     """The same from SQL: of every fiftieth request the function is too slow."""
-    table(spark, d, "supplier").createOrReplaceTempView("asked_suppliers")
+    suppliers = table(spark, d, "supplier")
+    suppliers.createOrReplaceTempView("asked_suppliers")
 
     def scraper(id_, kind, season, episode):
         import time
@@ -187,8 +188,9 @@ def scraper_table(spark, d):
         yield {"title": f"t{n}", "url": f"{kind}/{season}"}
         yield {"url": " "}
 
-    scrapers.table_function(spark, "streams_of", scraper, timeout_s=1.0)
-    return spark.sql("SELECT s_suppkey, ord, title, url, error FROM asked_suppliers, LATERAL streams_of(CAST(s_suppkey AS STRING), 'movie', CAST(s_suppkey % 5 AS INT), NULL)")
+    scrapers.requests_function(spark, "streams_of", scraper, timeout_s=1.0)
+    asked = f"SELECT /*+ REPARTITION({scrapers.tasks_for(suppliers)}) */ s_suppkey AS request, CAST(s_suppkey AS STRING) AS id, 'movie' AS type, CAST(s_suppkey % 5 AS INT) AS season, CAST(NULL AS INT) AS episode FROM asked_suppliers"
+    return spark.sql(f"SELECT request AS s_suppkey, ord, title, url, error FROM streams_of(TABLE({asked}))")
 
 
 SCRAPER_TABLE = """SELECT s_suppkey, CASE WHEN s_suppkey % 50 <> 3 AND s_suppkey % 7 > 0 THEN 0 END AS ord, CASE WHEN s_suppkey % 50 <> 3 AND s_suppkey % 7 > 0 THEN 't' || s_suppkey END AS title,

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelforge.operators import identity, search, sequence, speech, viewing
-from reelforge.sources import subtitles
+from reelforge.sources import scrapers, subtitles
 
 
 def timed(df):
@@ -91,3 +91,18 @@ def test_an_attribute_of_a_cue_is_read_once(spark):
     assert [(r.start, r.end, r.text) for r in sorted(cues.collect())] == [(1000, 3000, "a"), (5500, 7000, "b"), (9000, 12_000, "c")]
     plan = cues._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("begin\\s*=") <= 2
+
+
+def test_slow_requests_wait_together(spark):
+    def scraper(id_, kind, season, episode):
+        if int(id_) % 2:
+            time.sleep(5)
+        yield {"title": id_, "url": f"{kind}/{season}/{episode}"}
+
+    scrapers.requests_function(spark, "slow_streams", scraper, timeout_s=0.5)
+    spark.range(120).createOrReplaceTempView("slow_requests")
+    asked = "SELECT /*+ REPARTITION(2) */ id AS request, CAST(id AS STRING) AS id, 'movie' AS type, 1 AS season, CAST(NULL AS INT) AS episode FROM slow_requests"
+    got, seconds = timed(spark.sql(f"SELECT request, ord, url, error FROM slow_streams(TABLE({asked}))"))
+    late = "TimeoutError: more than 0.5 s"
+    assert sorted(map(tuple, got)) == [(i, None, None, late) if i % 2 else (i, 0, "movie/1/None", None) for i in range(120)]
+    assert seconds < 15  # 30 s and more one after another
