@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,24 +56,42 @@ def _looked_up(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
 
 
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def language_code(language: Column) -> Column:
     """A code with lower-case subtags: by regional words, then by code, by name, by the longest name among the words, by the primary subtag."""
     raw = F.nullif(F.lower(F.replace(trimmed(language), F.lit("_"), F.lit("-"))), F.lit(""))
-    words = trimmed(F.regexp_replace(F.regexp_replace(raw, r"[-./]", " "), r"\s+", " "))
-    has = lambda *values: F.exists(F.array(*map(F.lit, values)), lambda v: F.contains(words, v))
-    by_length = sorted(NAMES, key=len, reverse=True)  # stable: equal lengths keep the table's order
-    spaced = F.concat(F.lit(" "), words, F.lit(" "))
-    named = F.get(F.filter(F.from_json(F.lit(json.dumps(by_length)), "array<string>"), lambda n: F.contains(spaced, F.concat(F.lit(" "), n, F.lit(" ")))), F.lit(0))
-    primary = F.substring_index(raw, "-", 1)
-    suffix = F.substring(raw, F.length(primary) + 2, F.length(raw))
-    main = F.coalesce(_looked_up(CODES, primary), primary)
-    rest = F.when((trimmed(suffix) == "") | F.contains(F.coalesce(_looked_up(CODES, primary), F.lit("")), F.lit("-")), main).otherwise(F.concat(main, F.lit("-"), suffix))
-    return (
-        F.when(raw.isNull(), F.lit(None).cast("string"))
-        .when(has(*PORTUGUESE), F.when(has(*BRAZIL), "pt-br").otherwise("pt"))
-        .when(has(*SPANISH), F.when(has(*LATIN), "es-419").otherwise("es"))
-        .otherwise(F.coalesce(_looked_up(CODES, raw), _looked_up(NAMES, words), _looked_up(NAMES, named), rest))
-    )
+    has = lambda words, values: reduce(or_, (F.contains(words, F.lit(v)) for v in values))
+    by_length = [f" {n} " for n in sorted(NAMES, key=len, reverse=True)]  # stable: equal lengths keep the table's order
+
+    def named(words):
+        found = lambda spaced: F.get(F.filter(F.from_json(F.lit(json.dumps(by_length)), "array<string>"), lambda n: F.contains(spaced, n)), F.lit(0))
+        return _looked_up({f" {k} ": v for k, v in NAMES.items()}, _bound(F.concat(F.lit(" "), words, F.lit(" ")), found))
+
+    def by_subtag(raw):
+        def of(parts):
+            primary, known = parts["primary"], parts["known"]
+            suffix, main = F.substring(raw, F.length(primary) + 2, F.length(raw)), F.coalesce(known, primary)
+            return F.when((trimmed(suffix) == "") | F.contains(F.coalesce(known, F.lit("")), F.lit("-")), main).otherwise(F.concat(main, F.lit("-"), suffix))
+
+        primary = F.substring_index(raw, "-", 1)
+        return _bound(F.struct(primary.alias("primary"), _looked_up(CODES, primary).alias("known")), of)
+
+    def code(raw):
+        def by_words(words):
+            return (
+                F.when(has(words, PORTUGUESE), F.when(has(words, BRAZIL), "pt-br").otherwise("pt"))
+                .when(has(words, SPANISH), F.when(has(words, LATIN), "es-419").otherwise("es"))
+                .otherwise(F.coalesce(_looked_up(CODES, raw), _looked_up(NAMES, words), named(words), by_subtag(raw)))
+            )
+
+        words = trimmed(F.regexp_replace(F.regexp_replace(raw, r"[-./]", " "), r"\s+", " "))
+        return F.when(raw.isNotNull(), _bound(words, by_words))
+
+    return _bound(raw, code)
 
 
 def language_matches(track: Column, target: Column) -> Column:
@@ -104,24 +125,36 @@ REGIONS = {
 }
 
 
-def said_by(words: Column, code: Column) -> Column:
-    """Whether lower-case words name the region of a code; false for codes without one."""
-    tags = lambda c: F.exists(F.array(*map(F.lit, REGIONS[c])), lambda t: F.contains(words, t))
+def regions_said(words: Column) -> Column:
+    """Which regions lower-case words name, as a struct of booleans by code; compute it once a track."""
+    return F.struct(*(reduce(or_, (F.contains(words, F.lit(t)) for t in tags)).alias(c) for c, tags in REGIONS.items()))
+
+
+def region_of(said: Column, code: Column) -> Column:
+    """Whether regions_said() holds the region of a code; false for codes without one."""
     told = F.lit(False)
     for c in REGIONS:
-        told = F.when(code == c, tags(c)).otherwise(told)
+        told = F.when(code == c, said[c]).otherwise(told)
     return F.coalesce(told, F.lit(False))
 
 
-def track_variant(base: Column, words: Column) -> Column:
-    """The code of a language, narrowed by the words where they name one region of it alone."""
-    said = lambda c: said_by(words, F.lit(c))
-    out = F.when((base == "ms") & said("id"), "id")
+def said_by(words: Column, code: Column) -> Column:
+    """Whether lower-case words name the region of a code; false for codes without one."""
+    return region_of(regions_said(words), code)
+
+
+def variant_of(base: Column, said: Column) -> Column:
+    """The code of a language, narrowed by regions_said() where its words name one region of it alone."""
+    out = F.when((base == "ms") & said["id"], "id")
     for a, b, plain in (("pt-br", "pt", "pt"), ("pt", "pt-br", "pt"), ("es-419", "es", "es"), ("es", "es-419", "es")):
-        out = out.when((base == plain) & said(a) & ~said(b), a)
+        out = out.when((base == plain) & said[a] & ~said[b], a)
     return out.otherwise(base)
 
 
+def track_variant(base: Column, words: Column) -> Column:
+    return variant_of(base, regions_said(words))
+
+
 def track_codes(language: Column) -> Column:
     """The code of a track's language, then those of its later subtags of three letters; compute it once a track."""
     parts = F.filter(F.split(F.replace(F.lower(trimmed(language)), F.lit("_"), F.lit("-")), r"[-./ ]"), lambda x: trimmed(x) != "")

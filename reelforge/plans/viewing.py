@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelforge.functions import language as L
 from reelforge.operators import viewing as V
-from reelforge.plans.tables import table
+from reelforge.plans.tables import spread, table
 
 INPUTS = {
     "entries": ("events", """user_id AS profile, CASE WHEN event_id % 41 = 0 THEN '' ELSE concat('s', event_id % 37) END AS parent,
@@ -133,7 +133,7 @@ def _form(step: int):
 
 
 def languages(spark, d):
-    p = table(spark, d, "part").select("p_partkey", _form(1).alias("a"), _form(3).alias("b"))
+    p = spread(table(spark, d, "part")).select("p_partkey", _form(1).alias("a"), _form(3).alias("b"))
     return p.select("p_partkey", "a", "b", L.language_code(F.col("a")).alias("code"), L.language_matches(F.col("a"), F.col("b")).alias("matches"), L.is_forced(F.col("b"), F.col("a"), F.lit(None).cast("string"), F.col("p_partkey") % 50 == 0).alias("forced"), L.content_language(F.col("a"), F.col("b")).alias("content"), L.country_language(F.col("b")).alias("country"))
 
 
