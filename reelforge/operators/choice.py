@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelforge.functions.language import codes_fit, language_code, said_by, track_codes, track_variant
+from reelforge.functions.language import codes_fit, language_code, region_of, regions_said, track_codes, variant_of
 from reelforge.functions.text import trimmed
 from reelforge.operators.order import first_by, ranked
 
@@ -44,21 +44,22 @@ def chosen_tracks(tracks: DataFrame, targets: DataFrame, keys: Sequence[str], no
     A regional target without a track takes one of the plain language that names the region; the first target gives up
     there. A single track of the other region does not meet a plain target. A key's tracks meet its targets, both short.
     """
-    # Codes are costly expressions: once a track and once a target, before both meet.
-    coded, named = tracks.withColumn("codes", track_codes(F.col("language"))), targets.select(*keys, "position", language_code(F.col("target")).alias("goal"))
-    goal, own = F.col("goal"), F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
-    haystack = F.lower(F.concat_ws(" ", "label", "language", "track"))
-    base = F.substring_index(goal, "-", 1)
-    home = said_by(haystack, goal)
-    away = said_by(haystack, F.when(goal.isin(*WIDE), base).when(goal == "pt", "pt-br").when(goal == "es", "es-419"))
-    tier = F.when(~goal.isin(*WIDE, *NARROW) | (home & ~away), 0).when(home, 1).when(goal.isin(*WIDE) | ~away, 2).otherwise(3)
+    # What is costly is worked out once a track or once a target, before both meet, and what a pair needs once a pair.
+    words = F.lower(F.concat_ws(" ", "label", "language", "track"))
+    coded = tracks.select(*keys, "ord", "forced", F.lower("language").alias("language"), track_codes(F.col("language")).alias("codes"), words.alias("words"))
+    coded = coded.select(*keys, "ord", "forced", "language", "codes", F.coalesce(F.get("codes", F.lit(0)), F.lit("")).alias("own"), regions_said(F.col("words")).alias("said"))
+    coded = coded.withColumn("variant", variant_of(F.col("own"), F.col("said")))
+    named = targets.select(*keys, "position", language_code(F.col("target")).alias("goal"))
+    goal, base = F.col("goal"), F.substring_index("goal", "-", 1)
+    away = region_of(F.col("said"), F.when(goal.isin(*WIDE), base).when(goal == "pt", "pt-br").when(goal == "es", "es-419"))
     open_ = ~F.col("forced") if normal_only else F.lit(True)
-    fits = open_ & codes_fit(F.col("codes"), goal)
-    variant = track_variant(own, haystack)
-    odd = goal.isin(*NARROW) & (variant != goal) & F.coalesce(variant != F.lower("language"), F.lit(True))
-    stand_in = F.when(open_ & goal.isin(*WIDE) & (own == base) & home, F.when(away, 2).when(F.col("forced"), 1).otherwise(0))
-    per = coded.join(named, keys).groupBy(*keys, "position", "goal").agg(
-        F.min(F.when(fits, F.struct("forced", tier.alias("tier"), "ord", odd.alias("odd")))).alias("best"),
+    odd = goal.isin(*NARROW) & (F.col("variant") != goal) & F.coalesce(F.col("variant") != F.col("language"), F.lit(True))
+    pairs = coded.join(named, keys).select(*keys, "position", "goal", "forced", "ord", "own", region_of(F.col("said"), goal).alias("home"), away.alias("away"), (open_ & codes_fit(F.col("codes"), goal)).alias("fits"), odd.alias("odd"))
+    home, away, fits = (F.col(c) for c in ("home", "away", "fits"))
+    tier = F.when(~goal.isin(*WIDE, *NARROW) | (home & ~away), 0).when(home, 1).when(goal.isin(*WIDE) | ~away, 2).otherwise(3)
+    stand_in = F.when(open_ & goal.isin(*WIDE) & (F.col("own") == base) & home, F.when(away, 2).when(F.col("forced"), 1).otherwise(0))
+    per = pairs.groupBy(*keys, "position", "goal").agg(
+        F.min(F.when(fits, F.struct("forced", tier.alias("tier"), "ord", "odd"))).alias("best"),
         *(F.count_if(fits & (F.col("forced") == f)).alias(n) for f, n in ((False, "plain"), (True, "forced_ones"))),
         F.min(F.when(stand_in.isNotNull(), F.struct(stand_in.alias("tier"), "ord"))).alias("other"),
     )

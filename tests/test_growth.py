@@ -5,7 +5,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from reelforge.operators import identity, search, sequence, speech, viewing
+from reelforge.functions import language
+from reelforge.operators import choice, identity, search, sequence, speech, viewing
 from reelforge.sources import scrapers, subtitles
 
 
@@ -106,3 +107,16 @@ def test_slow_requests_wait_together(spark):
     late = "TimeoutError: more than 0.5 s"
     assert sorted(map(tuple, got)) == [(i, None, None, late) if i % 2 else (i, 0, "movie/1/None", None) for i in range(120)]
     assert seconds < 15  # 30 s and more one after another
+
+
+def test_a_language_is_read_once_a_row(spark):
+    n = 40_000
+    tags = F.get(F.array(*map(F.lit, ("Portuguese (Brazil)", "pt_BR", "Old English", "zh-TW", "x-klingon", "deu-", "norwegian bokmal"))), (F.col("id") % 7).cast("int"))
+    got, seconds = timed(spark.range(0, n, 1, 1).groupBy(language.language_code(tags).alias("code")).count())
+    assert {r.code for r in got} == {"pt-br", "en", "zh-tw", "x-klingon", "de", "no"}
+    assert seconds < 15
+    tracks = spark.range(0, n, 1, 1).select((F.col("id") / 10).cast("long").alias("film"), F.col("id").alias("ord"), F.lit("Brazilian").alias("label"), tags.alias("language"), F.lit("x").alias("track"), F.lit(False).alias("forced"))
+    wanted = tracks.select("film").distinct().select("film", F.lit(0).alias("position"), F.lit("pt-br").alias("target"))
+    got, seconds = timed(choice.chosen_tracks(tracks, wanted, ["film"]).groupBy(F.col("ord") % 7).count())
+    assert sum(r[1] for r in got) == n // 10
+    assert seconds < 15
