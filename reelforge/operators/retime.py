@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from reelforge.shipping import ship
 
 # Sizes, costs and weights of the matching.
 LEAST, BAND, SEED_SCALE = 4, 28, (0.85, 1.15)
+AT_ONCE = 50_000  # target cues of the pairs that are matched together
 SKIP_REFERENCE, SKIP_TARGET, COMPLEXITY, LARGEST = 1.35, 1.85, 0.10, 8.0
 EDGE_MS, MIDDLE_MS, DURATION_MS = 1250.0, 1500.0, 2000.0
 WEIGHTS, ESTIMATED_WEIGHTS = (0.34, 0.34, 0.18, 0.14), (0.58, 0.16, 0.16, 0.10)
@@ -43,62 +45,100 @@ COVERAGE, COST, SIMPLE = 0.90, 1.10, 0.55
 STEPS = ((3, 1), (2, 2), (2, 1), (1, 3), (1, 2), (1, 1), (1, 0))
 
 
-def group_costs(reference: tuple[np.ndarray, np.ndarray, np.ndarray], target: tuple[np.ndarray, np.ndarray], i: np.ndarray, a: int, j: np.ndarray, b: int) -> np.ndarray:
-    """Costs of groups of a reference cues from i and b target cues from j. reference: starts, ends and running counts of estimated ends."""
-    starts, ends, estimated = reference
-    r0, r1, t0, t1 = starts[i], ends[i + a - 1], target[0][j], target[1][j + b - 1]
+def _costs(r0: np.ndarray, r1: np.ndarray, odd: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """Costs of groups from r0 to r1 of the reference, odd where an end is estimated, and from t0 to t1 of the target."""
     edges = np.abs(r0 - t0) / EDGE_MS, np.abs(r1 - t1) / EDGE_MS
     middle = np.abs((r0 + r1) * 0.5 - (t0 + t1) * 0.5) / MIDDLE_MS
     duration = np.abs(np.maximum(1.0, r1 - r0) - np.maximum(1.0, t1 - t0)) / DURATION_MS
     cost = lambda w: edges[0] * w[0] + edges[1] * w[1] + middle * w[2] + duration * w[3]
-    return np.where(estimated[i + a] != estimated[i], cost(ESTIMATED_WEIGHTS), cost(WEIGHTS))
+    return np.where(odd, cost(ESTIMATED_WEIGHTS), cost(WEIGHTS))
 
 
 def matched_groups(starts, ends, estimated, t_starts, t_ends, band: int = BAND):
     """Columns reference_start, reference_n, target_start, target_n, cost of the cheapest path's groups; times of the target are transformed."""
-    m, n = len(starts), len(t_starts)
-    reference, target = (starts, ends, np.append(0, np.cumsum(estimated))), (t_starts, t_ends)
-    centre = np.searchsorted(starts, np.maximum(0, np.floor(np.append(t_starts, t_ends[-1]) + 0.5)))
-    low, high = np.maximum(0, centre - band), np.minimum(m, centre + band)
-    low[0] = 0
-    rows, hows, costs = [], [], []
-    for t in range(n + 1):
-        size = high[t] - low[t] + 1
-        best, how, cost = np.full(size, np.inf), np.full(size, -1), np.zeros(size)
+    return matched_pairs([(starts, ends, estimated, t_starts, t_ends)], band)[0]
+
+
+def matched_pairs(pairs, band: int = BAND) -> list[list[tuple[int, int, int, int, float]]]:
+    """matched_groups() of several pairs at once: a row of the program is a row of cells of each pair, longest targets first.
+
+    Of the program only what ended at each cell is kept, a byte a cell; the costs of the groups on the path are worked out again.
+    """
+    out: list = [[] for _ in pairs]
+    turn = sorted(range(len(pairs)), key=lambda k: -len(pairs[k][3]))
+    own = [pairs[k] for k in turn]
+    m, n = (np.array([len(p[i]) for p in own]) for i in (0, 3))
+    # Tracks one after another in flat arrays; of a cue beyond a track's end nothing is used.
+    at_r, at_t, flat = np.append(0, np.cumsum(m))[:-1], np.append(0, np.cumsum(n))[:-1], [np.concatenate([np.asarray(p[i], np.float64) for p in own]) for i in (0, 1, 3, 4)]
+    counts = np.concatenate([np.append(0, np.cumsum(p[2])) for p in own])  # of estimated ends; a track has one more than cues
+    at_c = at_r + np.arange(len(own))
+    low, size = np.zeros((len(own), n[0] + 1), np.int64), np.zeros((len(own), n[0] + 1), np.int64)
+    for k, (starts, _, _, t_starts, t_ends) in enumerate(own):
+        centre = np.searchsorted(starts, np.maximum(0, np.floor(np.append(t_starts, t_ends[-1]) + 0.5)))
+        first = np.maximum(0, centre - band)
+        first[0] = 0
+        low[k, : n[k] + 1], size[k, : n[k] + 1] = first, np.minimum(m[k], centre + band) - first + 1
+    rows, hows, last = [], [], np.zeros(len(own), np.int64)
+    reference = lambda i, k: flat[i][np.minimum(at_r[:k, None] + cols[i], len(flat[i]) - 1)]
+    for t in range(n[0] + 1):
+        k = int(np.searchsorted(-n, -t, side="right"))  # pairs whose target is long enough
+        lo, wide = low[:k, t, None], size[:k, t, None]
+        width = int(wide.max())  # the band's; of row 0 all that lies before it too
+        cells = np.arange(width)
+        here, inside = lo + cells, cells < wide
+        best, how = np.full((k, width), np.inf), np.full((k, width), -1, np.int8)
         if t == 0:
-            best[0] = 0.0
-        for k, (b, a) in enumerate(STEPS):
+            best[:, 0] = 0.0
+        for step, (b, a) in enumerate(STEPS):
             if b > t:
                 continue
             # Cells whose group begins at a cell of row t - b.
-            first, last = max(low[t], low[t - b] + a), min(high[t], high[t - b] + a)
-            if first > last:
+            back = here - a - low[:k, t - b, None]
+            known = inside & (back >= 0) & (back < size[:k, t - b, None])
+            if not known.any():
                 continue
-            at, come = slice(first - low[t], last - low[t] + 1), rows[t - b][first - a - low[t - b] : last - a - low[t - b] + 1]
+            come = np.where(known, np.take_along_axis(rows[-b][:k], np.clip(back, 0, rows[-b].shape[1] - 1), axis=1), np.inf)
             if a:
-                own = group_costs(reference, target, np.arange(first, last + 1) - a, a, np.array(t - b), b)
-                come = np.where(own <= LARGEST, come + own + COMPLEXITY * (a + b - 2), np.inf)
+                i = np.clip(here - a, 0, m[:k, None] - 1)
+                cols = (i, np.minimum(i + a - 1, m[:k, None] - 1))
+                c = at_c[:k, None]
+                odd = counts[c + np.minimum(i + a, m[:k, None])] != counts[c + i]
+                j = at_t[:k] + t - b
+                cost = _costs(reference(0, k), reference(1, k), odd, flat[2][j][:, None], flat[3][j + b - 1][:, None])
+                come = np.where(cost <= LARGEST, come + cost + COMPLEXITY * (a + b - 2), np.inf)
             else:
-                own, come = np.zeros(last - first + 1), come + SKIP_TARGET
-            better = come + 1e-9 < best[at]
-            best[at], how[at], cost[at] = np.where(better, come, best[at]), np.where(better, k, how[at]), np.where(better, own, cost[at])
-        row = best.tolist()
-        for r in range(1, size):
-            if row[r - 1] + SKIP_REFERENCE + 1e-9 < row[r]:
-                row[r], how[r] = row[r - 1] + SKIP_REFERENCE, len(STEPS)
-        rows.append(np.array(row))
+                come = come + SKIP_TARGET
+            better = come + 1e-9 < best
+            best, how = np.where(better, come, best), np.where(better, np.int8(step), how)
+        for r in range(1, width):
+            skip = best[:, r - 1] + SKIP_REFERENCE
+            fewer = (skip + 1e-9 < best[:, r]) & inside[:, r]
+            best[fewer, r], how[fewer, r] = skip[fewer], len(STEPS)
+        rows = [*rows[-2:], best]
         hows.append(how)
-        costs.append(cost)
-    out, t, r = [], n, int(low[n] + rows[n].argmin())
-    if not np.isfinite(rows[n].min()):
-        return out
-    while t or r:
-        k = hows[t][r - low[t]]
-        b, a = STEPS[k] if k < len(STEPS) else (0, 1)
-        if a and b:
-            out.append((r - a, a, t - b, b, float(costs[t][r - low[t]])))
-        t, r = t - b, r - a
-    return out[::-1]
+        for x in np.flatnonzero(n[:k] == t):
+            end = best[x, : size[x, t]]
+            last[x] = low[x, t] + end.argmin() if np.isfinite(end.min()) else -1
+    for x, k in enumerate(turn):
+        found, t, r = [], int(n[x]), int(last[x])
+        while r >= 0 and (t or r):
+            step = hows[t][x, r - low[x, t]]
+            b, a = STEPS[step] if step < len(STEPS) else (0, 1)
+            if a and b:
+                found.append((r - a, a, t - b, b))
+            t, r = t - b, r - a
+        out[k] = _with_costs(own[x], found[::-1])
+    return out
+
+
+def _with_costs(pair, groups: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    if not groups:
+        return []
+    starts, ends, estimated, t_starts, t_ends = (np.asarray(x) for x in pair)
+    i, a, j, b = np.array(groups).T
+    counts = np.append(0, np.cumsum(estimated))
+    costs = _costs(starts[i], ends[i + a - 1], counts[i + a] != counts[i], t_starts[j], t_ends[j + b - 1])
+    return [(*g, c) for g, c in zip(groups, costs.tolist(), strict=True)]
 
 
 def numbered(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,15 +156,15 @@ def cue_groups(reference: DataFrame, target: DataFrame, seeds: DataFrame, keys:
     pairs = pairs.filter((F.size("r_start") >= LEAST) & (F.size("t_start") >= LEAST) & F.col("scale").between(*SEED_SCALE) & (F.abs("intercept") < F.lit(float("inf"))))
 
     def match(batches):
-        # A few pairs at a time, so that what is held does not grow with a batch.
-        for b in (whole.slice(i, S.ROWS) for whole in batches for i in range(0, len(whole), S.ROWS)):
-            found, at = [], []
+        # Pairs of so many cells at a time that what is held does not grow with a batch.
+        for b in (whole.slice(i, n) for whole in batches for i, n in _runs(whole["t_start"])):
+            one = lambda name, i, kind=np.float64: np.asarray(b[name][i].values.to_numpy(zero_copy_only=False), kind)  # noqa: B023, E731
+            pairs = []
             for i in range(len(b)):
-                one = lambda name, kind=np.float64: np.array(b[name][i].as_py(), kind)  # noqa: B023, E731
                 scale, intercept = b["scale"][i].as_py(), b["intercept"][i].as_py()
-                groups = matched_groups(one("r_start"), one("r_end"), one("r_estimated", np.int64), one("t_start") * scale + intercept, one("t_end") * scale + intercept)
-                found += groups
-                at += [i] * len(groups)
+                pairs.append((one("r_start", i), one("r_end", i), one("r_estimated", i, np.int64), one("t_start", i) * scale + intercept, one("t_end", i) * scale + intercept))
+            per = matched_pairs(pairs)
+            found, at = [g for x in per for g in x], [i for i, x in enumerate(per) for _ in x]
             named = pa.Table.from_batches([b]).select(list(keys)).take(pa.array(at, pa.int64()))
             for c, (name, kind) in enumerate(GROUP_COLUMNS):
                 named = named.append_column(name, pa.array([g[c] for g in found], kind))
@@ -135,6 +175,17 @@ def cue_groups(reference: DataFrame, target: DataFrame, seeds: DataFrame, keys:
     return pairs.select(*columns).mapInArrow(match, f"{kinds}, reference_start int, reference_n int, target_start int, target_n int, cost double")
 
 
+def _runs(lists: pa.ListArray) -> list[tuple[int, int]]:
+    """(first, number) of runs of rows whose longest list times their number stays within AT_ONCE cues."""
+    out, first, longest = [], 0, 0
+    for i, x in enumerate(pc.list_value_length(lists).to_pylist()):
+        longest = max(longest, x)
+        if i > first and longest * (i + 1 - first) > AT_ONCE:
+            out.append((first, i - first))
+            first, longest = i, x
+    return [*out, (first, len(lists) - first)] if len(lists) else []
+
+
 GROUP_COLUMNS = (("reference_start", pa.int32()), ("reference_n", pa.int32()), ("target_start", pa.int32()), ("target_n", pa.int32()), ("cost", pa.float64()))
 
 
