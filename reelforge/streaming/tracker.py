@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -163,13 +164,23 @@ def tracked_stream(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tracked_table(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """The same of a table; each row depends on all before it, so a film's runs are one call."""
+    """The same of a table; each row depends on all before it, so a film's runs are in one task, in order, a batch at a time."""
     ship(runs.sparkSession)
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _told(dict(zip(keys, key, strict=True)), rows, *NOTHING)[0]
-
-    return runs.groupBy(*keys).applyInPandas(fold, _schema(runs, keys, TOLD))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, decided, pending = None, *NOTHING
+        for b in batches:
+            told = []
+            for row in b.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != of:
+                    of, decided, pending = own, *NOTHING
+                decided, pending, t = track_step(decided, pending, {k: None if _none(v) else v for k, v in row.items()})
+                told.append(t)
+            columns = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.record_batch([*(b[k] for k in keys), b["run"].cast(pa.int64()), *columns], names=[*keys, "run", "outcome", "start", "scale", "shift"])
+
+    return runs.repartition(*keys).sortWithinPartitions(*keys, "run").mapInArrow(fold, _schema(runs, keys, TOLD))
 
 
 # ---- throughput ------------------------------------------------------------------------------------------------------
