@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,18 +160,36 @@ def arrival_fold(current: DataFrame, events: DataFrame, keys: Sequence[str], ord
 
 def resolved_identity(rows: DataFrame, group: str, order: str, aliases: str) -> DataFrame:
     """rows with entity, the smallest order of the rows they merge with: in order, a row joins what its aliases stand for,
-    and its aliases then stand for the whole. What merges later does not reach back. One call per group."""
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df, stands = df.sort_values(order), {}
-        for names, at in zip(df[aliases], df[order], strict=True):
-            entity = min([stands[a] for a in names if a in stands], default=at)
-            for a in names:
-                stands[a] = entity
-        df["entity"] = [next(stands[a] for a in names) if len(names) else at for names, at in zip(df[aliases], df[order], strict=True)]
-        return df
-
-    return rows.groupBy(group).applyInPandas(fold, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, entity long")
+    and its aliases then stand for the whole. What merges later does not reach back.
+
+    A group is folded a batch at a time; what its aliases stand for in the end alone is held, and is joined to the rows.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fold(batches):
+        of, stands = None, {}
+        for b in batches:
+            told = []
+            for at, names, g in zip(b[order].to_pylist(), b[aliases].to_pylist(), b[group].to_pylist(), strict=True):
+                if g != of:
+                    told += [(of, a, e) for a, e in stands.items()]
+                    of, stands = g, {}
+                entity = min([stands[a] for a in names or () if a in stands], default=at)
+                for a in names or ():
+                    stands[a] = entity
+            yield _stands(b, told)
+        if stands:
+            yield _stands(b, [(of, a, e) for a, e in stands.items()])
+
+    def _stands(b, told):
+        kinds = b.schema.field(group).type, b.schema.field(aliases).type.value_type, pa.int64()
+        return pa.record_batch([pa.array([t[i] for t in told], k) for i, k in enumerate(kinds)], names=["__g", "__a", "entity"])
+
+    element = rows.schema[aliases].dataType.elementType.simpleString()
+    stands = rows.select(group, order, aliases).repartition(group).sortWithinPartitions(group, F.asc_nulls_last(order)).mapInArrow(fold, f"__g {kind[group]}, __a {element}, entity long")
+    named = rows.withColumn("__named", F.coalesce(F.size(aliases), F.lit(0)) > 0)
+    same = F.col("__named") & F.col(group).eqNullSafe(F.col("__g")) & F.get(F.col(aliases), F.lit(0)).eqNullSafe(F.col("__a"))
+    return named.join(stands, same, "left").select(*rows.columns, F.coalesce("entity", F.col(order).cast("long")).alias("entity"))
 
 
 def url_template(pattern: str, values: dict[str, Column]) -> Column:

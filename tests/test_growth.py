@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelforge.functions import language
-from reelforge.operators import choice, identity, search, sequence, speech, viewing
+from reelforge.operators import catalog, choice, identity, retime, search, sequence, speech, viewing
 from reelforge.sources import scrapers, subtitles
+from reelforge.streaming import tracker
 
 
 def timed(df):
@@ -120,3 +121,30 @@ def test_a_language_is_read_once_a_row(spark):
     got, seconds = timed(choice.chosen_tracks(tracks, wanted, ["film"]).groupBy(F.col("ord") % 7).count())
     assert sum(r[1] for r in got) == n // 10
     assert seconds < 15
+
+
+def test_pairs_are_matched_together_as_one_by_one():
+    rng = np.random.default_rng(1)
+    pairs = []
+    for size in [*rng.integers(4, 90, 150), 400]:
+        start = np.sort(rng.integers(0, 5000 * size, size)).astype(float)
+        target = np.sort(start[rng.random(size) < 0.9] + rng.normal(0, 200)) if size > 20 else start + 70_000
+        pairs.append((start, start + rng.integers(300, 4000, size), (rng.random(size) < 0.1).astype(int), target, target + rng.integers(1, 4000, len(target))))
+    begun = time.monotonic()
+    together = retime.matched_pairs(pairs)
+    seconds = time.monotonic() - begun
+    begun = time.monotonic()
+    assert together == [retime.matched_groups(*p) for p in pairs]
+    assert sum(map(len, together)) > 3000
+    assert seconds < (time.monotonic() - begun) / 3
+
+
+def test_folds_hold_a_batch_and_not_a_group(spark):
+    runs = spark.range(8).selectExpr("id % 2 as film", "10 - id as run", "1.0D as scale", "5.0D as shift", "0.5D as peak", "0.5D as prominence", "30 as cues", "30.0D as speech", "70.0D as analysed", "false as at_edge", "id < 6 as halves", "cast(null as long) as split")
+    told = tracker.tracked_table(runs, ["film"])
+    assert sorted((r.film, r.run, r.outcome) for r in told.collect()) == [(f, 10 - i, "searching" if i >= 6 else "locked" if i in (4, 5) else "unchanged") for f in (0, 1) for i in (6 + f, 4 + f, 2 + f, f)]
+    rows = spark.createDataFrame([(0, 1, ["a"]), (0, 2, ["b"]), (0, 3, ["a", "b"]), (0, 4, []), (0, 5, ["b", "c"]), (1, 6, ["a"]), (None, 7, [None, "x"]), (None, 8, ["x"])], "g int, at long, names array<string>")
+    found = catalog.resolved_identity(rows, "g", "at", "names")
+    assert sorted((r.at, r.entity) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (7, 7), (8, 7)]
+    for df in (told, found):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
