@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the scores.
 LONGEST_MS, COARSE_MS, TIMELINE_MS = 20_000, 500, 8 * 3_600_000
+WORD_BINS = 60  # bins of a word, the sign bit left out
 # Ratios of 23.976, 24 and 25 frames a second; scales that are likely; how far apart two are; offsets; a partial target.
 SCALES = (1.0, 25 / 23.976, 23.976 / 25, 25 / 24, 24 / 25, 24 / 23.976, 23.976 / 24)
 SCALE_RANGE, SCALE_APART, OFFSET_MS, PARTIAL = (0.94, 1.06), 0.00035, 180_000, 0.75
@@ -31,6 +32,28 @@ def activity(cues: DataFrame, width: int = COARSE_MS, track: str = "track") -> D
     return spans.select(track, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((end - 1) / width))).alias("bin")).distinct()
 
 
+def activity_words(cues: DataFrame, width: int = COARSE_MS, track: str = "track") -> DataFrame:
+    """track, word, bits: activity()'s bins, WORD_BINS of them as the bits of one number, so an interval is a row or two."""
+    end = F.least(F.col("end"), F.col("start") + LONGEST_MS, F.lit(TIMELINE_MS))
+    spans = cues.filter((F.col("end") > F.col("start")) & (F.col("start") < TIMELINE_MS))
+    spans = spans.select(track, F.floor(F.col("start") / width).cast("long").alias("a"), F.floor((end - 1) / width).cast("long").alias("z"))
+    # sequence() counts down where the last bin is the smaller.
+    spans = spans.select(track, F.least("a", "z").alias("a"), F.greatest("a", "z").alias("z"))
+    word = lambda c: F.floor(F.col(c) / WORD_BINS).cast("long")
+    each = spans.select(track, "a", "z", F.explode(F.sequence(word("a"), word("z"))).alias("word"))
+    first, last = F.greatest("a", F.col("word") * WORD_BINS) - F.col("word") * WORD_BINS, F.least("z", F.col("word") * WORD_BINS + WORD_BINS - 1) - F.col("word") * WORD_BINS
+    bits = each.select(track, "word", first.alias("first"), last.alias("last")).select(track, "word", F.expr("shiftleft(shiftleft(1L, cast(last - first + 1 as int)) - 1L, cast(first as int))").alias("bits"))
+    return bits.groupBy(track, "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def word_jaccard(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """bin_jaccard() of sides whose bins are words of activity_words()."""
+    sides = a.select(*keys, "word", F.col("bits").alias("x"), F.lit(0).cast("long").alias("y")).unionByName(b.select(*keys, "word", F.lit(0).cast("long").alias("x"), F.col("bits").alias("y")))
+    per = sides.groupBy(*keys, "word").agg(F.bit_or("x").alias("x"), F.bit_or("y").alias("y"))
+    n = lambda c: F.sum(F.bit_count(c))
+    return per.groupBy(*keys).agg((n(F.col("x").bitwiseAND(F.col("y"))) / n(F.col("x").bitwiseOR(F.col("y")))).alias("jaccard"))
+
+
 def bin_jaccard(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys, jaccard of the bins of two sides."""
     both = a.select(*keys, "bin", F.lit(1).alias("x")).unionByName(b.select(*keys, "bin", F.lit(2).alias("x")))

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelforge.functions import language
-from reelforge.operators import catalog, choice, identity, retime, search, sequence, speech, viewing
+from reelforge.operators import align, catalog, choice, identity, retime, search, sequence, speech, viewing
+from reelforge.plans import facts
 from reelforge.sources import scrapers, subtitles
 from reelforge.streaming import tracker
 
@@ -148,3 +149,19 @@ def test_folds_hold_a_batch_and_not_a_group(spark):
     assert sorted((r.at, r.entity) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (7, 7), (8, 7)]
     for df in (told, found):
         assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_bins_are_as_bins(spark):
+    starts = [0, 29_500, 29_999, 30_000, 59_900, 400, 28_799_990, 28_800_000, -700, 100]
+    cues = spark.createDataFrame([(i % 3, i, s, s + d) for i, s in enumerate(starts) for d in (1, 700, 19_000, 90_000, -5)], "track int, ord int, start long, end long")
+    bins, words = align.activity(cues), align.activity_words(cues)
+    told = words.select("track", F.explode(F.sequence(F.lit(0), F.lit(align.WORD_BINS - 1))).alias("k"), "word", "bits").filter("(shiftright(bits, k) & 1) = 1").select("track", (F.col("word") * align.WORD_BINS + F.col("k")).alias("bin"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, bins.collect()))
+    side = lambda df, t: df.filter(F.col("track") == t).withColumn("pair", F.lit(1))
+    want = align.bin_jaccard(side(bins, 0), side(bins, 1), ["pair"]).collect()
+    assert align.word_jaccard(side(words, 0), side(words, 1), ["pair"]).collect() == want
+    assert words.count() * 10 < bins.count()
+
+
+def test_costly_columns_of_a_small_file_are_dealt_to_tasks(spark):
+    assert facts.facts(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 4
