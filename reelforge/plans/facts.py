@@ -10,7 +10,8 @@ from reelforge.functions import text as T
 from reelforge.functions.template import Template, Value
 from reelforge.operators import selection as S
 from reelforge.operators.order import top_per_key
-from reelforge.plans.tables import table
+from reelforge.plans.tables import spread, table
+from reelforge.settled import settled
 
 # A release name for each part, made alike on both sides.
 TAGS = ["2160p.REMUX.DV.HDR10.Atmos.7.1.x265", "1080p BluRay DTS-HD MA 5.1 x264", "720p WEB-DL AAC 2.0 AVC", "4K webrip ddp5.1 HEVC 10bit", "480p DVDRip xvid", "HDTV sd ac3", "cam ts", "fhd hdrip av1 opus imax"]
@@ -26,7 +27,8 @@ def releases(spark, d):
 
 
 def facts(spark, d):
-    r, n = releases(spark, d), F.col("name")
+    # Settled, as a filter of the facts would move below the dealing.
+    r, n = settled(spread(releases(spark, d)), "releases"), F.col("name")
     return r.select(
         "p_partkey",
         "p_brand",
