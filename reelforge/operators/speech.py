@@ -1,8 +1,9 @@
 """Cues against what was heard: votes of recognised words, and correlation with detected speech.
 
 Word votes are joins and windows: a heard word votes for the difference of its time and that of each equal word of the
-cues, and the densest window of votes wins. Correlation with speech is one FFT a track and scale over arrays of frames,
-which a track's length bounds; the peak of its values alone is a row again.
+cues, and the densest window of votes wins. A group's votes pass by once, sorted; its windows at all scales are running
+sums over their arrays, and one row for each scale leaves them. Correlation with speech is one FFT a track and scale over
+arrays of frames, which a track's length bounds; the peak of its values alone is a row again.
 
 Cues are keys, ord, start, end (ms), text; words are keys, ord, at (seconds), text, segment. Null and empty texts have no
 words, cues without a start or end are left out; pairs without a common word or without speech give no row.
@@ -10,10 +11,12 @@ words, cues without a start or end are left out; pairs without a common word or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ STOP_WORDS = (
     "be are was were am do did not no yes so that this with as what who how why oh uh um"
 ).split()
 SHORTEST, MOST_TIMES, WINDOW_S, FAR_S, MOST_SEGMENTS, MOST_SHIFT_S = 3, 6, 0.7, 2.0, 6, 60.0
+UNITS = math.lcm(*range(1, MOST_TIMES + 1))  # a vote's weight is a whole number of these parts of one
 RATE_SPAN_S, RATE_SEGMENTS, RATE_MARGIN, LOCAL_S = 180.0, 5, 1.3, 120.0
 SURE_SEGMENTS, SURE_SCORE, SURE_RATIO, LEAST_RUNNER_UP = 3, 3.0, 2.5, 0.5
 # Fixed values of the correlation: scales, the frame, the detector's delay, what counts as near a peak and near an edge.
@@ -40,13 +44,23 @@ def normalised(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(word), r"[^\p{L}\p{Nd}']", ""), "^'+|'+$", "")
 
 
+def normalised_words(text: Column) -> Column:
+    """normalised() of the words of a text, without empty ones: its patterns pass once over the text and not over each word."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}'\s]+", ""), r"(?<!\S)'+|'+(?!\S)", "")
+    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+
+
 def words_of(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, ord, k (place in the cue), at (seconds), word, first: a cue's words spread evenly over it."""
+    """keys, start, ord, k (place in the cue), at (seconds), word, first, cue_before, cue_after (the words beside it, of other cues too): a cue's words spread evenly over it."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]+>|\{[^}]*\}", " ")
-    words = F.filter(F.transform(F.split(plain, r"\s+"), normalised), lambda w: w != "")
-    own = cues.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*keys, "ord", "start", F.greatest(F.lit(1), F.col("end") - F.col("start")).alias("length"), words.alias("words"))
-    rows = own.select(*keys, "ord", "start", "length", F.size("words").alias("n"), F.posexplode("words").alias("k", "word"))
-    return rows.select(*keys, "start", "ord", "k", ((F.col("start") + F.col("length") * F.col("k").cast("double") / F.col("n")) / 1000.0).alias("at"), "word", (F.col("k") == 0).alias("first"))
+    own = cues.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*keys, "ord", "start", F.greatest(F.lit(1), F.col("end") - F.col("start")).alias("length"), normalised_words(plain).alias("words"))
+    # What all words of a cue share is a column before they are rows: beside them it would be worked out for each, from all of them.
+    n, w = F.col("n"), Window.partitionBy(*keys).orderBy("start", "ord")
+    own = own.withColumn("n", F.size("words")).filter(n > 0).withColumn("last", F.lag(F.get("words", n - 1)).over(w)).withColumn("next", F.lead(F.get("words", F.lit(0))).over(w))
+    beside = [F.concat(F.array("last"), F.slice("words", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("words", F.lit(2), n - 1), F.array("next")).alias("after")]
+    rows = own.select(*keys, "ord", "start", "length", "n", F.arrays_zip("words", *beside).alias("z")).select(*keys, "ord", "start", "length", "n", F.posexplode("z").alias("k", "z"))
+    at = (F.col("start") + F.col("length") * F.col("k").cast("double") / n) / 1000.0
+    return rows.select(*keys, "start", "ord", "k", at.alias("at"), F.col("z.words").alias("word"), (F.col("k") == 0).alias("first"), F.col("z.before").alias("cue_before"), F.col("z.after").alias("cue_after"))
 
 
 def anchors(heard: DataFrame, cues: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,52 +68,121 @@ def anchors(heard: DataFrame, cues: DataFrame, keys: Sequence[str]) -> DataFrame
 
     A word that the cues hold MOST_TIMES at most counts one over that, and one more for each neighbour that agrees too.
     """
-    w = Window.partitionBy(*keys).orderBy("start", "ord", "k")
-    c = words_of(cues, keys)
-    c = c.withColumn("cue_before", F.lag("word").over(w)).withColumn("cue_after", F.lead("word").over(w))
-    few = c.groupBy(*keys, "word").agg(F.count("*").alias("times")).filter(F.col("times") <= MOST_TIMES)
+    tells = (F.length("word") >= SHORTEST) & ~F.col("word").isin(STOP_WORDS)
+    c = words_of(cues, keys).filter(tells).withColumn("times", F.count("*").over(Window.partitionBy(*keys, "word"))).filter(F.col("times") <= MOST_TIMES)
     v = Window.partitionBy(*keys).orderBy("ord")
     h = heard.select(*keys, "ord", F.col("at").alias("media"), normalised(F.coalesce("text", F.lit(""))).alias("word"), "segment")
     beside = lambda f: F.when(f("segment").over(v) == F.col("segment"), f("word").over(v))
-    h = h.withColumn("before", beside(F.lag)).withColumn("after", beside(F.lead)).filter((F.length("word") >= SHORTEST) & ~F.col("word").isin(STOP_WORDS))
-    both = h.join(c.join(few, [*keys, "word"]).select(*keys, "word", F.col("at").alias("sub"), "first", "cue_before", "cue_after", "times"), [*keys, "word"])
+    h = h.withColumn("before", beside(F.lag)).withColumn("after", beside(F.lead)).filter(tells)
+    both = h.join(c.select(*keys, "word", F.col("at").alias("sub"), "first", "cue_before", "cue_after", "times"), [*keys, "word"])
     agree = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
     return both.select(*keys, "media", "sub", (1.0 / F.col("times") + agree("before", "cue_before") + agree("after", "cue_after")).alias("weight"), "segment", "first")
 
 
-def densest(votes: DataFrame, keys: Sequence[str], most: float = MOST_SHIFT_S) -> DataFrame:
-    """keys, shift, score, segments, runner_up, span, anchor, sure of the densest window of votes of each group.
-
-    votes: anchors() with keys and scale. A window of WINDOW_S scores its weight times its share of MOST_SEGMENTS segments;
-    its shift is the median of cue starts in it, or of all where fewer than two are; the runner-up lies beyond FAR_S.
+def windows(d: np.ndarray, units: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of votes sorted by d: first and end of the window of WINDOW_S up to each vote and its equals, its units, its segments (those below 0 are none)."""
+    n = len(d)
+    lo, hi = np.searchsorted(d, d - WINDOW_S), np.searchsorted(d, d, "right")
+    total = np.append(0, np.cumsum(units))
+    # A vote is its segment's first in the windows that hold it but not the segment's vote before.
+    turn = np.argsort(segment, kind="stable")
+    before = np.full(n, -1)
+    again = segment[turn[1:]] == segment[turn[:-1]]
+    before[turn[1:][again]] = turn[:-1][again]
+    own = np.flatnonzero(segment >= 0)
+    begin = np.maximum(np.searchsorted(d, d[own]), np.searchsorted(lo, before[own], "right"))
+    parts = np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(np.searchsorted(lo, own, "right"), minlength=n + 1))[:n]
+    return lo, hi, total[hi] - total[lo], parts
+
+
+def densest_window(d: np.ndarray, units: np.ndarray, segment: np.ndarray, first: np.ndarray, media: np.ndarray) -> tuple:
+    """shift, score, segments, runner_up, span, anchor of the votes of one group, in any order."""
+    turn = np.argsort(d, kind="stable")
+    d, units, segment, first, media = (x[turn] for x in (d, units, segment, first, media))
+    lo, hi, mass, parts = windows(d, units, segment)
+    own = np.round(mass / UNITS * np.minimum(parts, MOST_SEGMENTS) / MOST_SEGMENTS, 9)
+    best = int(own.argmax())
+    inside = slice(lo[best], hi[best])
+    starts = d[inside][first[inside]]
+    shift = float(np.median(starts if len(starts) >= 2 else d[inside]))
+    far = np.abs(d - shift) > FAR_S
+    x, at = d[far], media[inside]
+    total = np.append(0, np.cumsum(units[far]))
+    other = total[np.searchsorted(x, x, "right")] - total[np.searchsorted(x, x - WINDOW_S)]
+    return shift, float(own[best]), int(parts[best]), other.max(initial=0) / UNITS, float(at.max() - at.min()), float(np.median(at))
+
+
+def _starts(rows: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Where the groups of sorted rows begin."""
+    new = np.arange(len(rows)) == 0
+    for k in keys:
+        codes = pc.dictionary_encode(rows[k], null_encoding="encode")
+        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups: the last group of a batch waits for what follows."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        at = int(_starts(b, keys)[-1])
+        goes_on = waiting and not at and len(_starts(pa.Table.from_batches([waiting[-1].slice(0, 1), b.slice(0, 1)]), keys)) == 1
+        if not goes_on:
+            if waiting or at:
+                yield pa.Table.from_batches([*waiting, b.slice(0, at)]).combine_chunks()
+            waiting = []
+        waiting.append(b.slice(at))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+FOUND = (("turn", pa.int32()), ("shift", pa.float64()), ("score", pa.float64()), ("segments", pa.int32()), ("runner_up", pa.float64()), ("span", pa.float64()), ("anchor", pa.float64()))
+
+
+def densest(votes: DataFrame, keys: Sequence[str], scales: Sequence[float] = (1.0,), most: float = MOST_SHIFT_S) -> DataFrame:
+    """keys, turn (the scale's place), shift, score, segments, runner_up, span, anchor, sure of the densest window of votes of each group and scale.
+
+    votes: anchors(). Scales but the first are tried where votes span RATE_SPAN_S or more. A window of WINDOW_S scores its
+    weight times its share of MOST_SEGMENTS segments; its shift is the median of cue starts in it, or of all where fewer
+    than two are; the runner-up lies beyond FAR_S. Weights count in UNITS, so sums are the same in any order.
     """
-    by = ", ".join(f"`{k}`" for k in keys)
-    frame = f"(PARTITION BY {by} ORDER BY d RANGE BETWEEN {WINDOW_S}D PRECEDING AND CURRENT ROW)"
-    v = votes.withColumn("d", F.col("media") - F.col("scale") * F.col("sub")).filter(F.abs("d") <= most)
-    v = v.withColumn("mass", F.expr(f"sum(weight) OVER {frame}")).withColumn("parts", F.expr(f"size(collect_set(segment) OVER {frame})"))
-    v = v.withColumn("own", F.round(F.col("mass") * F.least("parts", F.lit(MOST_SEGMENTS)) / float(MOST_SEGMENTS), 9))
-    group = Window.partitionBy(*keys)
-    v = v.withColumn("best", F.min_by(F.struct("d", "own", "parts"), F.struct((-F.col("own")).alias("s"), "d")).over(group))
-    inside = (F.col("d") <= F.col("best.d")) & (F.col("d") >= F.col("best.d") - WINDOW_S)
-    of = lambda x, when=inside: F.median(F.when(when, x))
-    v = v.withColumn("shift", F.when(F.count_if(inside & F.col("first")).over(group) >= 2, of(F.col("d"), inside & F.col("first")).over(group)).otherwise(of(F.col("d")).over(group)))
-    far = v.filter(F.abs(F.col("d") - F.col("shift")) > FAR_S).select(*keys, F.expr(f"sum(weight) OVER {frame}").alias("mass")).groupBy(*keys).agg(F.max("mass").alias("other"))
-    media = F.when(inside, F.col("media"))
-    found = v.groupBy(*keys).agg(F.first("shift").alias("shift"), F.first("best.own").alias("score"), F.first("best.parts").alias("segments"), (F.max(media) - F.min(media)).alias("span"), F.median(media).alias("anchor"))
-    out = found.join(far, list(keys), "left").withColumn("runner_up", F.coalesce("other", F.lit(0.0))).drop("other")
+    ship(votes.sparkSession)
+
+    def fit(batches):
+        for rows in _whole_groups(batches, keys):
+            at = _starts(rows, keys)
+            column = lambda name: rows[name].combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            media, sub, units, first = (column(n) for n in ("media", "sub", "units", "first"))
+            segment = pc.dictionary_encode(rows["segment"].combine_chunks()).indices.fill_null(-1).to_numpy()
+            of, found = [], []
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(rows)], strict=True):
+                span = media[a:z].max() - media[a:z].min()
+                for turn, scale in enumerate(scales[:1] if span < RATE_SPAN_S else scales):
+                    d = media[a:z] - scale * sub[a:z]
+                    near = np.abs(d) <= most
+                    if near.any():
+                        found.append((turn, *densest_window(d[near], *(x[a:z][near] for x in (units, segment, first, media)))))
+                        of.append(a)
+            named = rows.select(list(keys)).take(pa.array(of, pa.int64()))
+            for c, (name, kind) in enumerate(FOUND):
+                named = named.append_column(name, pa.array([x[c] for x in found], kind))
+            yield from named.combine_chunks().to_batches()
+
+    units = F.round(F.col("weight") * UNITS).cast("long").alias("units")
+    own = votes.filter(F.col("media").isNotNull()).select(*keys, "media", "sub", units, "segment", F.coalesce("first", F.lit(False)).alias("first"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keys).schema.fields)
+    out = own.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fit, f"{kinds}, turn int, shift double, score double, segments int, runner_up double, span double, anchor double")
     sure = (F.col("segments") >= SURE_SEGMENTS) & (F.col("score") >= SURE_SCORE) & (F.col("score") >= SURE_RATIO * F.greatest("runner_up", F.lit(LEAST_RUNNER_UP)))
     return out.withColumn("sure", sure)
 
 
 def word_fit(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, scale and densest()'s columns: the unit scale, unless words from RATE_SPAN_S or more speak far better for another."""
-    span = Window.partitionBy(*keys)
-    long = F.max("media").over(span) - F.min("media").over(span) >= RATE_SPAN_S
-    numbers = F.when(long, F.sequence(F.lit(0), F.lit(len(SCALES) - 1))).otherwise(F.array(F.lit(0)))
-    tried = votes.withColumn("turns", numbers).select("*", F.explode("turns").alias("turn")).withColumn("scale", F.get(F.array(*map(F.lit, SCALES)), F.col("turn")))
-    fits = densest(tried, [*keys, "turn"])
     names = ["scale", "shift", "score", "segments", "runner_up", "span", "anchor", "sure"]
-    fits = fits.withColumn("scale", F.get(F.array(*map(F.lit, SCALES)), F.col("turn")))
+    fits = densest(votes, keys, SCALES).withColumn("scale", F.get(F.array(*map(F.lit, SCALES)), F.col("turn")))
     listed = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", *names))).alias("f"))
     unit = F.get("f", F.lit(0))
     better = lambda best, x: F.when((x["segments"] >= RATE_SEGMENTS) & (x["score"] > best["score"] * RATE_MARGIN) & (x["score"] > unit["score"] * RATE_MARGIN), x).otherwise(best)
@@ -108,8 +191,8 @@ def word_fit(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def local_fits(votes: DataFrame, keys: Sequence[str], scale: Column) -> DataFrame:
     """keys, region and densest()'s columns of the sure fits of each LOCAL_S of the film: where a scene was put in or left out, they differ."""
-    regions = votes.withColumn("scale", scale).withColumn("region", (F.col("media") / LOCAL_S).cast("long"))
-    return densest(regions, [*keys, "region"]).filter("sure")
+    regions = votes.withColumn("sub", scale * F.col("sub")).withColumn("region", (F.col("media") / LOCAL_S).cast("long"))
+    return densest(regions, [*keys, "region"]).filter("sure").drop("turn")
 
 
 # ---- speech ----------------------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from reelforge.operators import sequence as Q
 from reelforge.operators import speech as V
 from reelforge.operators.align import OFFSET_MS, SCALES
 from reelforge.plans.merging import PROGRESS
-from reelforge.plans.tables import progress, table
+from reelforge.plans.tables import progress, spread, table
 from reelforge.streaming import tracker as T
 
 STRETCH = (1.0, 25 / 23.976, 24 / 25)
@@ -126,9 +126,10 @@ def retime_verdicts(spark, d):
 
 def _talk(spark, d):
     """Each conversation's turns as cues, and two of three of their words as heard, later and, of every other one, slower."""
-    t = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), "text")
+    t = spread(table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), "text"), "conv_id")
     cues = t.select("conv_id", "ord", (F.col("ord") * 40_000).alias("start"), (F.col("ord") * 40_000 + 38_000).alias("end"), "text")
-    words = t.select("conv_id", F.col("ord").alias("segment"), F.size(F.split("text", r"\s+")).alias("n"), F.posexplode(F.split("text", r"\s+")).alias("k", "text")).filter("k % 3 <> 1")
+    whole = t.select("conv_id", F.col("ord").alias("segment"), F.split("text", r"\s+").alias("words")).select("*", F.size("words").alias("n"))
+    words = whole.select("conv_id", "segment", "n", F.posexplode("words").alias("k", "text")).filter("k % 3 <> 1")
     scale = F.when(F.col("conv_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(25 / 24))
     at = (F.col("segment") * 40.0 + 38.0 * F.col("k") / F.col("n")) * scale + F.col("conv_id") % 90 - 45.0 + F.when((F.col("conv_id") % 5 == 0) & (F.col("segment") > 2), F.lit(7.0)).otherwise(F.lit(0.0))
     return words.select("conv_id", (F.col("segment") * 100_000 + F.col("k")).alias("ord"), at.alias("at"), "text", "segment"), cues

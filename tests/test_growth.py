@@ -71,6 +71,15 @@ def test_of_all_scores_and_correlations_one_row_leaves_a_pair(spark):
         assert "coarse" not in plan
 
 
+def test_votes_of_one_film_pass_once(spark):
+    n = 40_000  # windows of 28,000 votes each: 1.1e9 votes, were each window gone through
+    votes = spark.range(n).select(F.lit("f").alias("film"), (F.col("id") / 160 + F.col("id") % 100 / 100).alias("media"), (F.col("id") / 160).alias("sub"), F.lit(1.0).alias("weight"), (F.col("id") % 9).alias("segment"), F.lit(False).alias("first"))
+    for fit in (speech.word_fit(votes, ["film"]), speech.local_fits(votes, ["film"], F.lit(1.0)).filter("region = 0")):
+        got, seconds = timed(fit)
+        assert [(r.segments, r.sure) for r in got] == [(9, True)]
+        assert seconds < 15
+
+
 def test_many_offsets_count_as_few_do():
     rng = np.random.default_rng(5)
     marks, bins = rng.random(500) < 0.3, np.flatnonzero(rng.random(320) < 0.4)

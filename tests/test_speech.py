@@ -87,6 +87,58 @@ def test_word_votes_by_hand(spark):
     assert speech.local_fits(speech.anchors(heard, cues, ["film"]), ["film"], speech.F.lit(1.0)).count() == 0
 
 
+def voted(votes, scale):
+    """Shift, score, segments, runner-up, span and anchor of votes (media, sub, sixtieths, segment, first) by trying each window."""
+    v = [(m - scale * s, u, g, f, m) for m, s, u, g, f in votes if abs(m - scale * s) <= speech.MOST_SHIFT_S]
+    if not v:
+        return None
+    window = lambda rows, d: [x for x in rows if d - speech.WINDOW_S <= x[0] <= d]
+    parts = lambda rows: len({x[2] for x in rows if x[2] is not None})
+    score = lambda rows: round(sum(x[1] for x in rows) / 60 * min(parts(rows), 6) / 6, 9)
+    best = min((x[0] for x in v), key=lambda d: (-score(window(v, d)), d))
+    rows = window(v, best)
+    starts = [x[0] for x in rows if x[3]]
+    shift = float(np.median(starts if len(starts) >= 2 else [x[0] for x in rows]))
+    far, media = [x for x in v if abs(x[0] - shift) > speech.FAR_S], [x[4] for x in rows]
+    return shift, score(rows), parts(rows), max((sum(y[1] for y in window(far, x[0])) / 60 for x in far), default=0.0), max(media) - min(media), float(np.median(media))
+
+
+def test_densest_window_equals_trying_each(spark):
+    pick, rows = np.random.default_rng(7), []
+    for k in range(60):
+        # Times of a tenth make equal differences and edges of windows; films of 200 s have all scales, those of 100 s one.
+        for _ in range(int(pick.integers(1, 60))):
+            media, sub = (float(x) for x in np.round(pick.random(2) * (200 if k % 2 else 100), 1))
+            if pick.random() < 0.4:
+                sub = round(media - float(pick.integers(-30, 30)) / 10, 1)
+            segment = None if pick.random() < 0.1 else int(pick.integers(0, 9))
+            rows.append((None if k == 0 else f"f{k}", media, sub, int(pick.choice([10, 12, 15, 20, 30, 60, 75, 180])), segment, bool(pick.random() < 0.3)))
+    votes = spark.createDataFrame([(f, m, s, u / 60, g, h) for f, m, s, u, g, h in rows] + [("none", None, 1.0, 1.0, 1, True), ("far", 500.0, 1.0, 1.0, 1, True)], "film string, media double, sub double, weight double, segment long, first boolean")
+    want = {}
+    for f in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == f]
+        for turn, scale in enumerate(speech.SCALES if max(x[0] for x in own) - min(x[0] for x in own) >= 180 else speech.SCALES[:1]):
+            if (found := voted(own, scale)) is not None:
+                want[f, turn] = found
+    assert len({t for _, t in want}) == len(speech.SCALES)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows_at_once in ("7", "100000"):
+        before = spark.conf.get(size)
+        spark.conf.set(size, rows_at_once)  # a film's votes lie in many batches, or many films' in one
+        try:
+            got = {(r.film, r.turn): (r.shift, r.score, r.segments, r.runner_up, r.span, r.anchor) for r in speech.densest(votes.repartition(3), ["film"], speech.SCALES).collect()}
+        finally:
+            spark.conf.set(size, before)
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_words_beside_a_word_are_of_other_cues_too(spark):
+    cues = spark.createDataFrame([("f", 0, 0, 100, "One, two"), ("f", 1, 100, 200, "-- ''"), ("f", 2, 200, 300, "'three'"), ("f", 3, 300, 400, None), ("f", 4, 400, 500, "don't <b>stop</b>"), ("g", 0, 0, 100, "Alone")], "film string, ord long, start long, end long, text string")
+    got = [(r.word, r.cue_before, r.cue_after) for r in speech.words_of(cues, ["film"]).orderBy("film", "start", "k").collect()]
+    assert got == [("one", None, "two"), ("two", "one", "three"), ("three", "two", "don't"), ("don't", "three", "stop"), ("stop", "don't", None), ("alone", None, None)]
+
+
 def test_python_runs_on_workers_without_the_package(tmp_path):
     """Workers start in another folder and know nothing of the driver's path."""
     for p in ("reelforge", "__spark_entry__.py"):
