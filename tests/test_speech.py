@@ -133,6 +133,23 @@ def test_densest_window_equals_trying_each(spark):
         assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_local_fits_equal_trying_each_window_of_a_region(spark):
+    pick, rows = np.random.default_rng(8), []
+    for film, scale in (("a", 1.0), ("b", 25 / 24)):
+        for media in np.round(np.sort(pick.random(150)) * 360, 1).tolist():
+            far = pick.random() < 0.2
+            shift = float(pick.integers(-50, 50)) if far else 3.0 + media // 120 * 7 + float(pick.integers(0, 4)) / 10
+            rows.append((film, media, scale, (media - shift) / scale, 60, int(media // 10), bool(pick.random() < 0.2)))
+    votes = spark.createDataFrame([(f, m, x, s, u / 60, g, h) for f, m, x, s, u, g, h in rows], "film string, media double, of double, sub double, weight double, segment long, first boolean")
+    fits = speech.local_fits(votes, ["film"], speech.F.col("of"))
+    got = {(r.film, r.region): (r.shift, r.score, r.segments, r.runner_up, r.span, r.anchor) for r in fits.collect()}
+    want = {(f, k): voted([(m, x * s, u, g, h) for n, m, x, s, u, g, h in rows if n == f and m // 120 == k], 1.0) for f in "ab" for k in range(3)}
+    want = {k: v for k, v in want.items() if v[2] >= 3 and v[1] >= 3 and v[1] >= 2.5 * max(v[3], 0.5)}
+    assert len(want) >= 4
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_words_beside_a_word_are_of_other_cues_too(spark):
     cues = spark.createDataFrame([("f", 0, 0, 100, "One, two"), ("f", 1, 100, 200, "-- ''"), ("f", 2, 200, 300, "'three'"), ("f", 3, 300, 400, None), ("f", 4, 400, 500, "don't <b>stop</b>"), ("g", 0, 0, 100, "Alone")], "film string, ord long, start long, end long, text string")
     got = [(r.word, r.cue_before, r.cue_after) for r in speech.words_of(cues, ["film"]).orderBy("film", "start", "k").collect()]
