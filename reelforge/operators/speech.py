@@ -41,7 +41,7 @@ FRAME_MS, DELAY_MS, NEAR_MS, EDGE_MS, UNIT_MARGIN, UNIT_RANGE, LONGEST_MS = 32,
 
 def normalised(word: Column) -> Column:
     """Lower-cased letters, digits and inner apostrophes of a word."""
-    return F.regexp_replace(F.regexp_replace(F.lower(word), r"[^\p{L}\p{Nd}']", ""), "^'+|'+$", "")
+    return F.btrim(F.regexp_replace(F.lower(word), r"[^\p{L}\p{Nd}']", ""), F.lit("'"))
 
 
 def normalised_words(text: Column) -> Column:
@@ -55,8 +55,10 @@ def words_of(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"<[^>]+>|\{[^}]*\}", " ")
     own = cues.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*keys, "ord", "start", F.greatest(F.lit(1), F.col("end") - F.col("start")).alias("length"), normalised_words(plain).alias("words"))
     # What all words of a cue share is a column before they are rows: beside them it would be worked out for each, from all of them.
-    n, w = F.col("n"), Window.partitionBy(*keys).orderBy("start", "ord")
-    own = own.withColumn("n", F.size("words")).filter(n > 0).withColumn("last", F.lag(F.get("words", n - 1)).over(w)).withColumn("next", F.lead(F.get("words", F.lit(0))).over(w))
+    # Cues without words are passed over, not left out before: such a filter goes below the shuffle, and takes the texts apart there too.
+    n, by = F.col("n"), ", ".join(f"`{k}`" for k in keys)
+    nearest = lambda f, word: F.expr(f"{f}({word}) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY start, ord)")
+    own = own.withColumn("n", F.size("words")).withColumn("last", nearest("lag", "get(words, n - 1)")).withColumn("next", nearest("lead", "get(words, 0)")).filter(n > 0)
     beside = [F.concat(F.array("last"), F.slice("words", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("words", F.lit(2), n - 1), F.array("next")).alias("after")]
     rows = own.select(*keys, "ord", "start", "length", "n", F.arrays_zip("words", *beside).alias("z")).select(*keys, "ord", "start", "length", "n", F.posexplode("z").alias("k", "z"))
     at = (F.col("start") + F.col("length") * F.col("k").cast("double") / n) / 1000.0

@@ -129,7 +129,8 @@ def _talk(spark, d):
     t = spread(table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("ord"), "text"), "conv_id")
     cues = t.select("conv_id", "ord", (F.col("ord") * 40_000).alias("start"), (F.col("ord") * 40_000 + 38_000).alias("end"), "text")
     whole = t.select("conv_id", F.col("ord").alias("segment"), F.split("text", r"\s+").alias("words")).select("*", F.size("words").alias("n"))
-    words = whole.select("conv_id", "segment", "n", F.posexplode("words").alias("k", "text")).filter("k % 3 <> 1")
+    # The outer kind, whose rows without a place the filter drops: for the other, Spark takes the texts apart below the shuffle too, to leave out empty ones.
+    words = whole.select("conv_id", "segment", "n", F.posexplode_outer("words").alias("k", "text")).filter("k % 3 <> 1")
     scale = F.when(F.col("conv_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(25 / 24))
     at = (F.col("segment") * 40.0 + 38.0 * F.col("k") / F.col("n")) * scale + F.col("conv_id") % 90 - 45.0 + F.when((F.col("conv_id") % 5 == 0) & (F.col("segment") > 2), F.lit(7.0)).otherwise(F.lit(0.0))
     return words.select("conv_id", (F.col("segment") * 100_000 + F.col("k")).alias("ord"), at.alias("at"), "text", "segment"), cues

@@ -1,5 +1,6 @@
 """Joins and Python steps on inputs whose pairs or batches would be far larger than what comes out of them."""
 
+import re
 import time
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelforge.functions import language
 from reelforge.operators import align, catalog, choice, identity, retime, search, sequence, speech, viewing
-from reelforge.plans import facts
+from reelforge.plans import facts, registry
 from reelforge.sources import scrapers, subtitles
 from reelforge.streaming import tracker
 
@@ -80,6 +81,19 @@ def test_votes_of_one_film_pass_once(spark):
         assert seconds < 15
 
 
+def test_texts_are_taken_apart_once_above_the_shuffle(spark):
+    cues = spark.createDataFrame([("f", k, k, k + 1, t) for k, t in enumerate(["--", "One two", None, "''", "", "three", "<i></i>"])] + [("g", 0, 0, 1, "-")], "film string, ord long, start long, end long, text string")
+    words = speech.words_of(cues.repartition(3, "film"), ["film"])
+    assert [(r.word, r.cue_before, r.cue_after) for r in words.orderBy("start", "k").collect()] == [("one", None, "two"), ("two", "one", "three"), ("three", "two", None)]
+    for df, shuffles in ((words, 1), (registry.queries()["local_fits"](spark, "/root/testdata/sf0.001"), 2), (registry.queries()["word_fits"](spark, "/root/testdata/sf0.001"), 2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        above, *below = re.split(r"RepartitionByExpression \[(?:film|conv_id)#\d+L?\], \d", plan)
+        assert len(below) == shuffles
+        assert plan.count("split(") == shuffles
+        assert "split(" in above
+        assert "split(" not in below[-1]
+
+
 def test_many_offsets_count_as_few_do():
     rng = np.random.default_rng(5)
     marks, bins = rng.random(500) < 0.3, np.flatnonzero(rng.random(320) < 0.4)
