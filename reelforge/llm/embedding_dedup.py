@@ -1,22 +1,22 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 Vectors are described by their nearest pivots of a bounded sample, in order of angle; pivots are at least APART from each
-other, so a dense cluster has few and its members share them. An inverted list holds the vectors that name a pivot.
-Pairs of a list are candidates if they share MIN_SHARED pivots, the nearest pivot of either counting MIN_SHARED times;
-shared pivots are counted on bit maps, which never count too few. Candidates are verified by their cosine in double
-precision, and one that holds is kept however many pivots it shares.
+other, so a dense cluster has few and its members share them. An inverted list holds the vectors that name a pivot; those
+that have it among their HOME nearest are at home in it. Each of these is compared to each vector of the list, so a pair
+is met if a home of either is named by the other. Products in single precision, whose error is bounded, leave out what is
+below the limit; the rest is verified by its cosine in double precision.
 
 A vector names the pivots within twice the linking angle of its nearest one's, NEAREST at most. By the triangle
 inequality a vector linked to it names its nearest pivot too, so no link of it is lost unless its list was cut at
 NEAREST; with one pivot all pairs are compared, which is the exact mode. Vectors with a strong common direction cut
 their lists most, as all pivots are about as far: see the figures in the README.
 
-A list longer than BLOCK is dealt out in blocks and its pairs in cells of two blocks, so that no task holds a list;
-every pair is verified and counted in the list of its smallest shared pivot alone. Cells return counts and a spanning
-forest of their links, not pairs. Equal vectors are one class with a count. The number of pivots grows with the number
+Those at home in a list and all its vectors are dealt out in blocks of BLOCK, and its pairs in cells of two, so that no
+task holds a list; a pair is counted in one list alone, of the first home of its smaller vector that the other names.
+Cells return counts and a spanning forest of their links, not pairs. Equal vectors are one class with a count. The number of pivots grows with the number
 of vectors up to MOST_PIVOTS, so lists keep their length until then. Vectors of each length have an index of their own.
 
-A vector is in up to NEAREST lists, so all lists together are many times the table. They are dealt out in waves of some of
+A vector is in NEAREST lists at most, so all lists together are many times the table. They are dealt out in waves of some of
 the pivots each, whose bytes the table's own bound, and a wave's shuffle files go before the next begins; vectors travel in
 the table's own width, pivots as short numbers, and ids meet their classes by a SHA-256 of the vector.
 
@@ -35,13 +35,12 @@ from pyspark.sql import types as T
 from reelforge.llm.shared import connected_components, drop_durable, durable, hot_joined, shuffles_freed
 
 COSINE = 0.9
-NEAREST, MIN_SHARED = 64, 2
+NEAREST, HOME = 64, 24  # pivots that a vector names, and those it is at home with
 APART = 0.8  # the largest cosine of two pivots
 LIST_LENGTH, LEAST_PIVOTS, MOST_PIVOTS = 640, 64, 8192
 SAMPLE = 4  # vectors looked at for each pivot wanted
-BLOCK = 1024
-BITS = 1024  # of the maps by which shared pivots are counted
-WAVE_BYTES, WAVE_SHARE = 1 << 27, 0.5  # of the rows of a wave's lists: the least, and the share of the table's vectors
+BLOCK, BLOCK_BYTES = 8192, 1 << 24  # the most vectors of a block, and bytes of them as doubles
+WAVE_BYTES, WAVE_SHARE = 1 << 28, 2.0  # of the rows of a wave's lists: the least, and the share of the table's vectors
 SEED = 7
 
 
@@ -114,23 +113,36 @@ def described(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
     return classes.select("rep", "n", "key", "v").mapInArrow(describe, f"rep long, n long, key binary, raw binary, near array<{kind}>")
 
 
-def _maps(near: np.ndarray) -> np.ndarray:
-    """Each row's pivots as set bits: common bits are at least the shared pivots."""
-    out = np.zeros((len(near), BITS // 64), np.uint64)
-    for column in near.T:
-        at = np.flatnonzero(column >= 0)
-        bit = column[at] % BITS
-        out[at, bit >> 6] |= np.uint64(1) << (bit & 63).astype(np.uint64)
+def _counted_here(near: np.ndarray, a: np.ndarray, b: np.ndarray, own_pivot: int) -> np.ndarray:
+    """Whether own_pivot is the first home of a that b names or, where there is none, the first home of b that a names."""
+    first = near[a, 0]
+    direct = (first[:, None] == near[b]).any(axis=1)
+    out = direct & (first == own_pivot)
+    rest = np.flatnonzero(~direct)
+    if len(rest):
+        x, y = near[a[rest]], near[b[rest]]
+        pivot = np.full(len(rest), -1, near.dtype)
+        for of, other in ((y, x), (x, y)):
+            hit = (of[:, :HOME, None] == other[:, None, :]).any(axis=2) & (of[:, :HOME] >= 0)
+            some = hit.any(axis=1)
+            pivot[some] = of[some, hit[some].argmax(axis=1)]
+        out[rest] = pivot == own_pivot
     return out
 
 
-def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second: int):
+LEFT, RIGHT, AT_HOME = 1, 2, 4  # what a vector is in a cell
+
+
+def cell_links(reps, n, units, near, role, own_pivot: int):
     """(rep, links, parent): copies linked to each vector of a cell, and a spanning forest of the cell's links.
 
-    near: pivots, nearest first, filled up with -1; a pair counts here if own_pivot is the smallest pivot that both name.
+    near: pivots, nearest first, filled up with -1. Those LEFT are compared to those RIGHT; where both are at home, the
+    smaller one is the left one.
     """
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    links, parent, maps, home = np.zeros(len(reps), np.int64), np.arange(len(reps)), _maps(near), near[:, 0] == own_pivot
+    left, right = np.flatnonzero(role & LEFT), np.flatnonzero(role & RIGHT)
+    links, parent, home = np.zeros(len(reps), np.int64), np.arange(len(reps)), (role & AT_HOME) > 0
+    low, least = units.astype(np.float32), np.float32(COSINE - (units.shape[1] + 8) * 2.0**-23)
+    others = np.ascontiguousarray(low[right].T)
 
     def root(i):
         while parent[i] != i:
@@ -140,21 +152,18 @@ def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second:
 
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        shared = sum(np.bitwise_count(maps[rows, w][:, None] & maps[right, w][None, :]) for w in range(maps.shape[1]))
-        found = (shared >= MIN_SHARED) | home[rows][:, None] | home[right][None, :]
-        if first == second:
-            found &= rows[:, None] < right[None, :]
-        if 16 * np.count_nonzero(found) > found.size:
-            found &= units[rows] @ units[right].T >= COSINE - 1e-9
-        i, j = np.nonzero(found)
+        i, j = np.divmod(np.flatnonzero(low[rows] @ others >= least), max(1, len(right)))
         i, j = rows[i], right[j]
+        once = ~home[j] | (reps[i] < reps[j])
+        i, j = i[once], j[once]
         for part in range(0, len(i), 1 << 12):
             a, b = i[part : part + (1 << 12)], j[part : part + (1 << 12)]
             good = np.einsum("ij,ij->i", units[a], units[b]) >= COSINE
             a, b = a[good], b[good]
-            same = ((near[a][:, :, None] == near[b][:, None, :]) & (near[a] >= 0)[:, :, None]).any(axis=2)
-            smallest = np.where(same, near[a], np.iinfo(np.int32).max).min(axis=1)
-            a, b = a[smallest == own_pivot], b[smallest == own_pivot]
+            turned = reps[a] > reps[b]
+            a, b = np.where(turned, b, a), np.where(turned, a, b)
+            here = _counted_here(near, a, b, own_pivot)
+            a, b = a[here], b[here]
             np.add.at(links, a, n[b])
             np.add.at(links, b, n[a])
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -171,29 +180,42 @@ def cell_links(reps, n, units, near, block, own_pivot: int, first: int, second:
 def linked(index: DataFrame, d: int) -> list[DataFrame]:
     """rep, links, parent rows of all cells of all inverted lists of vectors of length d: a durable table for each wave."""
     row = index.agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("bytes")).first()
-    sizes = {r.pivot: r.c for r in index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("c")).collect()}  # a row for each pivot
-    blocks = {p: -(-c // BLOCK) for p, c in sizes.items()}
-    copies = sum(c * blocks[p] for p, c in sizes.items())
+    named = index.select(F.posexplode("near").alias("k", "pivot")).groupBy("pivot")
+    sizes = named.agg(F.count("*").alias("c"), F.count_if(F.col("k") < HOME).alias("h")).collect()  # a row for each pivot
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * d)))
+    parts = lambda c: max(1, -(-c // block))
+    copies = sum(r.c * parts(r.h) + r.h * (parts(r.c) - 1) for r in sizes)
     waves = -(-copies * (row.bytes + 2 * NEAREST) // int(max(WAVE_BYTES, WAVE_SHARE * row.n * row.bytes))) if copies else 0
-    of = F.from_json(F.lit(str([blocks.get(p, 1) for p in range(max(blocks, default=0) + 1)])), "array<int>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    most = max((r.pivot for r in sizes), default=-1) + 1
+
+    def of(counts):
+        return F.get(F.from_json(F.lit(str([counts.get(p, 1) for p in range(most)])), "array<int>"), F.col("pivot").cast("int"))
 
     def work(key, t):
-        pivot, first, second = (k.as_py() for k in key)
         column = t["near"].combine_chunks()
         size = np.diff(np.asarray(column.offsets))
         near = np.full((len(t), size.max()), -1, np.int32)
         near[np.arange(size.max()) < size[:, None]] = np.asarray(column.flatten())
         units = _unit(_rows(t["raw"].combine_chunks(), d))
-        rows = list(cell_links(np.asarray(t["rep"]), np.asarray(t["n"]), units, near, np.asarray(t["block"]), pivot, first, second))
+        rows = list(cell_links(np.asarray(t["rep"]), np.asarray(t["n"]), units, near, np.asarray(t["role"]), key[0].as_py()))
         return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "links": pa.array([r[1] for r in rows], pa.int64()), "parent": pa.array([r[2] for r in rows], pa.int64())})
 
+    # Cell i * blocks + j: those at home of block i, and all of block j.
+    home, own, blocks, homes = (F.col(c) for c in ("home", "own", "blocks", "homes"))
+    along = F.transform(F.sequence(F.lit(0), homes - 1), lambda i: i * blocks + F.col("block"))
+    across = F.when(home, F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: own * blocks + j)).otherwise(F.array().cast("array<int>"))
+    cell = F.when((blocks == 1) & (homes == 1), F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(along, across)))
+    is_left, is_right = home & (own == F.floor(F.col("cell") / blocks)), F.col("block") == F.col("cell") % blocks
+    role = F.when(is_left, LEFT).otherwise(0) + F.when(is_right, RIGHT).otherwise(0) + F.when(home, AT_HOME).otherwise(0)
+    dealt_by = F.xxhash64("rep")
     out = []
     for w in range(waves):
         lists = index.select("rep", "n", "raw", "near", F.explode(F.filter("near", lambda p: p % waves == w)).alias("pivot"))  # noqa: B023
-        dealt = lists.withColumn("blocks", F.get(of, F.col("pivot").cast("int"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        cells = dealt.withColumn("other", other).select("pivot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "n", "raw", "near", "block")
-        out.append(durable(cells.groupBy("pivot", "first", "second").applyInArrow(work, "rep long, links long, parent long"), "links"))
+        lists = lists.withColumn("home", F.array_position(F.slice("near", 1, HOME), F.col("pivot")) > 0)
+        lists = lists.withColumn("blocks", of({r.pivot: parts(r.c) for r in sizes})).withColumn("homes", of({r.pivot: parts(r.h) for r in sizes}))
+        lists = lists.withColumn("block", F.pmod(dealt_by, blocks).cast("int")).withColumn("own", F.pmod(dealt_by, homes).cast("int"))
+        cells = lists.withColumn("cell", F.explode(cell)).select("pivot", "cell", "rep", "n", "raw", "near", role.cast("int").alias("role"))
+        out.append(durable(cells.groupBy("pivot", "cell").applyInArrow(work, "rep long, links long, parent long"), "links"))
     return out
 
 

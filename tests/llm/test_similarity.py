@@ -112,6 +112,27 @@ def test_lists_are_dealt_in_waves_whose_bytes_are_bounded(spark, monkeypatch):
     assert names.count("links") == -(-copies * (64 + 128) // 1_000_000) > 2
 
 
+def test_a_long_list_is_sent_once_for_each_block_of_those_at_home(spark, monkeypatch):
+    """And not once for each block of all its vectors: beyond the most pivots, lists grow with the table."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(600, 24)).astype(np.float32)
+    x[300:] = x[:300] + rng.normal(size=(300, 24)).astype(np.float32) * 0.1
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    names, made = [], embedding_dedup.durable
+    monkeypatch.setattr(embedding_dedup, "durable", lambda t, name: names.append(name) or made(t, name))
+    monkeypatch.setattr(embedding_dedup, "WAVE_BYTES", 2_000_000)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 256)
+    classes = embedding_dedup.classes_of(df)
+    near = [r.near for r in embedding_dedup.described(classes, embedding_dedup.pivots_of(classes, 600)).collect()]
+    blocks = {p: -(-sum(p in r for r in near) // 256) for p in range(64)}
+    all_in_blocks = sum(blocks[p] for r in near for p in r) * (96 + 128)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()))
+    assert max(blocks.values()) > 1
+    assert 1 < names.count("links") < all_in_blocks // 2_000_000
+
+
 def test_embeddings_of_each_length_are_linked(spark):
     rng = np.random.default_rng(8)
     rows, at = [], 0
