@@ -3,7 +3,8 @@
 Word votes are joins and windows: a heard word votes for the difference of its time and that of each equal word of the
 cues, and the densest window of votes wins. A group's votes pass by once, sorted; its windows at all scales are running
 sums over their arrays, and one row for each scale leaves them. Correlation with speech is one FFT a track and scale over
-arrays of frames, which a track's length bounds; the peak of its values alone is a row again.
+arrays of frames, which a track's length bounds; a track's rows pass by once, sorted, and the peak of its values alone is
+a row again.
 
 Cues are keys, ord, start, end (ms), text; words are keys, ord, at (seconds), text, segment. Null and empty texts have no
 words, cues without a start or end are left out; pairs without a common word or without speech give no row.
@@ -204,32 +205,67 @@ def rendered(starts: np.ndarray, ends: np.ndarray, first: int, n: int, scale: fl
     """Share of each of n frames from `first` that cues cover, at most 1."""
     a = np.clip(starts * scale / FRAME_MS - first, 0, n)
     b = np.clip(ends * scale / FRAME_MS - first, 0, n)
-    out = np.zeros(n + 2)
     # A ramp from a to b: whole frames by a running sum, its two ends by what they cover.
     i, j = np.floor(a).astype(np.int64), np.floor(b).astype(np.int64)
-    steps = np.zeros(n + 3)
-    np.add.at(steps, i + 1, 1.0)
-    np.add.at(steps, j, -1.0)
-    out[: n + 2] = np.cumsum(steps)[: n + 2]
+    out = np.zeros(n + 3)
+    np.add.at(out, i + 1, 1.0)
+    np.add.at(out, j, -1.0)
+    np.cumsum(out, out=out)
     np.add.at(out, i, i + 1 - a)
     np.add.at(out, j, b - j)
-    return np.clip(out[:n], 0.0, 1.0)
+    return np.clip(out[:n], 0.0, 1.0, out=out[:n])
+
+
+def fast_length(n: int) -> int:
+    """The least even product of 2, 3 and 5 that is n or more."""
+    best, fives = 1 << max(1, (n - 1).bit_length()), 1
+    while fives < best:
+        odd = fives
+        while odd < best:
+            best = min(best, odd << max(1, (-(-n // odd) - 1).bit_length()))
+            odd *= 3
+        fives *= 5
+    return best
+
+
+RUNS_A_FFT = 8  # stretches of known speech, times lags, for each number of an FFT up to which running sums are used
 
 
 def correlations(speech: np.ndarray, cues: np.ndarray) -> np.ndarray:
-    """Pearson's correlation of speech (NaN where unknown) with each stretch of cues of its length, by FFT; NaN where undefined."""
+    """Pearson's correlation of speech (NaN where unknown) with each stretch of its length of each row of cues, by FFT; NaN where undefined.
+
+    Stretches end with the row, so one turn of the FFT of its length has them; sums over stretches of known speech are
+    running sums where these are few.
+    """
     known = ~np.isnan(speech)
-    n, lags = int(known.sum()), len(cues) - len(speech) + 1
+    n, lags = int(known.sum()), cues.shape[-1] - len(speech) + 1
     centred = np.where(known, speech - speech[known].mean(), 0.0) if n else np.zeros(len(speech))
     norm = np.sqrt((centred * centred).sum())
-    size = 1 << (len(speech) + len(cues) - 1).bit_length()
+    size = fast_length(cues.shape[-1])
     spectrum = lambda x: np.fft.rfft(x, size)
-    of = lambda x, g: np.fft.irfft(np.conj(x) * g, size)[:lags]
-    s, m, g, g2 = spectrum(centred), spectrum(known.astype(float)), spectrum(cues), spectrum(cues * cues)
-    cross, mean, square = of(s, g), of(m, g), of(m, g2)
-    variance = square - mean * mean / max(n, 1)
-    fine = (variance > 1e-6 * n) & (mean > 0.5) & (norm * norm > 1e-9) & (n >= 2)
-    return np.where(fine, cross / (norm * np.sqrt(np.where(fine, variance, 1.0))) if norm else np.nan, np.nan)
+    of = lambda x, g: np.fft.irfft(x * g, size)[:lags]
+    heard = np.conj(spectrum(centred))
+    edges = np.flatnonzero(np.diff(known, prepend=False, append=False)).reshape(-1, 2).tolist()
+    few = len(edges) * lags <= RUNS_A_FFT * size
+    mask = None if few else np.conj(spectrum(known.astype(float)))
+
+    def sums(x):
+        """Of x and of its squares, which go as one complex number."""
+        both, total = np.zeros(len(x) + 1, np.complex128), np.zeros(lags, np.complex128)
+        both.real[1:], both.imag[1:] = np.cumsum(x), np.cumsum(x * x)
+        for begin, end in edges:
+            total += both[end : end + lags]
+            total -= both[begin : begin + lags]
+        return total.real, total.imag
+
+    def one(x):
+        g = spectrum(x)
+        cross, (mean, square) = of(heard, g), sums(x) if few else (of(mask, g), of(mask, spectrum(x * x)))
+        variance = square - mean * mean / max(n, 1)
+        fine = (variance > 1e-6 * n) & (mean > 0.5) & (norm * norm > 1e-9) & (n >= 2)
+        return np.where(fine, cross / (norm * np.sqrt(np.where(fine, variance, 1.0))) if norm else np.nan, np.nan)
+
+    return one(cues) if cues.ndim == 1 else np.stack([one(x) for x in cues])
 
 
 def peak_of(value: np.ndarray, apart: int) -> tuple[int, float, float | None, float] | None:
@@ -238,7 +274,8 @@ def peak_of(value: np.ndarray, apart: int) -> tuple[int, float, float | None, fl
     if not fine.any():
         return None
     at = int(np.nanargmax(value))
-    far = value[(np.abs(np.arange(len(value)) - at) > apart) & fine]
+    far = np.concatenate([value[: max(0, at - apart)], value[at + apart + 1 :]])
+    far = far[~np.isnan(far)]
     refined, top = float(at), float(value[at])
     if 0 < at < len(value) - 1 and fine[at - 1] and fine[at + 1]:
         left, right = float(value[at - 1]), float(value[at + 1])
@@ -248,6 +285,9 @@ def peak_of(value: np.ndarray, apart: int) -> tuple[int, float, float | None, fl
     return at, top, float(far.max()) if len(far) else None, refined
 
 
+TASK_ROWS = 100_000  # of speech and cues that a task gets
+
+
 def speech_peaks(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms: tuple[float, float], scales: Sequence[float] = SCALES) -> DataFrame:
     """keys, scale, at, top, runner_up, refined (frames below the largest lag); speech: keys, frame (of its first), probabilities
     (array, null where unknown).
@@ -257,37 +297,47 @@ def speech_peaks(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_
     ship(speech.sparkSession)
     low, high = (int(np.floor((x + DELAY_MS + 0.5) // FRAME_MS)) for x in shift_ms)
     high += 1
-    heard = speech.groupBy(*keys).agg(F.collect_list(F.struct("frame", "probabilities")).alias("parts"))
-    fine = cues.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") - F.col("start") < LONGEST_MS))
-    listed = fine.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cues"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heard.select(*keys).schema.fields)
     columns = (("scale", pa.float64()), ("at", pa.int64()), ("top", pa.float64()), ("runner_up", pa.float64()), ("refined", pa.float64()))
 
     def work(batches):
-        for b in batches:
-            rows, of = [], []
-            for i in range(len(b)):
-                parts, own = b["parts"][i].as_py(), b["cues"][i].as_py()
-                parts = [p for p in parts if p["frame"] is not None and p["probabilities"]]
-                if not parts:
+        for rows in _whole_groups(batches, keys):
+            at = _starts(rows, keys)
+            column = lambda name: rows[name].combine_chunks().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            begin, end = column("__begin"), column("__end")
+            parts = rows["__parts"].combine_chunks()
+            offsets, values = np.asarray(parts.offsets), parts.values.to_numpy(zero_copy_only=False)
+            heard = offsets[1:] > offsets[:-1]
+            found, of = [], []
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(rows)], strict=True):
+                own, said = np.flatnonzero(~heard[a:z]) + a, np.flatnonzero(heard[a:z]) + a
+                if not len(own) or not len(said):
                     continue
-                first, end = min(p["frame"] for p in parts), max(p["frame"] + len(p["probabilities"]) for p in parts)
-                frames = np.full(end - first, np.nan)
-                for p in parts:
-                    at = slice(p["frame"] - first, p["frame"] - first + len(p["probabilities"]))
-                    frames[at] = np.fmax(frames[at], np.array(p["probabilities"], np.float64))
-                starts, ends = (np.array([c[n] for c in own], np.float64) for n in ("start", "end"))
-                for scale in scales:
-                    value = correlations(frames, rendered(starts, ends, first - high, end - first + high - low, scale))
-                    if found := peak_of(value, int(NEAR_MS / FRAME_MS)):
-                        rows.append((scale, *found))
-                        of.append(i)
-            named = pa.Table.from_batches([b]).select(list(keys)).take(pa.array(of, pa.int64()))
+                first, last = int(begin[said].min()), int(end[said].max())
+                frames = np.full(last - first, np.nan)
+                for k in said.tolist():
+                    place = frames[begin[k] - first : end[k] - first]
+                    np.fmax(place, values[offsets[k] : offsets[k + 1]], out=place)
+                own = own[np.lexsort((end[own], begin[own]))]
+                starts, ends = begin[own].astype(np.float64), end[own].astype(np.float64)
+                covered = np.stack([rendered(starts, ends, first - high, last - first + high - low, scale) for scale in scales])
+                for scale, value in zip(scales, correlations(frames, covered), strict=True):
+                    if peak := peak_of(value, int(NEAR_MS / FRAME_MS)):
+                        found.append((scale, *peak))
+                        of.append(a)
+            named = rows.select(list(keys)).take(pa.array(of, pa.int64()))
             for c, (name, kind) in enumerate(columns):
-                named = named.append_column(name, pa.array([r[c] for r in rows], kind))
+                named = named.append_column(name, pa.array([x[c] for x in found], kind))
             yield from named.combine_chunks().to_batches()
 
-    return heard.join(listed, list(keys)).select(*keys, "parts", "cues").mapInArrow(work, f"{kinds}, scale double, at long, top double, runner_up double, refined double")
+    there = lambda df: df.filter(" and ".join(f"`{k}` is not null" for k in keys))
+    frame, parts = F.col("frame").cast("long"), F.col("probabilities").cast("array<double>")
+    said = there(speech).filter(F.col("frame").isNotNull() & (F.size("probabilities") > 0)).select(*keys, frame.alias("__begin"), (frame + F.size("probabilities")).alias("__end"), parts.alias("__parts"))
+    fine = there(cues).filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") - F.col("start") < LONGEST_MS))
+    own = fine.select(*keys, F.col("start").cast("long").alias("__begin"), F.col("end").cast("long").alias("__end"), F.array().cast("array<double>").alias("__parts"))
+    tasks = max(speech.sparkSession.sparkContext.defaultParallelism, -(-(speech.count() + cues.count()) // TASK_ROWS))
+    both = said.unionByName(own)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema.fields)
+    return both.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(work, f"{kinds}, scale double, at long, top double, runner_up double, refined double")
 
 
 def speech_fit(speech: DataFrame, cues: DataFrame, keys: Sequence[str], shift_ms: tuple[float, float], scales: Sequence[float] = SCALES) -> DataFrame:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelforge.operators import sequence, speech
 
@@ -179,3 +180,33 @@ req = s.createDataFrame([(1, "a", "movie", None, None)], "request long, id strin
 assert scraped(req, lambda *a: [{{"url": "x", "title": "t"}}]).count() == 1
 """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "elsewhere", check=True, timeout=300, env={"PATH": "/usr/bin:/bin:/usr/local/bin", "HOME": str(tmp_path)} | {k: v for k, v in __import__("os").environ.items() if k in ("JAVA_HOME", "PATH", "SPARK_LOCAL_IP")})
+
+
+def test_correlations_of_long_tracks_take_an_fft_of_their_length():
+    """In stretches of known speech as in frames that come and go; rows of cues give what each alone does."""
+    rng = np.random.default_rng(5)
+    g = np.clip(rng.random((3, 700)) * 2 - 0.6, 0, 1)
+    p = rng.random(600)
+    p[100:180] = p[400:430] = np.nan
+    broken = np.where(rng.random(600) < 0.5, np.nan, p)
+    for x in (p, broken):
+        known, got = ~np.isnan(x), speech.correlations(x, g)
+        assert got.shape == (3, 101)
+        for row, own in zip(g, got, strict=True):
+            assert np.allclose(own, [np.corrcoef(x[known], row[k : k + 600][known])[0, 1] for k in range(101)], atol=1e-9)
+            assert np.allclose(own, speech.correlations(x, row), atol=1e-12)
+    assert [speech.fast_length(n) for n in (1, 2, 7, 23, 151, 700, 20_576)] == [2, 2, 8, 24, 160, 720, 20_736]
+
+
+def test_rows_of_a_track_pass_by_sorted_and_no_list_of_them_is_made(spark):
+    cues = spark.range(90).select((F.col("id") % 3).alias("film"), (F.col("id") * 900).alias("start"), (F.col("id") * 900 + 700).alias("end"))
+    heard = cues.select("film", F.floor(F.col("start") / 32).alias("frame"), F.concat(F.array_repeat(F.lit(0.9), 20), F.array_repeat(F.lit(0.05), 16)).alias("probabilities"))
+    peaks = speech.speech_peaks(heard, cues, ["film"], (-9000.0, 9000.0))
+    assert "collect_list" not in peaks._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # tracks go over the ends of batches
+    try:
+        cut = sorted(map(tuple, peaks.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cut == sorted(map(tuple, speech.speech_peaks(heard, cues, ["film"], (-9000.0, 9000.0)).collect()))
+    assert len(cut) == 3 * len(speech.SCALES)
