@@ -59,6 +59,22 @@ def test_lists_and_pairs_are_not_made_distinct(spark):
         assert "Aggregate" not in "".join(lines[: next(i for i, x in enumerate(lines) if "Join" in x)])
 
 
+def test_rows_with_the_same_ids_are_compared_as_one(spark):
+    ids = lambda n: F.when(F.col("id") < n - 2, F.array(F.concat(F.lit("a:"), F.col("id") % 5), F.concat(F.lit("b:"), F.col("id") % 7)))
+    side = lambda n, own: spark.range(n).select(F.when(F.col("id") != 3, F.col("id")).alias(own), ids(n).alias("ids"))
+    a, b = side(400, "l"), side(900, "r")
+    want = sorted(((i, j) for i in range(398) for j in range(898) if i % 5 == j % 5 or i % 7 == j % 7), key=str)
+    named = lambda pairs: sorted(((3 if r.l is None else r.l, 3 if r.r is None else r.r) for r in pairs), key=str)
+    for block in (identity.BLOCK, 20):
+        pairs = identity.sharing_any(a, b, "l", "r", "ids", block)
+        rows = pairs.collect()
+        assert named(rows) == want
+        # Of a right one, all left ones of a class come in turn.
+        assert sum(x.r != y.r for x, y in zip(rows, rows[1:], strict=False)) < len(rows) / 5
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "explode(__members_a" in "".join(joined[: next(i for i, x in enumerate(joined) if "Join" in x)])
+
+
 def test_of_all_scores_and_correlations_one_row_leaves_a_pair(spark):
     r = spark.range(40).select((F.col("id") % 4).alias("film"), F.col("id").alias("ord"), (F.col("id") * 3500).alias("start"), (F.col("id") * 3500 + 900).alias("end"))
     found = search.searched(r, r, ["film"])
